@@ -1,0 +1,123 @@
+"""Keyed state for the continuous mode (M3): the reference's incremental join
+handlers as ``StatefulProcessor``s for ``transformWithState``.
+
+Within a micro-batch Spark gives no order among a key's rows, so each call
+sorts its rows by ``seq`` first; micro-batches themselves follow the feed.
+The handlers follow the reference, including its behaviour on ill-formed
+feeds (a delete of a missing row still emits, a second insert emits again);
+``trickle.operators.quality`` reports such feeds.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+from decimal import Decimal
+
+from pyspark.sql import Row
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+
+J1_INPUT = (
+    "src string, seq bigint, sgn int, custkey bigint, o_orderkey bigint, "
+    "o_orderdate date, o_shippriority int"
+)
+J1_OUTPUT = "seq bigint, o_orderkey bigint, o_orderdate date, o_shippriority int, w int"
+
+J2_INPUT = (
+    "src string, seq bigint, sgn int, orderkey bigint, line int, "
+    "l_extendedprice decimal(15,2), l_discount decimal(15,2), o_orderdate date, o_shippriority int"
+)
+CHANGELOG = (
+    "seq bigint, l_orderkey bigint, line int, o_orderdate date, o_shippriority int, "
+    "w int, dv decimal(38,4), revenue_dec decimal(38,4), n bigint"
+)
+
+ORDER_SIDE = "O"
+CUSTOMER_SIDE = "C"
+LINEITEM_SIDE = "L"
+JOIN1_SIDE = "J"
+
+
+class OrderCustomerJoin(StatefulProcessor):
+    """Join 1, keyed by customer key: stored orders (map by order key) and
+    the customer's presence."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.orders = handle.getMapState(
+            "orders", "o_orderkey bigint", "o_orderdate date, o_shippriority int"
+        )
+        self.customer = handle.getValueState("customer", "alive boolean")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        for r in sorted(rows, key=lambda x: x.seq):
+            if r.src == ORDER_SIDE:
+                if r.sgn > 0:
+                    self.orders.updateValue((r.o_orderkey,), (r.o_orderdate, r.o_shippriority))
+                else:
+                    self.orders.removeKey((r.o_orderkey,))
+                if self.customer.exists():
+                    yield Row(seq=r.seq, o_orderkey=r.o_orderkey, o_orderdate=r.o_orderdate,
+                              o_shippriority=r.o_shippriority, w=1 if r.sgn > 0 else -1)
+            else:
+                if r.sgn > 0:
+                    self.customer.update((True,))
+                else:
+                    self.customer.clear()
+                w = 1 if r.sgn > 0 else -1
+                for (okey,), (odate, oprio) in sorted(self.orders.iterator(), key=lambda kv: kv[0]):
+                    yield Row(seq=r.seq, o_orderkey=okey, o_orderdate=odate,
+                              o_shippriority=oprio, w=w)
+
+    def close(self) -> None:
+        pass
+
+
+class LineitemOrderSum(StatefulProcessor):
+    """Join 2 and the running sum, keyed by order key (the reference keys both
+    by order key, so one stateful operator serves both and a shuffle is
+    saved). State: stored lineitems (map by line), the live join-1 row, and
+    the running revenue and count."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.items = handle.getMapState(
+            "items", "line int", "l_extendedprice decimal(15,2), l_discount decimal(15,2)"
+        )
+        self.order = handle.getValueState("order", "o_orderdate date, o_shippriority int")
+        self.total = handle.getValueState("total", "revenue decimal(38,4), n bigint")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        (okey,) = key
+        tot = self.total.get() if self.total.exists() else None
+        revenue, n = (tot[0], tot[1]) if tot is not None else (Decimal(0), 0)
+        touched = False
+
+        def emit(seq, line, odate, oprio, w, price, disc):
+            nonlocal revenue, n, touched
+            dv = w * price * (1 - disc)
+            revenue += dv
+            n += w
+            touched = True
+            return Row(seq=seq, l_orderkey=okey, line=line, o_orderdate=odate,
+                       o_shippriority=oprio, w=w, dv=dv, revenue_dec=revenue, n=n)
+
+        for r in sorted(rows, key=lambda x: x.seq):
+            w = 1 if r.sgn > 0 else -1
+            if r.src == LINEITEM_SIDE:
+                if w > 0:
+                    self.items.updateValue((r.line,), (r.l_extendedprice, r.l_discount))
+                else:
+                    self.items.removeKey((r.line,))
+                if self.order.exists():
+                    odate, oprio = self.order.get()
+                    yield emit(r.seq, r.line, odate, oprio, w, r.l_extendedprice, r.l_discount)
+            else:
+                if w > 0:
+                    self.order.update((r.o_orderdate, r.o_shippriority))
+                else:
+                    self.order.clear()
+                for (line,), (price, disc) in sorted(self.items.iterator(), key=lambda kv: kv[0]):
+                    yield emit(r.seq, line, r.o_orderdate, r.o_shippriority, w, price, disc)
+        if touched:
+            self.total.update((revenue, n))
+
+    def close(self) -> None:
+        pass
