@@ -1,9 +1,10 @@
-"""Column expressions that decode one change-log line.
+"""Expressions that decode one change-log line.
 
 A record is ``<op><TAG><f0>|<f1>|...``: the op char (``+`` inserts, anything
 else deletes), a two-letter table tag, then ``|``-separated fields read by
-fixed index. Everything here is a built-in expression, so decoding runs in
-whole-stage codegen on the JVM.
+fixed index. Everything here is a built-in Spark SQL expression (given as SQL
+text, so a whole projection is one call into the JVM), so decoding runs in
+whole-stage codegen.
 """
 
 from __future__ import annotations
@@ -23,8 +24,41 @@ CUSTOMER_FIELDS = {"c_custkey": 0, "c_mktsegment": 6}
 
 FIELDS = {TAG_LINEITEM: LINEITEM_FIELDS, TAG_ORDERS: ORDERS_FIELDS, TAG_CUSTOMER: CUSTOMER_FIELDS}
 
-ISO_DATE = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$"
-INTEGER = r"^[+-]?[0-9]+$"
+# SQL text of the decoding expressions, over a line column ``value``.
+OP_SQL = "substring(value, 1, 1)"
+TAG_SQL = "substring(value, 2, 2)"
+FIELDS_SQL = "split(substring(value, 4), '[|]', -1)"  # empty trailing fields kept
+SIGN_SQL = "CASE WHEN {op} = '+' THEN 1 ELSE -1 END"
+
+
+def field_sql(arr: str, i: int) -> str:
+    """Field ``i`` or NULL when the record is too short."""
+    return f"get({arr}, {i})"
+
+
+def int_sql(s: str, kind: str = "bigint") -> str:
+    """Integer text: optional sign and digits (a fraction, exponent or other
+    text gives NULL). Unlike ``Integer.parseInt`` surrounding blanks are
+    tolerated; a regex check would cost as much as the whole parse."""
+    return f"try_cast({s} AS {kind})"
+
+
+def money_sql(s: str) -> str:
+    return f"try_cast({s} AS DECIMAL(15,2))"
+
+
+def date_sql(s: str) -> str:
+    """Strict ``yyyy-MM-dd`` (ISO local date); anything else is NULL.
+
+    A plain cast also takes ``1995-3-1`` or a trailing time part; fixing the
+    length and the two dashes leaves exactly the ISO form."""
+    return (
+        f"CASE WHEN length({s}) = 10 AND substring({s}, 5, 1) = '-' AND substring({s}, 8, 1) = '-'"
+        f" THEN try_cast({s} AS DATE) END"
+    )
+
+
+# Column forms, for DataFrame code.
 
 
 def op_char(value: Column) -> Column:
@@ -36,35 +70,16 @@ def tag(value: Column) -> Column:
     return F.substring(value, 2, 2)
 
 
-def body(value: Column) -> Column:
-    """The line after op char and tag."""
-    return F.substring(value, 4, 1 << 30)
-
-
 def sign(op: Column) -> Column:
     """+1 for '+', -1 for any other op char (the reference's rule)."""
     return F.when(op == "+", F.lit(1)).otherwise(F.lit(-1))
 
 
 def fields(value: Column) -> Column:
-    """Array of the ``|``-separated fields of the body; empty trailing fields kept."""
-    return F.split(body(value), r"\|", -1)
-
-
-def field(arr: Column, i: int) -> Column:
-    """Field ``i`` or NULL when the record is too short."""
-    return F.get(arr, F.lit(i))
-
-
-def as_int(s: Column, kind: str = "bigint") -> Column:
-    """Integer text as in ``Integer.parseInt``: optional sign, digits only."""
-    return F.when(s.rlike(INTEGER), s.try_cast(kind))
-
-
-def as_money(s: Column) -> Column:
-    return s.try_cast("decimal(15,2)")
+    """Array of the ``|``-separated fields after op char and tag."""
+    return F.split(F.substring(value, 4, 1 << 30), r"\|", -1)
 
 
-def as_date(s: Column) -> Column:
-    """Strict ``yyyy-MM-dd`` (ISO local date); anything else is NULL."""
-    return F.when(s.rlike(ISO_DATE), s.try_cast("date"))
+def seq_of(value: Column) -> Column:
+    """The trailing ``seq`` field as BIGINT."""
+    return F.element_at(fields(value), -1).try_cast("bigint")

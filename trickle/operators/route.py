@@ -1,150 +1,165 @@
-"""Decode, route and parse change-log lines (one pass of column expressions).
+"""Decode, route and parse change-log lines with built-in expressions.
 
 The reference splits the line stream three ways with side outputs, parses
-each branch into a row object and drops lines with other tags. Here a line is
-decoded once into ``tbl``, ``sgn``, the field array, ``seq`` and a ``reason``
-(NULL when the line is well formed); each table is a filter of that plus one
-``select``. Lines that cannot be used go to a dead-letter DataFrame with
-their reason instead of disappearing.
+each branch into a row object and drops lines with other tags. Here each
+table is one branch over the lines: a filter on the tag (on the raw line, so
+other tables' lines are dropped before any parsing), one ``split`` per line,
+and one projection that types the fields. Lines that cannot be used go to a
+dead-letter DataFrame with their reason instead of disappearing.
 
 ``on_error``: ``"fail"`` (the reference: a malformed record of a known table
 fails the job; unknown tags are dropped) or ``"dead_letter"`` (malformed
-records leave the tables and are reported). ``strict_op`` sends op chars
-other than ``+``/``-`` to the dead letter; otherwise any non-``+`` char is a
+records leave the tables and are reported). ``strict_op`` treats op chars
+other than ``+``/``-`` as malformed; otherwise any non-``+`` char is a
 delete, as in the reference.
+
+Plan shape: no filter re-parses the line. In ``fail`` mode the check sits in
+the projection (``raise_error`` only on the failing branch); in
+``dead_letter`` mode the reason is computed from the typed columns.
+Expressions are SQL text (``selectExpr``): one call into the JVM per
+projection instead of one per sub-expression.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from trickle.functions import decode as D
 
 SEQ_FIELD = "field"  # seq is the last field of every record
 
-
-@dataclass(frozen=True)
-class Routed:
-    lineitem: DataFrame
-    orders: DataFrame
-    customer: DataFrame
-    dead_letter: DataFrame
-
-
-def _need(tbl: str, seq_mode: str) -> int:
-    n = max(D.FIELDS[tbl].values()) + 1
-    return n + 1 if seq_mode == SEQ_FIELD else n
-
-
-def _per_tag(tbl: Column, by_tag: dict[str, Column], default: Column) -> Column:
-    expr = None
-    for t, c in by_tag.items():
-        expr = F.when(tbl == t, c) if expr is None else expr.when(tbl == t, c)
-    return expr.otherwise(default)
-
-
-def _typed(arr: Column) -> dict[str, Column]:
-    """Every parsed column of every table, from the field array."""
-    li, od, cu = D.LINEITEM_FIELDS, D.ORDERS_FIELDS, D.CUSTOMER_FIELDS
-    f = lambda i: D.field(arr, i)
-    return {
-        "l_orderkey": D.as_int(f(li["l_orderkey"])),
-        "line": D.as_int(f(li["line"]), "int"),
-        "l_extendedprice": D.as_money(f(li["l_extendedprice"])),
-        "l_discount": D.as_money(f(li["l_discount"])),
-        "l_shipdate": D.as_date(f(li["l_shipdate"])),
-        "o_orderkey": D.as_int(f(od["o_orderkey"])),
-        "o_custkey": D.as_int(f(od["o_custkey"])),
-        "o_orderdate": D.as_date(f(od["o_orderdate"])),
-        "o_shippriority": D.as_int(f(od["o_shippriority"]), "int"),
-        "c_custkey": D.as_int(f(cu["c_custkey"])),
-        "c_mktsegment": f(cu["c_mktsegment"]),
-    }
-
-
-NUMBER_COLS = {
-    D.TAG_LINEITEM: ["l_orderkey", "line", "l_extendedprice", "l_discount"],
-    D.TAG_ORDERS: ["o_orderkey", "o_custkey", "o_shippriority"],
-    D.TAG_CUSTOMER: ["c_custkey"],
-}
-DATE_COLS = {
-    D.TAG_LINEITEM: ["l_shipdate"],
-    D.TAG_ORDERS: ["o_orderdate"],
-    D.TAG_CUSTOMER: [],
-}
 OUTPUT_COLS = {
     D.TAG_LINEITEM: ["l_orderkey", "line", "l_extendedprice", "l_discount", "l_shipdate"],
     D.TAG_ORDERS: ["o_orderkey", "o_custkey", "o_orderdate", "o_shippriority"],
     D.TAG_CUSTOMER: ["c_custkey", "c_mktsegment"],
 }
+INT_COLS = {"line", "o_shippriority"}
+MONEY_COLS = {"l_extendedprice", "l_discount"}
+DATE_COLS = {"l_shipdate", "o_orderdate"}
+TEXT_COLS = {"c_mktsegment"}
 
 
-def decode_lines(lines: DataFrame, strict_op: bool = False, seq_mode: str = SEQ_FIELD) -> DataFrame:
-    """value -> value, op, tbl, sgn, seq, reason and all typed columns."""
-    if seq_mode != SEQ_FIELD:
-        raise ValueError(f"unsupported seq_mode {seq_mode!r}")
-    v = F.col("value")
-    arr = F.col("_f")
-    tbl = F.col("tbl")
-    typed = _typed(arr)
-
-    def any_null(cols: list[str]) -> Column:
-        if not cols:
-            return F.lit(False)
-        out = typed[cols[0]].isNull()
-        for c in cols[1:]:
-            out = out | typed[c].isNull()
-        return out
-
-    known = tbl.isin(*D.TAGS)
-    bad_op = F.lit(False)
+def _need(tbl: str) -> int:
+    """Fields a record of ``tbl`` must have: up to the last one read, plus seq."""
+    return max(D.FIELDS[tbl].values()) + 2
+
+
+def _parse_sql(col: str, s: str) -> str:
+    if col in DATE_COLS:
+        return D.date_sql(s)
+    if col in MONEY_COLS:
+        return D.money_sql(s)
+    if col in TEXT_COLS:
+        return s
+    return D.int_sql(s, "int" if col in INT_COLS else "bigint")
+
+
+def _reason_sql(tbl: str, strict_op: bool) -> str:
+    """Why a typed row of ``tbl`` is unusable (NULL when it is fine)."""
+    nums = [c for c in OUTPUT_COLS[tbl] if c not in DATE_COLS | TEXT_COLS]
+    dates = [c for c in OUTPUT_COLS[tbl] if c in DATE_COLS]
+    whens = []
     if strict_op:
-        bad_op = ~F.col("op").isin("+", "-")
-    short = F.size(arr) < _per_tag(tbl, {t: F.lit(_need(t, seq_mode)) for t in D.TAGS}, F.lit(0))
-    bad_num = _per_tag(tbl, {t: any_null(NUMBER_COLS[t]) for t in D.TAGS}, F.lit(False))
-    bad_date = _per_tag(tbl, {t: any_null(DATE_COLS[t]) for t in D.TAGS}, F.lit(False))
-    seq = D.as_int(F.element_at(arr, -1))
-    reason = (
-        F.when(F.length(v) < 3, F.lit("short_line"))
-        .when(~known, F.lit("unknown_tag"))
-        .when(bad_op, F.lit("bad_op"))
-        .when(short, F.lit("short_line"))
-        .when(bad_num, F.lit("bad_number"))
-        .when(bad_date, F.lit("bad_date"))
-        .when(seq.isNull(), F.lit("bad_seq"))
+        whens.append("WHEN op NOT IN ('+', '-') THEN 'bad_op'")
+    whens.append(f"WHEN _n < {_need(tbl)} THEN 'short_line'")
+    if nums:
+        whens.append("WHEN " + " OR ".join(f"{c} IS NULL" for c in nums) + " THEN 'bad_number'")
+    if dates:
+        whens.append("WHEN " + " OR ".join(f"{c} IS NULL" for c in dates) + " THEN 'bad_date'")
+    whens.append("WHEN seq IS NULL THEN 'bad_seq'")
+    return "CASE " + " ".join(whens) + " END"
+
+
+def _typed(lines: DataFrame, tbl: str) -> DataFrame:
+    """Lines of one table -> value, op, _n (field count), seq, sgn, typed columns."""
+    fields = D.FIELDS[tbl]
+    split = lines.where(f"{D.TAG_SQL} = '{tbl}'").selectExpr(
+        "value", f"{D.OP_SQL} AS op", f"{D.FIELDS_SQL} AS _f"
     )
-    return (
-        lines.select("value")
-        .withColumn("op", D.op_char(v))
-        .withColumn("tbl", D.tag(v))
-        .withColumn("_f", D.fields(v))
-        .select(
-            "value", "op", "tbl",
-            D.sign(F.col("op")).alias("sgn"),
-            seq.alias("seq"),
-            reason.alias("reason"),
-            *[c.alias(n) for n, c in typed.items()],
-        )
+    return split.selectExpr(
+        "value",
+        "op",
+        "size(_f) AS _n",
+        f"{D.int_sql('element_at(_f, -1)')} AS seq",
+        D.SIGN_SQL.format(op="op") + " AS sgn",
+        *[f"{_parse_sql(c, D.field_sql('_f', fields[c]))} AS {c}" for c in OUTPUT_COLS[tbl]],
     )
 
 
-def _table(dec: DataFrame, tbl: str, on_error: str) -> DataFrame:
-    t = F.col("tbl")
-    r = F.col("reason")
+def parse_table(lines: DataFrame, tbl: str, on_error: str = "fail", strict_op: bool = False) -> DataFrame:
+    """seq, sgn and the typed columns of one table's change records.
+
+    In ``fail`` mode the check is part of ``sgn`` (a record's weight exists
+    only if the record is well formed); every consumer reads ``sgn``, so the
+    check cannot be pruned away, and it is a projection, so it never re-parses
+    the line."""
+    typed = _typed(lines, tbl)
+    cols = ["seq", "sgn", *OUTPUT_COLS[tbl]]
+    reason = _reason_sql(tbl, strict_op)
     if on_error == "fail":
-        keep = (
-            F.when(t != tbl, F.lit(False))
-            .when(r.isNull(), F.lit(True))
-            .otherwise(F.raise_error(F.concat(F.lit("malformed change record ("), r, F.lit("): "), F.col("value"))).cast("boolean"))
+        sgn = (
+            f"CASE WHEN ({reason}) IS NULL THEN sgn ELSE CAST(raise_error(concat("
+            f"'malformed change record (', {reason}, '): ', value)) AS INT) END AS sgn"
         )
-    elif on_error == "dead_letter":
-        keep = (t == tbl) & r.isNull()
-    else:
-        raise ValueError(f"unknown on_error {on_error!r}")
-    return dec.where(keep).select("seq", "sgn", *OUTPUT_COLS[tbl])
+        return typed.selectExpr("seq", sgn, *OUTPUT_COLS[tbl])
+    if on_error == "dead_letter":
+        return typed.where(f"({reason}) IS NULL").select(*cols)
+    raise ValueError(f"unknown on_error {on_error!r}")
+
+
+def dead_letter(lines: DataFrame, strict_op: bool = False) -> DataFrame:
+    """value, tbl, reason for every line that cannot be used."""
+    tags = ", ".join(f"'{t}'" for t in D.TAGS)
+    out = lines.where(f"length(value) < 3 OR {D.TAG_SQL} NOT IN ({tags})").selectExpr(
+        "value",
+        f"{D.TAG_SQL} AS tbl",
+        "CASE WHEN length(value) < 3 THEN 'short_line' ELSE 'unknown_tag' END AS reason",
+    )
+    for t in D.TAGS:
+        bad = (
+            _typed(lines, t)
+            .selectExpr("value", f"'{t}' AS tbl", f"{_reason_sql(t, strict_op)} AS reason")
+            .where("reason IS NOT NULL")
+        )
+        out = out.unionByName(bad)
+    return out
+
+
+class Routed:
+    """The three parsed change tables and the dead letter of one feed.
+
+    Built lazily: a DataFrame (and its share of plan analysis) is made only
+    when a caller asks for it."""
+
+    def __init__(self, lines: DataFrame, on_error: str = "fail", strict_op: bool = False):
+        self._lines, self._on_error, self._strict_op = lines, on_error, strict_op
+        self._cache: dict[str, DataFrame] = {}
+
+    def _make(self, key: str) -> DataFrame:
+        if key == "dead":
+            return dead_letter(self._lines, self._strict_op)
+        return parse_table(self._lines, key, self._on_error, self._strict_op)
+
+    def _get(self, key: str) -> DataFrame:
+        if key not in self._cache:
+            self._cache[key] = self._make(key)
+        return self._cache[key]
+
+    @property
+    def lineitem(self) -> DataFrame:
+        return self._get(D.TAG_LINEITEM)
+
+    @property
+    def orders(self) -> DataFrame:
+        return self._get(D.TAG_ORDERS)
+
+    @property
+    def customer(self) -> DataFrame:
+        return self._get(D.TAG_CUSTOMER)
+
+    @property
+    def dead_letter(self) -> DataFrame:
+        return self._get("dead")
 
 
 def route(
@@ -155,35 +170,32 @@ def route(
 ) -> Routed:
     """Split a DataFrame of change-log lines into the three parsed change
     tables and the dead letter. Lazy: nothing runs until an action."""
-    dec = decode_lines(lines, strict_op=strict_op, seq_mode=seq_mode)
-    return Routed(
-        lineitem=_table(dec, D.TAG_LINEITEM, on_error),
-        orders=_table(dec, D.TAG_ORDERS, on_error),
-        customer=_table(dec, D.TAG_CUSTOMER, on_error),
-        dead_letter=dec.where(F.col("reason").isNotNull()).select("value", "tbl", "reason"),
-    )
+    if seq_mode != SEQ_FIELD:
+        raise ValueError(f"unsupported seq_mode {seq_mode!r}")
+    if on_error not in ("fail", "dead_letter"):
+        raise ValueError(f"unknown on_error {on_error!r}")
+    return Routed(lines, on_error, strict_op)
 
 
-def stage(spark: SparkSession, lines: DataFrame, path: str, strict_op: bool = False) -> Routed:
-    """Route once and write the parsed tables as Parquet partitioned by table.
+class StagedRouted(Routed):
+    """Routed tables read back from ``stage``'s Parquet folders."""
 
-    One text pass feeds all three tables and the dead letter (the reference's
-    side outputs); later reads are columnar, pruned to the needed columns and
-    to one ``tbl`` partition. Malformed records go to ``tbl=__dead__``.
-    """
-    dec = decode_lines(lines, strict_op=strict_op)
-    out = dec.withColumn(
-        "part", F.when(F.col("reason").isNull(), F.col("tbl")).otherwise(F.lit("__dead__"))
-    )
-    out.write.mode("overwrite").partitionBy("part").parquet(path)
-    back = spark.read.parquet(path)
+    def __init__(self, spark: SparkSession, path: str):
+        super().__init__(None)  # type: ignore[arg-type]
+        self._spark, self._path = spark, path
 
-    def t(tag: str) -> DataFrame:
-        return back.where(F.col("part") == tag).select("seq", "sgn", *OUTPUT_COLS[tag])
+    def _make(self, key: str) -> DataFrame:
+        return self._spark.read.parquet(f"{self._path}/{key}")
 
-    return Routed(
-        lineitem=t(D.TAG_LINEITEM),
-        orders=t(D.TAG_ORDERS),
-        customer=t(D.TAG_CUSTOMER),
-        dead_letter=back.where(F.col("part") == "__dead__").select("value", "tbl", "reason"),
-    )
+
+def stage(spark: SparkSession, lines: DataFrame, path: str, strict_op: bool = False) -> Routed:
+    """Route once and keep the parsed tables as Parquet, one folder per table.
+
+    For very large feeds read by several queries: the text is parsed once per
+    table here, and later reads are columnar and pruned to the needed columns.
+    Malformed records are written to ``dead``.
+    """
+    for t in D.TAGS:
+        parse_table(lines, t, "dead_letter", strict_op).write.mode("overwrite").parquet(f"{path}/{t}")
+    dead_letter(lines, strict_op).write.mode("overwrite").parquet(f"{path}/dead")
+    return StagedRouted(spark, path)

@@ -96,7 +96,7 @@ def start(spark: SparkSession, in_path: str, ckpt: str, out_path: str, spec: Q3S
 def feed_in_order(spark: SparkSession, lines: DataFrame, parts: int) -> list[DataFrame]:
     """Split a feed into ``parts`` consecutive seq ranges (boundaries from
     approximate quantiles: a handful of numbers reach the driver)."""
-    seq = D.as_int(F.element_at(D.fields(F.col("value")), -1))
+    seq = D.seq_of(F.col("value"))
     keyed = lines.withColumn("_seq", seq)
     if parts <= 1:
         return [lines]
