@@ -27,7 +27,9 @@ FIELDS = {TAG_LINEITEM: LINEITEM_FIELDS, TAG_ORDERS: ORDERS_FIELDS, TAG_CUSTOMER
 # SQL text of the decoding expressions, over a line column ``value``.
 OP_SQL = "substring(value, 1, 1)"
 TAG_SQL = "substring(value, 2, 2)"
-FIELDS_SQL = "split(substring(value, 4), '[|]', -1)"  # empty trailing fields kept
+# '\\|' is the escaped single char that Java's split takes without a regex
+# engine; -1 keeps empty trailing fields.
+FIELDS_SQL = "split(substring(value, 4), '\\\\|', -1)"
 SIGN_SQL = "CASE WHEN {op} = '+' THEN 1 ELSE -1 END"
 
 

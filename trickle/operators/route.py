@@ -73,8 +73,14 @@ def _reason_sql(tbl: str, strict_op: bool) -> str:
 def _typed(lines: DataFrame, tbl: str) -> DataFrame:
     """Lines of one table -> value, op, _n (field count), seq, sgn, typed columns."""
     fields = D.FIELDS[tbl]
+    # The field array comes out of a one-row generator. Catalyst pushes
+    # filters written on parsed columns (the Q3 predicates, the not-null
+    # filters it infers from joins) below plain projections by inlining them,
+    # which would split every line again per predicate; it does not push a
+    # filter on generated columns below the generator, so each line is
+    # split once.
     split = lines.where(f"{D.TAG_SQL} = '{tbl}'").selectExpr(
-        "value", f"{D.OP_SQL} AS op", f"{D.FIELDS_SQL} AS _f"
+        "value", f"{D.OP_SQL} AS op", f"explode(array({D.FIELDS_SQL})) AS _f"
     )
     return split.selectExpr(
         "value",
