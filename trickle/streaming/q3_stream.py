@@ -136,14 +136,14 @@ def latest_view(spark: SparkSession, out_path: str) -> DataFrame:
     ).where(F.col("n") > 0)
 
 
-def run_stream(spark: SparkSession, sf_dir: str, spec: Q3Spec = Q3, kind: str = "final",
-               parts: int = 3) -> DataFrame:
-    """Feed the change log to the continuous query in ``parts`` seq-ordered
-    steps (each one an ``availableNow`` run resuming from the checkpoint of the
-    last) and return its result: ``final`` view or full ``changelog``."""
-    base = scratch_path(spark, "stream", unique=True)
+def run_lines(spark: SparkSession, lines: DataFrame, spec: Q3Spec = Q3, kind: str = "final",
+              parts: int = 3, base: str | None = None) -> DataFrame:
+    """Feed ``lines`` to the continuous query in ``parts`` seq-ordered steps
+    (each one an ``availableNow`` run that resumes from the checkpoint of the
+    one before, as after a restart) and return its result: the ``final`` view
+    or the full ``changelog``."""
+    base = base or scratch_path(spark, "stream", unique=True)
     in_path, ckpt, out_path = f"{base}/in", f"{base}/ckpt", f"{base}/out"
-    lines = spark.read.text(materialize_feed(spark, sf_dir))
     for chunk in feed_in_order(spark, lines, parts):
         chunk.write.mode("append").text(in_path)
         q = start(spark, in_path, ckpt, out_path, spec)
@@ -155,3 +155,10 @@ def run_stream(spark: SparkSession, sf_dir: str, spec: Q3Spec = Q3, kind: str =
     if kind == "final":
         return latest_view(spark, out_path)
     raise ValueError(f"unknown kind {kind!r}")
+
+
+def run_stream(spark: SparkSession, sf_dir: str, spec: Q3Spec = Q3, kind: str = "final",
+               parts: int = 3) -> DataFrame:
+    """The continuous query over the change feed of ``sf_dir``."""
+    lines = spark.read.text(materialize_feed(spark, sf_dir))
+    return run_lines(spark, lines, spec, kind, parts)
