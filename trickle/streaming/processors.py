@@ -48,24 +48,29 @@ class OrderCustomerJoin(StatefulProcessor):
         self.customer = handle.getValueState("customer", "alive boolean")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        # Presence is read once per key and batch and written back once; each
+        # state call is a round trip to the state store.
+        alive0 = alive = self.customer.exists()
         for r in sorted(rows, key=lambda x: x.seq):
+            w = 1 if r.sgn > 0 else -1
             if r.src == ORDER_SIDE:
-                if r.sgn > 0:
+                if w > 0:
                     self.orders.updateValue((r.o_orderkey,), (r.o_orderdate, r.o_shippriority))
                 else:
                     self.orders.removeKey((r.o_orderkey,))
-                if self.customer.exists():
+                if alive:
                     yield Row(seq=r.seq, o_orderkey=r.o_orderkey, o_orderdate=r.o_orderdate,
-                              o_shippriority=r.o_shippriority, w=1 if r.sgn > 0 else -1)
+                              o_shippriority=r.o_shippriority, w=w)
             else:
-                if r.sgn > 0:
-                    self.customer.update((True,))
-                else:
-                    self.customer.clear()
-                w = 1 if r.sgn > 0 else -1
+                alive = w > 0
                 for (okey,), (odate, oprio) in sorted(self.orders.iterator(), key=lambda kv: kv[0]):
                     yield Row(seq=r.seq, o_orderkey=okey, o_orderdate=odate,
                               o_shippriority=oprio, w=w)
+        if alive != alive0:
+            if alive:
+                self.customer.update((True,))
+            else:
+                self.customer.clear()
 
     def close(self) -> None:
         pass
@@ -99,6 +104,7 @@ class LineitemOrderSum(StatefulProcessor):
             return Row(seq=seq, l_orderkey=okey, line=line, o_orderdate=odate,
                        o_shippriority=oprio, w=w, dv=dv, revenue_dec=revenue, n=n)
 
+        order0 = order = self.order.get() if self.order.exists() else None
         for r in sorted(rows, key=lambda x: x.seq):
             w = 1 if r.sgn > 0 else -1
             if r.src == LINEITEM_SIDE:
@@ -106,16 +112,17 @@ class LineitemOrderSum(StatefulProcessor):
                     self.items.updateValue((r.line,), (r.l_extendedprice, r.l_discount))
                 else:
                     self.items.removeKey((r.line,))
-                if self.order.exists():
-                    odate, oprio = self.order.get()
-                    yield emit(r.seq, r.line, odate, oprio, w, r.l_extendedprice, r.l_discount)
+                if order is not None:
+                    yield emit(r.seq, r.line, order[0], order[1], w, r.l_extendedprice, r.l_discount)
             else:
-                if w > 0:
-                    self.order.update((r.o_orderdate, r.o_shippriority))
-                else:
-                    self.order.clear()
+                order = (r.o_orderdate, r.o_shippriority) if w > 0 else None
                 for (line,), (price, disc) in sorted(self.items.iterator(), key=lambda kv: kv[0]):
                     yield emit(r.seq, line, r.o_orderdate, r.o_shippriority, w, price, disc)
+        if order != (tuple(order0) if order0 is not None else None):
+            if order is None:
+                self.order.clear()
+            else:
+                self.order.update(order)
         if touched:
             self.total.update((revenue, n))
 
