@@ -72,3 +72,17 @@ def test_fail_mode_raises_on_malformed(lines_df):
 def test_unknown_tag_dropped_in_fail_mode(lines_df):
     r = route(lines_df(EXAMPLE))
     assert r.lineitem.count() == 3  # the XX line neither fails nor lands in a table
+
+
+def test_position_seq_follows_file_order(spark, tmp_path):
+    """Reference-format lines (no seq field): seq comes from file position."""
+    from trickle.plans import ivm  # noqa: F401
+
+    body = [x.rsplit("|", 1)[0] for x in EXAMPLE]
+    for i, chunk in enumerate((body[:3], body[3:])):
+        (tmp_path / f"part-{i}.txt").write_text("\n".join(chunk) + "\n")
+    r = route(spark.read.text(str(tmp_path)), seq_mode="position")
+    li = sorted(r.lineitem.collect(), key=lambda x: x.seq)
+    assert [(x.sgn, x.line) for x in li] == [(1, 1), (-1, 1), (1, 2)]
+    c, o = r.customer.first(), r.orders.first()
+    assert c.seq < o.seq < li[0].seq

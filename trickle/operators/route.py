@@ -16,6 +16,9 @@ delete, as in the reference.
 Plan shape: no filter re-parses the line. In ``fail`` mode the check sits in
 the projection (``raise_error`` only on the failing branch); in
 ``dead_letter`` mode the reason is computed from the typed columns.
+
+``seq_mode``: ``"field"`` (our feeds: ``seq`` is one extra last field) or
+``"position"`` (the reference's files: no seq; order is file position).
 Expressions are SQL text (``selectExpr``): one call into the JVM per
 projection instead of one per sub-expression.
 """
@@ -23,10 +26,12 @@ projection instead of one per sub-expression.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from trickle.functions import decode as D
 
 SEQ_FIELD = "field"  # seq is the last field of every record
+SEQ_POSITION = "position"  # the reference's format: no seq, order = file position
 
 OUTPUT_COLS = {
     D.TAG_LINEITEM: ["l_orderkey", "line", "l_extendedprice", "l_discount", "l_shipdate"],
@@ -39,9 +44,27 @@ DATE_COLS = {"l_shipdate", "o_orderdate"}
 TEXT_COLS = {"c_mktsegment"}
 
 
-def _need(tbl: str) -> int:
-    """Fields a record of ``tbl`` must have: up to the last one read, plus seq."""
-    return max(D.FIELDS[tbl].values()) + 2
+def _need(tbl: str, seq_mode: str = SEQ_FIELD) -> int:
+    """Fields a record of ``tbl`` must have: up to the last one read (plus seq)."""
+    return max(D.FIELDS[tbl].values()) + (2 if seq_mode == SEQ_FIELD else 1)
+
+
+def with_position_seq(lines: DataFrame) -> DataFrame:
+    """value, seq for change-log files without a seq field: seq follows the
+    file position (files in path order, lines in file order).
+
+    Lines are sorted by (file path, split start, row within the split) with
+    Spark's range-partitioned sort, so no task sees the whole feed; after the
+    sort, ``monotonically_increasing_id`` increases along that order."""
+    pos = lines.select(
+        "value",
+        F.col("_metadata.file_path").alias("_file"),
+        F.col("_metadata.file_block_start").alias("_block"),
+        F.monotonically_increasing_id().alias("_row"),
+    )
+    return pos.orderBy("_file", "_block", "_row").select(
+        "value", F.monotonically_increasing_id().alias("_pos_seq")
+    )
 
 
 def _parse_sql(col: str, s: str) -> str:
@@ -54,14 +77,14 @@ def _parse_sql(col: str, s: str) -> str:
     return D.int_sql(s, "int" if col in INT_COLS else "bigint")
 
 
-def _reason_sql(tbl: str, strict_op: bool) -> str:
+def _reason_sql(tbl: str, strict_op: bool, seq_mode: str = SEQ_FIELD) -> str:
     """Why a typed row of ``tbl`` is unusable (NULL when it is fine)."""
     nums = [c for c in OUTPUT_COLS[tbl] if c not in DATE_COLS | TEXT_COLS]
     dates = [c for c in OUTPUT_COLS[tbl] if c in DATE_COLS]
     whens = []
     if strict_op:
         whens.append("WHEN op NOT IN ('+', '-') THEN 'bad_op'")
-    whens.append(f"WHEN _n < {_need(tbl)} THEN 'short_line'")
+    whens.append(f"WHEN _n < {_need(tbl, seq_mode)} THEN 'short_line'")
     if nums:
         whens.append("WHEN " + " OR ".join(f"{c} IS NULL" for c in nums) + " THEN 'bad_number'")
     if dates:
@@ -70,9 +93,11 @@ def _reason_sql(tbl: str, strict_op: bool) -> str:
     return "CASE " + " ".join(whens) + " END"
 
 
-def _typed(lines: DataFrame, tbl: str) -> DataFrame:
+def _typed(lines: DataFrame, tbl: str, seq_mode: str = SEQ_FIELD) -> DataFrame:
     """Lines of one table -> value, op, _n (field count), seq, sgn, typed columns."""
     fields = D.FIELDS[tbl]
+    keep = ["_pos_seq"] if seq_mode == SEQ_POSITION else []
+    seq = "_pos_seq" if seq_mode == SEQ_POSITION else D.int_sql("element_at(_f, -1)")
     # The field array comes out of a one-row generator. Catalyst pushes
     # filters written on parsed columns (the Q3 predicates, the not-null
     # filters it infers from joins) below plain projections by inlining them,
@@ -80,28 +105,29 @@ def _typed(lines: DataFrame, tbl: str) -> DataFrame:
     # filter on generated columns below the generator, so each line is
     # split once.
     split = lines.where(f"{D.TAG_SQL} = '{tbl}'").selectExpr(
-        "value", f"{D.OP_SQL} AS op", f"explode(array({D.FIELDS_SQL})) AS _f"
+        "value", *keep, f"{D.OP_SQL} AS op", f"explode(array({D.FIELDS_SQL})) AS _f"
     )
     return split.selectExpr(
         "value",
         "op",
         "size(_f) AS _n",
-        f"{D.int_sql('element_at(_f, -1)')} AS seq",
+        f"{seq} AS seq",
         D.SIGN_SQL.format(op="op") + " AS sgn",
         *[f"{_parse_sql(c, D.field_sql('_f', fields[c]))} AS {c}" for c in OUTPUT_COLS[tbl]],
     )
 
 
-def parse_table(lines: DataFrame, tbl: str, on_error: str = "fail", strict_op: bool = False) -> DataFrame:
+def parse_table(lines: DataFrame, tbl: str, on_error: str = "fail", strict_op: bool = False,
+                seq_mode: str = SEQ_FIELD) -> DataFrame:
     """seq, sgn and the typed columns of one table's change records.
 
     In ``fail`` mode the check is part of ``sgn`` (a record's weight exists
     only if the record is well formed); every consumer reads ``sgn``, so the
     check cannot be pruned away, and it is a projection, so it never re-parses
     the line."""
-    typed = _typed(lines, tbl)
+    typed = _typed(lines, tbl, seq_mode)
     cols = ["seq", "sgn", *OUTPUT_COLS[tbl]]
-    reason = _reason_sql(tbl, strict_op)
+    reason = _reason_sql(tbl, strict_op, seq_mode)
     if on_error == "fail":
         sgn = (
             f"CASE WHEN ({reason}) IS NULL THEN sgn ELSE CAST(raise_error(concat("
@@ -113,7 +139,7 @@ def parse_table(lines: DataFrame, tbl: str, on_error: str = "fail", strict_op: b
     raise ValueError(f"unknown on_error {on_error!r}")
 
 
-def dead_letter(lines: DataFrame, strict_op: bool = False) -> DataFrame:
+def dead_letter(lines: DataFrame, strict_op: bool = False, seq_mode: str = SEQ_FIELD) -> DataFrame:
     """value, tbl, reason for every line that cannot be used."""
     tags = ", ".join(f"'{t}'" for t in D.TAGS)
     out = lines.where(f"length(value) < 3 OR {D.TAG_SQL} NOT IN ({tags})").selectExpr(
@@ -123,8 +149,8 @@ def dead_letter(lines: DataFrame, strict_op: bool = False) -> DataFrame:
     )
     for t in D.TAGS:
         bad = (
-            _typed(lines, t)
-            .selectExpr("value", f"'{t}' AS tbl", f"{_reason_sql(t, strict_op)} AS reason")
+            _typed(lines, t, seq_mode)
+            .selectExpr("value", f"'{t}' AS tbl", f"{_reason_sql(t, strict_op, seq_mode)} AS reason")
             .where("reason IS NOT NULL")
         )
         out = out.unionByName(bad)
@@ -137,14 +163,16 @@ class Routed:
     Built lazily: a DataFrame (and its share of plan analysis) is made only
     when a caller asks for it."""
 
-    def __init__(self, lines: DataFrame, on_error: str = "fail", strict_op: bool = False):
+    def __init__(self, lines: DataFrame, on_error: str = "fail", strict_op: bool = False,
+                 seq_mode: str = SEQ_FIELD):
         self._lines, self._on_error, self._strict_op = lines, on_error, strict_op
+        self._seq_mode = seq_mode
         self._cache: dict[str, DataFrame] = {}
 
     def _make(self, key: str) -> DataFrame:
         if key == "dead":
-            return dead_letter(self._lines, self._strict_op)
-        return parse_table(self._lines, key, self._on_error, self._strict_op)
+            return dead_letter(self._lines, self._strict_op, self._seq_mode)
+        return parse_table(self._lines, key, self._on_error, self._strict_op, self._seq_mode)
 
     def _get(self, key: str) -> DataFrame:
         if key not in self._cache:
@@ -176,11 +204,13 @@ def route(
 ) -> Routed:
     """Split a DataFrame of change-log lines into the three parsed change
     tables and the dead letter. Lazy: nothing runs until an action."""
-    if seq_mode != SEQ_FIELD:
-        raise ValueError(f"unsupported seq_mode {seq_mode!r}")
+    if seq_mode not in (SEQ_FIELD, SEQ_POSITION):
+        raise ValueError(f"unknown seq_mode {seq_mode!r}")
     if on_error not in ("fail", "dead_letter"):
         raise ValueError(f"unknown on_error {on_error!r}")
-    return Routed(lines, on_error, strict_op)
+    if seq_mode == SEQ_POSITION:
+        lines = with_position_seq(lines)
+    return Routed(lines, on_error, strict_op, seq_mode)
 
 
 class StagedRouted(Routed):

@@ -257,6 +257,8 @@ def all_oracles() -> dict[str, str]:
         "cascade_delete_1998": cascade_delete(Q3_1998),
         "ivm_q3_final": ivm_q3_final(),
         "ivm_q3_final_1998": ivm_q3_final(Q3_1998),
+        "ivm_q3_final_positional": ivm_q3_final(),
+        "ivm_q3_final_positional_1998": ivm_q3_final(Q3_1998),
         "ivm_q3_recompute": ivm_q3_final(),
         "ivm_q3_recompute_1998": ivm_q3_final(Q3_1998),
         "ivm_q3_changelog": ivm_q3_changelog(),

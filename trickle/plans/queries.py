@@ -184,6 +184,16 @@ def ivm_q3_final(spark: SparkSession, sf_dir: str, spec: Q3Spec = Q3) -> DataFra
     return signed.final_view(li, od, cu)
 
 
+def ivm_q3_final_positional(spark: SparkSession, sf_dir: str, spec: Q3Spec = Q3) -> DataFrame:
+    """The flagship over the feed in the reference's own format: no seq
+    field, the order of the feed is the order of the lines."""
+    r = route(feed_text(spark, sf_dir, "reference"), seq_mode="position")
+    li = filters.filter_lineitem(r.lineitem, spec)
+    od = filters.filter_orders(r.orders, spec)
+    cu = filters.filter_customer(r.customer, spec)
+    return signed.final_view(li, od, cu)
+
+
 def ivm_q3_recompute(spark: SparkSession, sf_dir: str, spec: Q3Spec = Q3) -> DataFrame:
     li, od, cu = filtered(spark, sf_dir, spec)
     return recompute.recompute_view(li, od, cu)
@@ -262,6 +272,8 @@ def all_queries() -> dict[str, Query]:
         "cascade_delete_1998": partial(cascade_delete, spec=Q3_1998),
         "ivm_q3_final": ivm_q3_final,
         "ivm_q3_final_1998": partial(ivm_q3_final, spec=Q3_1998),
+        "ivm_q3_final_positional": ivm_q3_final_positional,
+        "ivm_q3_final_positional_1998": partial(ivm_q3_final_positional, spec=Q3_1998),
         "ivm_q3_recompute": ivm_q3_recompute,
         "ivm_q3_recompute_1998": partial(ivm_q3_recompute, spec=Q3_1998),
         "ivm_q3_changelog": ivm_q3_changelog,

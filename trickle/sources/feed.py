@@ -122,49 +122,54 @@ def _s(c: str | Column) -> Column:
     return F.coalesce(c.cast("string"), F.lit(""))
 
 
-def _line(tag: str, fields: list[Column]) -> Column:
+def _line(tag: str, fields: list[Column], with_seq: bool) -> Column:
+    if with_seq:
+        fields = [*fields, _s("seq")]
     return F.concat(_op(F.col("sgn")), F.lit(tag), F.concat_ws("|", *fields))
 
 
-def render_customer(cu: DataFrame) -> DataFrame:
-    # c_custkey|c_name|c_address|c_nationkey|c_phone|c_acctbal|c_mktsegment|c_comment|seq
+def render_customer(cu: DataFrame, with_seq: bool = True) -> DataFrame:
+    # c_custkey|c_name|c_address|c_nationkey|c_phone|c_acctbal|c_mktsegment|c_comment[|seq]
     fields = [
         _s("c_custkey"), _s("c_name"), F.lit(""), _s("c_nationkey"), F.lit(""),
-        _s(money("c_acctbal")), _s("c_mktsegment"), F.lit(""), _s("seq"),
+        _s(money("c_acctbal")), _s("c_mktsegment"), F.lit(""),
     ]
-    return cu.select(_line("CU", fields).alias("value"))
+    return cu.select(_line("CU", fields, with_seq).alias("value"), "seq")
 
 
-def render_orders(od: DataFrame) -> DataFrame:
-    # o_orderkey|o_custkey|o_orderstatus|o_totalprice|o_orderdate|o_orderpriority|o_clerk|o_shippriority|o_comment|seq
+def render_orders(od: DataFrame, with_seq: bool = True) -> DataFrame:
+    # o_orderkey|o_custkey|o_orderstatus|o_totalprice|o_orderdate|o_orderpriority|o_clerk|o_shippriority|o_comment[|seq]
     fields = [
         _s("o_orderkey"), _s("o_custkey"), _s("o_orderstatus"), _s(money("o_totalprice")),
-        _s("o_orderdate"), _s("o_orderpriority"), F.lit(""), _s("o_shippriority"),
-        F.lit(""), _s("seq"),
+        _s("o_orderdate"), _s("o_orderpriority"), F.lit(""), _s("o_shippriority"), F.lit(""),
     ]
-    return od.select(_line("OR", fields).alias("value"))
+    return od.select(_line("OR", fields, with_seq).alias("value"), "seq")
 
 
-def render_lineitem(lc: DataFrame) -> DataFrame:
-    # l_orderkey|l_partkey|l_suppkey|line|l_quantity|l_extendedprice|l_discount|l_tax|l_returnflag|l_linestatus|l_shipdate|seq
+def render_lineitem(lc: DataFrame, with_seq: bool = True) -> DataFrame:
+    # l_orderkey|l_partkey|l_suppkey|line|l_quantity|l_extendedprice|l_discount|l_tax|l_returnflag|l_linestatus|l_shipdate[|seq]
     fields = [
         _s("l_orderkey"), _s("l_partkey"), _s("l_suppkey"), _s("line"),
         _s(money("l_quantity")), _s(money("l_extendedprice")), _s(money("l_discount")),
         _s(money("l_tax")), _s("l_returnflag"), _s("l_linestatus"), _s("l_shipdate"),
-        _s("seq"),
     ]
-    return lc.select(_line("LI", fields).alias("value"))
+    return lc.select(_line("LI", fields, with_seq).alias("value"), "seq")
 
 
-def feed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All change records of the feed as one ``value`` column (mixed tables)."""
+def feed_records(spark: SparkSession, sf_dir: str, with_seq: bool = True) -> DataFrame:
+    """All change records of the feed: ``value`` (the line) and ``seq``."""
     return (
-        render_customer(customer_changes(spark, sf_dir))
-        .unionByName(render_orders(orders_changes(spark, sf_dir)))
-        .unionByName(render_lineitem(lineitem_changes(spark, sf_dir)))
+        render_customer(customer_changes(spark, sf_dir), with_seq)
+        .unionByName(render_orders(orders_changes(spark, sf_dir), with_seq))
+        .unionByName(render_lineitem(lineitem_changes(spark, sf_dir), with_seq))
     )
 
 
+def feed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All change records of the feed as one ``value`` column (mixed tables)."""
+    return feed_records(spark, sf_dir).select("value")
+
+
 # --------------------------------------------------------------------------
 # Anomalous records, derived from the tables by rule, for the dead-letter and
 # data-quality outputs. Each rule picks base rows by key and emits one extra
@@ -209,10 +214,11 @@ def anomaly_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         .withColumn("seq", F.col("seq") - 500)
         .withColumn("sgn", F.lit(-1)))
     double_ins = render_orders(od.where(ok % 113 == 17).withColumn("seq", F.col("seq") + 1))
-    return (
-        unknown.unionByName(bad_op).unionByName(short).unionByName(bad_num)
-        .unionByName(bad_date).unionByName(phantom).unionByName(double_ins)
-    )
+    parts = [unknown, bad_op, short, bad_num, bad_date, phantom, double_ins]
+    out = parts[0].select("value")
+    for p in parts[1:]:
+        out = out.unionByName(p.select("value"))
+    return out
 
 
 # --------------------------------------------------------------------------
@@ -232,8 +238,9 @@ def _exists(spark: SparkSession, path: str) -> bool:
 def materialize_feed(spark: SparkSession, sf_dir: str, variant: str = "clean") -> str:
     """Write the feed of ``sf_dir`` as change-log text files; return the folder.
 
-    ``variant`` is ``clean`` (the feed) or ``dirty`` (feed plus anomaly
-    records). The folder is keyed by the input path and the feed version and
+    ``variant`` is ``clean`` (the feed), ``dirty`` (feed plus anomaly
+    records) or ``reference`` (the feed without seq fields, lines in feed
+    order, as the reference reads it). The folder is keyed by the input path and the feed version and
     is written once: a marker dataset is written after the data, and a folder
     with its marker is reused.
     """
@@ -245,14 +252,21 @@ def materialize_feed(spark: SparkSession, sf_dir: str, variant: str = "clean") -
     path = f"{root}/feeds/{variant}-{digest}"
     marker = f"{path}.done"
     if not _exists(spark, marker):
-        lines = feed_lines(spark, sf_dir)
-        if variant == "dirty":
-            lines = lines.unionByName(anomaly_lines(spark, sf_dir))
-        elif variant != "clean":
-            raise ValueError(f"unknown feed variant {variant!r}")
         # Files of even size, a multiple of the cores: the scan runs in full waves.
         parts = 2 * spark.sparkContext.defaultParallelism
-        lines.repartition(parts).write.mode("overwrite").text(path)
+        if variant == "reference":
+            # The reference's own format: no seq field; the order of the feed
+            # is the order of the lines (files in name order). A range sort on
+            # seq writes part files in seq order.
+            lines = feed_records(spark, sf_dir, with_seq=False).repartitionByRange(parts, "seq")
+            lines.sortWithinPartitions("seq").select("value").write.mode("overwrite").text(path)
+        else:
+            lines = feed_lines(spark, sf_dir)
+            if variant == "dirty":
+                lines = lines.unionByName(anomaly_lines(spark, sf_dir))
+            elif variant != "clean":
+                raise ValueError(f"unknown feed variant {variant!r}")
+            lines.repartition(parts).write.mode("overwrite").text(path)
         spark.range(1).select(F.lit(path).alias("value")).write.mode("overwrite").text(marker)
     _MATERIALISED[key] = path
     return path
