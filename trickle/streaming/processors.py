@@ -50,7 +50,7 @@ class OrderCustomerJoin(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         # Presence is read once per key and batch and written back once; each
         # state call is a round trip to the state store.
-        alive0 = alive = self.customer.exists()
+        alive0 = alive = self.customer.get() is not None
         for r in sorted(rows, key=lambda x: x.seq):
             w = 1 if r.sgn > 0 else -1
             if r.src == ORDER_SIDE:
@@ -79,32 +79,33 @@ class OrderCustomerJoin(StatefulProcessor):
 class LineitemOrderSum(StatefulProcessor):
     """Join 2 and the running sum, keyed by order key (the reference keys both
     by order key, so one stateful operator serves both and a shuffle is
-    saved). State: stored lineitems (map by line), the live join-1 row, and
-    the running revenue and count."""
+    saved). State: stored lineitems (map by line) and one value holding the
+    live join-1 row and the running revenue and count, read once and written
+    at most once per key and micro-batch (each state call is a round trip to
+    the state store)."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.items = handle.getMapState(
             "items", "line int", "l_extendedprice decimal(15,2), l_discount decimal(15,2)"
         )
-        self.order = handle.getValueState("order", "o_orderdate date, o_shippriority int")
-        self.total = handle.getValueState("total", "revenue decimal(38,4), n bigint")
+        self.head = handle.getValueState(
+            "head",
+            "alive boolean, o_orderdate date, o_shippriority int, revenue decimal(38,4), n bigint",
+        )
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         (okey,) = key
-        tot = self.total.get() if self.total.exists() else None
-        revenue, n = (tot[0], tot[1]) if tot is not None else (Decimal(0), 0)
-        touched = False
+        head0 = self.head.get()
+        alive, odate, oprio, revenue, n = head0 if head0 is not None else (False, None, None, Decimal(0), 0)
 
-        def emit(seq, line, odate, oprio, w, price, disc):
-            nonlocal revenue, n, touched
+        def emit(seq, line, d, p, w, price, disc):
+            nonlocal revenue, n
             dv = w * price * (1 - disc)
             revenue += dv
             n += w
-            touched = True
-            return Row(seq=seq, l_orderkey=okey, line=line, o_orderdate=odate,
-                       o_shippriority=oprio, w=w, dv=dv, revenue_dec=revenue, n=n)
+            return Row(seq=seq, l_orderkey=okey, line=line, o_orderdate=d,
+                       o_shippriority=p, w=w, dv=dv, revenue_dec=revenue, n=n)
 
-        order0 = order = self.order.get() if self.order.exists() else None
         for r in sorted(rows, key=lambda x: x.seq):
             w = 1 if r.sgn > 0 else -1
             if r.src == LINEITEM_SIDE:
@@ -112,19 +113,17 @@ class LineitemOrderSum(StatefulProcessor):
                     self.items.updateValue((r.line,), (r.l_extendedprice, r.l_discount))
                 else:
                     self.items.removeKey((r.line,))
-                if order is not None:
-                    yield emit(r.seq, r.line, order[0], order[1], w, r.l_extendedprice, r.l_discount)
+                if alive:
+                    yield emit(r.seq, r.line, odate, oprio, w, r.l_extendedprice, r.l_discount)
             else:
-                order = (r.o_orderdate, r.o_shippriority) if w > 0 else None
+                alive = w > 0
+                if alive:
+                    odate, oprio = r.o_orderdate, r.o_shippriority
                 for (line,), (price, disc) in sorted(self.items.iterator(), key=lambda kv: kv[0]):
                     yield emit(r.seq, line, r.o_orderdate, r.o_shippriority, w, price, disc)
-        if order != (tuple(order0) if order0 is not None else None):
-            if order is None:
-                self.order.clear()
-            else:
-                self.order.update(order)
-        if touched:
-            self.total.update((revenue, n))
+        head = (alive, odate, oprio, revenue, n)
+        if (tuple(head0) if head0 is not None else (False, None, None, Decimal(0), 0)) != head:
+            self.head.update(head)
 
     def close(self) -> None:
         pass
