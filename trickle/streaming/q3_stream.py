@@ -18,6 +18,8 @@ consumed before the next is written.
 
 from __future__ import annotations
 
+import contextlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -77,6 +79,27 @@ def _batch_writer(out_path: str):
     return write
 
 
+@contextlib.contextmanager
+def state_partitions(spark: SparkSession, n: int | None):
+    """Number of state-store partitions for queries started inside.
+
+    A stateful query fixes its partition count (``spark.sql.shuffle.partitions``)
+    in its checkpoint at the first start; every partition is a state store
+    opened in every micro-batch. The default is twice the cluster's
+    parallelism, so it grows with the cluster, not a fixed 200."""
+    key = "spark.sql.shuffle.partitions"
+    n = n or 2 * spark.sparkContext.defaultParallelism
+    old = spark.conf.get(key, None)
+    spark.conf.set(key, str(n))
+    try:
+        yield
+    finally:
+        if old is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, old)
+
+
 def start(spark: SparkSession, in_path: str, ckpt: str, out_path: str, spec: Q3Spec = Q3,
           available_now: bool = True, max_files: int | None = None):
     """Start the continuous query over the text files arriving in ``in_path``."""
@@ -146,8 +169,9 @@ def run_lines(spark: SparkSession, lines: DataFrame, spec: Q3Spec = Q3, kind: st
     in_path, ckpt, out_path = f"{base}/in", f"{base}/ckpt", f"{base}/out"
     for chunk in feed_in_order(spark, lines, parts):
         chunk.write.mode("append").text(in_path)
-        q = start(spark, in_path, ckpt, out_path, spec)
-        q.awaitTermination()
+        with state_partitions(spark, None):
+            q = start(spark, in_path, ckpt, out_path, spec)
+            q.awaitTermination()
         if q.exception() is not None:
             raise RuntimeError(f"stream failed: {q.exception()}")
     if kind == "changelog":
