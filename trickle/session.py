@@ -11,7 +11,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 STATE_STORE_PROVIDER = (
     "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -80,3 +80,12 @@ def scratch_path(spark: SparkSession, *parts: str, unique: bool = False) -> str:
     if unique:
         segs.append(uuid.uuid4().hex[:12])
     return "/".join(segs)
+
+
+def reliable_checkpoint(df: DataFrame) -> DataFrame:
+    """Materialise ``df`` once in the shared checkpoint folder (never
+    ``localCheckpoint``: it would not survive the loss of an executor)."""
+    sc = df.sparkSession.sparkContext
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(f"{shared_dir(df.sparkSession)}/rdd-checkpoints")
+    return df.checkpoint(eager=True)
