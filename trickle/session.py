@@ -39,6 +39,9 @@ def build_session(
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
+        # split a skewed join partition even where that costs one more shuffle
+        # downstream (join 2 of the changelog feeds a grouping on its key)
+        .config("spark.sql.adaptive.forceOptimizeSkewedJoin", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "16g")
         .config("spark.sql.streaming.stateStore.providerClass", STATE_STORE_PROVIDER)
