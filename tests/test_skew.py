@@ -113,3 +113,26 @@ def test_changelog_hot_order_is_spread(spark, lines_df):
         n += w
         want.append((int(f[-1]), float(total), n))
     assert got == want
+
+
+def test_hot_order_join2_is_split(spark, lines_df):
+    """One order holding most lineitem changes: join 2 of the changelog is
+    split by AQE (forced: the join feeds a grouping on the same key), with
+    the same deltas as unsplit."""
+    lines = ["+CU1|n||1||1.00|AUTOMOBILE||1"]
+    seq = 1
+    for o in range(1, 301):
+        seq += 1
+        lines.append(f"+OR{o}|1|O|1.00|1995-01-02|1-URGENT||0||{seq}")
+    for line in range(1, 6001):
+        o = 7 if line <= 5000 else 1 + line % 300  # order 7 holds 5/6 of all lineitems
+        seq += 1
+        lines.append(f"+LI{o}|1|1|{line}|1.00|{line % 97}.25|0.05|0.00|N|O|1995-06-01|{seq}")
+    df = lines_df(lines).repartition(8)
+    plain = sorted(map(tuple, ivm.deltas(df).collect()))
+    with conf(spark, {**SKEW_CONF, "spark.sql.adaptive.forceOptimizeSkewedJoin": "true"}):
+        d = ivm.deltas(df)
+        plan = final_plan(d)
+        split = sorted(map(tuple, d.collect()))
+    assert "SortMergeJoin(skew=true)" in plan
+    assert split == plain and len(plain) == 6000
