@@ -76,8 +76,6 @@ def test_unknown_tag_dropped_in_fail_mode(lines_df):
 
 def test_position_seq_follows_file_order(spark, tmp_path):
     """Reference-format lines (no seq field): seq comes from file position."""
-    from trickle.plans import ivm  # noqa: F401
-
     body = [x.rsplit("|", 1)[0] for x in EXAMPLE]
     for i, chunk in enumerate((body[:3], body[3:])):
         (tmp_path / f"part-{i}.txt").write_text("\n".join(chunk) + "\n")
@@ -86,3 +84,18 @@ def test_position_seq_follows_file_order(spark, tmp_path):
     assert [(x.sgn, x.line) for x in li] == [(1, 1), (-1, 1), (1, 2)]
     c, o = r.customer.first(), r.orders.first()
     assert c.seq < o.seq < li[0].seq
+
+
+def test_stage_routes_once_to_parquet(spark, lines_df, tmp_path):
+    """One-pass staging: parsed tables and dead letter written as Parquet,
+    read back with the same content as the lazy route."""
+    from trickle.operators.route import stage
+
+    lines = lines_df(EXAMPLE + ["+ORx|1|O|1.0|1995-01-02|5|clk|0|c|9"])
+    staged = stage(spark, lines, str(tmp_path / "staged"))
+    lazy = route(lines, on_error="dead_letter")
+    for name in ("lineitem", "orders", "customer", "dead_letter"):
+        a = sorted(map(tuple, getattr(staged, name).collect()))
+        b = sorted(map(tuple, getattr(lazy, name).collect()))
+        assert a == b, name
+    assert sorted(r.reason for r in staged.dead_letter.collect()) == ["bad_number", "unknown_tag"]
