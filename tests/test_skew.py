@@ -136,3 +136,19 @@ def test_hot_order_join2_is_split(spark, lines_df):
         split = sorted(map(tuple, d.collect()))
     assert "SortMergeJoin(skew=true)" in plan
     assert split == plain and len(plain) == 6000
+
+
+def test_quality_prefix_split_equals_plain(spark):
+    """The data-quality scans give the same reports when every base row is
+    forced through the chunked path."""
+    from conftest import SF001
+
+    from trickle.operators import quality, scan
+    from trickle.plans import queries as Q
+
+    r = Q.routed(spark, SF001, variant="dirty", on_error="dead_letter", strict_op=True)
+    base = quality._base_rows(r.lineitem, r.orders, r.customer)
+    plain = sorted(map(tuple, scan.running_sums(base, ["tbl", "key", "line"], ["seq"], {"m": "sgn"}).collect()))
+    split = sorted(map(tuple, scan.running_sums(base, ["tbl", "key", "line"], ["seq"], {"m": "sgn"},
+                                                hot_rows=0, chunks=5).collect()))
+    assert plain == split

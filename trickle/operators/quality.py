@@ -9,9 +9,11 @@ running multiplicity in ``seq`` order must stay within 0..1.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from trickle.operators.scan import running_sums
+
 
 def _base_rows(li: DataFrame, od: DataFrame, cu: DataFrame) -> DataFrame:
     """tbl, key, line, seq, sgn for every change, keyed by base row."""
@@ -25,13 +27,10 @@ def _base_rows(li: DataFrame, od: DataFrame, cu: DataFrame) -> DataFrame:
 
 
 def _prefix(li: DataFrame, od: DataFrame, cu: DataFrame) -> DataFrame:
-    # A base row has a handful of changes, so each window partition is tiny.
-    w = (
-        Window.partitionBy("tbl", "key", "line")
-        .orderBy("seq")
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    return _base_rows(li, od, cu).withColumn("m", F.sum("sgn").over(w))
+    """Running multiplicity ``m`` of every base row in seq order. A base row
+    has a handful of changes on a sane feed; one changed very often is
+    scanned in ordered chunks over several tasks (``operators.scan``)."""
+    return running_sums(_base_rows(li, od, cu), ["tbl", "key", "line"], ["seq"], {"m": "sgn"})
 
 
 def phantom_deletes(li: DataFrame, od: DataFrame, cu: DataFrame) -> DataFrame:

@@ -21,11 +21,11 @@ shuffles wherever one side can be skewed, so AQE can split a hot key.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trickle.functions.measures import revenue, to_double
-from trickle.session import reliable_checkpoint
+from trickle.operators.scan import HOT_KEY_ROWS, running_sums
 
 J1_COLS = ["o_orderkey", "o_orderdate", "o_shippriority"]
 
@@ -164,62 +164,18 @@ def join2_deltas(li: DataFrame, j1: DataFrame) -> DataFrame:
     )
 
 
-# Fixed default: an order key with more deltas than this takes the split path.
-HOT_KEY_ROWS = 1_000_000
-
-
-def _running(df: DataFrame, keys: list[str], dv0: str | None = None, w0: str | None = None) -> DataFrame:
-    """Running revenue and count over ``keys``, in (seq, line) order, plus an
-    optional carry-in."""
-    win = (
-        Window.partitionBy(*keys)
-        .orderBy("seq", "line")
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    rev, n = F.sum("dv").over(win), F.sum("w").over(win)
-    if dv0:
-        rev, n = rev + F.col(dv0), n + F.col(w0)
-    return df.select(
-        "seq", "l_orderkey", "line", "o_orderdate", "o_shippriority",
-        to_double(rev).alias("revenue"), n.cast("bigint").alias("n"),
-    )
-
-
 def changelog(deltas: DataFrame, hot_rows: int = HOT_KEY_ROWS, chunks: int | None = None) -> DataFrame:
     """The reference's output stream: after every delta, the running revenue
     and count of its order key, in (seq, line) order.
 
-    The deltas are materialised once (reliable checkpoint in the shared
-    folder) because three consumers read them. Order keys with at most
-    ``hot_rows`` deltas use one window partitioned by order key. The deltas
-    of a hotter key are not left to one task: they are range-partitioned on
-    (order key, seq, line) into ordered chunks, each chunk runs its own
-    window, and each row adds the totals of the key's earlier chunks (a table
-    of at most chunks x hot keys rows).
-    """
-    deltas = reliable_checkpoint(deltas)
-    counts = deltas.groupBy("l_orderkey").agg(F.count("*").alias("_cnt"))
-    d = deltas.join(counts, "l_orderkey")
-    cold = _running(d.where(F.col("_cnt") <= hot_rows), ["l_orderkey"])
-
-    hot = d.where(F.col("_cnt") > hot_rows).drop("_cnt")
-    parts = chunks or 2 * deltas.sparkSession.sparkContext.defaultParallelism
-    hot = hot.repartitionByRange(parts, "l_orderkey", "seq", "line").withColumn(
-        "_chunk", F.spark_partition_id()
-    )
-    totals = hot.groupBy("l_orderkey", "_chunk").agg(
-        F.sum("dv").alias("_tdv"), F.sum("w").alias("_tw")
-    )
-    before = Window.partitionBy("l_orderkey").orderBy("_chunk").rowsBetween(
-        Window.unboundedPreceding, -1
-    )
-    carry = totals.select(
-        "l_orderkey", "_chunk",
-        F.coalesce(F.sum("_tdv").over(before), F.lit(0)).alias("_dv0"),
-        F.coalesce(F.sum("_tw").over(before), F.lit(0)).alias("_w0"),
+    A running sum per order key (``operators.scan``): one window per key,
+    except that an order key with more than ``hot_rows`` deltas is scanned in
+    ordered chunks spread over several tasks."""
+    r = running_sums(deltas, ["l_orderkey"], ["seq", "line"], {"_rev": "dv", "_n": "w"}, hot_rows, chunks)
+    return r.select(
+        "seq", "l_orderkey", "line", "o_orderdate", "o_shippriority",
+        to_double(F.col("_rev")).alias("revenue"), F.col("_n").cast("bigint").alias("n"),
     )
-    split = _running(hot.join(carry, ["l_orderkey", "_chunk"]), ["l_orderkey", "_chunk"], "_dv0", "_w0")
-    return cold.unionByName(split)
 
 
 def latest(deltas: DataFrame) -> DataFrame:
