@@ -13,6 +13,11 @@ from pyspark.sql import functions as F
 
 MONEY = "decimal(15,2)"
 
+# The same measure as SQL text (one call into the JVM per projection).
+REVENUE_SQL = (
+    "CAST(l_extendedprice AS DECIMAL(15,2)) * (1 - CAST(l_discount AS DECIMAL(15,2)))"
+)
+
 
 def money(c: Column | str) -> Column:
     c = F.col(c) if isinstance(c, str) else c

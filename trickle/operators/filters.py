@@ -11,14 +11,14 @@ from trickle.plans.spec import Q3Spec
 
 def filter_lineitem(li: DataFrame, spec: Q3Spec) -> DataFrame:
     """Strictly after the date."""
-    return li.where(F.col("l_shipdate") > F.lit(spec.as_date))
+    return li.where(f"l_shipdate > DATE '{spec.date}'")
 
 
 def filter_orders(od: DataFrame, spec: Q3Spec) -> DataFrame:
     """Strictly before the date."""
-    return od.where(F.col("o_orderdate") < F.lit(spec.as_date))
+    return od.where(f"o_orderdate < DATE '{spec.date}'")
 
 
 def filter_customer(cu: DataFrame, spec: Q3Spec) -> DataFrame:
     """Case-sensitive segment equality."""
-    return cu.where(F.col("c_mktsegment") == F.lit(spec.segment))
+    return cu.where(F.col("c_mktsegment") == F.lit(spec.segment))  # a value, not SQL text

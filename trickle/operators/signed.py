@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trickle.functions.measures import revenue, to_double
+from trickle.functions.measures import REVENUE_SQL, revenue, to_double
 from trickle.operators.scan import HOT_KEY_ROWS, running_sums
 
 J1_COLS = ["o_orderkey", "o_orderdate", "o_shippriority"]
@@ -40,13 +40,9 @@ def join1_pairs(od: DataFrame, cu: DataFrame) -> DataFrame:
     product ``w`` and the seq of the later one. Customer changes per key are
     few (inserts/deletes of one row); a customer with very many orders skews
     only the orders side, which AQE's skew-join handling splits."""
-    c = cu.select(
-        F.col("c_custkey"), F.col("seq").alias("c_seq"), F.col("sgn").alias("c_sgn")
-    )
-    return od.join(c, od.o_custkey == c.c_custkey).select(
-        F.greatest(F.col("seq"), F.col("c_seq")).alias("seq"),
-        *J1_COLS,
-        (F.col("sgn") * F.col("c_sgn")).alias("w"),
+    c = cu.selectExpr("c_custkey", "seq AS c_seq", "sgn AS c_sgn")
+    return od.join(c, od.o_custkey == c.c_custkey).selectExpr(
+        "greatest(seq, c_seq) AS seq", *J1_COLS, "sgn * c_sgn AS w"
     )
 
 
@@ -60,8 +56,8 @@ def join1_deltas(od: DataFrame, cu: DataFrame) -> DataFrame:
     return (
         join1_pairs(od, cu)
         .groupBy("seq", *J1_COLS)
-        .agg(F.sum("w").cast("int").alias("w"))
-        .where(F.col("w") != 0)
+        .agg(F.expr("CAST(sum(w) AS INT) AS w"))
+        .where("w <> 0")
     )
 
 
@@ -70,8 +66,8 @@ def customer_weight(cu: DataFrame) -> DataFrame:
     per key, as the segment is fixed by the filter."""
     return (
         cu.groupBy("c_custkey", "c_mktsegment")
-        .agg(F.sum("sgn").alias("wc"))
-        .where(F.col("wc") != 0)
+        .agg(F.expr("sum(sgn) AS wc"))
+        .where("wc <> 0")
     )
 
 
@@ -89,17 +85,17 @@ def order_weight(od: DataFrame, cu: DataFrame) -> DataFrame:
     cw = customer_weight(cu)
     return (
         od.join(cw, od.o_custkey == cw.c_custkey)
-        .select(*J1_COLS, (F.col("sgn") * F.col("wc")).alias("w"))
+        .selectExpr(*J1_COLS, "sgn * wc AS w")
         .repartition("o_orderkey")
         .groupBy(*J1_COLS)
-        .agg(F.sum("w").alias("wo"))
-        .where(F.col("wo") != 0)
+        .agg(F.expr("sum(w) AS wo"))
+        .where("wo <> 0")
     )
 
 
 def join1_final(od: DataFrame, cu: DataFrame) -> DataFrame:
     """Join-1 rows alive at the end of the feed."""
-    return order_weight(od, cu).where(F.col("wo") > 0).select(*J1_COLS)
+    return order_weight(od, cu).where("wo > 0").select(*J1_COLS)
 
 
 # --------------------------------------------------------------------------
@@ -116,11 +112,8 @@ def lineitem_value(li: DataFrame) -> DataFrame:
     """
     return (
         li.groupBy("l_orderkey")
-        .agg(
-            F.sum(F.col("sgn") * revenue("l_extendedprice", "l_discount")).alias("v"),
-            F.sum("sgn").alias("nl"),
-        )
-        .where(F.col("nl") != 0)
+        .agg(F.expr(f"sum(sgn * {REVENUE_SQL}) AS v"), F.expr("sum(sgn) AS nl"))
+        .where("nl <> 0")
     )
 
 
@@ -132,14 +125,14 @@ def final_view(li: DataFrame, od: DataFrame, cu: DataFrame, keep_empty: bool = F
     """
     lv = lineitem_value(li)
     ow = order_weight(od, cu)
-    out = lv.join(ow, lv.l_orderkey == ow.o_orderkey).select(
+    out = lv.join(ow, lv.l_orderkey == ow.o_orderkey).selectExpr(
         "l_orderkey",
         "o_orderdate",
         "o_shippriority",
-        to_double(F.col("wo") * F.col("v")).alias("revenue"),
-        (F.col("wo") * F.col("nl")).cast("bigint").alias("n"),
+        "CAST(wo * v AS DOUBLE) AS revenue",
+        "CAST(wo * nl AS BIGINT) AS n",
     )
-    return out if keep_empty else out.where(F.col("n") > 0)
+    return out if keep_empty else out.where("n > 0")
 
 
 def join2_deltas(li: DataFrame, j1: DataFrame) -> DataFrame:
