@@ -182,7 +182,8 @@ def run_lines(spark: SparkSession, lines: DataFrame, spec: Q3Spec = Q3, kind: st
 
 
 def run_stream(spark: SparkSession, sf_dir: str, spec: Q3Spec = Q3, kind: str = "final",
-               parts: int = 3) -> DataFrame:
-    """The continuous query over the change feed of ``sf_dir``."""
+               parts: int = 2) -> DataFrame:
+    """The continuous query over the change feed of ``sf_dir``, delivered in
+    ``parts`` seq-ordered steps (state carries over between them)."""
     lines = spark.read.text(materialize_feed(spark, sf_dir))
     return run_lines(spark, lines, spec, kind, parts)
