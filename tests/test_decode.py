@@ -99,3 +99,12 @@ def test_stage_routes_once_to_parquet(spark, lines_df, tmp_path):
         b = sorted(map(tuple, getattr(lazy, name).collect()))
         assert a == b, name
     assert sorted(r.reason for r in staged.dead_letter.collect()) == ["bad_number", "unknown_tag"]
+
+
+def test_debug_line(lines_df):
+    import json
+
+    from trickle.sources.sink import debug_line
+
+    (row,) = debug_line(route(lines_df(EXAMPLE)).customer).collect()
+    assert json.loads(row.value) == {"seq": 1, "sgn": 1, "c_custkey": 1, "c_mktsegment": "AUTOMOBILE"}
