@@ -18,7 +18,8 @@ the projection (``raise_error`` only on the failing branch); in
 ``dead_letter`` mode the reason is computed from the typed columns.
 
 ``seq_mode``: ``"field"`` (our feeds: ``seq`` is one extra last field) or
-``"position"`` (the reference's files: no seq; order is file position).
+``"position"`` (the reference's files: no seq; ``seq`` is the file position
+as ``struct(file, block, row)``).
 Expressions are SQL text (``selectExpr``): one call into the JVM per
 projection instead of one per sub-expression.
 """
@@ -50,20 +51,24 @@ def _need(tbl: str, seq_mode: str = SEQ_FIELD) -> int:
 
 
 def with_position_seq(lines: DataFrame) -> DataFrame:
-    """value, seq for change-log files without a seq field: seq follows the
-    file position (files in path order, lines in file order).
-
-    Lines are sorted by (file path, split start, row within the split) with
-    Spark's range-partitioned sort, so no task sees the whole feed; after the
-    sort, ``monotonically_increasing_id`` increases along that order."""
-    pos = lines.select(
+    """value, seq for change-log files without a seq field: seq is the file
+    position, ``struct(file, block, row)`` (file path, start of the split,
+    row id within the task), which orders like the lines of the files taken
+    in path order.
+
+    No sort is needed: structs compare field by field, so ``greatest``,
+    window ordering and range partitioning work on it directly, and a query
+    that does not use seq (the final view is order-free) prunes it away. The
+    row id is assigned before any filter (Catalyst does not push a filter
+    below a non-deterministic projection), so every table branch of the same
+    scan sees the same values."""
+    return lines.select(
         "value",
-        F.col("_metadata.file_path").alias("_file"),
-        F.col("_metadata.file_block_start").alias("_block"),
-        F.monotonically_increasing_id().alias("_row"),
-    )
-    return pos.orderBy("_file", "_block", "_row").select(
-        "value", F.monotonically_increasing_id().alias("_pos_seq")
+        F.struct(
+            F.col("_metadata.file_path").alias("file"),
+            F.col("_metadata.file_block_start").alias("block"),
+            F.monotonically_increasing_id().alias("row"),
+        ).alias("_pos_seq"),
     )
 
 
