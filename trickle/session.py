@@ -45,6 +45,8 @@ def build_session(
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "16g")
         .config("spark.sql.streaming.stateStore.providerClass", STATE_STORE_PROVIDER)
+        # checkpointed intermediate results are removed once no longer referenced
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
     )
     for k, v in (extra or {}).items():
