@@ -108,3 +108,26 @@ def test_debug_line(lines_df):
 
     (row,) = debug_line(route(lines_df(EXAMPLE)).customer).collect()
     assert json.loads(row.value) == {"seq": 1, "sgn": 1, "c_custkey": 1, "c_mktsegment": "AUTOMOBILE"}
+
+
+def test_command_line_job(spark, tmp_path):
+    """The job reads reference-format files and writes the running values in
+    the reference's line format, replacing earlier output."""
+    from trickle.__main__ import main
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "changes.txt").write_text("\n".join(x.rsplit("|", 1)[0] for x in EXAMPLE) + "\n")
+    out = tmp_path / "out"
+    out.mkdir()
+    (out / "stale.txt").write_text("old output\n")
+    main([str(tmp_path / "in"), str(out)])
+    lines = sorted(r.value for r in spark.read.text(str(out)).collect())
+    assert lines == [
+        "Order{orderKey=10, orderDate=1995-01-02, shipPriority=0, revenue=0.0}",
+        "Order{orderKey=10, orderDate=1995-01-02, shipPriority=0, revenue=180.0}",
+        "Order{orderKey=10, orderDate=1995-01-02, shipPriority=0, revenue=90.0}",
+    ]
+    main([str(tmp_path / "in"), str(out), "--emit", "final", "--mode", "recompute"])
+    assert [r.value for r in spark.read.text(str(out)).collect()] == [
+        "Order{orderKey=10, orderDate=1995-01-02, shipPriority=0, revenue=180.0}"
+    ]
