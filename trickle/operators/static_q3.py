@@ -17,8 +17,9 @@ def q3_static(spark: SparkSession, sf_dir: str, spec: Q3Spec = Q3) -> DataFrame:
 
     Filters are written on the raw timestamp columns so they reach the Parquet
     scan. Customer only decides whether an order qualifies, so it enters as a
-    semi-join (the key set is never materialised on the driver); AQE turns it
-    into a broadcast at runtime only when the filtered side is measured small.
+    semi-join (the key set is never materialised on the driver); it becomes a
+    broadcast only when Catalyst's size estimate or AQE's runtime measurement
+    is below the broadcast threshold.
     """
     d = spec.as_date
     cust = tables.customer(spark, sf_dir).where(F.col("c_mktsegment") == spec.segment)

@@ -44,10 +44,6 @@ def read_text_result(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def write_parquet(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").parquet(path)
-
-
 def debug_line(df: DataFrame) -> DataFrame:
     """One JSON line per row of any change or delta DataFrame (the
     reference's debug printing of its row objects)."""

@@ -2,10 +2,9 @@
 
 The fixture tables store dates as midnight ``TIMESTAMP_NTZ``; plans compare
 and output ``DATE``. Selecting columns here (not ``*``) lets Catalyst prune
-the Parquet ``ReadSchema``; filters written later on these columns are pushed
-into the scan (``PushedFilters``) because the cast to DATE of a midnight
-timestamp is applied after the scan only for the projection, while filters
-are written against the raw column where possible (see ``date_lit``).
+the Parquet ``ReadSchema``. Date filters are written against the raw
+timestamp column (``ts_lit``) so that they reach the scan as
+``PushedFilters``; the cast to DATE is only applied in the projection.
 """
 
 from __future__ import annotations

@@ -16,16 +16,8 @@ from decimal import Decimal
 from pyspark.sql import Row
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-J1_INPUT = (
-    "src string, seq bigint, sgn int, custkey bigint, o_orderkey bigint, "
-    "o_orderdate date, o_shippriority int"
-)
 J1_OUTPUT = "seq bigint, o_orderkey bigint, o_orderdate date, o_shippriority int, w int"
 
-J2_INPUT = (
-    "src string, seq bigint, sgn int, orderkey bigint, line int, "
-    "l_extendedprice decimal(15,2), l_discount decimal(15,2), o_orderdate date, o_shippriority int"
-)
 CHANGELOG = (
     "seq bigint, l_orderkey bigint, line int, o_orderdate date, o_shippriority int, "
     "w int, dv decimal(38,4), revenue_dec decimal(38,4), n bigint"
