@@ -56,6 +56,27 @@ def build_session(
     return spark
 
 
+def cluster_settings(input_bytes: int, total_cores: int) -> dict[str, str]:
+    """Sizes for a cluster run over ``input_bytes`` of change-log text.
+
+    Text splits of 256 MB keep scan tasks in the seconds range and their
+    number well above the core count. Shuffles start from about one
+    partition per 128 MB of input (the partial aggregations shrink the
+    lineitem side well below that) and at least three per core; AQE then
+    coalesces towards 128 MB partitions and splits skewed ones, so every
+    partition fits an executor's memory without spilling at any scale.
+    """
+    mb = 1 << 20
+    shuffle = max(3 * total_cores, input_bytes // (128 * mb))
+    return {
+        "spark.sql.files.maxPartitionBytes": str(256 * mb),
+        "spark.sql.shuffle.partitions": str(shuffle),
+        "spark.sql.adaptive.coalescePartitions.initialPartitionNum": str(shuffle),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(128 * mb),
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(256 * mb),
+    }
+
+
 def ensure_streaming_conf(spark: SparkSession) -> None:
     """transformWithState needs the RocksDB state store provider."""
     key = "spark.sql.streaming.stateStore.providerClass"
