@@ -59,21 +59,22 @@ def build_session(
 def cluster_settings(input_bytes: int, total_cores: int) -> dict[str, str]:
     """Sizes for a cluster run over ``input_bytes`` of change-log text.
 
-    Text splits of 256 MB keep scan tasks in the seconds range and their
-    number well above the core count. Shuffles start from about one
-    partition per 128 MB of input (the partial aggregations shrink the
-    lineitem side well below that) and at least three per core; AQE then
-    coalesces towards 128 MB partitions and splits skewed ones, so every
-    partition fits an executor's memory without spilling at any scale.
+    Text splits of 1 GB (100 TB -> ~100k scan tasks) keep the number of map
+    tasks, and with it the map x reduce shuffle-block count, manageable.
+    Shuffles start from about one partition per 512 MB of input, at least
+    three per core and at most 200k: a lineitem change reaches the shuffle
+    as a ~40-byte partial aggregate, so a reducer sees ~200 MB. AQE then
+    coalesces towards 256 MB partitions and splits skewed ones, so every
+    partition fits an executor's memory.
     """
     mb = 1 << 20
-    shuffle = max(3 * total_cores, input_bytes // (128 * mb))
+    shuffle = max(3 * total_cores, min(200_000, input_bytes // (512 * mb)))
     return {
-        "spark.sql.files.maxPartitionBytes": str(256 * mb),
+        "spark.sql.files.maxPartitionBytes": str(1024 * mb),
         "spark.sql.shuffle.partitions": str(shuffle),
         "spark.sql.adaptive.coalescePartitions.initialPartitionNum": str(shuffle),
-        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(128 * mb),
-        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(256 * mb),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(256 * mb),
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(512 * mb),
     }
 
 
