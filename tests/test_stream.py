@@ -51,3 +51,26 @@ def test_restart_resumes_from_checkpoint(spark):
         q.awaitTermination()
         q.stop()
     assert rows(q3_stream.latest_view(spark, out)) == rows(Q.ivm_q3_final(spark, SF001, Q3_1998))
+
+
+def test_state_shrinks_to_nothing_after_deleting_everything(spark, lines_df):
+    """Insert rows, then delete all of them: both stateful operators end with
+    no state rows (the state is bounded by the live rows)."""
+    ins = CASES["customer_delete_cascades"][:-1]  # customer, two orders, two lineitems
+    seq = 100
+    dels = []
+    for x in reversed(ins):
+        seq += 1
+        dels.append("-" + x[1:].rsplit("|", 1)[0] + f"|{seq}")
+    base = scratch_path(spark, "test-shrink", unique=True)
+    in_path, ckpt, out = f"{base}/in", f"{base}/ckpt", f"{base}/out"
+    last = None
+    for chunk in (ins, dels):
+        lines_df(chunk).coalesce(1).write.mode("append").text(in_path)
+        with q3_stream.state_partitions(spark, 4):
+            q = q3_stream.start(spark, in_path, ckpt, out)
+            q.awaitTermination()
+        last = [p for p in q.recentProgress if p.numInputRows][-1]
+    assert [s.numRowsTotal for s in last.stateOperators] == [0, 0]
+    final = {(r.l_orderkey, r.n) for r in q3_stream.latest_view(spark, out).collect()}
+    assert final == set()
