@@ -62,3 +62,17 @@ def test_position_mode_changelog_matches_field_mode(spark):
                 for x in df.orderBy("l_orderkey", "seq", "line").collect()]
 
     assert seqs(pos) == seqs(fld)
+
+
+SF1 = "/root/testdata/sf0.1"
+
+
+@pytest.mark.parametrize("spec,live,live_rev,clog", [
+    (Q3, 764, 134871652.1452, 5271),
+    (Q3_1998, 10825, 1183458532.3299, 47579),
+])
+def test_goldens_sf01(spark, spec, live, live_rev, clog):
+    """FIXTURES.md section 4 at sf0.1: live groups and revenue, changelog rows."""
+    fv = Q.ivm_q3_final(spark, SF1, spec).agg(F.count("*").alias("c"), F.sum("revenue").alias("r")).first()
+    assert fv.c == live and fv.r == pytest.approx(live_rev, abs=1e-3)
+    assert Q.ivm_q3_changelog(spark, SF1, spec).count() == clog
