@@ -144,22 +144,39 @@ def parse_table(lines: DataFrame, tbl: str, on_error: str = "fail", strict_op: b
     raise ValueError(f"unknown on_error {on_error!r}")
 
 
-def dead_letter(lines: DataFrame, strict_op: bool = False, seq_mode: str = SEQ_FIELD) -> DataFrame:
-    """value, tbl, reason for every line that cannot be used."""
+def _decoded(lines: DataFrame, strict_op: bool = False, seq_mode: str = SEQ_FIELD) -> DataFrame:
+    """All lines in one pass: value, tbl, op, seq, sgn, every table's typed
+    columns (computed only on lines of their own table, so no cast fails on
+    another table's field) and ``reason`` (NULL when the line is usable)."""
+    keep = ["_pos_seq"] if seq_mode == SEQ_POSITION else []
+    seq = "_pos_seq" if seq_mode == SEQ_POSITION else D.int_sql("element_at(_f, -1)")
+    split = lines.selectExpr(
+        "value", *keep, f"{D.TAG_SQL} AS tbl", f"{D.OP_SQL} AS op",
+        f"explode(array({D.FIELDS_SQL})) AS _f",
+    )
+    typed = [
+        f"CASE WHEN tbl = '{t}' THEN {_parse_sql(c, D.field_sql('_f', D.FIELDS[t][c]))} END AS {c}"
+        for t in D.TAGS for c in OUTPUT_COLS[t]
+    ]
     tags = ", ".join(f"'{t}'" for t in D.TAGS)
-    out = lines.where(f"length(value) < 3 OR {D.TAG_SQL} NOT IN ({tags})").selectExpr(
-        "value",
-        f"{D.TAG_SQL} AS tbl",
-        "CASE WHEN length(value) < 3 THEN 'short_line' ELSE 'unknown_tag' END AS reason",
+    per_tag = " ".join(f"WHEN tbl = '{t}' THEN ({_reason_sql(t, strict_op, seq_mode)})" for t in D.TAGS)
+    return split.selectExpr(
+        "value", "tbl", "op", "size(_f) AS _n", f"{seq} AS seq",
+        D.SIGN_SQL.format(op="op") + " AS sgn", *typed,
+    ).selectExpr(
+        "*",
+        "CASE WHEN length(value) < 3 THEN 'short_line' "
+        f"WHEN tbl NOT IN ({tags}) THEN 'unknown_tag' {per_tag} END AS reason",
+    )
+
+
+def dead_letter(lines: DataFrame, strict_op: bool = False, seq_mode: str = SEQ_FIELD) -> DataFrame:
+    """value, tbl, reason for every line that cannot be used (one pass)."""
+    return (
+        _decoded(lines, strict_op, seq_mode)
+        .where("reason IS NOT NULL")
+        .select("value", "tbl", "reason")
     )
-    for t in D.TAGS:
-        bad = (
-            _typed(lines, t, seq_mode)
-            .selectExpr("value", f"'{t}' AS tbl", f"{_reason_sql(t, strict_op, seq_mode)} AS reason")
-            .where("reason IS NOT NULL")
-        )
-        out = out.unionByName(bad)
-    return out
 
 
 class Routed:
@@ -226,17 +243,25 @@ class StagedRouted(Routed):
         self._spark, self._path = spark, path
 
     def _make(self, key: str) -> DataFrame:
-        return self._spark.read.parquet(f"{self._path}/{key}")
+        staged = self._spark.read.parquet(self._path)
+        if key == "dead":
+            return staged.where("part = '__dead__'").select("value", "tbl", "reason")
+        return staged.where(f"part = '{key}'").select("seq", "sgn", *OUTPUT_COLS[key])
 
 
 def stage(spark: SparkSession, lines: DataFrame, path: str, strict_op: bool = False) -> Routed:
-    """Route once and keep the parsed tables as Parquet, one folder per table.
-
-    For very large feeds read by several queries: the text is parsed once per
-    table here, and later reads are columnar and pruned to the needed columns.
-    Malformed records are written to ``dead``.
-    """
-    for t in D.TAGS:
-        parse_table(lines, t, "dead_letter", strict_op).write.mode("overwrite").parquet(f"{path}/{t}")
-    dead_letter(lines, strict_op).write.mode("overwrite").parquet(f"{path}/dead")
+    """Route once: one scan of the text and one write, Parquet partitioned by
+    table (``part=LI/OR/CU``, malformed lines in ``part=__dead__`` with their
+    text and reason). For very large feeds read by several queries: later
+    reads are columnar and pruned to one table's partition and columns."""
+    (
+        _decoded(lines, strict_op)
+        .selectExpr(
+            "CASE WHEN reason IS NULL THEN tbl ELSE '__dead__' END AS part",
+            "CASE WHEN reason IS NULL THEN NULL ELSE value END AS value",
+            "tbl", "reason", "seq", "sgn",
+            *[c for t in D.TAGS for c in OUTPUT_COLS[t]],
+        )
+        .write.mode("overwrite").partitionBy("part").parquet(path)
+    )
     return StagedRouted(spark, path)
