@@ -14,13 +14,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from trickle.operators import filters, recompute, signed
-from trickle.operators.route import Routed, route
+from trickle.operators.route import SEQ_FIELD, Routed, route
 from trickle.plans.spec import Q3, Q3Spec
 
 
-def changes(lines: DataFrame, spec: Q3Spec = Q3, on_error: str = "fail") -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Parsed and filtered change tables (lineitem, orders, customer)."""
-    r: Routed = route(lines, on_error=on_error)
+def changes(lines: DataFrame, spec: Q3Spec = Q3, on_error: str = "fail",
+            seq_mode: str = SEQ_FIELD) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Parsed and filtered change tables (lineitem, orders, customer).
+    ``seq_mode="position"`` reads the reference's format (no seq field)."""
+    r: Routed = route(lines, on_error=on_error, seq_mode=seq_mode)
     return (
         filters.filter_lineitem(r.lineitem, spec),
         filters.filter_orders(r.orders, spec),
@@ -28,9 +30,10 @@ def changes(lines: DataFrame, spec: Q3Spec = Q3, on_error: str = "fail") -> tupl
     )
 
 
-def view(lines: DataFrame, spec: Q3Spec = Q3, mode: str = "signed", keep_empty: bool = False) -> DataFrame:
+def view(lines: DataFrame, spec: Q3Spec = Q3, mode: str = "signed", keep_empty: bool = False,
+         seq_mode: str = SEQ_FIELD) -> DataFrame:
     """l_orderkey, o_orderdate, o_shippriority, revenue, n after the whole feed."""
-    li, od, cu = changes(lines, spec)
+    li, od, cu = changes(lines, spec, seq_mode=seq_mode)
     if mode == "signed":
         return signed.final_view(li, od, cu, keep_empty=keep_empty)
     if mode == "recompute":
@@ -38,17 +41,17 @@ def view(lines: DataFrame, spec: Q3Spec = Q3, mode: str = "signed", keep_empty:
     raise ValueError(f"unknown mode {mode!r}")
 
 
-def deltas(lines: DataFrame, spec: Q3Spec = Q3) -> DataFrame:
+def deltas(lines: DataFrame, spec: Q3Spec = Q3, seq_mode: str = SEQ_FIELD) -> DataFrame:
     """What join 2 emits: seq, l_orderkey, line, o_orderdate, o_shippriority, w, dv."""
-    li, od, cu = changes(lines, spec)
+    li, od, cu = changes(lines, spec, seq_mode=seq_mode)
     return signed.join2_deltas(li, signed.join1_deltas(od, cu))
 
 
-def changelog(lines: DataFrame, spec: Q3Spec = Q3) -> DataFrame:
+def changelog(lines: DataFrame, spec: Q3Spec = Q3, seq_mode: str = SEQ_FIELD) -> DataFrame:
     """The reference's output: the running value after every delta."""
-    return signed.changelog(deltas(lines, spec))
+    return signed.changelog(deltas(lines, spec, seq_mode))
 
 
-def latest(lines: DataFrame, spec: Q3Spec = Q3) -> DataFrame:
+def latest(lines: DataFrame, spec: Q3Spec = Q3, seq_mode: str = SEQ_FIELD) -> DataFrame:
     """Last running value of every group ever emitted (empty ones kept)."""
-    return signed.latest(deltas(lines, spec))
+    return signed.latest(deltas(lines, spec, seq_mode))
