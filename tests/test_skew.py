@@ -152,3 +152,16 @@ def test_quality_prefix_split_equals_plain(spark):
     split = sorted(map(tuple, scan.running_sums(base, ["tbl", "key", "line"], ["seq"], {"m": "sgn"},
                                                 hot_rows=0, chunks=5).collect()))
     assert plain == split
+
+
+def test_cluster_settings_bounds():
+    """Sizing grows with the input but keeps the shuffle partition count
+    bounded (map x reduce blocks) and at least three per core."""
+    from trickle.session import cluster_settings
+
+    tb = 1 << 40
+    big = cluster_settings(100 * tb, 8000)
+    assert int(big["spark.sql.shuffle.partitions"]) == 200_000
+    assert int(big["spark.sql.files.maxPartitionBytes"]) == 1 << 30
+    small = cluster_settings(1 << 30, 64)
+    assert int(small["spark.sql.shuffle.partitions"]) == 192
