@@ -4,10 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trickle.llm import mixing, packing
+from trickle.llm import mixing, packing, secret_scan, simhash
 from trickle.llm.common import read_table, stage
 
 
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """SimHash near-dedup: one document of every component stays."""
+    return simhash.keep_one(docs, shingle=4, distance=4)
+
+
+def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secret scan: every document stays, its secrets masked."""
+    return secret_scan.redact(docs)
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Source mixing: documents repeated and cut as the mix takes them."""
     return mixing.draw(docs)
@@ -22,6 +32,8 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 STAGES = [
+    ("simhash_near_dedup", drop_near_copies),
+    ("secret_scan", mask_secrets),
     ("mix_sources", mix_sources),
     ("pack_sequences", pack_sequences),
 ]

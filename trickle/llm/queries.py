@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trickle.llm import mixing, packing
+from trickle.llm import mixing, packing, quality_rules, secret_scan, simhash
 from trickle.llm.common import read_table
 
 
@@ -17,6 +17,20 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), capacity=4096, end_id=1)
 
 
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
+    return quality_rules.judge(docs, labels)
+
+
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan(read_table(spark, sf_dir, "documents"))
+
+
+def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return simhash.near_duplicates(docs, shingle=4, distance=4)
+
+
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     return mixing.mix(docs).select("doc_id", "size", "source", "source_size", "target", "taken")
@@ -25,6 +39,9 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_best_fit_packing": op1_best_fit_packing,
+        "op3_quality_rules": op3_quality_rules,
+        "op7_secret_scan": op7_secret_scan,
+        "op9_simhash_near_dedup": op9_simhash_near_dedup,
         "op10_mix_sources": op10_mix_sources,
     }
 
