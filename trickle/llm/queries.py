@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trickle.llm import mixing, packing, quality_rules, secret_scan, simhash
+from trickle.llm import mixing, packing, quality_rules, recompression, secret_scan, simhash
 from trickle.llm.common import read_table
 
 
@@ -22,6 +22,11 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(docs, labels)
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return recompression.drop_repeats(docs).drop("kept")
+
+
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(read_table(spark, sf_dir, "documents"))
 
@@ -40,6 +45,7 @@ def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_best_fit_packing": op1_best_fit_packing,
         "op3_quality_rules": op3_quality_rules,
+        "op6_substring_dedup": op6_substring_dedup,
         "op7_secret_scan": op7_secret_scan,
         "op9_simhash_near_dedup": op9_simhash_near_dedup,
         "op10_mix_sources": op10_mix_sources,
