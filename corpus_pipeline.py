@@ -4,10 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trickle.llm import mixing, packing, secret_scan, simhash
+from trickle.llm import mixing, packing, secret_scan, simhash, toxicity
 from trickle.llm.common import read_table, stage
 
 
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Toxicity: documents predicted toxic go."""
+    return toxicity.reject(docs, read_table(spark, sf_dir, "labels"))
+
+
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """SimHash near-dedup: one document of every component stays."""
     return simhash.keep_one(docs, shingle=4, distance=4)
@@ -32,6 +37,7 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 STAGES = [
+    ("toxicity", drop_toxic),
     ("simhash_near_dedup", drop_near_copies),
     ("secret_scan", mask_secrets),
     ("mix_sources", mix_sources),

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trickle.llm import mixing, mtree, packing, quality_rules, recompression, secret_scan, simhash
+from trickle.llm import mixing, mtree, packing, quality_rules, recompression, secret_scan, simhash, toxicity
 from trickle.llm.common import read_table
 
 
@@ -26,6 +26,11 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(docs, labels)
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
+    return toxicity.score(docs, labels)
+
+
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     return recompression.drop_repeats(docs).drop("kept")
@@ -70,6 +75,7 @@ def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_best_fit_packing": op1_best_fit_packing,
         "op2_exact_top_k": op2_exact_top_k,
         "op3_quality_rules": op3_quality_rules,
+        "op4_toxicity": op4_toxicity,
         "op6_substring_dedup": op6_substring_dedup,
         "op7_secret_scan": op7_secret_scan,
         "op9_simhash_near_dedup": op9_simhash_near_dedup,
