@@ -6,7 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trickle.llm import mixing, mtree, packing, quality_rules, recompression, secret_scan, simhash, toxicity
+from trickle.llm import (
+    language,
+    mixing,
+    mtree,
+    neighbours,
+    packing,
+    quality_rules,
+    recompression,
+    secret_scan,
+    simhash,
+    toxicity,
+)
 from trickle.llm.common import read_table
 
 
@@ -31,6 +42,11 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, labels)
 
 
+def op5_quality_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
+    return neighbours.score(docs, labels)
+
+
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     return recompression.drop_repeats(docs).drop("kept")
@@ -40,6 +56,10 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(read_table(spark, sf_dir, "documents"))
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(read_table(spark, sf_dir, "documents"))
+
+
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     return simhash.near_duplicates(docs, shingle=4, distance=4)
@@ -76,8 +96,10 @@ def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_exact_top_k": op2_exact_top_k,
         "op3_quality_rules": op3_quality_rules,
         "op4_toxicity": op4_toxicity,
+        "op5_quality_neighbours": op5_quality_neighbours,
         "op6_substring_dedup": op6_substring_dedup,
         "op7_secret_scan": op7_secret_scan,
+        "op8_language_id": op8_language_id,
         "op9_simhash_near_dedup": op9_simhash_near_dedup,
         "op10_mix_sources": op10_mix_sources,
     }
