@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from trickle.llm.common import slices, stage
 
 # Distinct words whose ids a worker keeps; it starts afresh beyond that.
-WORD_CACHE = 300_000
+WORD_CACHE = 600_000
 # Ranks within a length stay below this (plan lookups use length * RANKS + rank).
 RANKS = 1 << 42
 
@@ -147,32 +147,69 @@ def plan_packing(histogram: dict[int, int], capacity: int) -> tuple[list[Step],
     return steps, bins
 
 
+def _table(characters: str) -> np.ndarray:
+    out = np.zeros(256, bool)
+    out[list(characters.encode())] = True
+    return out
+
+
+LETTERS = _table("abcdefghijklmnopqrstuvwxyz")
+MARKS = _table("!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~")
+
+
 class WordIds:
     """Token ids of whole texts, as little-endian 32-bit bytes.
 
-    The tokenizer drops white space and never joins across it, so a text's
-    ids are those of its space-separated parts in turn; ids of parts are kept
-    between texts.
+    The tokenizer lower-cases, drops white space, and never joins letters and
+    other marks or anything across white space. So a text's ids are those of
+    its units in turn: lower-cased, cut at spaces, new lines, and between a
+    letter a-z and a mark (but the apostrophe, which may begin a token with
+    letters). Ids of units are kept between texts; new units are encoded many
+    at once and told apart by their places.
     """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {"": b""}
-
-    def encode(self, text: str) -> bytes:
-        parts = text.replace("\n", " ").split(" ")
+        self.known: dict[bytes, bytes] = {b"": b""}
+
+    @staticmethod
+    def units(text: str) -> list[bytes]:
+        raw = text.encode()
+        if b"<|" not in raw:  # the names of special tokens stay as they are
+            raw = raw.lower().replace(b"\n", b" ")
+            data = np.frombuffer(raw, np.uint8)
+            cuts = np.flatnonzero(LETTERS[data[:-1]] & MARKS[data[1:]])
+            if len(cuts):
+                raw = np.insert(data, cuts + 1, 32).tobytes()
+        return raw.split(b" ")
+
+    def learn(self, units: list[bytes]) -> None:
+        for at in range(0, len(units), 20_000):
+            some = [u.decode() for u in units[at : at + 20_000]]
+            starts = np.cumsum([0] + [len(u) + 1 for u in some[:-1]])
+            coded = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
+            ids = np.array(coded.ids, "<u4")
+            place = np.fromiter((a for a, _ in coded.offsets), np.int64, len(ids))
+            ends = np.searchsorted(np.searchsorted(starts, place, "right"), np.arange(len(some)) + 1, "right")
+            data = ids.tobytes()
+            first = 0
+            for u, end in zip(units[at : at + 20_000], (4 * ends).tolist()):
+                self.known[u] = data[first:end]
+                first = end
+
+    def encode_all(self, texts: list[str | None]) -> list[bytes]:
+        split = [self.units(t) if t else [] for t in texts]
         known = self.known
-        new = [w for w in set(parts) if w not in known]
+        asked = set().union(*split)
+        new = [u for u in asked if u not in known]
         if len(known) + len(new) > WORD_CACHE:
             known.clear()
-            known[""] = b""
-            new = list(set(parts) - {""})
-        if new:
-            for w, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False)):
-                known[w] = np.array(e.ids, "<u4").tobytes()
-        return b"".join([known[w] for w in parts])
+            known[b""] = b""
+            new = list(asked - {b""})
+        self.learn(new)
+        return [b"".join([known[u] for u in units]) for units in split]
 
 
 PIECES = (
@@ -193,12 +230,12 @@ def cut_pieces(
         part = TaskContext.get().partitionId()
         seen: dict[int, int] = {}
         for whole in batches:
-            for batch in slices(whole, "text", 16 << 20):
+            for batch in slices(whole, "text", 4 << 20):
                 row: list[int] = []
                 out: list[tuple[int, int, int, int, int, int]] = []
                 ids: list[np.ndarray] = []
-                for at, text in enumerate(batch.column("text").to_pylist()):
-                    data = words.encode(text or "") + end
+                for at, data in enumerate(words.encode_all(batch.column("text").to_pylist())):
+                    data += end
                     total = len(data) // 4
                     for piece, start in enumerate(range(0, total, capacity)):
                         length = min(capacity, total - start)
