@@ -1,24 +1,22 @@
 """Running sums per key that never put one hot key into one task.
 
-A running sum is an ordered scan. Keys with at most ``hot_rows`` rows run
-one window partitioned by key. Rows of hotter keys are range-partitioned on
-(key, order) into ordered chunks, each chunk runs its own window, and every
-row adds the totals of its key's earlier chunks (a table of at most
-chunks x hot keys rows).
+Rows are range-partitioned once on (key, order) into ordered chunks and
+written to the shared folder with their chunk id, so every later step reads
+the same rows in the same chunk (a second range exchange would sample other
+boundaries). Each chunk runs its own window per key. Only a key that goes on
+from one chunk into the next needs the totals of its earlier chunks; there is
+at most one such key per boundary, so this table of carries has at most as
+many rows as there are chunks, however many rows a key has.
 
-The input is read by three consumers (counts, cold rows, hot rows), so it is
-materialised once with a reliable checkpoint in the shared folder.
+There is no size switch: all keys take the same path.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from trickle.session import reliable_checkpoint
-
-# Fixed default: a key with more rows than this takes the split path.
-HOT_KEY_ROWS = 1_000_000
+from trickle.session import written
 
 
 def running_sums(
@@ -26,40 +24,44 @@ def running_sums(
     keys: list[str],
     order: list[str],
     sums: dict[str, str],
-    hot_rows: int = HOT_KEY_ROWS,
     chunks: int | None = None,
 ) -> DataFrame:
     """``df`` plus, for each ``name: column`` of ``sums``, the running sum of
-    ``column`` over ``keys`` in ``order`` (current row included)."""
-    df = reliable_checkpoint(df)
-    cols = df.columns
-    counts = df.groupBy(*keys).agg(F.count("*").alias("_cnt"))
-    d = df.join(counts, keys)
+    ``column`` over ``keys`` in ``order`` (current row included).
 
-    def windowed(part: DataFrame, by: list[str], carry: dict[str, Column] | None) -> DataFrame:
-        win = Window.partitionBy(*by).orderBy(*order).rowsBetween(
-            Window.unboundedPreceding, Window.currentRow
-        )
-        out = [F.col(c) for c in cols]
-        for name, c in sums.items():
-            s = F.sum(c).over(win)
-            out.append((s + carry[name] if carry else s).alias(name))
-        return part.select(*out)
-
-    cold = windowed(d.where(F.col("_cnt") <= hot_rows), keys, None)
+    ``chunks``: into how many ranges the rows are dealt (default: the
+    session's shuffle partitions, twice the cores at least)."""
+    spark = df.sparkSession
+    cols = df.columns
+    parts = chunks or max(
+        int(spark.conf.get("spark.sql.shuffle.partitions")),
+        2 * spark.sparkContext.defaultParallelism,
+    )
+    rows = written(
+        df.repartitionByRange(parts, *keys, *order).withColumn("_chunk", F.spark_partition_id()),
+        "running-sums",
+    )
 
-    hot = d.where(F.col("_cnt") > hot_rows).drop("_cnt")
-    parts = chunks or 2 * df.sparkSession.sparkContext.defaultParallelism
-    hot = hot.repartitionByRange(parts, *keys, *order).withColumn("_chunk", F.spark_partition_id())
-    totals = hot.groupBy(*keys, "_chunk").agg(*[F.sum(c).alias(f"_t_{n}") for n, c in sums.items()])
+    # keys that go on into the next chunk that has rows: one per boundary
+    key = F.struct(*keys)
+    ends = rows.groupBy("_chunk").agg(F.min(key).alias("_first"), F.max(key).alias("_last"))
+    in_order = Window.orderBy("_chunk")
+    open_keys = (
+        ends.select("_last", F.lead("_first").over(in_order).alias("_next"))
+        .where("_last = _next").select("_last.*").distinct()
+    )
+    totals = (
+        rows.join(F.broadcast(open_keys), keys)
+        .groupBy(*keys, "_chunk").agg(*[F.sum(c).alias(f"_t_{n}") for n, c in sums.items()])
+    )
     before = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    carry = totals.select(
-        *keys, "_chunk",
-        *[F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)).alias(f"_c_{n}") for n in sums],
+    carries = totals.select(*keys, "_chunk", *[F.sum(f"_t_{n}").over(before).alias(f"_c_{n}") for n in sums])
+    within = (
+        Window.partitionBy(*keys, "_chunk").orderBy(*order)
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    split = windowed(
-        hot.join(carry, [*keys, "_chunk"]),
-        [*keys, "_chunk"],
-        {n: F.col(f"_c_{n}") for n in sums},
+    summed = rows.select(*cols, "_chunk", *[F.sum(c).over(within).alias(f"_w_{n}") for n, c in sums.items()])
+    carried = summed.join(F.broadcast(carries), [*keys, "_chunk"], "left")
+    return carried.select(
+        *cols, *[F.expr(f"_w_{n} + coalesce(_c_{n}, 0)").alias(n) for n in sums]
     )
-    return cold.unionByName(split)

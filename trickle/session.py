@@ -56,19 +56,21 @@ def build_session(
     return spark
 
 
-def cluster_settings(input_bytes: int, total_cores: int) -> dict[str, str]:
+def cluster_settings(
+    input_bytes: int, total_cores: int, most_partitions: int = 200_000
+) -> dict[str, str]:
     """Sizes for a cluster run over ``input_bytes`` of change-log text.
 
     Text splits of 1 GB (100 TB -> ~100k scan tasks) keep the number of map
     tasks, and with it the map x reduce shuffle-block count, manageable.
     Shuffles start from about one partition per 512 MB of input, at least
-    three per core and at most 200k: a lineitem change reaches the shuffle
+    three per core and at most ``most_partitions``: a lineitem change reaches the shuffle
     as a ~40-byte partial aggregate, so a reducer sees ~200 MB. AQE then
     coalesces towards 256 MB partitions and splits skewed ones, so every
     partition fits an executor's memory.
     """
     mb = 1 << 20
-    shuffle = max(3 * total_cores, min(200_000, input_bytes // (512 * mb)))
+    shuffle = max(3 * total_cores, min(most_partitions, input_bytes // (512 * mb)))
     return {
         "spark.sql.files.maxPartitionBytes": str(1024 * mb),
         "spark.sql.shuffle.partitions": str(shuffle),
@@ -89,12 +91,18 @@ def shared_dir(spark: SparkSession) -> str:
     """Root of the shared working folder, from ``spark.checkpoint.dir``.
 
     Falls back to the SparkContext's checkpoint dir, and only when neither is
-    set creates a local one (tests on one machine).
+    set and the master is local creates one (tests on one machine). On a
+    cluster executors could not see such a folder, so that is an error.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
         d = spark.sparkContext.getCheckpointDir()
     if not d:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError(
+                f"master {master} needs spark.checkpoint.dir: a folder all executors share"
+            )
         d = tempfile.mkdtemp(prefix="trickle-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
         spark.sparkContext.setCheckpointDir(d)
@@ -109,6 +117,14 @@ def scratch_path(spark: SparkSession, *parts: str, unique: bool = False) -> str:
     return "/".join(segs)
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once as Parquet in the shared folder and read back:
+    cuts the lineage with files that outlive a lost executor."""
+    path = scratch_path(df.sparkSession, "written", name, unique=True)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def reliable_checkpoint(df: DataFrame) -> DataFrame:
     """Materialise ``df`` once in the shared checkpoint folder (never
     ``localCheckpoint``: it would not survive the loss of an executor)."""
