@@ -1,9 +1,10 @@
 """The Q3 measure, in exact decimal arithmetic.
 
 The reference adds and subtracts doubles, so its sums depend on arrival
-order. Prices and discounts carry at most two decimals; as DECIMAL(15,2)
-factors every sum is exact and order-free, and it is cast to DOUBLE only at
-the output.
+order. As DECIMAL(15,4) factors every sum is exact and order-free, and it is
+cast to DOUBLE only at the output. Four decimals are kept; a record with more
+is malformed (``functions.decode``), never rounded. ``money`` (two decimals)
+renders the base tables' prices as text.
 """
 
 from __future__ import annotations
@@ -14,9 +15,8 @@ from pyspark.sql import functions as F
 MONEY = "decimal(15,2)"
 
 # The same measure as SQL text (one call into the JVM per projection).
-REVENUE_SQL = (
-    "CAST(l_extendedprice AS DECIMAL(15,2)) * (1 - CAST(l_discount AS DECIMAL(15,2)))"
-)
+FACTOR = "decimal(15,4)"
+REVENUE_SQL = f"CAST(l_extendedprice AS {FACTOR}) * (1 - CAST(l_discount AS {FACTOR}))"
 
 
 def money(c: Column | str) -> Column:
@@ -25,14 +25,9 @@ def money(c: Column | str) -> Column:
 
 
 def revenue(price: Column | str, discount: Column | str) -> Column:
-    """price * (1 - discount), both as DECIMAL(15,2)."""
-    return money(price) * (F.lit(1) - money(discount))
-
-
-def signed(weight: Column | str, value: Column) -> Column:
-    """w * v with w in {+1, -1} (or any integer multiplicity)."""
-    w = F.col(weight) if isinstance(weight, str) else weight
-    return w * value
+    """price * (1 - discount), both as DECIMAL(15,4)."""
+    p, d = (F.col(c) if isinstance(c, str) else c for c in (price, discount))
+    return p.cast(FACTOR) * (F.lit(1) - d.cast(FACTOR))
 
 
 def to_double(c: Column) -> Column:

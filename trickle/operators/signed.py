@@ -13,19 +13,26 @@ joins emit, at event ``s``, exactly the triples whose latest member has
 delta stream (``join1_deltas``, ``join2_deltas``) and, with a running sum,
 its output changelog.
 
-Partitioning: join 1 shuffles on ``custkey``, join 2 on ``orderkey``; the
-delta grouping and the running-sum window after join 2 reuse its
-partitioning (no further exchange; see ``explain``). Join inputs are plain
-shuffles wherever one side can be skewed, so AQE can split a hot key.
+The deltas are made without pairing all changes of a key: each change meets
+the *net state* of the other side at its time. A base row's net weight is a
+step function over ``seq`` (a window over the changes of that one row), kept
+as intervals in which it is not zero; a change joins the intervals that hold
+its ``seq``. So the joins give out one row per delta. ``seq`` identifies a
+change.
+
+Partitioning: join 1 shuffles on ``custkey``, join 2 on ``orderkey``. Join
+inputs are plain shuffles and no grouping on the join key follows, so AQE can
+split a hot key in any session.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trickle.functions.measures import REVENUE_SQL, revenue, to_double
-from trickle.operators.scan import HOT_KEY_ROWS, running_sums
+from trickle.functions.measures import REVENUE_SQL, to_double
+from trickle.operators.scan import running_sums
+from trickle.session import written
 
 J1_COLS = ["o_orderkey", "o_orderdate", "o_shippriority"]
 
@@ -35,43 +42,52 @@ J1_COLS = ["o_orderkey", "o_orderdate", "o_shippriority"]
 # --------------------------------------------------------------------------
 
 
-def join1_pairs(od: DataFrame, cu: DataFrame) -> DataFrame:
-    """All (order change, customer change) pairs on custkey, with the sign
-    product ``w`` and the seq of the later one. Customer changes per key are
-    few (inserts/deletes of one row); a customer with very many orders skews
-    only the orders side, which AQE's skew-join handling splits."""
-    c = cu.selectExpr("c_custkey", "seq AS c_seq", "sgn AS c_sgn")
-    return od.join(c, od.o_custkey == c.c_custkey).selectExpr(
-        "greatest(seq, c_seq) AS seq", *J1_COLS, "sgn * c_sgn AS w"
-    )
+def live_intervals(changes: DataFrame, row: list[str], weight: str) -> DataFrame:
+    """``row``, since, until, net: the stretches of ``seq`` in which the net
+    weight of a base row is not zero. ``until`` is NULL for the last one."""
+    by = Window.partitionBy(*row).orderBy("seq")
+    upto = by.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return changes.select(
+        *row,
+        F.col("seq").alias("since"),
+        F.lead("seq").over(by).alias("until"),
+        F.sum(weight).over(upto).alias("net"),
+    ).where("net <> 0")
+
+
+def _meet(event: Column, other: DataFrame, at_start: bool) -> Column:
+    """``event`` (a seq) lies in an interval of ``other``. Of a change on
+    either side with one seq, exactly one meets the other: ``at_start`` says
+    whether an event sees a change of its own seq."""
+    if at_start:
+        return (other.since <= event) & (other.until.isNull() | (event < other.until))
+    return (other.since < event) & (other.until.isNull() | (event <= other.until))
 
 
 def join1_deltas(od: DataFrame, cu: DataFrame) -> DataFrame:
     """seq, o_orderkey, o_orderdate, o_shippriority, w: what join 1 emits.
 
-    Aggregated on its own keys (partial aggregation map-side); it reaches
-    join 2 through a plain shuffle on order key, which is what lets AQE split
-    an order key holding very many lineitem changes (one extra exchange of
-    this small delta set)."""
-    return (
-        join1_pairs(od, cu)
-        .groupBy("seq", *J1_COLS)
-        .agg(F.expr("CAST(sum(w) AS INT) AS w"))
-        .where("w <> 0")
-    )
+    An order change meets the customer's net weight at its time; a customer
+    change meets the orders that are live at its time."""
+    customers = live_intervals(cu, ["c_custkey", "c_mktsegment"], "sgn")
+    orders = live_intervals(od, ["o_custkey", *J1_COLS], "sgn")
+    by_order = od.join(
+        customers, (od.o_custkey == customers.c_custkey) & _meet(od.seq, customers, True)
+    ).selectExpr("seq", *J1_COLS, "CAST(sgn * net AS INT) AS w")
+    by_customer = cu.join(
+        orders, (cu.c_custkey == orders.o_custkey) & _meet(cu.seq, orders, False)
+    ).selectExpr("seq", *J1_COLS, "CAST(sgn * net AS INT) AS w")
+    return by_order.unionAll(by_customer)
 
 
-def customer_weight(cu: DataFrame) -> DataFrame:
+def customer_weight(cu: DataFrame, keep_empty: bool = False) -> DataFrame:
     """Net signed multiplicity per customer row (custkey, segment): one row
     per key, as the segment is fixed by the filter."""
-    return (
-        cu.groupBy("c_custkey", "c_mktsegment")
-        .agg(F.expr("sum(sgn) AS wc"))
-        .where("wc <> 0")
-    )
+    out = cu.groupBy("c_custkey", "c_mktsegment").agg(F.expr("sum(sgn) AS wc"))
+    return out if keep_empty else out.where("wc <> 0")
 
 
-def order_weight(od: DataFrame, cu: DataFrame) -> DataFrame:
+def order_weight(od: DataFrame, cu: DataFrame, keep_empty: bool = False) -> DataFrame:
     """Net multiplicity of each join-1 row (o_orderkey, date, priority).
 
     The customer side is first reduced to one row per customer row (partial
@@ -82,15 +98,14 @@ def order_weight(od: DataFrame, cu: DataFrame) -> DataFrame:
     both inputs are plain shuffles, and so spreads a customer with very many
     orders over several tasks.
     """
-    cw = customer_weight(cu)
-    return (
+    cw = customer_weight(cu, keep_empty)
+    out = (
         od.join(cw, od.o_custkey == cw.c_custkey)
         .selectExpr(*J1_COLS, "sgn * wc AS w")
-        .repartition("o_orderkey")
         .groupBy(*J1_COLS)
         .agg(F.expr("sum(w) AS wo"))
-        .where("wo <> 0")
     )
+    return out if keep_empty else out.where("wo <> 0")
 
 
 def join1_final(od: DataFrame, cu: DataFrame) -> DataFrame:
@@ -103,18 +118,17 @@ def join1_final(od: DataFrame, cu: DataFrame) -> DataFrame:
 # --------------------------------------------------------------------------
 
 
-def lineitem_value(li: DataFrame) -> DataFrame:
+def lineitem_value(li: DataFrame, keep_empty: bool = False) -> DataFrame:
     """Per order key: signed revenue and signed count of its lineitem changes.
 
     Eager aggregation below the join: partial aggregation folds the lineitem
     changes of a key map-side, so even an order key holding a large share of
     all rows reaches the join as one row per map task.
     """
-    return (
-        li.groupBy("l_orderkey")
-        .agg(F.expr(f"sum(sgn * {REVENUE_SQL}) AS v"), F.expr("sum(sgn) AS nl"))
-        .where("nl <> 0")
+    out = li.groupBy("l_orderkey").agg(
+        F.expr(f"sum(sgn * {REVENUE_SQL}) AS v"), F.expr("sum(sgn) AS nl")
     )
+    return out if keep_empty else out.where("nl <> 0")
 
 
 def final_view(li: DataFrame, od: DataFrame, cu: DataFrame, keep_empty: bool = False) -> DataFrame:
@@ -122,9 +136,12 @@ def final_view(li: DataFrame, od: DataFrame, cu: DataFrame, keep_empty: bool = F
 
     Uses distributivity of the sum over the N:1 joins:
     sum_l sum_o w_l w_o v_l = (sum_o w_o) * (sum_l w_l v_l) per order key.
+
+    ``keep_empty`` keeps the groups whose rows have all gone (n = 0): every
+    group for which changes of all three tables join.
     """
-    lv = lineitem_value(li)
-    ow = order_weight(od, cu)
+    lv = lineitem_value(li, keep_empty)
+    ow = order_weight(od, cu, keep_empty)
     out = lv.join(ow, lv.l_orderkey == ow.o_orderkey).selectExpr(
         "l_orderkey",
         "o_orderdate",
@@ -137,34 +154,36 @@ def final_view(li: DataFrame, od: DataFrame, cu: DataFrame, keep_empty: bool = F
 
 def join2_deltas(li: DataFrame, j1: DataFrame) -> DataFrame:
     """seq, l_orderkey, line, o_orderdate, o_shippriority, w, dv: what join 2
-    emits, one row per (event, lineitem) with a non-zero net sign.
-
-    ``dv`` is the exact DECIMAL revenue delta (w * price * (1 - discount)).
-    """
-    joined = li.join(j1, li.l_orderkey == j1.o_orderkey).select(
-        F.greatest(li.seq, j1.seq).alias("seq"),
-        "l_orderkey",
-        "line",
-        "o_orderdate",
-        "o_shippriority",
-        (li.sgn * j1.w).alias("w"),
-        (li.sgn * j1.w * revenue("l_extendedprice", "l_discount")).alias("dv"),
-    )
-    return (
-        joined.groupBy("seq", "l_orderkey", "line", "o_orderdate", "o_shippriority")
-        .agg(F.sum("w").cast("int").alias("w"), F.sum("dv").alias("dv"))
-        .where(F.col("w") != 0)
-    )
-
-
-def changelog(deltas: DataFrame, hot_rows: int = HOT_KEY_ROWS, chunks: int | None = None) -> DataFrame:
+    emits, one row per (event, lineitem).
+
+    A lineitem change meets the order's net weight at its time; a join-1
+    delta meets the lineitem rows that are live at its time. ``dv`` is the
+    exact DECIMAL revenue delta (w * price * (1 - discount)). The join-1
+    deltas are read twice, so they are written once."""
+    j1 = written(j1, "join1-deltas")
+    orders = live_intervals(j1, J1_COLS, "w")
+    item = ["l_orderkey", "line", "l_extendedprice", "l_discount"]
+    items = live_intervals(li, item, "sgn")
+    out = [
+        "seq", "l_orderkey", "line", "o_orderdate", "o_shippriority", "CAST(w AS INT) AS w",
+        f"w * {REVENUE_SQL} AS dv",
+    ]
+    by_item = li.join(
+        orders, (li.l_orderkey == orders.o_orderkey) & _meet(li.seq, orders, True)
+    ).selectExpr("*", "sgn * net AS w").selectExpr(*out)
+    by_order = j1.withColumnRenamed("w", "_w").join(
+        items, (j1.o_orderkey == items.l_orderkey) & _meet(j1.seq, items, False)
+    ).selectExpr("*", "_w * net AS w").selectExpr(*out)
+    return by_item.unionAll(by_order)
+
+
+def changelog(deltas: DataFrame, chunks: int | None = None) -> DataFrame:
     """The reference's output stream: after every delta, the running revenue
     and count of its order key, in (seq, line) order.
 
-    A running sum per order key (``operators.scan``): one window per key,
-    except that an order key with more than ``hot_rows`` deltas is scanned in
-    ordered chunks spread over several tasks."""
-    r = running_sums(deltas, ["l_orderkey"], ["seq", "line"], {"_rev": "dv", "_n": "w"}, hot_rows, chunks)
+    A running sum per order key (``operators.scan``) over ordered chunks, so
+    the deltas of one order key are spread over as many tasks as they fill."""
+    r = running_sums(deltas, ["l_orderkey"], ["seq", "line"], {"_rev": "dv", "_n": "w"}, chunks)
     return r.select(
         "seq", "l_orderkey", "line", "o_orderdate", "o_shippriority",
         to_double(F.col("_rev")).alias("revenue"), F.col("_n").cast("bigint").alias("n"),
