@@ -46,7 +46,15 @@ def int_sql(s: str, kind: str = "bigint") -> str:
 
 
 def money_sql(s: str) -> str:
-    return f"try_cast({s} AS DECIMAL(15,2))"
+    """A decimal with at most four places, exactly; NULL if it has more (or is
+    no number). Texts of the usual form are seen to have four places or less
+    by their length; others are compared with a wider cast."""
+    narrow = f"try_cast({s} AS DECIMAL(15,4))"
+    short = f"(instr({s}, '.') = 0 OR length({s}) - instr({s}, '.') <= 4) AND instr(lower({s}), 'e') = 0"
+    return (
+        f"CASE WHEN {short} THEN {narrow} "
+        f"WHEN try_cast({s} AS DECIMAL(38,18)) = {narrow} THEN {narrow} END"
+    )
 
 
 def date_sql(s: str) -> str:

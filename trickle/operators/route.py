@@ -13,9 +13,11 @@ records leave the tables and are reported). ``strict_op`` treats op chars
 other than ``+``/``-`` as malformed; otherwise any non-``+`` char is a
 delete, as in the reference.
 
-Plan shape: no filter re-parses the line. In ``fail`` mode the check sits in
-the projection (``raise_error`` only on the failing branch); in
-``dead_letter`` mode the reason is computed from the typed columns.
+Plan shape: no filter re-parses the line. In ``fail`` mode all columns come out
+of a generator that checks the record (``raise_error`` on the failing branch):
+Catalyst cannot push a filter on generated columns, or one it infers from a
+join, below it, so no filter or join removes a bad record before it is seen.
+In ``dead_letter`` mode the reason is computed from the typed columns.
 
 ``seq_mode``: ``"field"`` (our feeds: ``seq`` is one extra last field) or
 ``"position"`` (the reference's files: no seq; ``seq`` is the file position
@@ -98,8 +100,9 @@ def _reason_sql(tbl: str, strict_op: bool, seq_mode: str = SEQ_FIELD) -> str:
     return "CASE " + " ".join(whens) + " END"
 
 
-def _typed(lines: DataFrame, tbl: str, seq_mode: str = SEQ_FIELD) -> DataFrame:
-    """Lines of one table -> value, op, _n (field count), seq, sgn, typed columns."""
+def _typed(lines: DataFrame, tbl: str, seq_mode: str = SEQ_FIELD, tagless: bool = False) -> DataFrame:
+    """Lines of one table -> value, op, _n (field count), seq, sgn, typed columns.
+    ``tagless`` lets in lines too short to have a tag."""
     fields = D.FIELDS[tbl]
     keep = ["_pos_seq"] if seq_mode == SEQ_POSITION else []
     seq = "_pos_seq" if seq_mode == SEQ_POSITION else D.int_sql("element_at(_f, -1)")
@@ -109,7 +112,8 @@ def _typed(lines: DataFrame, tbl: str, seq_mode: str = SEQ_FIELD) -> DataFrame:
     # which would split every line again per predicate; it does not push a
     # filter on generated columns below the generator, so each line is
     # split once.
-    split = lines.where(f"{D.TAG_SQL} = '{tbl}'").selectExpr(
+    own = f"{D.TAG_SQL} = '{tbl}'" + (" OR length(value) < 3" if tagless else "")
+    split = lines.where(own).selectExpr(
         "value", *keep, f"{D.OP_SQL} AS op", f"explode(array({D.FIELDS_SQL})) AS _f"
     )
     return split.selectExpr(
@@ -124,26 +128,26 @@ def _typed(lines: DataFrame, tbl: str, seq_mode: str = SEQ_FIELD) -> DataFrame:
 
 def parse_table(lines: DataFrame, tbl: str, on_error: str = "fail", strict_op: bool = False,
                 seq_mode: str = SEQ_FIELD) -> DataFrame:
-    """seq, sgn and the typed columns of one table's change records.
-
-    In ``fail`` mode the check is part of ``sgn`` (a record's weight exists
-    only if the record is well formed); every consumer reads ``sgn``, so the
-    check cannot be pruned away, and it is a projection, so it never re-parses
-    the line."""
-    typed = _typed(lines, tbl, seq_mode)
+    """seq, sgn and the typed columns of one table's change records."""
+    typed = _typed(lines, tbl, seq_mode, tagless=on_error == "fail")
     cols = ["seq", "sgn", *OUTPUT_COLS[tbl]]
     reason = _reason_sql(tbl, strict_op, seq_mode)
     if on_error == "fail":
-        sgn = (
-            f"CASE WHEN ({reason}) IS NULL THEN sgn ELSE CAST(raise_error(concat("
-            f"'malformed change record (', {reason}, '): ', value)) AS INT) END AS sgn"
-        )
-        return typed.selectExpr("seq", sgn, *OUTPUT_COLS[tbl])
+        return checked(typed, f"CASE WHEN length(value) < 3 THEN 'short_line' ELSE ({reason}) END", cols)
     if on_error == "dead_letter":
         return typed.where(f"({reason}) IS NULL").select(*cols)
     raise ValueError(f"unknown on_error {on_error!r}")
 
 
+def checked(typed: DataFrame, reason: str, cols: list[str]) -> DataFrame:
+    """``cols`` of ``typed``; the job fails at a row with a ``reason``."""
+    row = ", ".join(f"'{c}', {c}" for c in cols)
+    bad = f"raise_error(concat('malformed change record (', {reason}, '): ', value))"
+    return typed.selectExpr(
+        f"inline(array(CASE WHEN ({reason}) IS NULL THEN named_struct({row}) ELSE {bad} END))"
+    )
+
+
 def _decoded(lines: DataFrame, strict_op: bool = False, seq_mode: str = SEQ_FIELD) -> DataFrame:
     """All lines in one pass: value, tbl, op, seq, sgn, every table's typed
     columns (computed only on lines of their own table, so no cast fails on

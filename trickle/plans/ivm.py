@@ -21,7 +21,9 @@ from trickle.plans.spec import Q3, Q3Spec
 def changes(lines: DataFrame, spec: Q3Spec = Q3, on_error: str = "fail",
             seq_mode: str = SEQ_FIELD) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Parsed and filtered change tables (lineitem, orders, customer).
-    ``seq_mode="position"`` reads the reference's format (no seq field)."""
+    ``seq_mode="position"`` reads the reference's format (no seq field);
+    ``on_error="dead_letter"`` leaves malformed records out instead of failing
+    (``operators.route.dead_letter`` gives them with their reasons)."""
     r: Routed = route(lines, on_error=on_error, seq_mode=seq_mode)
     return (
         filters.filter_lineitem(r.lineitem, spec),
@@ -31,9 +33,9 @@ def changes(lines: DataFrame, spec: Q3Spec = Q3, on_error: str = "fail",
 
 
 def view(lines: DataFrame, spec: Q3Spec = Q3, mode: str = "signed", keep_empty: bool = False,
-         seq_mode: str = SEQ_FIELD) -> DataFrame:
+         seq_mode: str = SEQ_FIELD, on_error: str = "fail") -> DataFrame:
     """l_orderkey, o_orderdate, o_shippriority, revenue, n after the whole feed."""
-    li, od, cu = changes(lines, spec, seq_mode=seq_mode)
+    li, od, cu = changes(lines, spec, on_error, seq_mode)
     if mode == "signed":
         return signed.final_view(li, od, cu, keep_empty=keep_empty)
     if mode == "recompute":
@@ -41,17 +43,20 @@ def view(lines: DataFrame, spec: Q3Spec = Q3, mode: str = "signed", keep_empty:
     raise ValueError(f"unknown mode {mode!r}")
 
 
-def deltas(lines: DataFrame, spec: Q3Spec = Q3, seq_mode: str = SEQ_FIELD) -> DataFrame:
+def deltas(lines: DataFrame, spec: Q3Spec = Q3, seq_mode: str = SEQ_FIELD,
+           on_error: str = "fail") -> DataFrame:
     """What join 2 emits: seq, l_orderkey, line, o_orderdate, o_shippriority, w, dv."""
-    li, od, cu = changes(lines, spec, seq_mode=seq_mode)
+    li, od, cu = changes(lines, spec, on_error, seq_mode)
     return signed.join2_deltas(li, signed.join1_deltas(od, cu))
 
 
-def changelog(lines: DataFrame, spec: Q3Spec = Q3, seq_mode: str = SEQ_FIELD) -> DataFrame:
+def changelog(lines: DataFrame, spec: Q3Spec = Q3, seq_mode: str = SEQ_FIELD,
+              on_error: str = "fail") -> DataFrame:
     """The reference's output: the running value after every delta."""
-    return signed.changelog(deltas(lines, spec, seq_mode))
+    return signed.changelog(deltas(lines, spec, seq_mode, on_error))
 
 
-def latest(lines: DataFrame, spec: Q3Spec = Q3, seq_mode: str = SEQ_FIELD) -> DataFrame:
+def latest(lines: DataFrame, spec: Q3Spec = Q3, seq_mode: str = SEQ_FIELD,
+           on_error: str = "fail") -> DataFrame:
     """Last running value of every group ever emitted (empty ones kept)."""
-    return signed.latest(deltas(lines, spec, seq_mode))
+    return signed.latest(deltas(lines, spec, seq_mode, on_error))
