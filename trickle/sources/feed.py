@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import hashlib
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -234,24 +235,41 @@ _MATERIALISED: dict[tuple[str, str, str], str] = {}
 def _exists(spark: SparkSession, path: str) -> bool:
     try:
         return len(spark.read.text(path).inputFiles()) > 0
-    except Exception:  # AnalysisException: path does not exist
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return False
 
 
+def _table_state(spark: SparkSession, sf_dir: str) -> str:
+    """Names, sizes and times of the files of the base tables: a feed of
+    tables that have been replaced since is not used again."""
+    names = [f"{sf_dir}/{t}.parquet" for t in ("customer", "orders", "lineitem")]
+    files = (
+        spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(names)
+        .select("path", "length", "modificationTime")
+    )
+    digest = files.agg(
+        F.count("*"), F.sum(F.col("length")), F.bit_xor(F.xxhash64("path", "length", "modificationTime"))
+    ).first()
+    return "|".join(map(str, digest))
+
+
 def materialize_feed(spark: SparkSession, sf_dir: str, variant: str = "clean") -> str:
     """Write the feed of ``sf_dir`` as change-log text files; return the folder.
 
     ``variant`` is ``clean`` (the feed), ``dirty`` (feed plus anomaly
     records) or ``reference`` (the feed without seq fields, lines in feed
-    order, as the reference reads it). The folder is keyed by the input path and the feed version and
-    is written once: a marker dataset is written after the data, and a folder
+    order, as the reference reads it). The folder is keyed by the input path, the state of its files and
+    the feed version, and is written once: a marker dataset is written after the data, and a folder
     with its marker is reused.
     """
     root = scratch_path(spark)
-    key = (root, sf_dir, variant)
+    state = _table_state(spark, sf_dir)
+    key = (root, sf_dir, f"{variant}|{state}")
     if key in _MATERIALISED:
         return _MATERIALISED[key]
-    digest = hashlib.sha1(f"{sf_dir}|{variant}|{FEED_VERSION}".encode()).hexdigest()[:16]
+    digest = hashlib.sha1(f"{sf_dir}|{variant}|{FEED_VERSION}|{state}".encode()).hexdigest()[:16]
     path = f"{root}/feeds/{variant}-{digest}"
     marker = f"{path}.done"
     if not _exists(spark, marker):
