@@ -2,12 +2,16 @@
 
     python -m trickle INPUT OUTPUT [--emit changelog|final] [--mode signed|recompute|stream]
                       [--date 1995-03-13] [--segment AUTOMOBILE] [--seq position|field]
+                      [--on-error fail|dead_letter] [--checkpoint DIR] [--follow]
 
 Like the reference's job (input path, output folder): reads the change-log
 text files under INPUT, replaces OUTPUT with result lines
 ``Order{orderKey=.., orderDate=.., shipPriority=.., revenue=..}`` — by
 default every running value (``changelog``), or the final view — and prints
-the elapsed time. On a cluster: ``spark-submit trickle/__main__.py INPUT
+the elapsed time. ``--mode stream`` reads the files under INPUT that its
+checkpoint has not seen (with ``--follow`` also those that arrive later) and
+adds to OUTPUT: result lines under ``lines/``, changelog rows under ``log/``, the
+state and view under ``state/``. On a cluster: ``spark-submit trickle/__main__.py INPUT
 OUTPUT`` with the package shipped (``--py-files``); the master and resources
 come from the submit options.
 """
@@ -19,10 +23,10 @@ import time
 
 from pyspark.sql import SparkSession
 
-from trickle.operators import filters, recompute, signed
-from trickle.operators.route import SEQ_FIELD, SEQ_POSITION, route
+from trickle.operators import recompute, signed
+from trickle.operators.route import SEQ_FIELD, SEQ_POSITION
+from trickle.plans import ivm
 from trickle.plans.spec import DEFAULT_DATE, DEFAULT_SEGMENT, Q3Spec
-from trickle.session import ensure_streaming_conf
 from trickle.sources import sink
 
 
@@ -37,6 +41,12 @@ def main(argv: list[str] | None = None) -> None:
     ap.add_argument("--seq", choices=[SEQ_FIELD, SEQ_POSITION], default=SEQ_POSITION,
                     help="position: the reference's format (order = file position); "
                          "field: seq is the last field of every record")
+    ap.add_argument("--on-error", choices=["fail", "dead_letter"], default="fail",
+                    help="dead_letter: malformed records are written beside the result "
+                         "(OUTPUT-dead-letter) instead of failing the job")
+    ap.add_argument("--checkpoint", help="stream mode: checkpoint folder; a used one is resumed")
+    ap.add_argument("--follow", action="store_true",
+                    help="stream mode: go on with files as they arrive, until stopped")
     args = ap.parse_args(argv)
 
     spark = SparkSession.builder.appName("trickle").getOrCreate()
@@ -45,16 +55,18 @@ def main(argv: list[str] | None = None) -> None:
     if args.mode == "stream":
         from trickle.streaming import q3_stream
 
-        if args.seq != SEQ_FIELD:
-            ap.error("--mode stream needs --seq field (no file positions in streaming plans)")
-        ensure_streaming_conf(spark)
-        result = q3_stream.run_lines(spark, spark.read.text(args.input), spec,
-                                     kind=args.emit, parts=1)
+        if not args.checkpoint:
+            ap.error("--mode stream needs --checkpoint: a folder that stays between runs")
+        query = q3_stream.start(
+            spark, args.input, args.checkpoint, args.output, spec, available_now=not args.follow,
+            seq_mode=args.seq, on_error=args.on_error, text=args.emit == "changelog",
+        )
+        query.awaitTermination()
+        if args.emit == "final":
+            sink.write_text(q3_stream.latest_view(spark, args.output), f"{args.output}/view")
     else:
-        r = route(spark.read.text(args.input), seq_mode=args.seq)
-        li = filters.filter_lineitem(r.lineitem, spec)
-        od = filters.filter_orders(r.orders, spec)
-        cu = filters.filter_customer(r.customer, spec)
+        r = ivm.staged(spark.read.text(args.input), spec, args.on_error, args.seq)
+        li, od, cu = r.lineitem, r.orders, r.customer
         if args.emit == "changelog":
             if args.mode != "signed":
                 ap.error("--emit changelog is computed by --mode signed")
@@ -63,7 +75,10 @@ def main(argv: list[str] | None = None) -> None:
             result = recompute.recompute_view(li, od, cu)
         else:
             result = signed.final_view(li, od, cu)
-    sink.write_text(result, args.output)
+        sink.write_text(result, args.output)
+        if args.on_error == "dead_letter":
+            dead = args.output.rstrip("/") + "-dead-letter"
+            r.dead_letter.write.mode("overwrite").json(dead)
     print(f"Job running time: {round((time.perf_counter() - start) * 1000)} milliseconds")
 
 

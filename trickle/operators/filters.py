@@ -3,7 +3,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trickle.plans.spec import Q3Spec
@@ -22,3 +22,13 @@ def filter_orders(od: DataFrame, spec: Q3Spec) -> DataFrame:
 def filter_customer(cu: DataFrame, spec: Q3Spec) -> DataFrame:
     """Case-sensitive segment equality."""
     return cu.where(F.col("c_mktsegment") == F.lit(spec.segment))  # a value, not SQL text
+
+
+def selections(spec: Q3Spec) -> dict[str, Column]:
+    """The three selections by table tag, for change rows of all tables in
+    one DataFrame."""
+    return {
+        "LI": F.expr(f"l_shipdate > DATE '{spec.date}'"),
+        "OR": F.expr(f"o_orderdate < DATE '{spec.date}'"),
+        "CU": F.col("c_mktsegment") == F.lit(spec.segment),
+    }

@@ -28,8 +28,9 @@ projection instead of one per sub-expression.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from trickle.functions import decode as D
 
@@ -242,30 +243,54 @@ def route(
 class StagedRouted(Routed):
     """Routed tables read back from ``stage``'s Parquet folders."""
 
-    def __init__(self, spark: SparkSession, path: str):
+    def __init__(self, spark: SparkSession, path: str, schema: StructType):
         super().__init__(None)  # type: ignore[arg-type]
-        self._spark, self._path = spark, path
+        self._spark, self._path, self._schema = spark, path, schema
 
     def _make(self, key: str) -> DataFrame:
-        staged = self._spark.read.parquet(self._path)
+        staged = self._spark.read.schema(self._schema).parquet(self._path)
         if key == "dead":
             return staged.where("part = '__dead__'").select("value", "tbl", "reason")
         return staged.where(f"part = '{key}'").select("seq", "sgn", *OUTPUT_COLS[key])
 
 
-def stage(spark: SparkSession, lines: DataFrame, path: str, strict_op: bool = False) -> Routed:
-    """Route once: one scan of the text and one write, Parquet partitioned by
-    table (``part=LI/OR/CU``, malformed lines in ``part=__dead__`` with their
-    text and reason). For very large feeds read by several queries: later
-    reads are columnar and pruned to one table's partition and columns."""
-    (
-        _decoded(lines, strict_op)
-        .selectExpr(
-            "CASE WHEN reason IS NULL THEN tbl ELSE '__dead__' END AS part",
-            "CASE WHEN reason IS NULL THEN NULL ELSE value END AS value",
-            "tbl", "reason", "seq", "sgn",
-            *[c for t in D.TAGS for c in OUTPUT_COLS[t]],
+def decoded_changes(lines: DataFrame, on_error: str = "fail", strict_op: bool = False,
+                    seq_mode: str = SEQ_FIELD) -> DataFrame:
+    """All change records in one pass over the text: part (the table's tag, or
+    ``__dead__`` for malformed records in ``dead_letter`` mode), value and
+    reason (of dead ones), seq, sgn and every table's columns. In ``fail``
+    mode a malformed record of a known table, or one too short to have a tag,
+    fails the job; unknown tags are dropped as in the reference."""
+    cols = ["seq", "sgn", *[c for t in D.TAGS for c in OUTPUT_COLS[t]]]
+    d = _decoded(lines, strict_op, seq_mode)
+    if on_error == "fail":
+        d = checked(d, "nullif(reason, 'unknown_tag')", ["reason", "tbl", *cols])
+        return d.where("reason IS NULL").selectExpr(
+            "tbl AS part", "CAST(NULL AS STRING) AS value", "tbl", "reason", *cols
         )
-        .write.mode("overwrite").partitionBy("part").parquet(path)
+    return d.selectExpr(
+        "CASE WHEN reason IS NULL THEN tbl ELSE '__dead__' END AS part",
+        "CASE WHEN reason IS NULL THEN NULL ELSE value END AS value",
+        "tbl", "reason", *cols,
     )
-    return StagedRouted(spark, path)
+
+
+def stage(spark: SparkSession, lines: DataFrame, path: str, strict_op: bool = False,
+          on_error: str = "dead_letter", seq_mode: str = SEQ_FIELD,
+          keep: dict[str, Column] | None = None) -> Routed:
+    """Route once: one scan of the text and one write, Parquet partitioned by
+    table (``part=LI/OR/CU``, malformed lines in ``part=__dead__`` with their
+    text and reason). Later reads are columnar and pruned to one table's
+    partition and columns. ``keep`` holds a condition per table; rows that
+    fail it are not written. Lines with their position (``_pos_seq``) are
+    taken as they are."""
+    if seq_mode == SEQ_POSITION and "_pos_seq" not in lines.columns:
+        lines = with_position_seq(lines)
+    d = decoded_changes(lines, on_error, strict_op, seq_mode)
+    if keep is not None:
+        wanted = F.col("part") == "__dead__"
+        for tag, condition in keep.items():
+            wanted = wanted | ((F.col("part") == tag) & condition)
+        d = d.where(wanted)
+    d.write.mode("overwrite").partitionBy("part").parquet(path)
+    return StagedRouted(spark, path, d.schema)

@@ -35,6 +35,14 @@ from trickle.operators.scan import running_sums
 from trickle.session import written
 
 J1_COLS = ["o_orderkey", "o_orderdate", "o_shippriority"]
+ITEM_COLS = ["l_orderkey", "line", "l_extendedprice", "l_discount"]
+# What tells the rows of each side apart in the reference's keyed state.
+KEYS = {
+    "customers": ["c_custkey"],
+    "orders": ["o_custkey", "o_orderkey"],
+    "joined": ["o_orderkey"],
+    "items": ["l_orderkey", "line"],
+}
 
 
 # --------------------------------------------------------------------------
@@ -42,19 +50,30 @@ J1_COLS = ["o_orderkey", "o_orderdate", "o_shippriority"]
 # --------------------------------------------------------------------------
 
 
-def live_intervals(changes: DataFrame, row: list[str], weight: str) -> DataFrame:
+def live_intervals(changes: DataFrame, row: list[str], weight: str,
+                   key: list[str] | None = None) -> DataFrame:
     """``row``, since, until, net: the stretches of ``seq`` in which the net
-    weight of a base row is not zero. ``until`` is NULL for the last one."""
-    by = Window.partitionBy(*row).orderBy("seq")
+    weight of a base row is not zero. ``until`` is NULL for the last one.
+
+    With ``key`` a row is *present* or not, as in the reference's keyed state:
+    the last change of the key decides, an insert replaces what was there, and
+    net is 1. On a well-formed feed that is the same."""
+    by = Window.partitionBy(*(key or row)).orderBy("seq")
     upto = by.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    net = F.sum(weight).over(upto) if key is None else F.when(F.col(weight) > 0, 1).otherwise(0)
     return changes.select(
-        *row,
-        F.col("seq").alias("since"),
-        F.lead("seq").over(by).alias("until"),
-        F.sum(weight).over(upto).alias("net"),
+        *row, F.col("seq").alias("since"), F.lead("seq").over(by).alias("until"), net.alias("net")
     ).where("net <> 0")
 
 
+def _after(before: DataFrame | None, changes: DataFrame, row: list[str], weight: str) -> DataFrame:
+    """``changes`` with the rows of ``before`` in front."""
+    if before is None:
+        return changes
+    cols = ["seq", *row, weight]
+    return before.select(*cols).unionAll(changes.select(*cols))
+
+
 def _meet(event: Column, other: DataFrame, at_start: bool) -> Column:
     """``event`` (a seq) lies in an interval of ``other``. Of a change on
     either side with one seq, exactly one meets the other: ``at_start`` says
@@ -64,13 +83,19 @@ def _meet(event: Column, other: DataFrame, at_start: bool) -> Column:
     return (other.since < event) & (other.until.isNull() | (event <= other.until))
 
 
-def join1_deltas(od: DataFrame, cu: DataFrame) -> DataFrame:
+def join1_deltas(od: DataFrame, cu: DataFrame, od_before: DataFrame | None = None,
+                 cu_before: DataFrame | None = None, present: bool = False) -> DataFrame:
     """seq, o_orderkey, o_orderdate, o_shippriority, w: what join 1 emits.
 
     An order change meets the customer's net weight at its time; a customer
-    change meets the orders that are live at its time."""
-    customers = live_intervals(cu, ["c_custkey", "c_mktsegment"], "sgn")
-    orders = live_intervals(od, ["o_custkey", *J1_COLS], "sgn")
+    change meets the orders that are live at its time. ``od_before`` and
+    ``cu_before`` are changes (or net rows with an earlier ``seq``) that count
+    as state but emit nothing; ``present``: see ``live_intervals``."""
+    customer, order = ["c_custkey", "c_mktsegment"], ["o_custkey", *J1_COLS]
+    keys = KEYS if present else {}
+    customers = live_intervals(
+        _after(cu_before, cu, customer, "sgn"), customer, "sgn", keys.get("customers"))
+    orders = live_intervals(_after(od_before, od, order, "sgn"), order, "sgn", keys.get("orders"))
     by_order = od.join(
         customers, (od.o_custkey == customers.c_custkey) & _meet(od.seq, customers, True)
     ).selectExpr("seq", *J1_COLS, "CAST(sgn * net AS INT) AS w")
@@ -152,18 +177,21 @@ def final_view(li: DataFrame, od: DataFrame, cu: DataFrame, keep_empty: bool = F
     return out if keep_empty else out.where("n > 0")
 
 
-def join2_deltas(li: DataFrame, j1: DataFrame) -> DataFrame:
+def join2_deltas(li: DataFrame, j1: DataFrame, li_before: DataFrame | None = None,
+                 j1_before: DataFrame | None = None, present: bool = False) -> DataFrame:
     """seq, l_orderkey, line, o_orderdate, o_shippriority, w, dv: what join 2
     emits, one row per (event, lineitem).
 
     A lineitem change meets the order's net weight at its time; a join-1
     delta meets the lineitem rows that are live at its time. ``dv`` is the
     exact DECIMAL revenue delta (w * price * (1 - discount)). The join-1
-    deltas are read twice, so they are written once."""
+    deltas are read twice, so they are written once. ``li_before`` and
+    ``j1_before`` and ``present`` as in ``join1_deltas``."""
     j1 = written(j1, "join1-deltas")
-    orders = live_intervals(j1, J1_COLS, "w")
-    item = ["l_orderkey", "line", "l_extendedprice", "l_discount"]
-    items = live_intervals(li, item, "sgn")
+    keys = KEYS if present else {}
+    orders = live_intervals(_after(j1_before, j1, J1_COLS, "w"), J1_COLS, "w", keys.get("joined"))
+    items = live_intervals(
+        _after(li_before, li, ITEM_COLS, "sgn"), ITEM_COLS, "sgn", keys.get("items"))
     out = [
         "seq", "l_orderkey", "line", "o_orderdate", "o_shippriority", "CAST(w AS INT) AS w",
         f"w * {REVENUE_SQL} AS dv",

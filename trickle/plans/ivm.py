@@ -14,8 +14,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from trickle.operators import filters, recompute, signed
-from trickle.operators.route import SEQ_FIELD, Routed, route
+from trickle.operators.route import SEQ_FIELD, Routed, stage
 from trickle.plans.spec import Q3, Q3Spec
+from trickle.session import scratch_path
 
 
 def changes(lines: DataFrame, spec: Q3Spec = Q3, on_error: str = "fail",
@@ -23,13 +24,19 @@ def changes(lines: DataFrame, spec: Q3Spec = Q3, on_error: str = "fail",
     """Parsed and filtered change tables (lineitem, orders, customer).
     ``seq_mode="position"`` reads the reference's format (no seq field);
     ``on_error="dead_letter"`` leaves malformed records out instead of failing
-    (``operators.route.dead_letter`` gives them with their reasons)."""
-    r: Routed = route(lines, on_error=on_error, seq_mode=seq_mode)
-    return (
-        filters.filter_lineitem(r.lineitem, spec),
-        filters.filter_orders(r.orders, spec),
-        filters.filter_customer(r.customer, spec),
-    )
+    (``staged(...).dead_letter`` gives them with their reasons)."""
+    r = staged(lines, spec, on_error, seq_mode)
+    return r.lineitem, r.orders, r.customer
+
+
+def staged(lines: DataFrame, spec: Q3Spec = Q3, on_error: str = "fail",
+           seq_mode: str = SEQ_FIELD) -> Routed:
+    """The change tables after the three selections, and the dead letter: the
+    text is read once, and what the query needs of it is written as Parquet
+    by table in the shared folder."""
+    spark = lines.sparkSession
+    path = scratch_path(spark, "changes", unique=True)
+    return stage(spark, lines, path, on_error=on_error, seq_mode=seq_mode, keep=filters.selections(spec))
 
 
 def view(lines: DataFrame, spec: Q3Spec = Q3, mode: str = "signed", keep_empty: bool = False,

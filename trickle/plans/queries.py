@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 from trickle.functions import decode as D
 from trickle.functions.measures import revenue, to_double
 from trickle.operators import filters, quality, recompute, signed
-from trickle.operators.route import Routed, route
+from trickle.operators.route import Routed, decoded_changes, route
+from trickle.plans import ivm
 from trickle.operators.static_q3 import q3_static
 from trickle.plans.spec import Q3, Q3_1998, Q3Spec
 from trickle.session import scratch_path
@@ -43,12 +44,7 @@ def routed(spark: SparkSession, sf_dir: str, variant: str = "clean", on_error: s
 
 
 def filtered(spark: SparkSession, sf_dir: str, spec: Q3Spec) -> tuple[DataFrame, DataFrame, DataFrame]:
-    r = routed(spark, sf_dir)
-    return (
-        filters.filter_lineitem(r.lineitem, spec),
-        filters.filter_orders(r.orders, spec),
-        filters.filter_customer(r.customer, spec),
-    )
+    return ivm.changes(feed_text(spark, sf_dir), spec)
 
 
 def _money_out(df: DataFrame, cols: list[str]) -> DataFrame:
@@ -98,20 +94,13 @@ def decode_op(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def route_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = routed(spark, sf_dir)
-
-    def counts(df: DataFrame, tag: str, key: str) -> DataFrame:
-        return df.agg(
-            F.lit(tag).alias("tbl"),
-            F.count("*").alias("n"),
-            F.min(key).alias("min_key"),
-            F.max(key).alias("max_key"),
-        )
-
+    """One pass over the text: every record is decoded with its own table's
+    columns, of which it has one key."""
+    key = F.coalesce("l_orderkey", "o_orderkey", "c_custkey")
     return (
-        counts(r.customer, "CU", "c_custkey")
-        .unionByName(counts(r.orders, "OR", "o_orderkey"))
-        .unionByName(counts(r.lineitem, "LI", "l_orderkey"))
+        decoded_changes(feed_text(spark, sf_dir))
+        .groupBy(F.col("part").alias("tbl"))
+        .agg(F.count("*").alias("n"), F.min(key).alias("min_key"), F.max(key).alias("max_key"))
     )
 
 
@@ -187,10 +176,7 @@ def ivm_q3_final(spark: SparkSession, sf_dir: str, spec: Q3Spec = Q3) -> DataFra
 def ivm_q3_final_positional(spark: SparkSession, sf_dir: str, spec: Q3Spec = Q3) -> DataFrame:
     """The flagship over the feed in the reference's own format: no seq
     field, the order of the feed is the order of the lines."""
-    r = route(feed_text(spark, sf_dir, "reference"), seq_mode="position")
-    li = filters.filter_lineitem(r.lineitem, spec)
-    od = filters.filter_orders(r.orders, spec)
-    cu = filters.filter_customer(r.customer, spec)
+    li, od, cu = ivm.changes(feed_text(spark, sf_dir, "reference"), spec, seq_mode="position")
     return signed.final_view(li, od, cu)
 
 

@@ -80,13 +80,6 @@ def cluster_settings(
     }
 
 
-def ensure_streaming_conf(spark: SparkSession) -> None:
-    """transformWithState needs the RocksDB state store provider."""
-    key = "spark.sql.streaming.stateStore.providerClass"
-    if spark.conf.get(key, None) != STATE_STORE_PROVIDER:
-        spark.conf.set(key, STATE_STORE_PROVIDER)
-
-
 def shared_dir(spark: SparkSession) -> str:
     """Root of the shared working folder, from ``spark.checkpoint.dir``.
 

@@ -33,10 +33,15 @@ def write_text(df: DataFrame, path: str) -> None:
 
 
 def read_text_result(spark: SparkSession, path: str) -> DataFrame:
-    """Parse result lines written by ``write_text`` back into columns."""
+    """Parse result lines written by ``write_text`` back into columns; any
+    other line is an error."""
     v = F.col("value")
-    g = lambda i: F.regexp_extract(v, LINE_PATTERN, i)
-    return spark.read.text(path).where(v.rlike(LINE_PATTERN)).select(
+    bad = F.raise_error(F.concat(F.lit("not a result line: "), v))
+
+    def g(i: int) -> Column:
+        return F.when(v.rlike(LINE_PATTERN), F.regexp_extract(v, LINE_PATTERN, i)).otherwise(bad)
+
+    return spark.read.text(path).select(
         g(1).cast("bigint").alias("l_orderkey"),
         g(2).cast("date").alias("o_orderdate"),
         g(3).cast("int").alias("o_shippriority"),

@@ -1,115 +1,188 @@
 """Continuous Q3 (M3): Structured Streaming over change-log text files.
 
-    readStream.text -> decode/route/parse -> filters
-      -> [orders u customer]  groupBy(custkey).transformWithState  (join 1)
-      -> [lineitem u join-1]  groupBy(orderkey).transformWithState (join 2 + sum)
-      -> foreachBatch: changelog rows to Parquet, one folder per batch id
-
-The sink is idempotent: a re-run batch overwrites its own ``batch_id``
-folder, so a batch retried after executor loss leaves no duplicates. State
-lives in the RocksDB state store and is checkpointed per micro-batch in the
-shared folder, so the query resumes where it stopped.
-
-Order: a micro-batch's rows are sorted by ``seq`` per key inside the
-processors; across micro-batches the input files must follow the feed, so
-``feed_in_order`` appends seq ranges one after another and each range is
-consumed before the next is written.
+    readStream.text -> foreachBatch: decode/route/parse and filter in one pass
+      -> join-1 deltas, join-2 deltas, running sums (operators.signed)
+         against the net rows kept from earlier batches
+      -> changelog rows, the new net rows, the maintained view
+
+A micro-batch is a batch of DataFrame work: its changes meet each other in
+``seq`` order, and the net rows of earlier batches as rows that come before.
+All of it runs in the JVM, hot keys are split as in the batch mode, and no
+state is held in Python.
+
+State: four tables of net rows (customers, orders, join-1 rows, lineitems) and
+the view, as Parquet in two slots that take turns. Batch k reads the slot of
+batch k - 1 and replaces the other one, its ``done`` marker last; its
+changelog rows go to ``log/batch_id=k``. So a batch that is run again after a
+failure reads what it read before and replaces what it wrote. Rows that have
+gone leave the state, which is bounded by the live rows.
+
+``state="present"`` keeps rows as the reference's keyed state does (the last
+change of a key decides). That needs the feed's order, so a micro-batch with a
+``seq`` not beyond all earlier ones is an error. ``state="net"`` keeps signed
+weights: the view is a sum of sign products and does not depend on the order
+of batches, so late files are taken, and change the running values from then
+on. The two agree on well-formed feeds.
 """
 
 from __future__ import annotations
 
-import contextlib
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trickle.functions import decode as D
-from trickle.operators import filters
-from trickle.operators.route import route
+from trickle.operators import filters, signed
+from trickle.operators.route import SEQ_FIELD, SEQ_POSITION, stage
+from trickle.operators.scan import running_sums
 from trickle.plans.spec import Q3, Q3Spec
-from trickle.session import ensure_streaming_conf, scratch_path
+from trickle.session import scratch_path, written
+from trickle.sources import sink
 from trickle.sources.feed import materialize_feed
-from trickle.streaming.processors import (
-    CHANGELOG,
-    CUSTOMER_SIDE,
-    J1_OUTPUT,
-    JOIN1_SIDE,
-    LINEITEM_SIDE,
-    ORDER_SIDE,
-    LineitemOrderSum,
-    OrderCustomerJoin,
-)
-
-
-def build_stream(lines: DataFrame, spec: Q3Spec = Q3) -> DataFrame:
-    """Streaming changelog DataFrame (schema ``CHANGELOG``) from streaming lines."""
-    r = route(lines, on_error="fail")
-    li = filters.filter_lineitem(r.lineitem, spec)
-    od = filters.filter_orders(r.orders, spec)
-    cu = filters.filter_customer(r.customer, spec)
-
-    j1_in = od.select(
-        F.lit(ORDER_SIDE).alias("src"), "seq", "sgn", F.col("o_custkey").alias("custkey"),
-        "o_orderkey", "o_orderdate", "o_shippriority",
-    ).unionByName(
-        cu.select(F.lit(CUSTOMER_SIDE).alias("src"), "seq", "sgn",
-                  F.col("c_custkey").alias("custkey")),
-        allowMissingColumns=True,
-    )
-    j1 = j1_in.groupBy("custkey").transformWithState(
-        OrderCustomerJoin(), J1_OUTPUT, "Append", "None"
-    )
-    j2_in = li.select(
-        F.lit(LINEITEM_SIDE).alias("src"), "seq", "sgn", F.col("l_orderkey").alias("orderkey"),
-        "line", "l_extendedprice", "l_discount",
-    ).unionByName(
-        j1.select(F.lit(JOIN1_SIDE).alias("src"), "seq", F.col("w").alias("sgn"),
-                  F.col("o_orderkey").alias("orderkey"), "o_orderdate", "o_shippriority"),
-        allowMissingColumns=True,
-    )
-    return j2_in.groupBy("orderkey").transformWithState(
-        LineitemOrderSum(), CHANGELOG, "Append", "None"
+
+# Net rows kept between batches: columns of the row, and of its weight.
+STATE = {
+    "customers": (["c_custkey", "c_mktsegment"], "sgn"),
+    "orders": (["o_custkey", *signed.J1_COLS], "sgn"),
+    "joined": (signed.J1_COLS, "w"),
+    "items": (signed.ITEM_COLS, "sgn"),
+}
+VIEW = ["l_orderkey", "o_orderdate", "o_shippriority"]
+VIEW_SCHEMA = "l_orderkey bigint, o_orderdate date, o_shippriority int, rev decimal(38,8), n bigint"
+
+
+def _first(seq_mode: str) -> Column:
+    """A ``seq`` before that of any change."""
+    if seq_mode == SEQ_FIELD:
+        return F.lit(-(1 << 63)).cast("bigint")
+    return F.struct(
+        F.lit("").alias("file"), F.lit(-1).cast("bigint").alias("block"), F.lit(-1).cast("bigint").alias("row")
     )
 
 
-def _batch_writer(out_path: str):
-    def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out_path}/batch_id={batch_id}")
+def _slot(out_path: str, batch_id: int) -> str:
+    return f"{out_path}/state/slot={batch_id % 2}"
+
 
-    return write
+def _left(rows: DataFrame, row: list[str], weight: str, key: list[str] | None) -> DataFrame:
+    """What is left of ``rows`` (seq, row, weight): net weights, or the last
+    row of each key if that is an insert."""
+    if key is None:
+        return rows.groupBy(*row).agg(F.sum(weight).cast("bigint").alias(weight)).where(f"{weight} <> 0")
+    last = rows.groupBy(*key).agg(F.max_by(F.struct(*row, weight), "seq").alias("_row"))
+    return last.select(*[f"_row.{c}" for c in row], F.col(f"_row.{weight}").cast("bigint").alias(weight)).where(
+        f"{weight} > 0")
 
 
-@contextlib.contextmanager
-def state_partitions(spark: SparkSession, n: int | None):
-    """Number of state-store partitions for queries started inside.
+def _check_order(spark: SparkSession, changes: list[DataFrame], old: str, batch_id: int) -> int | None:
+    """The last ``seq`` so far; an error if the batch goes back before the
+    one that earlier batches reached."""
+    ends = None
+    for c in changes:
+        part = c.select("seq")
+        ends = part if ends is None else ends.unionAll(part)
+    low, high = ends.agg(F.min("seq"), F.max("seq")).first()
+    before = None if batch_id == 0 else spark.read.parquet(f"{old}/done").first().last_seq
+    if before is not None and low is not None and low <= before:
+        raise ValueError(
+            f"late change: seq {low} arrived after {before}; feed files in order, or use state='net'"
+        )
+    return max((x for x in (before, high) if x is not None), default=None)
 
-    A stateful query fixes its partition count (``spark.sql.shuffle.partitions``)
-    in its checkpoint at the first start; every partition is a state store
-    opened in every micro-batch. The default is twice the cluster's
-    parallelism, so it grows with the cluster, not a fixed 200."""
-    key = "spark.sql.shuffle.partitions"
-    n = n or 2 * spark.sparkContext.defaultParallelism
-    old = spark.conf.get(key, None)
-    spark.conf.set(key, str(n))
-    try:
-        yield
-    finally:
-        if old is None:
-            spark.conf.unset(key)
-        else:
-            spark.conf.set(key, old)
+
+def _batch_job(out_path: str, spec: Q3Spec = Q3, seq_mode: str = SEQ_FIELD, on_error: str = "fail",
+               text: bool = False, state: str = "present") -> Callable[[DataFrame, int], None]:
+    if state not in ("present", "net"):
+        raise ValueError(f"unknown state {state!r}")
+    present = state == "present"
+
+    def run(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        lines = batch
+        if seq_mode == SEQ_POSITION:
+            lines = batch.select(
+                "value", F.struct("file", "block", F.monotonically_increasing_id().alias("row")).alias("_pos_seq")
+            )
+        path = f"{out_path}/changes/slot={batch_id % 2}"
+        r = stage(spark, lines, path, on_error=on_error, seq_mode=seq_mode, keep=filters.selections(spec))
+        changes = {"customers": r.customer, "orders": r.orders, "items": r.lineitem}
+        old = _slot(out_path, batch_id - 1)
+        last_seq = None
+        if present and seq_mode == SEQ_FIELD:
+            last_seq = _check_order(spark, list(changes.values()), old, batch_id)
+
+        def before(name: str, like: DataFrame) -> DataFrame | None:
+            """Net rows of earlier batches, as changes at an earlier seq."""
+            if batch_id == 0:
+                return None
+            row, weight = STATE[name]
+            schema = like.select(*row).schema.add(weight, "long")
+            kept = spark.read.schema(schema).parquet(f"{old}/{name}")
+            return kept.select(_first(seq_mode).alias("seq"), *row, weight)
+
+        kept = {name: before(name, c) for name, c in changes.items()}
+        changes["joined"] = j1 = written(
+            signed.join1_deltas(changes["orders"], changes["customers"], kept["orders"], kept["customers"],
+                                present),
+            "join1-batch",
+        )
+        kept["joined"] = before("joined", j1)
+        deltas = written(
+            signed.join2_deltas(changes["items"], j1, kept["items"], kept["joined"], present), "deltas-batch"
+        )
+        totals = spark.createDataFrame([], VIEW_SCHEMA) if batch_id == 0 else (
+            spark.read.schema(VIEW_SCHEMA).parquet(f"{old}/view")
+        )
+
+        base = totals.groupBy("l_orderkey").agg(F.sum("rev").alias("_rev0"), F.sum("n").alias("_n0"))
+        sums = running_sums(deltas, ["l_orderkey"], ["seq", "line"], {"_rev": "dv", "_n": "w"})
+        log = sums.join(written(base, "view-base"), "l_orderkey", "left").select(
+            "seq", "l_orderkey", "line", "o_orderdate", "o_shippriority",
+            F.expr("CAST(_rev + coalesce(_rev0, 0) AS DOUBLE)").alias("revenue"),
+            F.expr("CAST(_n + coalesce(_n0, 0) AS BIGINT)").alias("n"),
+        )
+        log.write.mode("overwrite").parquet(f"{out_path}/log/batch_id={batch_id}")
+        if text:
+            done = spark.read.schema(log.schema).parquet(f"{out_path}/log/batch_id={batch_id}")
+            sink.write_text(done, f"{out_path}/lines/batch_id={batch_id}")
+
+        new = _slot(out_path, batch_id)
+        for name, (row, weight) in STATE.items():
+            now = changes[name].select("seq", *row, weight)
+            if kept[name] is not None:
+                now = kept[name].select("seq", *row, weight).unionAll(now)
+            key = signed.KEYS[name] if present else None
+            _left(now, row, weight, key).write.mode("overwrite").parquet(f"{new}/{name}")
+        view = totals.unionAll(deltas.selectExpr(*VIEW, "CAST(dv AS DECIMAL(38,8))", "CAST(w AS BIGINT)"))
+        view = view.groupBy(*VIEW).agg(
+            F.sum("rev").cast("decimal(38,8)").alias("rev"), F.sum("n").cast("bigint").alias("n")
+        )
+        view.where("n <> 0 OR rev <> 0").write.mode("overwrite").parquet(f"{new}/view")
+        done = spark.createDataFrame([(batch_id, last_seq)], "batch_id bigint, last_seq bigint")
+        done.coalesce(1).write.mode("overwrite").parquet(f"{new}/done")
+
+    return run
 
 
 def start(spark: SparkSession, in_path: str, ckpt: str, out_path: str, spec: Q3Spec = Q3,
-          available_now: bool = True, max_files: int | None = None):
-    """Start the continuous query over the text files arriving in ``in_path``."""
-    ensure_streaming_conf(spark)
+          available_now: bool = True, max_files: int | None = None, seq_mode: str = SEQ_FIELD,
+          on_error: str = "fail", text: bool = False, state: str = "present"):
+    """Start the continuous query over the text files arriving in ``in_path``;
+    on a checkpoint that has been used it goes on where it stopped. ``text``
+    also writes the changelog as result lines (``lines/``)."""
     reader = spark.readStream.format("text")
     if max_files:
         reader = reader.option("maxFilesPerTrigger", str(max_files))
-    changes = build_stream(reader.load(in_path), spec)
+    lines = reader.load(in_path)
+    if seq_mode == SEQ_POSITION:  # the reference's format
+        lines = lines.select(
+            "value", F.col("_metadata.file_path").alias("file"),
+            F.col("_metadata.file_block_start").alias("block"),
+        )
     w = (
-        changes.writeStream.foreachBatch(_batch_writer(out_path))
+        lines.writeStream.foreachBatch(_batch_job(out_path, spec, seq_mode, on_error, text, state))
         .option("checkpointLocation", ckpt)
     )
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="1 second")
@@ -138,29 +211,36 @@ def feed_in_order(spark: SparkSession, lines: DataFrame, parts: int) -> list[Dat
 
 def read_changelog(spark: SparkSession, out_path: str) -> DataFrame:
     """The stream's changelog rows in the batch twin's columns."""
-    return spark.read.parquet(out_path).select(
-        "seq", "l_orderkey", "line", "o_orderdate", "o_shippriority",
-        F.col("revenue_dec").cast("double").alias("revenue"), "n",
+    return spark.read.parquet(f"{out_path}/log").select(
+        "seq", "l_orderkey", "line", "o_orderdate", "o_shippriority", "revenue", "n"
     )
 
 
+def current_slot(spark: SparkSession, out_path: str) -> str | None:
+    """The state slot of the last batch that was completed."""
+    found = []
+    for slot in (0, 1):
+        path = _slot(out_path, slot)
+        try:
+            found += [(r.batch_id, path) for r in spark.read.parquet(f"{path}/done").collect()]
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+    return max(found)[1] if found else None
+
+
 def latest_view(spark: SparkSession, out_path: str) -> DataFrame:
-    """Final view from the changelog: the last row per order key by
-    (seq, line) is its current value (an upsert by key); live iff n > 0."""
-    last = (
-        spark.read.parquet(out_path)
-        .groupBy("l_orderkey")
-        .agg(F.max_by(F.struct("o_orderdate", "o_shippriority", "revenue_dec", "n"),
-                      F.struct("seq", "line")).alias("v"))
+    """The maintained view after the last completed batch."""
+    slot = current_slot(spark, out_path)
+    view = (
+        spark.createDataFrame([], VIEW_SCHEMA) if slot is None
+        else spark.read.schema(VIEW_SCHEMA).parquet(f"{slot}/view")
     )
-    return last.select(
-        "l_orderkey", "v.o_orderdate", "v.o_shippriority",
-        F.col("v.revenue_dec").cast("double").alias("revenue"), F.col("v.n").alias("n"),
-    ).where(F.col("n") > 0)
+    return view.where("n > 0").select(*VIEW, F.col("rev").cast("double").alias("revenue"), "n")
 
 
 def run_lines(spark: SparkSession, lines: DataFrame, spec: Q3Spec = Q3, kind: str = "final",
-              parts: int = 3, base: str | None = None) -> DataFrame:
+              parts: int = 3, base: str | None = None, on_error: str = "fail") -> DataFrame:
     """Feed ``lines`` to the continuous query in ``parts`` seq-ordered steps
     (each one an ``availableNow`` run that resumes from the checkpoint of the
     one before, as after a restart) and return its result: the ``final`` view
@@ -169,9 +249,8 @@ def run_lines(spark: SparkSession, lines: DataFrame, spec: Q3Spec = Q3, kind: st
     in_path, ckpt, out_path = f"{base}/in", f"{base}/ckpt", f"{base}/out"
     for chunk in feed_in_order(spark, lines, parts):
         chunk.write.mode("append").text(in_path)
-        with state_partitions(spark, None):
-            q = start(spark, in_path, ckpt, out_path, spec)
-            q.awaitTermination()
+        q = start(spark, in_path, ckpt, out_path, spec, on_error=on_error)
+        q.awaitTermination()
         if q.exception() is not None:
             raise RuntimeError(f"stream failed: {q.exception()}")
     if kind == "changelog":
