@@ -221,11 +221,15 @@ def test_quality_rules_of_nothing(spark):
 
 
 def test_substring_dedup(spark):
-    got = recompression.drop_repeats(data.documents(spark)).collect()
+    got = recompression.find_repeats(data.documents(spark)).collect()
     want = data.removed_words(data.rows(spark))
     assert Counter((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got) == Counter(want)
     assert sum(x[2] for x in want) > 200
-    assert recompression.drop_repeats(data.nothing(spark)).collect() == []
+    assert recompression.find_repeats(data.nothing(spark)).collect() == []
+    out = recompression.drop_repeats(data.documents(spark))
+    assert out.columns == data.documents(spark).columns
+    left = Counter((r.doc_id, len(data.WORD.findall(r.text or ""))) for r in out.collect())
+    assert left == Counter((d, n - lost) for d, n, lost, _ in want)
 
 
 @pytest.mark.parametrize("seed", range(10))

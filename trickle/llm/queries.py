@@ -49,7 +49,7 @@ def op5_quality_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
-    return recompression.drop_repeats(docs).drop("kept")
+    return recompression.find_repeats(docs).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,22 +7,23 @@ leaves the rest. Names are 64-bit hashes of what they stand for, so every task
 gives equal strings equal names with nothing to exchange. Whether symbols are
 joined depends on them and their neighbours only: equal passages get the same
 symbols but for a few at either end. So a window of WINDOW words has an
-*interior* that is the same wherever the window stands, and its least symbol
-by hash, at the highest round that has an interior, is its anchor. About one
-word in 17 starts a new anchor.
+*interior* that is the same wherever the window stands. Its anchor is the
+phrase of PHRASE symbols with the least hash there, at the highest round whose
+interior has one. About one word in 16 starts a new anchor.
 
-1. Anchors (symbol, document) are grouped by symbol: windows that occur in
+1. Anchors (phrase, document) are grouped by phrase: windows that occur in
    two documents have an anchor that does, too.
 2. Of documents with shared anchors, windows at shared anchors are verified
    by a 96-bit hash of all their words: the least doc_id of every such window
    is found, and a window with a smaller one is marked.
 3. Marked windows go back to their documents, which drop the words covered.
 
-Documents whose whole word sequence stands in a smaller doc_id are settled
-before step 1 (all their windows are marked). Groupings of steps 1 and 2
-aggregate before the exchange and join back through plain exchanges that
-adaptive execution splits, so neither a passage nor a text that very many
-documents share meets in one task.
+Documents whose whole word sequence stands in a smaller doc_id lose all words
+of their windows and skip step 2. Only documents with shared anchors have
+their texts exchanged a second time, and texts are exchanged compressed.
+Groupings of steps 1 and 2 aggregate before the exchange and join back through
+plain exchanges that adaptive execution splits, so neither a passage nor a
+text that very many documents share meets in one task.
 
 Defined cases: null text has no words; texts shorter than a window lose
 nothing; a document with null doc_id neither loses words nor makes others lose
@@ -43,7 +44,8 @@ from pyspark.sql import functions as F
 from trickle.llm.common import slices, stage
 
 WINDOW = 50
-ROUNDS = 4
+ROUNDS = 3
+PHRASE = 4
 U = np.uint64
 
 
@@ -102,7 +104,7 @@ def _least(keys: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def window_anchors(sym: np.ndarray, doc: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
-    """Start of every window (within one document) and its anchor symbol.
+    """Start of every window (within one document) and its anchor phrase.
 
     ``sym`` holds word hashes of several documents, ``doc`` their numbers.
     """
@@ -130,10 +132,13 @@ def window_anchors(sym: np.ndarray, doc: np.ndarray, window: int = WINDOW) -> tu
     todo = np.ones(len(start), bool)
     for level in range(ROUNDS, -1, -1):
         s, x, y = levels[level]
-        now = np.flatnonzero(todo & (y > x))
+        now = np.flatnonzero(todo & (y - x >= PHRASE))
         if len(now):
-            at = _least(mix(s + U(level)), x[now], y[now])
-            anchor[now] = mix(s[at] + U(level))
+            phrase = s[: len(s) - PHRASE + 1]
+            for i in range(1, PHRASE):
+                phrase = mix(phrase * U(0x9E3779B97F4A7C15) + s[i : len(s) - PHRASE + 1 + i])
+            phrase = mix(phrase + U(level))
+            anchor[now] = phrase[_least(phrase, x[now], y[now] - (PHRASE - 1))]
             todo[now] = False
     return start, anchor
 
@@ -168,147 +173,185 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 
 def parse(docs: DataFrame) -> DataFrame:
-    """Rows (kind, rid, doc_id, a, b): kind 0, one per document, with 128 bits
-    of its word sequence; kind 1, its anchors, with the symbol in a."""
+    """Rows of two kinds, told apart by ``phrase``. Null: one per document,
+    with n_words and the SHA-256 of its words joined by a space. Not null: its
+    anchors."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for b in slices(whole, "text", 2 << 20):
                 words, sym, doc = words_of(b.column("text").to_pylist())
-                digest = b"".join(hashlib.md5(b" ".join(w)).digest() for w in words)
-                key = np.frombuffer(digest, "<i8").reshape(-1, 2)
                 start, anchor = window_anchors(sym, doc)
                 at = doc[start]
                 new = np.ones(len(at), bool)
                 new[1:] = (at[1:] != at[:-1]) | (anchor[1:] != anchor[:-1])
                 at, anchor = at[new], anchor[new]
-                row = np.concatenate([np.arange(b.num_rows), at])
-                kind = np.repeat(np.array([0, 1], np.int8), [b.num_rows, len(at)])
-                take = pa.array(row)
+                n = b.num_rows
+                take = pa.array(np.concatenate([np.arange(n), at]))
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(kind), b.column("rid").take(take), b.column("doc_id").take(take),
-                        pa.array(np.concatenate([key[:, 0], anchor.view(np.int64)])),
-                        pa.array(np.concatenate([key[:, 1], np.zeros(len(at), np.int64)])),
+                        b.column("rid").take(take), b.column("doc_id").take(take),
+                        pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(anchor.view(np.int64))]),
+                        pa.array([len(w) for w in words] + [None] * len(at), pa.int64()),
+                        pa.array(
+                            [hashlib.sha256(b" ".join(w)).digest() for w in words] + [None] * len(at),
+                            pa.binary(),
+                        ),
                     ],
-                    ["kind", "rid", "doc_id", "a", "b"],
+                    ["rid", "doc_id", "phrase", "n_words", "sha"],
                 )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return keyed(docs).mapInArrow(run, f"kind byte, rid long, doc_id {kind}, a long, b long")
+    return keyed(docs).mapInArrow(run, f"rid long, doc_id {kind}, phrase long, n_words long, sha binary")
 
 
-def windows_at(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Windows of ``docs`` whose anchor is among its symbols in ``wanted``
-    (rid, symbols): (h1, h2, rid, doc_id, start)."""
+def compressed(docs: DataFrame) -> DataFrame:
+    """rid, doc_id and the text, compressed, for an exchange."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        pack = zstandard.ZstdCompressor(level=3).compress
         for whole in batches:
-            for b in slices(whole, "text", 2 << 20):
-                _, sym, doc = words_of(b.column("text").to_pylist())
-                start, anchor = window_anchors(sym, doc)
-                lists = b.column("symbols")
-                per_doc = np.diff(lists.offsets.to_numpy())
-                symbols = lists.flatten().to_numpy().view(np.uint64)
-                salt = mix(np.arange(b.num_rows, dtype=np.uint64) + U(1))
-                asked = np.repeat(salt, per_doc) ^ symbols
-                start = start[np.isin(salt[doc[start]] ^ anchor, asked)]
-                h1, h2 = window_hashes(sym, start)
-                at = doc[start]
-                first = np.searchsorted(doc, np.arange(b.num_rows))
-                take = pa.array(at)
+            for b in slices(whole, "text", 4 << 20):
+                packed = [pack(t) for t in b.column("text").to_pylist()]
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(h1), pa.array(h2), b.column("rid").take(take),
-                        b.column("doc_id").take(take), pa.array((start - first[at]).astype(np.int32)),
-                    ],
-                    ["h1", "h2", "rid", "doc_id", "start"],
+                    [b.column("rid"), b.column("doc_id"), pa.array(packed, pa.binary())],
+                    ["rid", "doc_id", "packed"],
                 )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return (
-        keyed(docs).join(wanted, "rid").select("rid", "doc_id", "text", "symbols")
-        .mapInArrow(run, f"h1 long, h2 int, rid long, doc_id {kind}, start int")
-    )
+    return keyed(docs).where("text IS NOT NULL").mapInArrow(run, f"rid long, doc_id {kind}, packed binary")
+
+
+def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """Parts of batches with their texts."""
+    import zstandard
+
+    unpack = zstandard.ZstdDecompressor().decompress
+    for whole in batches:
+        for b in slices(whole, "packed", 1 << 20):
+            yield b, [unpack(p) for p in b.column("packed").to_pylist()]
+
+
+def windows_at(texts: DataFrame) -> DataFrame:
+    """Windows of ``texts`` (rid, doc_id, packed, phrases) whose anchor is
+    among the text's phrases: (h1, h2, rid, doc_id, start)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b, raw in unpacked(batches):
+            _, sym, doc = words_of(raw)
+            start, anchor = window_anchors(sym, doc)
+            lists = b.column("phrases")
+            per_doc = np.diff(lists.offsets.to_numpy())
+            phrases = lists.flatten().to_numpy().view(np.uint64)
+            salt = mix(np.arange(b.num_rows, dtype=np.uint64) + U(1))
+            asked = np.repeat(salt, per_doc) ^ phrases
+            start = start[np.isin(salt[doc[start]] ^ anchor, asked)]
+            h1, h2 = window_hashes(sym, start)
+            at = doc[start]
+            first = np.searchsorted(doc, np.arange(b.num_rows))
+            take = pa.array(at)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(h1), pa.array(h2), b.column("rid").take(take),
+                    b.column("doc_id").take(take), pa.array((start - first[at]).astype(np.int32)),
+                ],
+                ["h1", "h2", "rid", "doc_id", "start"],
+            )
+
+    kind = texts.schema["doc_id"].dataType.simpleString()
+    return texts.mapInArrow(run, f"h1 long, h2 int, rid long, doc_id {kind}, start int")
+
+
+def covered(n: int, starts: np.ndarray, window: int = WINDOW) -> np.ndarray:
+    """Which of ``n`` words the windows at ``starts`` cover."""
+    change = np.zeros(n + 1, np.int64)
+    np.add.at(change, starts, 1)
+    np.add.at(change, starts + window, -1)
+    return np.cumsum(change[:-1]) > 0
+
 
+def cut(texts: DataFrame) -> DataFrame:
+    """rid, n_removed and kept (the words left, joined by a space) of
+    ``texts`` (rid, packed, starts)."""
 
-def marks(docs: DataFrame) -> DataFrame:
-    """What documents lose: rid, whole (all words) and starts (of windows)."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b, raw in unpacked(batches):
+            lost, kept = [], []
+            for text, starts in zip(raw, b.column("starts")):
+                words = text.split()
+                gone = covered(len(words), starts.values.to_numpy())
+                left = [w for w, g in zip(words, gone.tolist()) if not g]
+                lost.append(len(words) - len(left))
+                kept.append(b" ".join(left))
+            yield pa.RecordBatch.from_arrays(
+                [b.column("rid"), pa.array(lost, pa.int64()), pa.array(kept, pa.binary())],
+                ["rid", "n_removed", "kept"],
+            )
+
+    return texts.mapInArrow(run, "rid long, n_removed long, kept binary")
+
+
+def find_repeats(docs: DataFrame) -> DataFrame:
+    """One row per row of ``docs``: doc_id, rid, n_words, n_removed,
+    kept_sha256, and kept, the words left (as bytes) of a document that lost
+    some; null if it lost none."""
     parsed = stage(parse(docs), "parsed")
-    texts = parsed.where("kind = 0").select("rid", "doc_id", "a", "b")
-    first = stage(texts.groupBy("a", "b").agg(F.min("doc_id").alias("first")), "first-texts")
-    copies = stage(
-        texts.join(first, ["a", "b"]).where("doc_id > first").select("rid").distinct(), "copies"
-    )
-    anchors = (
-        parsed.where("kind = 1 AND doc_id IS NOT NULL").select("rid", "doc_id", "a")
-        .join(copies, "rid", "left_anti")
+    heads = parsed.where("phrase IS NULL").select("rid", "doc_id", "n_words", "sha")
+    first = stage(heads.groupBy("sha").agg(F.min("doc_id").alias("first")), "first-texts")
+    heads = stage(
+        heads.join(first, "sha").select(
+            "*", F.coalesce((F.col("doc_id") > F.col("first")) & (F.col("n_words") >= WINDOW), F.lit(False)).alias("copy")
+        ).drop("first"),
+        "heads",
     )
+    anchors = parsed.where("phrase IS NOT NULL AND doc_id IS NOT NULL").select("rid", "doc_id", "phrase")
     shared = stage(
-        anchors.groupBy("a").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
-        .where("lo < hi").select("a"),
+        anchors.groupBy("phrase").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
+        .where("lo < hi").select("phrase"),
         "shared-anchors",
     )
     wanted = stage(
-        anchors.join(shared, "a").groupBy("rid").agg(F.collect_set("a").alias("symbols")), "wanted"
+        anchors.select("rid", "phrase").join(shared, "phrase")
+        .groupBy("rid").agg(F.collect_set("phrase").alias("phrases"))
+        .join(heads.where("copy").select("rid"), "rid", "left_anti"),
+        "wanted",
     )
-    windows = stage(windows_at(docs, wanted), "windows")
+    texts = stage(compressed(docs).join(wanted, "rid").dropDuplicates(["rid"]), "shared-texts")
+    windows = stage(windows_at(texts), "windows")
     repeats = stage(
         windows.groupBy("h1", "h2").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
         .where("lo < hi").select("h1", "h2", "lo"),
         "repeats",
     )
-    starts = (
+    marks = stage(
         windows.join(repeats, ["h1", "h2"]).where("lo < doc_id")
-        .groupBy("rid").agg(F.sort_array(F.collect_set("start")).alias("starts"))
-        .select("rid", F.lit(False).alias("whole"), "starts")
+        .groupBy("rid").agg(F.sort_array(F.collect_set("start")).alias("starts")),
+        "marks",
+    )
+    changed = stage(cut(texts.select("rid", "packed").join(marks, "rid")), "changed")
+    nothing = F.lit(hashlib.sha256(b"").hexdigest())
+    sha = (
+        F.when(F.col("copy"), nothing)
+        .when(F.col("n_removed").isNotNull(), F.sha2("kept", 256))
+        .otherwise(F.lower(F.hex("sha")))
+    )
+    return heads.join(changed, "rid", "left").select(
+        "doc_id", "rid", "n_words",
+        F.when(F.col("copy"), F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"),
+        sha.alias("kept_sha256"),
+        F.when(F.col("copy"), F.lit(b"")).otherwise(F.col("kept")).alias("kept"),
     )
-    all_ = copies.select("rid", F.lit(True).alias("whole"), F.array().cast("array<int>").alias("starts"))
-    return stage(starts.unionAll(all_), "marks")
-
-
-def covered(n: int, starts: np.ndarray, window: int = WINDOW) -> np.ndarray:
-    """Which of ``n`` words the windows at ``starts`` cover."""
-    change = np.zeros(n + 1, np.int64)
-    np.add.at(change, starts, 1)
-    np.add.at(change, starts + window, -1)
-    return np.cumsum(change[:-1]) > 0
 
 
 def drop_repeats(docs: DataFrame) -> DataFrame:
-    """doc_id, n_words, n_removed, kept (the words left, joined by a space)
-    and kept_sha256 per row of ``docs``."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole_batch in batches:
-            for b in slices(whole_batch, "text", 4 << 20):
-                total, lost, kept = [], [], []
-                rows = zip(
-                    b.column("text").to_pylist(), b.column("whole").to_pylist(), b.column("starts")
-                )
-                for text, whole, starts in rows:
-                    words = text.split() if text else []
-                    left = words
-                    if whole and len(words) >= WINDOW:
-                        left = []
-                    elif starts.is_valid and len(starts.values):
-                        gone = covered(len(words), starts.values.to_numpy())
-                        left = [w for w, g in zip(words, gone.tolist()) if not g]
-                    total.append(len(words))
-                    lost.append(len(words) - len(left))
-                    kept.append(b" ".join(left))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        b.column("doc_id"), pa.array(total, pa.int64()), pa.array(lost, pa.int64()),
-                        pa.array(kept, pa.binary()).cast(pa.string()),
-                        pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string()),
-                    ],
-                    ["doc_id", "n_words", "n_removed", "kept", "kept_sha256"],
-                )
-
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, n_words long, n_removed long, kept string, kept_sha256 string"
-    return (
-        keyed(docs).join(marks(docs), "rid", "left")
-        .select("doc_id", "text", "whole", "starts").mapInArrow(run, schema)
-    )
+    """``docs`` with text replaced by the words left, joined by a space, where
+    words were removed; all other columns as they are."""
+    columns = docs.columns
+    found = find_repeats(docs).where("n_removed > 0").groupBy("rid").agg(F.first("kept").alias("_kept"))
+    row = F.struct(*[F.col(f"`{c}`") for c in columns])
+    keyed_ = docs.select(row.alias("_row"), F.xxhash64("doc_id", "text").alias("rid"))
+    named = {c: F.col(f"_row.`{c}`") for c in columns}
+    named["text"] = F.coalesce(F.col("_kept").cast("string"), named["text"])
+    return keyed_.join(found, "rid", "left").select(*[v.alias(c) for c, v in named.items()])
