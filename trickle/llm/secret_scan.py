@@ -53,8 +53,10 @@ RULES = (
         r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""",
         group=2, least=6, base=True,
     ),
-    Rule("access", r"AKIA[A-Z0-9]+", least=20, base=True),
-    Rule("hex", r"[0-9a-f]+", least=24, base=True),
+    # a run of one class has its least length in the pattern: shorter runs, which
+    # are everywhere in plain words, then make no matches to be dropped
+    Rule("access", r"AKIA[A-Z0-9]{16,}", least=20, base=True),
+    Rule("hex", r"[0-9a-f]{24,}", least=24, base=True),
     Rule("private_key", r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----"),
     Rule("github", r"gh[pousr]_[A-Za-z0-9]{36,}"),
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
@@ -147,9 +149,11 @@ def trigram_query(pattern: str) -> Clauses:
 
 def build_index(docs: DataFrame, trigrams: list[str]) -> DataFrame:
     """Postings (trigram, key) of the given trigrams, written once."""
-    low = F.lower(F.col("text"))
-    held = F.array_compact(
-        F.array(*[F.when(F.contains(low, F.lit(t)), F.lit(t)) for t in trigrams])
+    held = let(  # the text is lower-cased once
+        F.lower(F.col("text")),
+        lambda low: F.array_compact(
+            F.array(*[F.when(F.contains(low, F.lit(t)), F.lit(t)) for t in trigrams])
+        ),
     )
     return stage(
         docs.where("text IS NOT NULL").select(F.explode(held).alias("trigram"), document_key()),
@@ -238,7 +242,8 @@ def with_spans(docs: DataFrame, columns: list[str]) -> DataFrame:
             none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
             every = F.when(F.array_contains("_kinds", rule.kind), every).otherwise(none)
         spans.append(every.alias(rule.kind))
-    return looked.select("_row", "_text", F.struct(*spans).alias("_spans"))
+    # bound once: each rule's spans are read several times
+    return looked.select("_row", "_text", let(F.struct(*spans), lambda s: s).alias("_spans"))
 
 
 def scan(docs: DataFrame) -> DataFrame:
