@@ -24,10 +24,12 @@ def test_registered():
     assert sorted(int(n[2:].split("_")[0]) for n in queries.all_queries()) == list(range(1, 11))
 
 
-def test_top_k_oracle(spark):
+@pytest.mark.parametrize("name", sorted(queries.all_oracles()))
+def test_oracle(spark, name):
     from oracle_check import compare, duck
 
-    ok, message = compare(queries.op2_exact_top_k(spark, data.SF01), duck(data.SF01), queries.OP2_SQL)
+    query, sql = queries.all_queries()[name], queries.all_oracles()[name]
+    ok, message = compare(query(spark, data.SF01), duck(data.SF01), sql)
     assert ok, message
 
 

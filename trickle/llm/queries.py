@@ -19,6 +19,7 @@ from trickle.llm import (
     toxicity,
 )
 from trickle.llm.common import read_table
+from trickle.llm.oracles import all_oracles  # noqa: F401
 
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,26 +71,6 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs).select("doc_id", "size", "source", "source_size", "target", "taken")
 
 
-OP2_SQL = """
-WITH v AS (
-  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
-  FROM embeddings
-  WHERE vec_id IS NOT NULL AND len(embedding) > 0
-    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
-), scored AS (
-  SELECT q.vec_id AS query_id, c.vec_id,
-         CAST(list_dot_product(q.v, c.v) AS BIGINT) AS score
-  FROM v q JOIN v c ON q.vec_id <> c.vec_id
-  WHERE q.vec_id % 50 = 0
-), ranked AS (
-  SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS r,
-         vec_id, score
-  FROM scored
-)
-SELECT query_id, CAST(r AS INTEGER) AS rank, vec_id, score FROM ranked WHERE r <= 5
-"""
-
-
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_best_fit_packing": op1_best_fit_packing,
@@ -103,9 +84,3 @@ def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_simhash_near_dedup": op9_simhash_near_dedup,
         "op10_mix_sources": op10_mix_sources,
     }
-
-
-def all_oracles() -> dict[str, str]:
-    return {
-        "op2_exact_top_k": OP2_SQL,
-    }
