@@ -77,6 +77,10 @@ def term_vectors(texts: list[bytes | None]) -> np.ndarray:
     return out
 
 
+def unit(v: np.ndarray) -> np.ndarray:
+    return v / np.maximum(1e-9, np.linalg.norm(v, axis=1, keepdims=True))
+
+
 @dataclass(frozen=True)
 class Model:
     center: np.ndarray
@@ -87,8 +91,7 @@ class Model:
     constant: float
 
     def place(self, terms: np.ndarray) -> np.ndarray:
-        v = (terms - self.center) @ self.axes
-        return v / np.maximum(1e-9, np.linalg.norm(v, axis=1, keepdims=True))
+        return unit((terms - self.center) @ self.axes)
 
     def votes(self, vectors: np.ndarray, own: np.ndarray | None = None) -> np.ndarray:
         """Share of the votes for label 1; ``own``: labelled rows left out."""
@@ -149,12 +152,14 @@ def learn(docs: DataFrame, labels: DataFrame, train: Column) -> Model:
     if not len(rows) or y.min() == y.max():
         constant = 0.0 if not len(rows) else 30.0 * (1 if y[0] else -1)
         return Model(nothing, nothing, nothing, y[:0], 0.0, constant)
-    x = np.stack([np.frombuffer(r.terms, np.float16) for r in rows]).astype(np.float32)
+    x = np.empty((len(rows), TERMS + STYLES), np.float32)
+    for i, r in enumerate(rows):
+        x[i] = np.frombuffer(r.terms, np.float16)
     center = x.mean(axis=0)
     x -= center
     axes = leading_axes(x, DIMENSIONS)
-    model = Model(center, axes, nothing, y, 1.0, 0.0)
-    placed = model.place(x + center)
+    placed = unit(x @ axes)  # x is centred; no second copy of it on the driver
+    del x
     model = Model(center, axes, placed, y, 1.0, 0.0)
     share = np.concatenate(
         [
