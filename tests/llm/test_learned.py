@@ -73,6 +73,38 @@ def test_segments(seed):
     assert got == brute_segments(scores)
 
 
+@pytest.mark.parametrize("seed", range(30))
+def test_segments_of_scores_of_either_sign(seed):
+    rnd = np.random.default_rng(seed)
+    scores = [float(x) for x in rnd.uniform(-1, 0.6, 30)]
+    got = [(round(s, 9), i, j + 1) for s, i, j in toxicity.segments(list(enumerate(scores)))]
+    assert got == brute_segments(scores)
+
+
+def test_every_word_counts_wherever_it_stands():
+    """One passage, again and again in a long text; clean words end it."""
+    bad = [f"bad{c}" for c in "abcdef"]
+    words = toxicity.Words(dict.fromkeys(bad, 2.0) | {"kind": -5.0}, {"gent": -0.5})
+    calm = ["calm"] * 200
+    n, hits = words.hits(" ".join((bad + calm) * 5))
+    assert n == 5 * 206 and len(hits) == n
+    assert [(round(s, 9), i, j) for s, i, j in toxicity.segments(hits)] == [
+        (12.0, 206 * k, 206 * k + 5) for k in range(5)
+    ]
+    _, hits = words.hits("bada badb kind badc gently badd")
+    assert [(round(s, 9), i, j) for s, i, j in toxicity.segments(hits)] == [(4.0, 0, 1), (3.5, 3, 5)]
+    model = toxicity.Model(words, 1.0, -4.0, 1.0, -3.0)
+    assert [(i, j) for i, j, _ in model.passages(" ".join((bad + calm) * 3))] == [(0, 5), (206, 211), (412, 417)]
+
+
+def test_learned_words_have_scores_of_either_sign(spark):
+    texts = [(f"calm river stone {'idiot' if i % 4 == 0 else 'lovely'} w{i}x", int(i % 4 == 0)) for i in range(400)]
+    sample = spark.createDataFrame(texts, "text string, label int")
+    word = toxicity.learn_words(sample).word
+    assert word["idiot"] > 1 and word["lovely"] < -1
+    assert word["river"] == -toxicity.DRIFT
+
+
 def test_quality_on_held_out(spark):
     docs, labels = tables(spark, data.SF01)
     got = neighbours.score(docs, labels).join(labels, "doc_id").where("held_out").collect()

@@ -2,9 +2,13 @@
 
 A word's score is the log-odds of standing in a toxic document. Its counts
 are smoothed with a Dirichlet prior that carries the counts of its first
-letters, these with one that carries the share of all words; CAUTION standard
-errors are taken off (rare words of a few toxic texts are mostly chance), and
-X
+letters, these with one that carries the share of all words. CAUTION standard
+errors are taken off positive log-odds (rare words of a few toxic texts are
+mostly chance); what is negative, or comes to nothing by that, costs its own
+log-odds, DRIFT at least. Words not seen have the score of their first letters.
+The scan runs over every word of a text, at its full score however often it
+stands: repeats count once per training text in the counts, and as often as
+they stand in the rate l below.
 
 Segment scores are calibrated by extreme-value theory: in clean texts of n
 words the best segment has a Gumbel law, P(S > s) = 1 - exp(-K n exp(-l s)).
@@ -15,8 +19,10 @@ significant segments, and a logistic curve turns it into a probability.
 
 Learned from a bounded sample of labelled documents (TRAIN_DOCS, by hash of
 doc_id), of which near copies count once (those with the same least hash of
-five-word shingles), lest their chance words look meaningful; the model keeps at most VOCABULARY words. All documents are scored,
-whole.
+five-word shingles), lest their chance words look meaningful. The model keeps
+at most VOCABULARY words, and as many first letters, on either side of the
+share of all words; others have the score of their first letters. All
+documents are scored, whole.
 
 Defined cases: null, empty and wordless texts have no evidence; null and
 repeated ids are scored row by row; without toxic or without clean training
@@ -46,6 +52,7 @@ STEM = 4
 PRIOR = 5.0
 CAUTION = 3.0
 DRIFT = 0.1
+STEPS = 64
 # Segments count from this significance on: a clean text has one by chance
 # once in about exp(3) = 20 times.
 SIGNIFICANT = 3.0
@@ -58,32 +65,28 @@ LETTERS = re.compile(r"[^\W\d_]+")
 
 @dataclass(frozen=True)
 class Words:
-    """Scores of words and, for words not seen, of their first letters."""
+    """Scores of words and, for words not seen, of their first letters
+    (DRIFT for those not seen either)."""
 
     word: dict[str, float]
     stem: dict[str, float]
 
     def hits(self, text: str | None) -> tuple[int, list[tuple[int, float]]]:
-        """Number of words, and (place, score) of those with a score."""
+        """Number of words, and (place, score) of every one."""
         words = LETTERS.findall(text.lower()) if text else []
         stem, word = self.stem, self.word
         out = []
-        seen: dict[str, int] = {}
         for i, w in enumerate(words):
-            base = stem.get(w[:STEM])
-            if base is not None:
-                s = word.get(w, base)
-                if s > 0:
-                    seen[w] = times = seen.get(w, 0) + 1
-                    out.append((i, s / times))
+            s = word.get(w)
+            out.append((i, stem.get(w[:STEM], -DRIFT) if s is None else s))
         return len(words), out
 
 
 def segments(hits: list[tuple[int, float]]) -> list[tuple[float, int, int]]:
     """All maximal scoring segments (score, first, last place), in order.
 
-    The scan of Ruzzo and Tompa over the scoring words; the words between two
-    of them cost DRIFT each. A candidate holds the sums before and at its end;
+    The scan of Ruzzo and Tompa over the words given, with scores of either
+    sign; places left out cost DRIFT each. A candidate holds the sums before and at its end;
     a new one is joined to the last candidate that starts lower, if it ends
     higher."""
     kept: list[tuple[float, float, int, int]] = []  # (sum before, sum at end, first, last)
@@ -91,6 +94,8 @@ def segments(hits: list[tuple[int, float]]) -> list[tuple[float, int, int]]:
     for place, score in hits:
         before = total - DRIFT * (place - last - 1)
         total, last = before + score, place
+        if score <= 0:
+            continue
         left, right, first = before, total, place
         while True:
             at = len(kept) - 1
@@ -134,11 +139,14 @@ def shrunk(toxic: np.ndarray, clean: np.ndarray, share: np.ndarray | float) -> n
     return (toxic + PRIOR * share) / (toxic + clean + PRIOR)
 
 
-def log_odds(post: np.ndarray, toxic: np.ndarray, clean: np.ndarray, neutral: float) -> np.ndarray:
-    """Log-odds against ``neutral``, less CAUTION standard errors (those of
-    the counts, with PRIOR neutral occurrences)."""
+def scores_of(post: np.ndarray, toxic: np.ndarray, clean: np.ndarray, neutral: float) -> np.ndarray:
+    """Log-odds against ``neutral``: where positive, less CAUTION standard
+    errors (those of the counts, with PRIOR neutral occurrences); what that
+    leaves nothing of, and the negative, is -DRIFT at most."""
+    odds = np.log(post / (1 - post)) - math.log(neutral / (1 - neutral))
     error = np.sqrt(1 / (toxic + PRIOR * neutral) + 1 / (clean + PRIOR * (1 - neutral)))
-    return np.log(post / (1 - post)) - math.log(neutral / (1 - neutral)) - CAUTION * error
+    sure = odds - CAUTION * error
+    return np.where(sure > 0, sure, np.minimum(odds, -DRIFT))
 
 
 def _word_counts(sample: DataFrame) -> DataFrame:
@@ -189,37 +197,41 @@ def learn_words(sample: DataFrame) -> Words:
     if not toxic or not clean:
         return Words({}, {})
     neutral = toxic / (toxic + clean)
-    stems = (
-        counts.groupBy(F.substring("word", 1, STEM).alias("stem"))
-        .agg(F.sum("toxic").alias("st"), F.sum("clean").alias("sc"))
-        .where((F.col("st") > 0) & (F.col("st") / (F.col("st") + F.col("sc")) > neutral))
+
+    def leading(table: DataFrame, key: str, t: str, c: str) -> dict[str, np.ndarray]:
+        """At most VOCABULARY rows above ``neutral`` and as many below it,
+        those of the largest counts."""
+        above = F.col(t) / (F.col(t) + F.col(c)) > neutral
+        rows = table.where(above).orderBy(F.desc(t), key).limit(VOCABULARY).collect()
+        rows += table.where(~above).orderBy(F.desc(c), key).limit(VOCABULARY).collect()
+        return {
+            "key": [r[key] for r in rows],
+            "toxic": np.array([r[t] for r in rows], float),
+            "clean": np.array([r[c] for r in rows], float),
+        }
+
+    stems = counts.groupBy(F.substring("word", 1, STEM).alias("stem")).agg(
+        F.sum("toxic").alias("st"), F.sum("clean").alias("sc")
     )
-    stems = stems.orderBy(F.desc(F.col("st") / (F.col("sc") + 1)), "stem").limit(VOCABULARY)
-    rows = stems.collect()  # VOCABULARY at most
-    st, sc = (np.array([getattr(r, c) for r in rows], float) for c in ("st", "sc"))
-    share = shrunk(st, sc, neutral)
-    scores = log_odds(share, st, sc, neutral)
-    stem = {r.stem: float(s) for r, s in zip(rows, scores)}
-    prior = {r.stem: float(s) for r, s in zip(rows, share)}
-    own = counts.where("toxic > 0").where((F.col("toxic") / (F.col("toxic") + F.col("clean"))) > neutral)
-    words = own.orderBy(F.desc("toxic"), "word").limit(VOCABULARY).collect()
-    word = {}
-    for r in words:
-        p = shrunk(np.float64(r.toxic), np.float64(r.clean), prior.get(r.word[:STEM], neutral))
-        word[r.word] = float(log_odds(p, r.toxic, r.clean, neutral))
-    # stems of scoring words must be known to be looked up
-    for w, s in word.items():
-        if s > 0:
-            stem.setdefault(w[:STEM], -1.0)
-    word = {w: s for w, s in word.items() if w[:STEM] in stem}
-    stem_used = {k: s for k, s in stem.items() if s > 0} | {w[:STEM]: stem[w[:STEM]] for w, s in word.items() if s > 0}
-    return Words(word, stem_used)
+    found = leading(stems, "stem", "st", "sc")
+    share = shrunk(found["toxic"], found["clean"], neutral)
+    prior = dict(zip(found["key"], share.tolist()))
+    stem = dict(zip(found["key"], scores_of(share, found["toxic"], found["clean"], neutral).tolist()))
+    found = leading(counts, "word", "toxic", "clean")
+    share = np.array([prior.get(w[:STEM], neutral) for w in found["key"]], float)
+    post = shrunk(found["toxic"], found["clean"], share)
+    scores = scores_of(post, found["toxic"], found["clean"], neutral)
+    return Words(dict(zip(found["key"], scores.tolist())), stem)
 
 
 def learn(docs: DataFrame, labels: DataFrame, train: Column) -> Model:
     sample = stage(labelled_sample(docs, labels, "toxic", train, TRAIN_DOCS), "toxic-sample")
     words = learn_words(sample)
 
+    def steps(hits: list[tuple[int, float]]) -> list[tuple[int, int]]:
+        """Word scores in steps of 1/STEPS, with their numbers."""
+        return list(Counter(round(s * STEPS) for _, s in hits).items())
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for b in slices(whole, "text", 4 << 20):
@@ -229,13 +241,13 @@ def learn(docs: DataFrame, labels: DataFrame, train: Column) -> Model:
                         b.column("label"),
                         pa.array([n for n, _ in found], pa.int64()),
                         pa.array([[s for s, _, _ in segments(h)] for _, h in found], pa.list_(pa.float64())),
-                        pa.array([[s for _, s in h] for _, h in found], pa.list_(pa.float64())),
+                        pa.array([steps(h) for _, h in found], pa.map_(pa.int32(), pa.int64())),
                     ],
-                    ["label", "n", "scores", "hits"],
+                    ["label", "n", "scores", "steps"],
                 )
 
     scored = stage(
-        sample.mapInArrow(run, "label int, n long, scores array<double>, hits array<double>"), "toxic-scores"
+        sample.mapInArrow(run, "label int, n long, scores array<double>, steps map<int,bigint>"), "toxic-scores"
     )
     rows = scored.select("label", "n", "scores").collect()  # TRAIN_DOCS at most
     label = np.array([r.label == 1 for r in rows], float)
@@ -244,11 +256,10 @@ def learn(docs: DataFrame, labels: DataFrame, train: Column) -> Model:
         return Model(Words({}, {}), 1.0, 0.0, 0.0, 30.0 if share else -30.0)
     clean = scored.where("label <> 1")
     n_words = clean.agg(F.sum("n")).first()[0] or 0
-    hits = (  # scores in steps of 1/16: a bounded table
-        clean.select(F.explode("hits").alias("s"))
-        .groupBy(F.floor(F.col("s") * 16).alias("s")).agg(F.count("*").alias("n")).collect()
+    hits = (  # a bounded table
+        clean.select(F.explode("steps").alias("s", "n")).groupBy("s").agg(F.sum("n").alias("n")).collect()
     )
-    scale = tail_rate([(r.s / 16, r.n) for r in hits], n_words)
+    scale = tail_rate([(r.s / STEPS, r.n) for r in hits], n_words)
     best = np.array([max(r.scores, default=0.0) for r in rows if r.label != 1])
     size = np.log(np.array([max(1, r.n) for r in rows if r.label != 1], float))
     # the median of a Gumbel law is at ln(K n) - ln(ln 2)
