@@ -306,6 +306,39 @@ def test_every_rule_finds_and_masks(spark):
     assert all(r.n_chars == len(r.text) for r in masked.values())
 
 
+BODY = [chr(97 + i % 26) * 30 + "+/09" + "Q" * 30 for i in range(25)]
+
+
+@pytest.mark.parametrize("name", ["PRIVATE KEY", "RSA PRIVATE KEY", "PGP PRIVATE KEY BLOCK"])
+def test_private_keys_are_masked_whole(spark, name):
+    head, tail = f"-----BEGIN {name}-----", f"-----END {name}-----"
+    lines = "\n".join([*BODY, "shortLast=="])
+    prose = " Then more words follow, one-by-one."
+    cases = {
+        "lines": (f"a {head}\n{lines}\n{tail}{prose}", f"a [SECRET]{prose}"),
+        "spaces": (f"a {head} {' '.join(BODY)} {tail}{prose}", f"a [SECRET]{prose}"),
+        "armor": (
+            f"a {head}\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,00\n\n{lines}\n{tail}{prose}",
+            f"a [SECRET]{prose}",
+        ),
+        "two": (f"{head}\n{lines}\n{tail} and {head}\n{lines}\n{tail}", "[SECRET] and [SECRET]"),
+        "cut": (f"a {head}\n{lines}", "a [SECRET]"),
+        "cut, prose": (f"a {head}\n{lines}{prose}", f"a [SECRET]{prose}"),
+        "cut, armor": (f"a {head}\nVersion: x 1\n\n{lines}{prose}", f"a [SECRET]{prose}"),
+        "cut, spaces": (f"a {head} {' '.join(BODY)}{prose}", f"a [SECRET]{prose}"),
+        "cut, indented": (f"{head}\n  " + "\n  ".join([*BODY, "x1=", "so it ends"]), "[SECRET]  so it ends"),
+        "cut, escapes": (f"a {head}\\n" + "\\n".join(BODY) + prose, f"a [SECRET]{prose}"),
+        "cut, whole": (f"a {head}{prose} {head}\n{lines}\n{tail}", f"a [SECRET]{prose} [SECRET]"),
+        "long": (f"a {head}\n" + "\n".join(BODY * 800) + prose, f"a [SECRET]{prose}"),
+        "long words": (f"a {head}{prose * 5000}", f"a [SECRET]{prose * 5000}"),
+    }
+    rows = [(i, text) for i, (text, _) in enumerate(cases.values())]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.text for r in secret_scan.redact(docs).collect()}
+    for i, (case, (_, want)) in enumerate(cases.items()):
+        assert got[i] == want, case
+
+
 def test_redact_keeps_rows_and_columns(spark):
     docs = data.documents(spark)
     out = secret_scan.redact(docs)

@@ -46,6 +46,22 @@ class Rule:
     base: bool = False
 
 
+# A private key from its header to its END line (the text between has no run of
+# five hyphens). Without END, over the base64 text that follows: pieces of 16
+# characters or more, with lines of any length between them, and a last short
+# piece that ends its line. Loops over groups are bounded: Java's recurse.
+_B64 = "[A-Za-z0-9+/=]"
+_PIECE = _B64 * 16 + r"[A-Za-z0-9+/=\\\r\n]*"
+_BETWEEN = r"""[\x20\t\r\n"',>\\]"""
+_KEY_NAME = r"[A-Z ]{0,20}PRIVATE KEY(?: BLOCK)?-----"
+PRIVATE_KEY = (
+    f"-----BEGIN {_KEY_NAME}"
+    f"(?:[^-]*(?:-{{1,4}}[^-]+){{0,64}}-----END {_KEY_NAME}"
+    r"|(?:[\r\n]+[A-Za-z-]+:[^\r\n]*){0,16}"
+    f"(?:{_BETWEEN}|{_BETWEEN}n){{0,16}}{_PIECE}(?:{_BETWEEN}+{_PIECE}){{0,250}}"
+    rf"(?:[\x20\t]+{_B64}{{1,15}}(?:[\r\n]|$))?)?"
+)
+
 # The base rules, in their order, then the rules of this scan.
 RULES = (
     Rule(
@@ -57,7 +73,7 @@ RULES = (
     # are everywhere in plain words, then make no matches to be dropped
     Rule("access", r"AKIA[A-Z0-9]{16,}", least=20, base=True),
     Rule("hex", r"[0-9a-f]{24,}", least=24, base=True),
-    Rule("private_key", r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----"),
+    Rule("private_key", PRIVATE_KEY),
     Rule("github", r"gh[pousr]_[A-Za-z0-9]{36,}"),
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("stripe", r"sk_live_[A-Za-z0-9]{16,}"),
