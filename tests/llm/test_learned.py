@@ -44,6 +44,19 @@ def test_toxicity_cases(spark):
     assert kept.count() == got.where("predicted = 0").count()
 
 
+def test_passages_of_every_row(spark, monkeypatch):
+    """A passage just above SIGNIFICANT in a text that is not toxic stays."""
+    words = toxicity.Words({"bad": 8.0}, {})
+    model = toxicity.Model(words, 1.0, -1.0, 0.5, -5.0)
+    monkeypatch.setattr(toxicity, "learn", lambda *a: model)
+    docs = spark.createDataFrame([(1, "calm " * 30 + "bad"), (2, "calm"), (3, None)], "doc_id long, text string")
+    got = {r.doc_id: r for r in toxicity.score(docs, None).collect()}
+    assert got[1].score < 0.5 and got[1].predicted == 0
+    assert [(p.first, p.last) for p in got[1].passages] == [(30, 30)]
+    assert got[1].passages[0].significance > toxicity.SIGNIFICANT
+    assert got[2].passages == [] and got[3].passages == []
+
+
 def brute_segments(scores):
     """All maximal scoring segments by their definition, on short input."""
     out = []

@@ -128,10 +128,14 @@ class Model:
         found = ((i, j, self.scale * s - base) for s, i, j in segments(hits))
         return [x for x in found if x[2] > SIGNIFICANT]
 
+    def judge(self, text: str | None) -> tuple[float, list[tuple[int, int, float]]]:
+        """Score and significant passages."""
+        found = self.passages(text)
+        total = min(TOP, sum(v for _, _, v in found))
+        return 1 / (1 + math.exp(-max(-30.0, min(30.0, self.slope * total + self.constant)))), found
+
     def score(self, text: str | None) -> float:
-        n, hits = self.words.hits(text)
-        found = min(TOP, self.evidence(n, [s for s, _, _ in segments(hits)])) if hits else 0.0
-        return 1 / (1 + math.exp(-max(-30.0, min(30.0, self.slope * found + self.constant))))
+        return self.judge(text)[0]
 
 
 def shrunk(toxic: np.ndarray, clean: np.ndarray, share: np.ndarray | float) -> np.ndarray:
@@ -302,11 +306,9 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
         for whole in batches:
             for b in slices(whole, "text", 4 << 20):
                 texts = b.column("text").to_pylist()
-                scores = [model.score(t) for t in texts]
-                found = [
-                    [{"first": i, "last": j, "significance": v} for i, j, v in model.passages(t)] if s >= 0.5 else []
-                    for t, s in zip(texts, scores)
-                ]
+                judged = [model.judge(t) for t in texts]
+                scores = [s for s, _ in judged]
+                found = [[{"first": i, "last": j, "significance": v} for i, j, v in f] for _, f in judged]
                 kind = pa.list_(
                     pa.struct([("first", pa.int32()), ("last", pa.int32()), ("significance", pa.float64())])
                 )
