@@ -142,6 +142,15 @@ def test_tree_prunes_and_is_exact():
     assert sum(calls) < 0.5 * len(rows) * 10  # most rows were never scored
 
 
+def test_top_k_takes_the_most_frequent_length(spark):
+    """Also if the row that hashes first has another one."""
+    first = spark.range(100).orderBy(F.xxhash64("id"), "id").first().id
+    rows = [(i, [float(i), 1.0] if i != first else [1.0, 2.0, 3.0]) for i in range(100)]
+    got = mtree.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), every=1, k=1).collect()
+    assert {r.query_id for r in got} == set(range(100)) - {first}
+    assert first not in {r.vec_id for r in got}
+
+
 def test_top_k_few_and_none(spark):
     df = embeddings(spark)
     few = mtree.top_k(df.where("vec_id in (0, 1, 2)"), every=50, k=5).collect()

@@ -20,8 +20,8 @@ A query starts with the k-th best score among the sample, which every tree
 must beat. Pruning allows for rounding (SLACK); scores are exact integers.
 
 Defined cases: vectors that are null, empty or of another length than the
-first, or hold null or non-finite components, and rows without vec_id, take no
-part; rows of one vec_id are one vector's repeats and are no candidates of
+most frequent one (of equally frequent ones, the longest), or hold null or
+non-finite components, and rows without vec_id, take no part; rows of one vec_id are one vector's repeats and are no candidates of
 each other; scores beyond the range of a long become its ends; an empty table
 gives no rows; other columns are ignored.
 """
@@ -209,12 +209,13 @@ def top_k(table: DataFrame, every: int, k: int = 5, scale: int = 256) -> DataFra
     spark = table.sparkSession
     empty = "query_id long, rank int, vec_id long, score long"
     vectors = stage(integer_vectors(table, scale), "vectors")
-    head = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).collect()
-    if not head:
+    lengths = vectors.groupBy(F.size("v").alias("size")).count()
+    most = lengths.orderBy(F.desc("count"), F.desc("size")).first()
+    if most is None:
         return spark.createDataFrame([], empty)
-    width = len(head[0].v)
+    width = most["size"]
     vectors = vectors.where(F.size("v") == width)
-    head = [r for r in head if len(r.v) == width]
+    head = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).collect()
     norm = F.aggregate("v", F.lit(0.0), lambda a, c: a + c * c)
     space = Space(float(vectors.agg(F.max(norm)).first()[0]))
     sample_ids = np.array([r.vec_id for r in head], np.int64)
