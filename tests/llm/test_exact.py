@@ -151,6 +151,12 @@ def test_top_k_takes_the_most_frequent_length(spark):
     assert first not in {r.vec_id for r in got}
 
 
+def test_components_beside_a_huge_one_are_floored(spark):
+    table = spark.createDataFrame([(0, [2.0**60, -0.001, 1.0]), (1, [-0.001, 2.5, -1.0])], "vec_id long, embedding array<double>")
+    got = {r.vec_id: list(r.v) for r in mtree.integer_vectors(table, 256).collect()}
+    assert got == {0: [2.0**68, -1.0, 256.0], 1: [-1.0, 640.0, -256.0]}
+
+
 def test_top_k_few_and_none(spark):
     df = embeddings(spark)
     few = mtree.top_k(df.where("vec_id in (0, 1, 2)"), every=50, k=5).collect()

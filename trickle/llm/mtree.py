@@ -34,7 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trickle.llm.common import stage
@@ -190,12 +190,14 @@ def integer_vectors(table: DataFrame, scale: int) -> DataFrame:
     bad = F.exists(
         x, lambda c: c.isNull() | F.isnan(c) | (F.abs(c.cast("double")) == float("inf"))
     )
-    v = F.transform(x, lambda c: F.floor(F.lit(float(scale)) * c.cast("double")).cast("double"))
-    # floor() of a double gives a long; larger components stay doubles
-    huge = F.transform(x, lambda c: F.lit(float(scale)) * c.cast("double"))
-    big = F.exists(x, lambda c: F.abs(c.cast("double")) * scale >= 2.0**62)
+
+    def whole(c: Column) -> Column:
+        # floor() of a double gives a long; larger components are whole as they are
+        y = F.lit(float(scale)) * c.cast("double")
+        return F.when(F.abs(y) >= 2.0**62, y).otherwise(F.floor(y).cast("double"))
+
     return table.where(F.col("vec_id").isNotNull() & x.isNotNull() & (F.size(x) > 0) & ~bad).select(
-        F.col("vec_id").cast("long").alias("vec_id"), F.when(big, huge).otherwise(v).alias("v")
+        F.col("vec_id").cast("long").alias("vec_id"), F.transform(x, whole).alias("v")
     )
 
 
