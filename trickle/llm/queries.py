@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from trickle.llm import (
     language,
+    lexical_search,
     mixing,
     mtree,
     neighbours,
@@ -17,6 +19,8 @@ from trickle.llm import (
     secret_scan,
     simhash,
     toxicity,
+    url_filters,
+    vector_codes,
 )
 from trickle.llm.common import read_table
 from trickle.llm.oracles import all_oracles  # noqa: F401
@@ -71,6 +75,24 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs).select("doc_id", "size", "source", "source_size", "target", "taken")
 
 
+def op11_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = url_filters.judge(read_table(spark, sf_dir, "pages"))
+    return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, items = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark")
+    return lexical_search.rank(docs, items, k=50)
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read_table(spark, sf_dir, "embeddings")
+    coded, books = vector_codes.compress(vectors, parts=16, entries=64, rounds=2, scale=256)
+    return vector_codes.with_label_errors(coded).select(
+        "vec_id", "code", "error", "label_error", F.lit(vector_codes.digest(books)).alias("codebooks_sha256")
+    )
+
+
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_best_fit_packing": op1_best_fit_packing,
@@ -83,4 +105,7 @@ def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_language_id": op8_language_id,
         "op9_simhash_near_dedup": op9_simhash_near_dedup,
         "op10_mix_sources": op10_mix_sources,
+        "op11_url_filters": op11_url_filters,
+        "op12_lexical_search": op12_lexical_search,
+        "op13_vector_codes": op13_vector_codes,
     }
