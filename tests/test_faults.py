@@ -75,17 +75,50 @@ def test_unknown_tags_are_dropped_in_fail_mode(lines_df):
     assert len(ivm.view(lines_df([CU, OR, LI, "+XX1|2"])).collect()) == 1
 
 
-@pytest.mark.parametrize(
-    "price,discount,revenue",
-    [("100.00", "0.125", 87.5), ("10.005", "0", 10.005), ("1e2", "0.5", 50.0), ("100.00000", "0.1", 90.0)],
-)
-def test_decimals_are_kept(lines_df, price, discount, revenue):
-    li = LI.replace("100.00", price).replace("0.10", discount)
-    assert [r.revenue for r in ivm.view(lines_df([CU, OR, li])).collect()] == [revenue]
+MONEY = [  # price, discount, revenue: the exact product, rounded once
+    ("100.00", "0.125", 87.5), ("10.005", "0", 10.005), ("1e2", "0.5", 50.0), ("100.00000", "0.1", 90.0),
+    ("1.0001", "0.1234", 0.87668766), ("0.0001", "0.9999", 1e-8), ("1", "1e-7", 0.9999999),
+    ("0.12345", "0.5", 0.061725), ("123456789012.00", "0.00000001", 123456787777.43211),
+    ("1e300", "0.5", 5e299), ("1.123456789012345", "0", 1.123456789012345), ("1e-300", "0", 1e-300),
+    ("-5.5", "2", 5.5), ("1234567890123456789", "0", 1234567890123456789.0),
+]
 
 
-@pytest.mark.parametrize("price", ["1.00001", "1e-5"])
-def test_more_decimals_are_malformed(lines_df, price):
+@pytest.mark.parametrize("price,discount,revenue", MONEY)
+def test_money_is_exact_in_all_modes(spark, lines_df, price, discount, revenue):
+    li = LI.replace("100.00", price).replace("0.10", discount)
+    df = lines_df([CU, OR, li])
+    assert [r.revenue for r in ivm.view(df).collect()] == [revenue]
+    assert [r.revenue for r in ivm.view(df, mode="recompute").collect()] == [revenue]
+    assert [r.revenue for r in ivm.changelog(df).collect()] == [revenue]
+    assert [r.revenue for r in ivm.latest(df).collect()] == [revenue]
+
+
+def test_money_is_exact_in_the_stream(spark, lines_df):
+    from trickle.streaming import q3_stream
+
+    orders = [f"+OR{k}|1|O|1.00|1995-01-02|1-URGENT||0||{k + 2}" for k in range(len(MONEY))]
+    items = [
+        f"+LI{k}|1|1|1|1.00|{p}|{d}|0.00|N|O|1995-06-01|{k + 100}" for k, (p, d, _) in enumerate(MONEY)
+    ]
+    got = q3_stream.run_lines(spark, lines_df([CU, *orders, *items]), parts=2).collect()
+    assert {r.l_orderkey: r.revenue for r in got} == {k: m[2] for k, m in enumerate(MONEY)}
+
+
+def test_money_sums_are_exact_in_any_order(lines_df):
+    """Exact and far parts of one group; what was inserted and deleted leaves nothing."""
+    lines = [CU, OR]
+    for i, price in enumerate(["0.1", "0.2", "0.3", "1e300", "99999999999.99999999"], 1):
+        li = LI.replace("100.00", price).replace("0.10", "0").replace("|1|1|1|", f"|1|1|{i}|")
+        lines.append(li[:-1] + str(10 + i))
+        if i > 3:
+            lines.append("-" + li[1:-1] + str(20 + i))
+    for order in (lines, lines[::-1]):
+        assert [(r.revenue, r.n) for r in ivm.view(lines_df(order)).collect()] == [(0.6, 3)]
+
+
+@pytest.mark.parametrize("price", ["1o0", "", "1..2", "0x1"])
+def test_no_number_is_malformed(lines_df, price):
     with pytest.raises(Exception, match="bad_number"):
         ivm.view(lines_df([CU, OR, LI.replace("100.00", price)])).collect()
 
@@ -130,10 +163,11 @@ def test_replaced_table_gives_a_new_feed(spark, tmp_path):
     from trickle.plans import queries as Q
 
     for t in ("customer", "orders", "lineitem"):
-        shutil.copy(f"{SF001}/{t}.parquet", tmp_path / f"{t}.parquet")
+        shutil.copyfile(f"{SF001}/{t}.parquet", tmp_path / f"{t}.parquet")
     count = lambda: {r.tbl: r.n for r in Q.decode_tag(spark, str(tmp_path)).collect()}
     before = count()
-    shutil.copy(f"{SF01}/customer.parquet", tmp_path / "customer.parquet")
+    shutil.copyfile(f"{SF01}/customer.parquet", tmp_path / "new.parquet")
+    (tmp_path / "new.parquet").replace(tmp_path / "customer.parquet")
     spark.catalog.clearCache()
     after = count()
     assert after["CU"] > 5 * before["CU"] and after["OR"] == before["OR"]

@@ -45,18 +45,24 @@ def int_sql(s: str, kind: str = "bigint") -> str:
     return f"try_cast({s} AS {kind})"
 
 
-def money_sql(s: str) -> str:
-    """A decimal with at most four places, exactly; NULL if it has more (or is
-    no number). Texts of the usual form are seen to have four places or less
-    by their length; others are compared with a wider cast."""
-    narrow = f"try_cast({s} AS DECIMAL(15,4))"
-    short = f"(instr({s}, '.') = 0 OR length({s}) - instr({s}, '.') <= 4) AND instr(lower({s}), 'e') = 0"
+def money_sql(s: str, kind: str) -> str:
+    """A number as ``kind``, a decimal with eight places, where that stands for
+    the same double; NULL for other texts and for numbers that need more.
+    Texts of the usual form are seen to have eight places or less by their
+    length."""
+    short = f"(instr({s}, '.') = 0 OR length({s}) - instr({s}, '.') <= 8) AND instr(lower({s}), 'e') = 0"
+    narrow = f"try_cast({s} AS {kind})"
     return (
         f"CASE WHEN {short} THEN {narrow} "
-        f"WHEN try_cast({s} AS DECIMAL(38,18)) = {narrow} THEN {narrow} END"
+        f"WHEN CAST({narrow} AS DOUBLE) = try_cast({s} AS DOUBLE) THEN {narrow} END"
     )
 
 
+def double_sql(s: str) -> str:
+    """A number of any size and precision, as the reference reads it."""
+    return f"try_cast({s} AS DOUBLE)"
+
+
 def date_sql(s: str) -> str:
     """Strict ``yyyy-MM-dd`` (ISO local date); anything else is NULL.
 

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trickle.functions.measures import revenue, to_double
+from trickle.functions.measures import amount_sql, weighted_sql
 
 
 def net(changes: DataFrame, cols: list[str]) -> DataFrame:
@@ -21,7 +21,7 @@ def net(changes: DataFrame, cols: list[str]) -> DataFrame:
     )
 
 
-LI_ROW = ["l_orderkey", "line", "l_extendedprice", "l_discount", "l_shipdate"]
+LI_ROW = ["l_orderkey", "line", "l_extendedprice", "l_discount", "l_shipdate", "l_price_far", "l_discount_far"]
 OD_ROW = ["o_orderkey", "o_custkey", "o_orderdate", "o_shippriority"]
 CU_ROW = ["c_custkey", "c_mktsegment"]
 
@@ -44,13 +44,10 @@ def recompute_view(li: DataFrame, od: DataFrame, cu: DataFrame) -> DataFrame:
     o = nod.join(c, nod.o_custkey == c.c_custkey).select(
         "o_orderkey", "o_orderdate", "o_shippriority", (F.col("m") * F.col("mc")).alias("mo")
     )
-    j = nli.join(o, nli.l_orderkey == o.o_orderkey)
-    mult = F.col("m") * F.col("mo")
-    return (
-        j.groupBy("l_orderkey", "o_orderdate", "o_shippriority")
-        .agg(
-            to_double(F.sum(mult * revenue("l_extendedprice", "l_discount"))).alias("revenue"),
-            F.sum(mult).cast("bigint").alias("n"),
-        )
-        .where(F.col("n") > 0)
+    j = nli.join(o, nli.l_orderkey == o.o_orderkey).withColumn("mult", F.col("m") * F.col("mo"))
+    exact, far = weighted_sql("mult")
+    group = ["l_orderkey", "o_orderdate", "o_shippriority"]
+    sums = j.groupBy(*group).agg(
+        F.expr(f"sum({exact})").alias("v"), F.expr(f"sum({far})").alias("f"), F.sum("mult").cast("bigint").alias("n")
     )
+    return sums.where("n > 0").selectExpr(*group, f"{amount_sql('v', 'f')} AS revenue", "n")

@@ -33,17 +33,22 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from trickle.functions import decode as D
+from trickle.functions.measures import DISCOUNT, PRICE
 
 SEQ_FIELD = "field"  # seq is the last field of every record
 SEQ_POSITION = "position"  # the reference's format: no seq, order = file position
 
 OUTPUT_COLS = {
-    D.TAG_LINEITEM: ["l_orderkey", "line", "l_extendedprice", "l_discount", "l_shipdate"],
+    D.TAG_LINEITEM: ["l_orderkey", "line", "l_extendedprice", "l_discount", "l_shipdate",
+                     "l_price_far", "l_discount_far"],
     D.TAG_ORDERS: ["o_orderkey", "o_custkey", "o_orderdate", "o_shippriority"],
     D.TAG_CUSTOMER: ["c_custkey", "c_mktsegment"],
 }
 INT_COLS = {"line", "o_shippriority"}
-MONEY_COLS = {"l_extendedprice", "l_discount"}
+MONEY_COLS = {"l_extendedprice": PRICE, "l_discount": DISCOUNT}
+# Money that needs more than an exact decimal (functions.measures): the doubles
+# of both factors; NULL on all other rows, where the exact factors are.
+FAR_COLS = {"l_price_far": "l_extendedprice", "l_discount_far": "l_discount"}
 DATE_COLS = {"l_shipdate", "o_orderdate"}
 TEXT_COLS = {"c_mktsegment"}
 
@@ -79,22 +84,38 @@ def _parse_sql(col: str, s: str) -> str:
     if col in DATE_COLS:
         return D.date_sql(s)
     if col in MONEY_COLS:
-        return D.money_sql(s)
+        return D.money_sql(s, MONEY_COLS[col])
     if col in TEXT_COLS:
         return s
     return D.int_sql(s, "int" if col in INT_COLS else "bigint")
 
 
+def _any_null(cols) -> str:
+    return " OR ".join(f"{c} IS NULL" for c in cols)
+
+
+def _far_sql(array: str) -> dict[str, str]:
+    """The far columns, after the exact ones: NULL where both are exact."""
+    at = D.FIELDS[D.TAG_LINEITEM]
+    return {
+        far: f"CASE WHEN {_any_null(MONEY_COLS)} THEN {D.double_sql(D.field_sql(array, at[exact]))} END"
+        for far, exact in FAR_COLS.items()
+    }
+
+
 def _reason_sql(tbl: str, strict_op: bool, seq_mode: str = SEQ_FIELD) -> str:
     """Why a typed row of ``tbl`` is unusable (NULL when it is fine)."""
-    nums = [c for c in OUTPUT_COLS[tbl] if c not in DATE_COLS | TEXT_COLS]
+    nums = [c for c in OUTPUT_COLS[tbl] if c not in DATE_COLS | TEXT_COLS | {*MONEY_COLS, *FAR_COLS}]
     dates = [c for c in OUTPUT_COLS[tbl] if c in DATE_COLS]
     whens = []
     if strict_op:
         whens.append("WHEN op NOT IN ('+', '-') THEN 'bad_op'")
     whens.append(f"WHEN _n < {_need(tbl, seq_mode)} THEN 'short_line'")
-    if nums:
-        whens.append("WHEN " + " OR ".join(f"{c} IS NULL" for c in nums) + " THEN 'bad_number'")
+    bad = [f"{c} IS NULL" for c in nums]
+    if tbl == D.TAG_LINEITEM:
+        bad.append(f"({_any_null(MONEY_COLS)}) AND ({_any_null(FAR_COLS)})")
+    if bad:
+        whens.append(f"WHEN {' OR '.join(bad)} THEN 'bad_number'")
     if dates:
         whens.append("WHEN " + " OR ".join(f"{c} IS NULL" for c in dates) + " THEN 'bad_date'")
     whens.append("WHEN seq IS NULL THEN 'bad_seq'")
@@ -117,14 +138,19 @@ def _typed(lines: DataFrame, tbl: str, seq_mode: str = SEQ_FIELD, tagless: bool
     split = lines.where(own).selectExpr(
         "value", *keep, f"{D.OP_SQL} AS op", f"explode(array({D.FIELDS_SQL})) AS _f"
     )
-    return split.selectExpr(
+    plain = [c for c in OUTPUT_COLS[tbl] if c not in FAR_COLS]
+    typed = split.selectExpr(
         "value",
         "op",
+        "_f",
         "size(_f) AS _n",
         f"{seq} AS seq",
         D.SIGN_SQL.format(op="op") + " AS sgn",
-        *[f"{_parse_sql(c, D.field_sql('_f', fields[c]))} AS {c}" for c in OUTPUT_COLS[tbl]],
+        *[f"{_parse_sql(c, D.field_sql('_f', fields[c]))} AS {c}" for c in plain],
     )
+    if tbl == D.TAG_LINEITEM:
+        typed = typed.selectExpr("*", *[f"{x} AS {c}" for c, x in _far_sql("_f").items()])
+    return typed.drop("_f")
 
 
 def parse_table(lines: DataFrame, tbl: str, on_error: str = "fail", strict_op: bool = False,
@@ -161,14 +187,15 @@ def _decoded(lines: DataFrame, strict_op: bool = False, seq_mode: str = SEQ_FIEL
     )
     typed = [
         f"CASE WHEN tbl = '{t}' THEN {_parse_sql(c, D.field_sql('_f', D.FIELDS[t][c]))} END AS {c}"
-        for t in D.TAGS for c in OUTPUT_COLS[t]
+        for t in D.TAGS for c in OUTPUT_COLS[t] if c not in FAR_COLS
     ]
+    far = [f"CASE WHEN tbl = '{D.TAG_LINEITEM}' THEN {x} END AS {c}" for c, x in _far_sql("_f").items()]
     tags = ", ".join(f"'{t}'" for t in D.TAGS)
     per_tag = " ".join(f"WHEN tbl = '{t}' THEN ({_reason_sql(t, strict_op, seq_mode)})" for t in D.TAGS)
     return split.selectExpr(
-        "value", "tbl", "op", "size(_f) AS _n", f"{seq} AS seq",
+        "value", "tbl", "op", "_f", "size(_f) AS _n", f"{seq} AS seq",
         D.SIGN_SQL.format(op="op") + " AS sgn", *typed,
-    ).selectExpr(
+    ).selectExpr("*", *far).drop("_f").selectExpr(
         "*",
         "CASE WHEN length(value) < 3 THEN 'short_line' "
         f"WHEN tbl NOT IN ({tags}) THEN 'unknown_tag' {per_tag} END AS reason",

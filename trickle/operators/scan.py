@@ -3,65 +3,92 @@
 Rows are range-partitioned once on (key, order) into ordered chunks and
 written to the shared folder with their chunk id, so every later step reads
 the same rows in the same chunk (a second range exchange would sample other
-boundaries). Each chunk runs its own window per key. Only a key that goes on
-from one chunk into the next needs the totals of its earlier chunks; there is
-at most one such key per boundary, so this table of carries has at most as
-many rows as there are chunks, however many rows a key has.
+boundaries). Each chunk runs its own window per key. Only an *open* key, one
+that goes on from one chunk into the next, needs the totals of its other
+chunks; there is at most one such key per boundary, so the open keys and the
+table of carries have at most as many rows as there are chunks, however many
+rows a key has.
 
-There is no size switch: all keys take the same path.
+There is no size switch: all keys take the same path (the carries of no open
+key are left out of the plan).
 """
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trickle.session import written
 
 
-def running_sums(
-    df: DataFrame,
-    keys: list[str],
-    order: list[str],
-    sums: dict[str, str],
-    chunks: int | None = None,
-) -> DataFrame:
-    """``df`` plus, for each ``name: column`` of ``sums``, the running sum of
-    ``column`` over ``keys`` in ``order`` (current row included).
+class Chunks(NamedTuple):
+    """Rows in ordered chunks (column ``_chunk``); the open keys, None without any."""
+
+    rows: DataFrame
+    open_keys: DataFrame | None
 
-    ``chunks``: into how many ranges the rows are dealt (default: the
-    session's shuffle partitions, twice the cores at least)."""
-    spark = df.sparkSession
-    cols = df.columns
-    parts = chunks or max(
-        int(spark.conf.get("spark.sql.shuffle.partitions")),
-        2 * spark.sparkContext.defaultParallelism,
-    )
-    rows = written(
-        df.repartitionByRange(parts, *keys, *order).withColumn("_chunk", F.spark_partition_id()),
-        "running-sums",
-    )
 
-    # keys that go on into the next chunk that has rows: one per boundary
+def ordered_chunks(df: DataFrame, keys: list[str], order: list[str], chunks: int | None = None) -> Chunks:
+    """``df`` dealt into ``chunks`` ranges of (keys, order) and written
+    (default: the session's shuffle partitions, of which AQE coalesces small
+    neighbours)."""
+    spark = df.sparkSession
+    ranged = df.repartitionByRange(*([chunks] if chunks else []), *keys, *order)
+    rows = written(ranged.withColumn("_chunk", F.spark_partition_id()), "running-sums")
+    # one row per chunk, one open key per boundary at most
     key = F.struct(*keys)
-    ends = rows.groupBy("_chunk").agg(F.min(key).alias("_first"), F.max(key).alias("_last"))
-    in_order = Window.orderBy("_chunk")
-    open_keys = (
-        ends.select("_last", F.lead("_first").over(in_order).alias("_next"))
-        .where("_last = _next").select("_last.*").distinct()
-    )
-    totals = (
-        rows.join(F.broadcast(open_keys), keys)
-        .groupBy(*keys, "_chunk").agg(*[F.sum(c).alias(f"_t_{n}") for n, c in sums.items()])
-    )
-    before = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    carries = totals.select(*keys, "_chunk", *[F.sum(f"_t_{n}").over(before).alias(f"_c_{n}") for n in sums])
+    ends = rows.groupBy("_chunk").agg(F.min(key).alias("first"), F.max(key).alias("last")).collect()
+    ends.sort(key=lambda r: r["_chunk"])
+    some = list(dict.fromkeys(tuple(x.last) for x, y in zip(ends, ends[1:]) if x.last == y.first))
+    return Chunks(rows, spark.createDataFrame(some, rows.select(*keys).schema) if some else None)
+
+
+def chunk_sums(c: Chunks, keys: list[str], order: list[str], sums: dict[str, str],
+               backwards: bool = False) -> DataFrame:
+    """The chunks' rows plus, for each ``name: column`` of ``sums``, the
+    running sum of ``column`` over ``keys`` in ``order`` (current row
+    included); ``backwards`` sums from the last row to the current one."""
+    cols = c.rows.columns
+    by = [F.col(o).desc() if backwards else F.col(o) for o in order]
     within = (
-        Window.partitionBy(*keys, "_chunk").orderBy(*order)
+        Window.partitionBy(*keys, "_chunk").orderBy(*by)
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    summed = rows.select(*cols, "_chunk", *[F.sum(c).over(within).alias(f"_w_{n}") for n, c in sums.items()])
-    carried = summed.join(F.broadcast(carries), [*keys, "_chunk"], "left")
-    return carried.select(
-        *cols, *[F.expr(f"_w_{n} + coalesce(_c_{n}, 0)").alias(n) for n in sums]
+    summed = c.rows.select(*cols, *[F.sum(x).over(within).alias(f"_w_{n}") for n, x in sums.items()])
+    if c.open_keys is None:
+        return summed.select(*cols, *[F.col(f"_w_{n}").alias(n) for n in sums])
+    # one row per chunk of each open key: twice the chunks at most
+    totals = (
+        c.rows.join(F.broadcast(c.open_keys), keys)
+        .groupBy(*keys, "_chunk").agg(*[F.sum(x).alias(n) for n, x in sums.items()])
     )
+    carries = c.rows.sparkSession.createDataFrame(
+        _carries(totals.collect(), len(keys), len(sums), backwards), totals.schema
+    ).withColumnsRenamed({n: f"_c_{n}" for n in sums})
+    carried = summed.join(F.broadcast(carries), [*keys, "_chunk"], "left")
+    return carried.select(*cols, *[F.expr(f"_w_{n} + coalesce(_c_{n}, 0)").alias(n) for n in sums])
+
+
+def _carries(totals: list, keys: int, sums: int, backwards: bool) -> list[tuple]:
+    """Rows (key, chunk, totals) -> (key, chunk, totals of the chunks before)."""
+    out, so_far = [], {}
+    for r in sorted(totals, key=lambda r: r[keys], reverse=backwards):
+        before = so_far.get(tuple(r[:keys]), [None] * sums)
+        out.append((*r[: keys + 1], *before))
+        so_far[tuple(r[:keys])] = [
+            y if x is None else x if y is None else x + y for x, y in zip(before, r[keys + 1 :])
+        ]
+    return out
+
+
+def running_sums(
+    df: DataFrame,
+    keys: list[str],
+    order: list[str],
+    sums: dict[str, str],
+    chunks: int | None = None,
+) -> DataFrame:
+    """``df`` plus the running sums of ``chunk_sums``."""
+    return chunk_sums(ordered_chunks(df, keys, order, chunks), keys, order, sums).drop("_chunk")

@@ -14,28 +14,27 @@ delta stream (``join1_deltas``, ``join2_deltas``) and, with a running sum,
 its output changelog.
 
 The deltas are made without pairing all changes of a key: each change meets
-the *net state* of the other side at its time. A base row's net weight is a
-step function over ``seq`` (a window over the changes of that one row), kept
-as intervals in which it is not zero; a change joins the intervals that hold
-its ``seq``. So the joins give out one row per delta. ``seq`` identifies a
-change.
-
-Partitioning: join 1 shuffles on ``custkey``, join 2 on ``orderkey``. Join
-inputs are plain shuffles and no grouping on the join key follows, so AQE can
-split a hot key in any session.
+the *live rows* of the other side at its time, found by one ordered sweep per
+join (``operators.sweep``) whose work follows changes plus deltas. ``seq``
+identifies a change.
+
+Partitioning: join 1 sweeps ``custkey``, join 2 ``orderkey``, in ordered
+chunks that cut through a hot key. The joins on (key, rank) have plain
+shuffles as inputs, so AQE can split the many rows that one change meets.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trickle.functions.measures import REVENUE_SQL, to_double
+from trickle.functions.measures import amount_sql, weighted_sql
 from trickle.operators.scan import running_sums
+from trickle.operators.sweep import meetings, side
 from trickle.session import written
 
 J1_COLS = ["o_orderkey", "o_orderdate", "o_shippriority"]
-ITEM_COLS = ["l_orderkey", "line", "l_extendedprice", "l_discount"]
+ITEM_COLS = ["l_orderkey", "line", "l_extendedprice", "l_discount", "l_price_far", "l_discount_far"]
 # What tells the rows of each side apart in the reference's keyed state.
 KEYS = {
     "customers": ["c_custkey"],
@@ -50,59 +49,20 @@ KEYS = {
 # --------------------------------------------------------------------------
 
 
-def live_intervals(changes: DataFrame, row: list[str], weight: str,
-                   key: list[str] | None = None) -> DataFrame:
-    """``row``, since, until, net: the stretches of ``seq`` in which the net
-    weight of a base row is not zero. ``until`` is NULL for the last one.
-
-    With ``key`` a row is *present* or not, as in the reference's keyed state:
-    the last change of the key decides, an insert replaces what was there, and
-    net is 1. On a well-formed feed that is the same."""
-    by = Window.partitionBy(*(key or row)).orderBy("seq")
-    upto = by.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    net = F.sum(weight).over(upto) if key is None else F.when(F.col(weight) > 0, 1).otherwise(0)
-    return changes.select(
-        *row, F.col("seq").alias("since"), F.lead("seq").over(by).alias("until"), net.alias("net")
-    ).where("net <> 0")
-
-
-def _after(before: DataFrame | None, changes: DataFrame, row: list[str], weight: str) -> DataFrame:
-    """``changes`` with the rows of ``before`` in front."""
-    if before is None:
-        return changes
-    cols = ["seq", *row, weight]
-    return before.select(*cols).unionAll(changes.select(*cols))
-
-
-def _meet(event: Column, other: DataFrame, at_start: bool) -> Column:
-    """``event`` (a seq) lies in an interval of ``other``. Of a change on
-    either side with one seq, exactly one meets the other: ``at_start`` says
-    whether an event sees a change of its own seq."""
-    if at_start:
-        return (other.since <= event) & (other.until.isNull() | (event < other.until))
-    return (other.since < event) & (other.until.isNull() | (event <= other.until))
-
-
 def join1_deltas(od: DataFrame, cu: DataFrame, od_before: DataFrame | None = None,
                  cu_before: DataFrame | None = None, present: bool = False) -> DataFrame:
     """seq, o_orderkey, o_orderdate, o_shippriority, w: what join 1 emits.
 
-    An order change meets the customer's net weight at its time; a customer
+    An order change meets the customers that are there at its time; a customer
     change meets the orders that are live at its time. ``od_before`` and
     ``cu_before`` are changes (or net rows with an earlier ``seq``) that count
-    as state but emit nothing; ``present``: see ``live_intervals``."""
-    customer, order = ["c_custkey", "c_mktsegment"], ["o_custkey", *J1_COLS]
+    as state but emit nothing. With ``present`` a row is there or not, as in
+    the reference's keyed state: the last change of the key decides, an insert
+    replaces what was there. On a well-formed feed that is the same."""
     keys = KEYS if present else {}
-    customers = live_intervals(
-        _after(cu_before, cu, customer, "sgn"), customer, "sgn", keys.get("customers"))
-    orders = live_intervals(_after(od_before, od, order, "sgn"), order, "sgn", keys.get("orders"))
-    by_order = od.join(
-        customers, (od.o_custkey == customers.c_custkey) & _meet(od.seq, customers, True)
-    ).selectExpr("seq", *J1_COLS, "CAST(sgn * net AS INT) AS w")
-    by_customer = cu.join(
-        orders, (cu.c_custkey == orders.o_custkey) & _meet(cu.seq, orders, False)
-    ).selectExpr("seq", *J1_COLS, "CAST(sgn * net AS INT) AS w")
-    return by_order.unionAll(by_customer)
+    orders = side(od, "o_custkey", ["o_custkey", *J1_COLS], "sgn", keys.get("orders"), od_before)
+    customers = side(cu, "c_custkey", ["c_custkey", "c_mktsegment"], "sgn", keys.get("customers"), cu_before)
+    return meetings(orders, customers).selectExpr("seq", *J1_COLS, "CAST(w * net AS INT) AS w")
 
 
 def customer_weight(cu: DataFrame, keep_empty: bool = False) -> DataFrame:
@@ -150,8 +110,9 @@ def lineitem_value(li: DataFrame, keep_empty: bool = False) -> DataFrame:
     changes of a key map-side, so even an order key holding a large share of
     all rows reaches the join as one row per map task.
     """
+    exact, far = weighted_sql("sgn")
     out = li.groupBy("l_orderkey").agg(
-        F.expr(f"sum(sgn * {REVENUE_SQL}) AS v"), F.expr("sum(sgn) AS nl")
+        F.expr(f"sum({exact}) AS v"), F.expr(f"sum({far}) AS vf"), F.expr("sum(sgn) AS nl")
     )
     return out if keep_empty else out.where("nl <> 0")
 
@@ -171,7 +132,7 @@ def final_view(li: DataFrame, od: DataFrame, cu: DataFrame, keep_empty: bool = F
         "l_orderkey",
         "o_orderdate",
         "o_shippriority",
-        "CAST(wo * v AS DOUBLE) AS revenue",
+        f"{amount_sql('wo * v', 'wo * vf')} AS revenue",
         "CAST(wo * nl AS BIGINT) AS n",
     )
     return out if keep_empty else out.where("n > 0")
@@ -179,30 +140,22 @@ def final_view(li: DataFrame, od: DataFrame, cu: DataFrame, keep_empty: bool = F
 
 def join2_deltas(li: DataFrame, j1: DataFrame, li_before: DataFrame | None = None,
                  j1_before: DataFrame | None = None, present: bool = False) -> DataFrame:
-    """seq, l_orderkey, line, o_orderdate, o_shippriority, w, dv: what join 2
-    emits, one row per (event, lineitem).
+    """seq, l_orderkey, line, o_orderdate, o_shippriority, w, dv, df: what
+    join 2 emits, one row per (event, lineitem).
 
-    A lineitem change meets the order's net weight at its time; a join-1
-    delta meets the lineitem rows that are live at its time. ``dv`` is the
-    exact DECIMAL revenue delta (w * price * (1 - discount)). The join-1
+    A lineitem change meets the order's rows that are there at its time; a
+    join-1 delta meets the lineitem rows that are live at its time. ``dv`` and
+    ``df`` are the exact and the far part of the revenue delta
+    (w * price * (1 - discount), ``functions.measures``). The join-1
     deltas are read twice, so they are written once. ``li_before`` and
     ``j1_before`` and ``present`` as in ``join1_deltas``."""
     j1 = written(j1, "join1-deltas")
     keys = KEYS if present else {}
-    orders = live_intervals(_after(j1_before, j1, J1_COLS, "w"), J1_COLS, "w", keys.get("joined"))
-    items = live_intervals(
-        _after(li_before, li, ITEM_COLS, "sgn"), ITEM_COLS, "sgn", keys.get("items"))
-    out = [
-        "seq", "l_orderkey", "line", "o_orderdate", "o_shippriority", "CAST(w AS INT) AS w",
-        f"w * {REVENUE_SQL} AS dv",
-    ]
-    by_item = li.join(
-        orders, (li.l_orderkey == orders.o_orderkey) & _meet(li.seq, orders, True)
-    ).selectExpr("*", "sgn * net AS w").selectExpr(*out)
-    by_order = j1.withColumnRenamed("w", "_w").join(
-        items, (j1.o_orderkey == items.l_orderkey) & _meet(j1.seq, items, False)
-    ).selectExpr("*", "_w * net AS w").selectExpr(*out)
-    return by_item.unionAll(by_order)
+    items = side(li, "l_orderkey", ITEM_COLS, "sgn", keys.get("items"), li_before)
+    orders = side(j1, "o_orderkey", J1_COLS, "w", keys.get("joined"), j1_before)
+    exact, far = weighted_sql("w")
+    return meetings(items, orders).withColumn("w", F.expr("CAST(w * net AS INT)")).selectExpr(
+        "seq", "l_orderkey", "line", "o_orderdate", "o_shippriority", "w", f"{exact} AS dv", f"{far} AS df")
 
 
 def changelog(deltas: DataFrame, chunks: int | None = None) -> DataFrame:
@@ -211,20 +164,21 @@ def changelog(deltas: DataFrame, chunks: int | None = None) -> DataFrame:
 
     A running sum per order key (``operators.scan``) over ordered chunks, so
     the deltas of one order key are spread over as many tasks as they fill."""
-    r = running_sums(deltas, ["l_orderkey"], ["seq", "line"], {"_rev": "dv", "_n": "w"}, chunks)
-    return r.select(
+    r = running_sums(deltas, ["l_orderkey"], ["seq", "line"], {"_rev": "dv", "_far": "df", "_n": "w"}, chunks)
+    return r.selectExpr(
         "seq", "l_orderkey", "line", "o_orderdate", "o_shippriority",
-        to_double(F.col("_rev")).alias("revenue"), F.col("_n").cast("bigint").alias("n"),
+        f"{amount_sql('_rev', '_far')} AS revenue", "CAST(_n AS BIGINT) AS n",
     )
 
 
 def latest(deltas: DataFrame) -> DataFrame:
     """Last running value per group: every group ever emitted, empty ones
     (n = 0) kept, as a consumer of the changelog sees it."""
-    return deltas.groupBy("l_orderkey", "o_orderdate", "o_shippriority").agg(
-        to_double(F.sum("dv")).alias("revenue"),
-        F.sum("w").cast("bigint").alias("n"),
+    sums = deltas.groupBy("l_orderkey", "o_orderdate", "o_shippriority").agg(
+        F.sum("dv").alias("v"), F.sum("df").alias("f"), F.sum("w").cast("bigint").alias("n"),
     )
+    return sums.selectExpr(
+        "l_orderkey", "o_orderdate", "o_shippriority", f"{amount_sql('v', 'f')} AS revenue", "n")
 
 
 def cascade(deltas: DataFrame, cu: DataFrame) -> DataFrame:

@@ -15,9 +15,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trickle.functions import decode as D
-from trickle.functions.measures import revenue, to_double
+from trickle.functions.measures import amount_sql, weighted_sql
 from trickle.operators import filters, quality, recompute, signed
-from trickle.operators.route import Routed, decoded_changes, route
+from trickle.operators.route import FAR_COLS, Routed, decoded_changes, route
 from trickle.plans import ivm
 from trickle.operators.static_q3 import q3_static
 from trickle.plans.spec import Q3, Q3_1998, Q3Spec
@@ -47,12 +47,10 @@ def filtered(spark: SparkSession, sf_dir: str, spec: Q3Spec) -> tuple[DataFrame,
     return ivm.changes(feed_text(spark, sf_dir), spec)
 
 
-def _money_out(df: DataFrame, cols: list[str]) -> DataFrame:
-    """DECIMAL money columns leave as DOUBLE (the reference's output type)."""
-    return df.select(*[to_double(F.col(c)).alias(c) if c in cols else F.col(c) for c in df.columns])
-
-
-MONEY_COLS = ["l_extendedprice", "l_discount"]
+def _money_out(df: DataFrame) -> DataFrame:
+    """Money leaves as DOUBLE (the reference's output type)."""
+    far = FAR_COLS.items()
+    return df.withColumns({x: F.coalesce(f, F.col(x).cast("double")) for f, x in far}).drop(*FAR_COLS)
 
 
 def deltas(spark: SparkSession, sf_dir: str, spec: Q3Spec) -> DataFrame:
@@ -110,7 +108,7 @@ def dead_letter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def parse_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _money_out(routed(spark, sf_dir).lineitem, MONEY_COLS)
+    return _money_out(routed(spark, sf_dir).lineitem)
 
 
 def parse_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -122,7 +120,7 @@ def parse_customer(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def filter_lineitem(spark: SparkSession, sf_dir: str, spec: Q3Spec = Q3) -> DataFrame:
-    return _money_out(filters.filter_lineitem(routed(spark, sf_dir).lineitem, spec), MONEY_COLS)
+    return _money_out(filters.filter_lineitem(routed(spark, sf_dir).lineitem, spec))
 
 
 def filter_orders(spark: SparkSession, sf_dir: str, spec: Q3Spec = Q3) -> DataFrame:
@@ -134,11 +132,9 @@ def filter_customer(spark: SparkSession, sf_dir: str, spec: Q3Spec = Q3) -> Data
 
 
 def revenue_expr(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = routed(spark, sf_dir).lineitem
-    return li.select(
-        "seq", "l_orderkey", "line",
-        to_double(F.col("sgn") * revenue("l_extendedprice", "l_discount")).alias("signed_revenue"),
-    )
+    exact, far = weighted_sql("sgn")
+    return routed(spark, sf_dir).lineitem.selectExpr(
+        "seq", "l_orderkey", "line", f"{amount_sql(exact, far)} AS signed_revenue")
 
 
 def join1_deltas(spark: SparkSession, sf_dir: str, spec: Q3Spec = Q3) -> DataFrame:
@@ -157,9 +153,8 @@ def live_orders(spark: SparkSession, sf_dir: str, spec: Q3Spec = Q3) -> DataFram
 
 
 def join2_deltas(spark: SparkSession, sf_dir: str, spec: Q3Spec = Q3) -> DataFrame:
-    return deltas(spark, sf_dir, spec).select(
-        "seq", "l_orderkey", "line", "w", to_double(F.col("dv")).alias("signed_revenue")
-    )
+    return deltas(spark, sf_dir, spec).selectExpr(
+        "seq", "l_orderkey", "line", "w", f"{amount_sql('dv', 'df')} AS signed_revenue")
 
 
 def cascade_delete(spark: SparkSession, sf_dir: str, spec: Q3Spec = Q3) -> DataFrame:
