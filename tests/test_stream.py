@@ -71,8 +71,8 @@ def test_state_shrinks_to_nothing_after_deleting_everything(spark, lines_df):
         lines_df(chunk).coalesce(1).write.mode("append").text(in_path)
         q = q3_stream.start(spark, in_path, ckpt, out)
         q.awaitTermination()
-        slot = q3_stream.current_slot(spark, out)
-        sizes.append([spark.read.parquet(f"{slot}/{t}").count() for t in [*q3_stream.STATE, "view"]])
+        kept = [q3_stream.kept_rows(spark, out, t) for t in q3_stream.tables(True)]
+        sizes.append([0 if k is None else k.count() for k in kept])
     assert sizes == [[1, 2, 2, 2, 2], [0, 0, 0, 0, 0]]
     assert q3_stream.latest_view(spark, out).collect() == []
 
@@ -136,3 +136,81 @@ def test_stream_fails_on_a_bad_line(spark, lines_df):
         spark, lines_df([*CASES["order_delete"], bad]), kind="changelog", parts=1, on_error="dead_letter"
     )
     assert kept.count() == len(model.run(CASES["order_delete"]))
+
+
+def stored(spark, path):
+    """(folders, bytes) below a path."""
+    from trickle.session import _hadoop
+
+    fs, p = _hadoop(spark, path)
+    if not fs.exists(p):
+        return 0, 0
+    summary = fs.getContentSummary(p)
+    return summary.getDirectoryCount(), summary.getLength()
+
+
+def test_a_batch_writes_and_reads_what_it_touches(spark, lines_df):
+    """A million live lineitems, then ten lines: the second batch writes a few
+    files and reads the buckets of its keys only."""
+    from trickle.streaming.state import State, bucket_of
+    from pyspark.sql import functions as F
+
+    base = scratch_path(spark, "test-touch", unique=True)
+    job = q3_stream._batch_job(f"{base}/out", buckets=64)
+    first = spark.range(1_000_000).selectExpr(
+        "concat('+LI', id div 4, '|1|1|', id % 4, '|1.00|100.00|0.10|0.00|N|O|1995-06-01|', id + 1) AS value")
+    job(first, 0)
+    _, before = stored(spark, f"{base}/out/state")
+    job(lines_df(["+CU1|n||1||1.00|AUTOMOBILE||2000001"] + [
+        f"+OR{k}|1|O|1.00|1995-01-02|1-URGENT||0||{2000002 + k}" for k in range(9)]), 1)
+    assert [(r.l_orderkey, r.n) for r in q3_stream.latest_view(spark, f"{base}/out").orderBy("l_orderkey").collect()
+            ] == [(k, 4) for k in range(9)]
+    written = sum(stored(spark, f"{base}/out/state/{t}/v=1")[1] for t in q3_stream.tables(True))
+    assert 0 < written < before / 50
+    state = State(spark, f"{base}/out/state", q3_stream.tables(True), 64)
+    touched = {r.b for r in spark.range(9).select(bucket_of(F.col("id"), 64).alias("b")).collect()}
+    rows = state.read(state.manifest(), "items", None, touched)
+    read = {f.split("bucket=")[1].split("/")[0] for f in rows.inputFiles()}
+    assert read == {str(b) for b in touched} and len(read) < 10
+
+
+def test_folders_do_not_grow(spark, lines_df):
+    """Batches of changes to few keys: versions are merged, what no manifest
+    lists and the batches' own files go."""
+    from trickle.session import names
+    from trickle.streaming.state import State
+
+    base = scratch_path(spark, "test-folders", unique=True)
+    job = q3_stream._batch_job(f"{base}/out", buckets=2, on_error="dead_letter")
+    lines, n = [], 9
+    for k in range(n):
+        op = "+" if k % 2 == 0 else "-"
+        seq = 10 * k
+        some = [f"{op}CU1|n||1||1.00|AUTOMOBILE||{seq + 1}", f"+LI{k}|1|1|1|1.00|{k}.00|0.10|0.00|N|O|1995-06-01|{seq + 2}",
+                f"+OR{k}|1|O|1.00|1995-01-02|1-URGENT||0||{seq + 3}"]
+        if k == 0:
+            some.append("+LIbad|line")
+        lines += some
+        job(lines_df(some), k)
+    path = f"{base}/out/state"
+    state = State(spark, path, q3_stream.tables(True), 2)
+    assert names(spark, f"{path}/manifest") == [f"{k:09d}.json" for k in (n - 2, n - 1)]
+    listed = set()
+    for k in (n - 2, n - 1):
+        for t, buckets in state.manifest(k).tables.items():
+            for b, versions in buckets.items():
+                assert len(versions) <= 2 + sum(x for _, x in versions).bit_length()
+                listed |= {(t, f"v={v}", f"bucket={b}") for v, _ in versions}
+    there = {
+        (t, v, b) for t in q3_stream.tables(True) for v in names(spark, f"{path}/{t}")
+        for b in names(spark, f"{path}/{t}/{v}") if b.startswith("bucket=")
+    }
+    assert there == listed and len({v for _, v, _ in there}) < n
+    assert names(spark, f"{base}/out/work") == []
+    # the bad line of the first batch is still there, and so is all of the log
+    dead = q3_stream.read_dead_letter(spark, f"{base}/out").collect()
+    assert [(r.batch_id, r.value) for r in dead] == [(0, "+LIbad|line")]
+    good = [x for x in lines if "bad" not in x]
+    have = sorted((r.seq, r.l_orderkey, r.line, round(r.revenue, 4), r.n)
+                  for r in q3_stream.read_changelog(spark, f"{base}/out").collect())
+    assert have == sorted((s, k, ln, round(v, 4), n) for s, k, ln, d, p, v, n in model.run(good))

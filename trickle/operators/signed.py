@@ -139,7 +139,8 @@ def final_view(li: DataFrame, od: DataFrame, cu: DataFrame, keep_empty: bool = F
 
 
 def join2_deltas(li: DataFrame, j1: DataFrame, li_before: DataFrame | None = None,
-                 j1_before: DataFrame | None = None, present: bool = False) -> DataFrame:
+                 j1_before: DataFrame | None = None, present: bool = False,
+                 stored: bool = False) -> DataFrame:
     """seq, l_orderkey, line, o_orderdate, o_shippriority, w, dv, df: what
     join 2 emits, one row per (event, lineitem).
 
@@ -147,9 +148,9 @@ def join2_deltas(li: DataFrame, j1: DataFrame, li_before: DataFrame | None = Non
     join-1 delta meets the lineitem rows that are live at its time. ``dv`` and
     ``df`` are the exact and the far part of the revenue delta
     (w * price * (1 - discount), ``functions.measures``). The join-1
-    deltas are read twice, so they are written once. ``li_before`` and
-    ``j1_before`` and ``present`` as in ``join1_deltas``."""
-    j1 = written(j1, "join1-deltas")
+    deltas are read twice, so they are written once (unless ``stored``).
+    ``li_before`` and ``j1_before`` and ``present`` as in ``join1_deltas``."""
+    j1 = j1 if stored else written(j1, "join1-deltas")
     keys = KEYS if present else {}
     items = side(li, "l_orderkey", ITEM_COLS, "sgn", keys.get("items"), li_before)
     orders = side(j1, "o_orderkey", J1_COLS, "w", keys.get("joined"), j1_before)
@@ -158,14 +159,18 @@ def join2_deltas(li: DataFrame, j1: DataFrame, li_before: DataFrame | None = Non
         "seq", "l_orderkey", "line", "o_orderdate", "o_shippriority", "w", f"{exact} AS dv", f"{far} AS df")
 
 
-def changelog(deltas: DataFrame, chunks: int | None = None) -> DataFrame:
+def changelog(deltas: DataFrame, chunks: int | None = None, before: DataFrame | None = None) -> DataFrame:
     """The reference's output stream: after every delta, the running revenue
-    and count of its order key, in (seq, line) order.
+    and count of its order key, in (seq, line) order. ``before`` (seq,
+    l_orderkey, dv, df, w) are sums at an earlier seq, which emit nothing.
 
     A running sum per order key (``operators.scan``) over ordered chunks, so
     the deltas of one order key are spread over as many tasks as they fill."""
-    r = running_sums(deltas, ["l_orderkey"], ["seq", "line"], {"_rev": "dv", "_far": "df", "_n": "w"}, chunks)
-    return r.selectExpr(
+    rows = deltas.withColumn("emit", F.lit(True))
+    if before is not None:
+        rows = rows.unionByName(before.withColumn("emit", F.lit(False)), allowMissingColumns=True)
+    r = running_sums(rows, ["l_orderkey"], ["seq", "line"], {"_rev": "dv", "_far": "df", "_n": "w"}, chunks)
+    return r.where("emit").selectExpr(
         "seq", "l_orderkey", "line", "o_orderdate", "o_shippriority",
         f"{amount_sql('_rev', '_far')} AS revenue", "CAST(_n AS BIGINT) AS n",
     )

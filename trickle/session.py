@@ -10,6 +10,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -102,9 +105,24 @@ def shared_dir(spark: SparkSession) -> str:
     return d.rstrip("/")
 
 
+_folder: ContextVar[str | None] = ContextVar("scratch_folder", default=None)
+
+
+@contextmanager
+def scratch_folder(path: str) -> Iterator[str]:
+    """Within this context (of one thread) everything written on the way goes
+    below ``path``, a shared folder which the caller removes afterwards."""
+    token = _folder.set(path.rstrip("/"))
+    try:
+        yield path
+    finally:
+        _folder.reset(token)
+
+
 def scratch_path(spark: SparkSession, *parts: str, unique: bool = False) -> str:
-    """A path below the shared folder; ``unique`` appends a fresh id."""
-    segs = [shared_dir(spark), "trickle", *parts]
+    """A path below the shared folder (or ``scratch_folder``); ``unique``
+    appends a fresh id."""
+    segs = [_folder.get() or f"{shared_dir(spark)}/trickle", *parts]
     if unique:
         segs.append(uuid.uuid4().hex[:12])
     return "/".join(segs)
@@ -118,10 +136,39 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def reliable_checkpoint(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` once in the shared checkpoint folder (never
-    ``localCheckpoint``: it would not survive the loss of an executor)."""
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(f"{shared_dir(df.sparkSession)}/rdd-checkpoints")
-    return df.checkpoint(eager=True)
+def _hadoop(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared storage, if it is there."""
+    fs, p = _hadoop(spark, path)
+    fs.delete(p, True)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, p = _hadoop(spark, path)
+    return fs.exists(p)
+
+
+def put_text(spark: SparkSession, path: str, text: str) -> None:
+    """Replace a small file; readers see the old text or the new one, or for
+    a moment none."""
+    fs, p = _hadoop(spark, path)
+    _, new = _hadoop(spark, f"{path}.{uuid.uuid4().hex[:8]}.tmp")
+    out = fs.create(new, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+    if fs.exists(p):
+        fs.delete(p, False)
+    if not fs.rename(new, p):
+        raise OSError(f"could not write {path}")
+
+
+def names(spark: SparkSession, path: str) -> list[str]:
+    """What a folder holds; nothing if it is not there."""
+    fs, p = _hadoop(spark, path)
+    return sorted(s.getPath().getName() for s in fs.listStatus(p)) if fs.exists(p) else []
