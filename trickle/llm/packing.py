@@ -212,6 +212,17 @@ class WordIds:
         return [b"".join([known[u] for u in units]) for units in split]
 
 
+_workers: dict[str, WordIds] = {}
+
+
+def word_ids(path: str) -> WordIds:
+    """The worker's own ``WordIds`` of a tokenizer, with what earlier tasks of
+    the worker learned (bounded by WORD_CACHE)."""
+    if path not in _workers:
+        _workers[path] = WordIds(path)
+    return _workers[path]
+
+
 PIECES = (
     "doc_id {id}, piece int, start long, length long, ids_crc32 long, "
     "part int, local_rank long{ids}"
@@ -225,7 +236,7 @@ def cut_pieces(
     its task (``part``, ``local_rank``)."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordIds(tokenizer_path)
+        words = word_ids(tokenizer_path)
         end = np.array([end_id], "<u4").tobytes()
         part = TaskContext.get().partitionId()
         seen: dict[int, int] = {}
