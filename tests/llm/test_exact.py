@@ -157,6 +157,19 @@ def test_components_beside_a_huge_one_are_floored(spark):
     assert got == {0: [2.0**68, -1.0, 256.0], 1: [-1.0, 640.0, -256.0]}
 
 
+def test_top_k_of_large_values(spark):
+    """Scores beyond the doubles' whole numbers."""
+    rnd = np.random.default_rng(11)
+    rows = [(i, (rnd.uniform(-1, 1, 8) * 2.0**20).tolist()) for i in range(500)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    whole = [[int(np.floor(256 * x)) for x in v] for _, v in rows]
+    want = set()
+    for q in range(0, 500, 50):
+        score = sorted((-sum(a * b for a, b in zip(whole[q], v)), i) for i, v in enumerate(whole) if i != q)
+        want |= {(q, n + 1, i, -s) for n, (s, i) in enumerate(score[:5])}
+    assert {tuple(r) for r in mtree.top_k(df, every=50, k=5).collect()} == want
+
+
 def test_top_k_few_and_none(spark):
     df = embeddings(spark)
     few = mtree.top_k(df.where("vec_id in (0, 1, 2)"), every=50, k=5).collect()

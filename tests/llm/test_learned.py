@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import os
 import sys
 
@@ -118,6 +119,40 @@ def test_learned_words_have_scores_of_either_sign(spark):
     assert word["river"] == -toxicity.DRIFT
 
 
+def shared_line(n):
+    line = "this line stands in all of them and is long enough to be the least shingle of every text"
+    return [(i, f"{line} own{'abcdefghij'[i % 10]} {i} {'vile' if i % 5 == 0 else 'kind'}", i) for i in range(n)]
+
+
+def test_texts_that_share_a_line_all_count(spark):
+    from trickle.llm.samples import balanced_sample
+
+    rows = shared_line(2000)
+    docs = spark.createDataFrame(rows + rows[:50], "doc_id long, text string, n int")  # some rows twice
+    labels = docs.selectExpr("doc_id", "int(doc_id % 5 = 0) AS toxic").distinct()
+    everything = F.lit(True)
+    got, shift = balanced_sample(docs, labels, "toxic", everything, 5000)
+    assert got.count() == 2000 and shift == 0
+    assert {r.label: r["count"] for r in got.groupBy("label").count().collect()} == {0: 1600, 1: 400}
+    got, shift = balanced_sample(docs, labels, "toxic", everything, 1000)
+    assert {r.label: r["count"] for r in got.groupBy("label").count().collect()} == {0: 600, 1: 400}
+    assert abs(shift - (math.log(400 / 600) - math.log(400 / 1600))) < 1e-12
+    got, _ = balanced_sample(docs, labels, "toxic", everything, 500)
+    assert {r.label: r["count"] for r in got.groupBy("label").count().collect()} == {0: 250, 1: 250}
+    # the bound holds for rows: one id, many texts
+    one = docs.withColumn("doc_id", F.lit(5).cast("long"))
+    assert balanced_sample(one, labels, "toxic", everything, 100)[0].count() == 100
+
+
+def test_scores_do_not_depend_on_the_order_of_rows(spark):
+    docs, labels = tables(spark, data.SF001)
+
+    def run(d):
+        return sorted((r.doc_id, r.score) for r in toxicity.score(d, labels).collect())
+
+    assert run(docs) == run(docs.orderBy(F.desc(F.xxhash64("doc_id"))).repartition(7))
+
+
 def test_quality_on_held_out(spark):
     docs, labels = tables(spark, data.SF01)
     got = neighbours.score(docs, labels).join(labels, "doc_id").where("held_out").collect()

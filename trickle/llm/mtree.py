@@ -249,7 +249,7 @@ def top_k(table: DataFrame, every: int, k: int = 5, scale: int = 256) -> DataFra
     rows = placed.join(F.broadcast(deal), "cell").select(
         (F.col("first") + F.pmod(F.xxhash64("vec_id", "v"), "parts")).cast("int").alias("tree"),
         F.lit(0).cast("byte").alias("side"), "vec_id", "v", "cell",
-        F.lit(None).cast("double").alias("least"),
+        F.lit(None).cast("string").alias("least"),
     )
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -269,18 +269,18 @@ def top_k(table: DataFrame, every: int, k: int = 5, scale: int = 256) -> DataFra
                         row.append(i)
                         tree.append(t)
                         cell.append(c)
-                        least.append(None if floor is None else float(floor))
+                        least.append(None if floor is None else str(int(floor)))  # exact, of any size
             take = pa.array(row, pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(tree, pa.int32()), pa.array(np.ones(len(row), np.int8)),
                     b.column("vec_id").take(take), b.column("v").take(take),
-                    pa.array(cell, pa.int32()), pa.array(least, pa.float64()),
+                    pa.array(cell, pa.int32()), pa.array(least, pa.string()),
                 ],
                 ["tree", "side", "vec_id", "v", "cell", "least"],
             )
 
-    schema = "tree int, side byte, vec_id long, v array<double>, cell int, least double"
+    schema = "tree int, side byte, vec_id long, v array<double>, cell int, least string"
     queries = vectors.where(F.pmod("vec_id", F.lit(every)) == 0).mapInArrow(route, schema)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -309,7 +309,7 @@ def top_k(table: DataFrame, every: int, k: int = 5, scale: int = 256) -> DataFra
                     tree = Tree(space, np.concatenate(ids), np.concatenate(rows), pivots[cell[a]])
                     ids, rows = [True], []
                 for i in range(a, z):
-                    floor = None if least[i] is None else least[i]
+                    floor = None if least[i] is None else int(least[i])
                     for score, found in tree.search(int(vec_id[i]), v[i], k, floor):
                         out.append((int(vec_id[i]), found, max(-LONG - 1, min(LONG, score))))
             cols = list(zip(*out)) if out else [(), (), ()]

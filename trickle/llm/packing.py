@@ -205,9 +205,11 @@ class WordIds:
         asked = set().union(*split)
         new = [u for u in asked if u not in known]
         if len(known) + len(new) > WORD_CACHE:
+            # what these texts ask for stays: the frequent units among them
+            kept = {u: known[u] for u in asked if u in known}
             known.clear()
+            known.update(kept)
             known[b""] = b""
-            new = list(asked - {b""})
         self.learn(new)
         return [b"".join([known[u] for u in units]) for units in split]
 

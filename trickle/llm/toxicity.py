@@ -17,15 +17,19 @@ training texts, K follows from the median of their best segments. A segment's
 significance is l S - ln(K n); a text's evidence is the sum over its
 significant segments, and a logistic curve turns it into a probability.
 
-Learned from a bounded sample of labelled documents (TRAIN_DOCS, by hash of
-doc_id), of which near copies count once (those with the same least hash of
-five-word shingles), lest their chance words look meaningful. The model keeps
+Learned from a bounded sample of labelled texts (TRAIN_DOCS, by hash of doc_id
+and text; half of either label where there are enough, of which the logistic
+curve's constant is put right afterwards); equal texts count once, others each,
+also those that share lines. Counts are sums, so the model does not depend on
+the order of rows. The model keeps
 at most VOCABULARY words, and as many first letters, on either side of the
 share of all words; others have the score of their first letters. All
 documents are scored, whole.
 
-Defined cases: null, empty and wordless texts have no evidence; null and
-repeated ids are scored row by row; without toxic or without clean training
+Defined cases: null, empty and wordless texts have no evidence; very long
+texts are scanned whole, in time linear in their words; segments with equal
+sums stay as the scan finds them, the first longest; an empty table gives an
+empty result; null and repeated ids are scored row by row; without toxic or without clean training
 documents every score is the share of toxic ones (0 without any); other
 columns are ignored.
 """
@@ -44,7 +48,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trickle.llm.common import held_out, slices, stage
-from trickle.llm.samples import fit_logistic, labelled_sample
+from trickle.llm.samples import balanced_sample, fit_logistic
 
 TRAIN_DOCS = 20_000
 VOCABULARY = 50_000
@@ -176,26 +180,8 @@ def _word_counts(sample: DataFrame) -> DataFrame:
     return counted.groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
-def _once(sample: DataFrame) -> DataFrame:
-    """One training text of each label and least shingle hash."""
-    from xxhash import xxh64_intdigest
-
-    def least(text: str | None) -> int:
-        words = LETTERS.findall(text.lower()) if text else []
-        grams = (" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4)))
-        return min(xxh64_intdigest(g) for g in grams) >> 1
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            key = [least(t.as_py()) for t in b.column("text")]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(key, pa.int64())], ["text", "label", "key"])
-
-    keyed = sample.mapInArrow(run, "text string, label int, key long")
-    return keyed.groupBy("label", "key").agg(F.first("text").alias("text")).select("text", "label")
-
-
 def learn_words(sample: DataFrame) -> Words:
-    counts = stage(_word_counts(_once(sample)), "toxic-words")
+    counts = stage(_word_counts(sample), "toxic-words")
     totals = counts.agg(F.sum("toxic").alias("t"), F.sum("clean").alias("c")).first()
     toxic, clean = totals.t or 0, totals.c or 0
     if not toxic or not clean:
@@ -229,7 +215,8 @@ def learn_words(sample: DataFrame) -> Words:
 
 
 def learn(docs: DataFrame, labels: DataFrame, train: Column) -> Model:
-    sample = stage(labelled_sample(docs, labels, "toxic", train, TRAIN_DOCS), "toxic-sample")
+    sample, shift = balanced_sample(docs, labels, "toxic", train, TRAIN_DOCS)
+    sample = stage(sample, "toxic-sample")
     words = learn_words(sample)
 
     def steps(hits: list[tuple[int, float]]) -> list[tuple[int, int]]:
@@ -253,7 +240,8 @@ def learn(docs: DataFrame, labels: DataFrame, train: Column) -> Model:
     scored = stage(
         sample.mapInArrow(run, "label int, n long, scores array<double>, steps map<int,bigint>"), "toxic-scores"
     )
-    rows = scored.select("label", "n", "scores").collect()  # TRAIN_DOCS at most
+    # TRAIN_DOCS rows at most; in one order, so that the fit's sums agree
+    rows = scored.select("label", "n", "scores").orderBy("label", "n", "scores").collect()
     label = np.array([r.label == 1 for r in rows], float)
     if not len(rows) or label.min() == label.max():
         share = label.mean() if len(rows) else 0.0
@@ -271,7 +259,7 @@ def learn(docs: DataFrame, labels: DataFrame, train: Column) -> Model:
     model = Model(words, scale, log_k, 0.0, 0.0)
     evidence = np.array([model.evidence(r.n, r.scores) for r in rows])
     slope, constant = fit_logistic(np.minimum(evidence, TOP)[:, None], label)
-    return Model(words, scale, log_k, max(0.0, float(slope)), float(constant))
+    return Model(words, scale, log_k, max(0.0, float(slope)), float(constant) - shift)
 
 
 def tail_rate(hits: list[tuple[float, int]], n_words: int) -> float:
