@@ -1,7 +1,8 @@
 """Mixing sources to target weights with a low-discrepancy slot schedule.
 
 Each source's documents stand in a shuffled order (by hash) and their words
-are cut into blocks of equal length. Slot t of the mix goes to the source
+are cut into blocks of equal length (BLOCK_WORDS; small sources have shorter
+ones). Slot t of the mix goes to the source
 whose share of [0, 1) holds the golden-ratio point frac(t * phi); the slots
 of a source are ranked, and rank r takes its block r mod (number of blocks).
 So after any number of slots each source is within a few blocks of its
@@ -12,7 +13,8 @@ Native throughout. Ranks and word positions are prefix sums in two levels
 
 Defined cases: null text has size 0; null sources form one source, the last;
 documents without words take nothing; repeated rows are separate documents;
-an empty table gives no rows; other columns are ignored.
+an empty table gives no rows; very long texts are counted whole and may span
+many blocks; documents of one hash stand by doc_id; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,10 +30,10 @@ PHI = 0.6180339887498949  # fractional part of the golden ratio
 # Weights of the sources in code point order, repeating.
 WEIGHTS = (1, 2, 3)
 MAX_EPOCHS = 3
-# Words to a block, unless the mix would then have more than MAX_SLOTS slots
-# or a source fewer than MIN_BLOCKS blocks.
+# Words to a block, at every size of the corpus. A source that would have fewer
+# than MIN_BLOCKS blocks is cut into that many instead, so that whole blocks
+# bring it near its target.
 BLOCK_WORDS = 256
-MAX_SLOTS = 1 << 24
 MIN_BLOCKS = 256
 # Cells of [0, 1) by which slots meet the sources whose shares touch them.
 CELLS = 4096
@@ -90,11 +92,10 @@ def target_table(sizes: DataFrame) -> DataFrame:
     )
     open_ = cap / F.col("weight") >= F.col("level")
     level = F.min_by(F.when(open_, F.col("level")), F.when(open_, F.col("k"))).over(everything)
-    block = F.greatest(F.lit(BLOCK_WORDS), F.ceil(F.col("total") / MAX_SLOTS))
     return t.select(
         "source", "sidx", "source_size",
         F.least(cap.cast("double"), F.coalesce(level, F.lit(0.0)) * F.col("weight")).alias("target"),
-        F.greatest(F.lit(1), F.least(block, F.floor(F.col("source_size") / MIN_BLOCKS)))
+        F.greatest(F.lit(1), F.least(F.lit(BLOCK_WORDS), F.floor(F.col("source_size") / MIN_BLOCKS)))
         .cast("long").alias("block_words"),
     ).withColumn("n_blocks", F.ceil(F.col("source_size") / F.col("block_words")).cast("long"))
 

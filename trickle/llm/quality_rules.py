@@ -9,12 +9,14 @@ and a rerun decides every document alike.
 
 Native throughout: n-grams are counted with partial aggregation over
 2 * BUCKETS groups, and the table of log ratios (of that fixed size) becomes a
-literal of the scoring expression. Raw counts cover all documents; the target
-is a bounded sample of labelled documents (TARGET_DOCS, by hash of doc_id).
+literal of the scoring expression. Raw counts cover all documents, the target
+all documents labelled good. Their ids meet the documents in a plain join:
+broadcast while Catalyst finds them small, else texts move once by doc_id.
 
 Defined cases: null and empty texts have no words and fail the base rules; a
 null doc_id is scored like any other; repeated rows are scored each; without
-labels or documents every log ratio is 0; other columns are ignored.
+labels or documents every log ratio is 0; very long texts are counted whole; a
+ratio at the threshold is kept; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,8 +30,6 @@ from trickle.llm.common import SPACE_CHARS
 from trickle.llm.lets import let, word_array
 
 BUCKETS = 8192
-# Labelled documents of quality 1 that make up the trusted target, at most.
-TARGET_DOCS = 20_000
 # A document is kept if its log ratio per n-gram is at least this.
 THRESHOLD = -0.1
 SMOOTHING = 1.0
@@ -105,13 +105,8 @@ def hashed_words(text: Column) -> Column:
 def log_ratios(docs: DataFrame, labels: DataFrame) -> list[int]:
     """log(target / raw) of each bucket, in millionths."""
     good = labels.where("quality = 1").select("doc_id").where("doc_id IS NOT NULL").distinct()
-    trusted = (
-        good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(TARGET_DOCS)
-        .select(F.col("doc_id").alias("_id"), F.lit(1).alias("_good"))
-    )
-    marked = docs.select("doc_id", "text").join(
-        F.broadcast(trusted), F.col("doc_id") == F.col("_id"), "left"
-    )
+    trusted = good.select(F.col("doc_id").alias("_id"), F.lit(1).alias("_good"))
+    marked = docs.select("doc_id", "text").join(trusted, F.col("doc_id") == F.col("_id"), "left")
     grams = let(hashed_words(F.col("text")), lambda h: gram_buckets(h, pair_hashes(h, 1)))
     counts = (
         marked.select("_good", F.explode(grams).alias("b"))
