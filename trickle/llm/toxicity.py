@@ -19,9 +19,11 @@ significant segments, and a logistic curve turns it into a probability.
 
 Learned from a bounded sample of labelled texts (TRAIN_DOCS, by hash of doc_id
 and text; half of either label where there are enough, of which the logistic
-curve's constant is put right afterwards); equal texts count once, others each,
-also those that share lines. Counts are sums, so the model does not depend on
-the order of rows. The model keeps
+curve's constant is put right afterwards); equal texts count once. A word counts
+once for all texts in which it first stands between the same CONTEXT
+characters: lines that texts share, and the whole of near copies, count once,
+lest their chance words look meaningful; what is a text's own counts. Counts
+are sums, so the model does not depend on the order of rows. The model keeps
 at most VOCABULARY words, and as many first letters, on either side of the
 share of all words; others have the score of their first letters. All
 documents are scored, whole.
@@ -53,6 +55,7 @@ from trickle.llm.samples import balanced_sample, fit_logistic
 TRAIN_DOCS = 20_000
 VOCABULARY = 50_000
 STEM = 4
+CONTEXT = 16
 PRIOR = 5.0
 CAUTION = 3.0
 DRIFT = 0.1
@@ -158,26 +161,33 @@ def scores_of(post: np.ndarray, toxic: np.ndarray, clean: np.ndarray, neutral: f
 
 
 def _word_counts(sample: DataFrame) -> DataFrame:
-    """(word, toxic, clean): in how many training texts each word occurs."""
+    """(word, toxic, clean): in how many training texts each word occurs, those
+    in which it stands first between the same CONTEXT characters as one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh64_intdigest
+
         for whole in batches:
             for b in slices(whole, "text", 2 << 20):
-                count: tuple[Counter, Counter] = (Counter(), Counter())
+                words, places, labels = [], [], []
                 for text, label in zip(b.column("text").to_pylist(), b.column("label").to_pylist()):
-                    count[label == 1].update(set(LETTERS.findall(text.lower()) if text else ()))
-                words = list(count[0] | count[1])
+                    low, seen = (text or "").lower(), set()
+                    for m in LETTERS.finditer(low):
+                        w = m[0]
+                        if w not in seen:
+                            seen.add(w)
+                            words.append(w)
+                            at = low[max(0, m.start() - CONTEXT) : m.end() + CONTEXT]
+                            places.append(xxh64_intdigest(at) >> 1)
+                            labels.append(label == 1)
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(words, pa.string()),
-                        pa.array([count[1][w] for w in words], pa.int64()),
-                        pa.array([count[0][w] for w in words], pa.int64()),
-                    ],
-                    ["word", "toxic", "clean"],
+                    [pa.array(words, pa.string()), pa.array(places, pa.int64()), pa.array(labels, pa.bool_())],
+                    ["word", "place", "label"],
                 )
 
-    counted = sample.mapInArrow(run, "word string, toxic long, clean long")
-    return counted.groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    found = sample.mapInArrow(run, "word string, place long, label boolean").groupBy("word", "place").agg(
+        F.expr("bool_or(label)").alias("toxic"), F.expr("bool_or(NOT label)").alias("clean"))
+    return found.groupBy("word").agg(F.count_if("toxic").alias("toxic"), F.count_if("clean").alias("clean"))
 
 
 def learn_words(sample: DataFrame) -> Words:
@@ -241,7 +251,7 @@ def learn(docs: DataFrame, labels: DataFrame, train: Column) -> Model:
         sample.mapInArrow(run, "label int, n long, scores array<double>, steps map<int,bigint>"), "toxic-scores"
     )
     # TRAIN_DOCS rows at most; in one order, so that the fit's sums agree
-    rows = scored.select("label", "n", "scores").orderBy("label", "n", "scores").collect()
+    rows = sorted(scored.select("label", "n", "scores").collect())
     label = np.array([r.label == 1 for r in rows], float)
     if not len(rows) or label.min() == label.max():
         share = label.mean() if len(rows) else 0.0
