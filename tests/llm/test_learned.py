@@ -144,6 +144,14 @@ def test_texts_that_share_a_line_all_count(spark):
     assert balanced_sample(one, labels, "toxic", everything, 100)[0].count() == 100
 
 
+def test_one_of_near_copies_counts(spark):
+    words = [f"w{i * 7919 % 1000}" for i in range(300)]
+    near = [(" ".join(words[:k] + ["changed"] + words[k + 1 :]), 0) for k in range(0, 300, 15)]
+    own = [(r[1], r[0] % 2) for r in shared_line(10)]  # 0.71 alike at most
+    got = toxicity.without_copies(spark.createDataFrame(near + own, "text string, label int")).collect()
+    assert {(r.text, r.label) for r in got} >= set(own) and len(got) == len(own) + 1
+
+
 def test_scores_do_not_depend_on_the_order_of_rows(spark):
     docs, labels = tables(spark, data.SF001)
 

@@ -19,10 +19,9 @@ significant segments, and a logistic curve turns it into a probability.
 
 Learned from a bounded sample of labelled texts (TRAIN_DOCS, by hash of doc_id
 and text; half of either label where there are enough, of which the logistic
-curve's constant is put right afterwards); equal texts count once. A word counts
-once for all texts in which it first stands between the same CONTEXT
-characters: lines that texts share, and the whole of near copies, count once,
-lest their chance words look meaningful; what is a text's own counts. Counts
+curve's constant is put right afterwards). Of near copies (0.8 of their
+five-word shingles alike, verified) one counts, lest their chance words look
+meaningful; texts that only share lines count each. Counts
 are sums, so the model does not depend on the order of rows. The model keeps
 at most VOCABULARY words, and as many first letters, on either side of the
 share of all words; others have the score of their first letters. All
@@ -55,7 +54,8 @@ from trickle.llm.samples import balanced_sample, fit_logistic
 TRAIN_DOCS = 20_000
 VOCABULARY = 50_000
 STEM = 4
-CONTEXT = 16
+# Near copies among the training texts.
+BANDS, SKETCH, SIMILAR = 4, 64, 0.8
 PRIOR = 5.0
 CAUTION = 3.0
 DRIFT = 0.1
@@ -68,6 +68,7 @@ TOP = 20.0
 LIMIT = 0.7
 
 LETTERS = re.compile(r"[^\W\d_]+")
+LETTERS_DIGITS = re.compile(r"\w+")
 
 
 @dataclass(frozen=True)
@@ -161,37 +162,68 @@ def scores_of(post: np.ndarray, toxic: np.ndarray, clean: np.ndarray, neutral: f
 
 
 def _word_counts(sample: DataFrame) -> DataFrame:
-    """(word, toxic, clean): in how many training texts each word occurs, those
-    in which it stands first between the same CONTEXT characters as one."""
+    """(word, toxic, clean): in how many training texts each word occurs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from xxhash import xxh64_intdigest
-
         for whole in batches:
             for b in slices(whole, "text", 2 << 20):
-                words, places, labels = [], [], []
+                count: tuple[Counter, Counter] = (Counter(), Counter())
                 for text, label in zip(b.column("text").to_pylist(), b.column("label").to_pylist()):
-                    low, seen = (text or "").lower(), set()
-                    for m in LETTERS.finditer(low):
-                        w = m[0]
-                        if w not in seen:
-                            seen.add(w)
-                            words.append(w)
-                            at = low[max(0, m.start() - CONTEXT) : m.end() + CONTEXT]
-                            places.append(xxh64_intdigest(at) >> 1)
-                            labels.append(label == 1)
+                    count[label == 1].update(set(LETTERS.findall(text.lower()) if text else ()))
+                words = list(count[0] | count[1])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(words, pa.string()), pa.array(places, pa.int64()), pa.array(labels, pa.bool_())],
-                    ["word", "place", "label"],
+                    [
+                        pa.array(words, pa.string()),
+                        pa.array([count[1][w] for w in words], pa.int64()),
+                        pa.array([count[0][w] for w in words], pa.int64()),
+                    ],
+                    ["word", "toxic", "clean"],
                 )
 
-    found = sample.mapInArrow(run, "word string, place long, label boolean").groupBy("word", "place").agg(
-        F.expr("bool_or(label)").alias("toxic"), F.expr("bool_or(NOT label)").alias("clean"))
-    return found.groupBy("word").agg(F.count_if("toxic").alias("toxic"), F.count_if("clean").alias("clean"))
+    counted = sample.mapInArrow(run, "word string, toxic long, clean long")
+    return counted.groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+
+
+def without_copies(sample: DataFrame) -> DataFrame:
+    """``sample`` without texts of which another one with the same label is a
+    near copy: five-word shingles SIMILAR alike or more. Texts that share one
+    of BANDS pairs of least hashes are compared with the first of them, by
+    their SKETCH least shingle hashes (all, if fewer)."""
+    from xxhash import xxh64_intdigest
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        odd = np.random.default_rng(7).integers(0, 1 << 63, 2 * BANDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        for b in batches:
+            ids, sketches, bands = [], [], []
+            for text in b.column("text").to_pylist():
+                words = LETTERS_DIGITS.findall(text.lower()) if text else []
+                grams = {" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
+                h = np.array([xxh64_intdigest(g) for g in grams], np.uint64)
+                least = [(h * m).min() for m in odd]
+                ids.append(xxh64_intdigest(text or "") >> 1)
+                sketches.append(np.sort(h >> np.uint64(1)).astype(np.int64)[:SKETCH])
+                bands.append([f"{j} {least[2 * j]} {least[2 * j + 1]}" for j in range(BANDS)])
+            yield pa.RecordBatch.from_arrays(
+                [*b.columns, pa.array(ids, pa.int64()), pa.array(sketches, pa.list_(pa.int64())),
+                 pa.array(bands, pa.list_(pa.string()))],
+                ["text", "label", "id", "sketch", "bands"],
+            )
+
+    kind = "text string, label int, id long, sketch array<bigint>, bands array<string>"
+    keyed = stage(sample.select("text", "label").mapInArrow(run, kind), "sketches")
+    member = keyed.select("label", "id", "sketch", F.explode("bands").alias("band"))
+    first = member.groupBy("label", "band").agg(F.min(F.struct("id", "sketch")).alias("first"))
+    least = F.slice(F.array_sort(F.array_union("sketch", "first.sketch")), 1, SKETCH)
+    both = F.array_intersect(F.array_intersect("sketch", "first.sketch"), least)
+    gone = (
+        member.join(first, ["label", "band"]).where("id <> first.id")
+        .where(F.size(both) >= SIMILAR * F.size(least)).select("label", "id").distinct()
+    )
+    return keyed.join(gone, ["label", "id"], "left_anti").select("text", "label")
 
 
 def learn_words(sample: DataFrame) -> Words:
-    counts = stage(_word_counts(sample), "toxic-words")
+    counts = stage(_word_counts(without_copies(sample)), "toxic-words")
     totals = counts.agg(F.sum("toxic").alias("t"), F.sum("clean").alias("c")).first()
     toxic, clean = totals.t or 0, totals.c or 0
     if not toxic or not clean:
