@@ -21,7 +21,7 @@ def test_registered():
 
     names = __spark_entry__.queries()
     assert set(queries.all_queries()) < set(names) and "pipeline" in names
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.all_queries()) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.all_queries()) == list(range(1, 14))
 
 
 @pytest.mark.parametrize("name", sorted(queries.all_oracles()))
