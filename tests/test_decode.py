@@ -110,6 +110,39 @@ def test_debug_line(lines_df):
     assert json.loads(row.value) == {"seq": 1, "sgn": 1, "c_custkey": 1, "c_mktsegment": "AUTOMOBILE"}
 
 
+def test_record_lines(lines_df):
+    """The five formats; far money is printed as the double it is; a delta of
+    weight 2 (an order inserted twice) is two lines."""
+    from trickle.operators import signed
+    from trickle.plans import ivm
+    from trickle.sources.sink import record_line
+
+    lines = [
+        "+CU1|n||1||1.00|AUTOMOBILE||1",
+        "+OR10|1|O|1.00|1995-01-02|1-URGENT||0||2",
+        "+OR10|1|O|1.00|1995-01-02|1-URGENT||0||3",
+        "+LI10|1|1|4|1.00|1e30|0.10|0.00|N|O|1995-06-01|4",
+        "-CU1|n||1||1.00|AUTOMOBILE||5",
+    ]
+    li, od, cu = ivm.changes(lines_df(lines))
+    j1 = signed.join1_deltas(od, cu)
+    j2 = signed.join2_deltas(li, j1, factors=True)
+    got = {k: sorted((r.seq, r.line) for r in record_line(df, k).collect())
+           for k, df in {"lineitem": li, "orders": od, "customer": cu, "join1": j1, "join2": j2}.items()}
+    order = "orderDate=1995-01-02, shipPriority=0"
+    joined = f"Joint_LineItem_Order{{insertion=%s, orderKey=10, {order}, extendedPrice=1.0E30, discount=0.1}}"
+    assert got["lineitem"] == [(4, "LineItem{insertion=true, orderKey=10, extendedPrice=1.0E30, discount=0.1, "
+                                   "shipDate=1995-06-01, lineNumber=4}")]
+    assert got["orders"] == [(s, f"Order{{insertion=true, orderKey=10, custKey=1, {order}}}") for s in (2, 3)]
+    assert got["customer"] == [(s, f"Customer{{insertion={i}, custKey=1, mktSegment='AUTOMOBILE'}}")
+                               for s, i in ((1, "true"), (5, "false"))]
+    inserted, deleted = (f"Order{{insertion={i}, orderKey=10, {order}}}" for i in ("true", "false"))
+    assert got["join1"] == [(2, inserted), (3, inserted), (5, deleted), (5, deleted)]
+    # the item meets one row of weight two; each deletion takes it twice
+    assert {(s, x) for s, x in got["join2"]} == {(4, joined % "true"), (5, joined % "false")}
+    assert [s for s, _ in got["join2"]] == [4, 4, 5, 5]
+
+
 def test_command_line_job(spark, tmp_path):
     """The job reads reference-format files and writes the running values in
     the reference's line format, replacing earlier output."""

@@ -8,7 +8,7 @@ from collections import Counter
 
 import pytest
 from trickle.operators import signed
-from trickle.operators.sweep import meetings, side
+from trickle.operators.sweep import meetings, met, side
 from trickle.plans import ivm
 
 
@@ -75,6 +75,74 @@ def test_sweep_equals_all_pairs(spark, chunks, same, start):
     assert rows == all_pairs(a, b, same, start) and len(rows) > 50
 
 
+@pytest.mark.parametrize("chunks", [1, 6])
+@pytest.mark.parametrize("start", [0, 15])
+def test_met_is_what_meets(spark, chunks, start):
+    """The rows of b with a meeting, of many keys and rows with few changes."""
+    a, b = feed(chunks + start, 50, 20, 12)
+
+    def of(changes, name):
+        rows = spark.createDataFrame(changes, f"seq long, k{name} long, r{name} int, w int")
+        return side(rows.where(f"seq > {start}"), f"k{name}", [f"k{name}", f"r{name}"], "w", None,
+                    rows.where(f"seq <= {start}") if start else None)
+
+    got = [(r.kb, r.rb) for r in met(of(a, "a"), of(b, "b"), chunks).collect()]
+    want = {(key, row) for _, key, _, row, _ in all_pairs(a, b, False, start)}
+    assert len(got) == len(set(got)) and set(got) == want
+    assert 0 < len(want) < len({(k, r) for _, k, r, _ in b})
+
+
+def random_feed(seed: int, n: int) -> list[str]:
+    """Changes of few rows in any order: orders and items without customer,
+    phantom deletes, rows that come after their partners have gone."""
+    rng = random.Random(seed)
+    rows = [f"CU{c}|n||1||1.00|AUTOMOBILE||" for c in (1, 2)]
+    rows += [f"OR{o}|{o % 3 + 1}|O|1.00|1995-01-0{d}|1-URGENT||0||" for o in range(10, 18) for d in (1, 2)]
+    rows += [f"LI{o}|1|1|{i}|1.00|{100 + o}.25|0.10|0.00|N|O|1995-06-01|" for o in range(10, 18) for i in (1, 2)]
+    return [f"{rng.choice('++-')}{rng.choice(rows)}{seq}" for seq in range(1, n + 1)]
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_latest_is_the_sum_of_the_deltas(lines_df, seed):
+    """Every group with a delta, once, with the sum of its deltas."""
+    li, od, cu = ivm.changes(lines_df(random_feed(seed, 90)))
+    want: Counter = Counter()
+    sums: Counter = Counter()
+    for r in signed.join2_deltas(li, signed.join1_deltas(od, cu)).collect():
+        group = (r.l_orderkey, r.o_orderdate, r.o_shippriority)
+        want[group] += r.w
+        sums[group] += int(r.dv)
+    got = signed.latest(li, od, cu).collect()
+    assert len(got) == len(want) > 3 and any(r.n == 0 for r in got)
+    for r in got:
+        group = (r.l_orderkey, r.o_orderdate, r.o_shippriority)
+        assert r.n == want[group] and r.revenue == pytest.approx(sums[group] / 1e16, abs=1e-9)
+
+
+def test_latest_of_pairs_that_never_met(lines_df):
+    """The item has gone before the order comes: the changes of all three
+    tables join, but there never was a row."""
+    cu, order = "CU1|n||1||1.00|AUTOMOBILE||", "OR10|1|O|1.00|1995-01-02|1-URGENT||0||"
+    item = "LI10|1|1|1|1.00|100.00|0.10|0.00|N|O|1995-06-01|"
+    lines = [f"+{cu}1", f"+{item}2", f"-{item}3", f"+{order}4"]
+    assert len(ivm.view(lines_df(lines), keep_empty=True).collect()) == 1
+    assert ivm.latest(lines_df(lines)).collect() == []
+    assert [(r.revenue, r.n) for r in ivm.latest(lines_df([*lines, f"+{item}5"])).collect()] == [(90.0, 1)]
+
+
+def test_latest_makes_no_deltas_of_a_hot_order(spark, lines_df):
+    """One order that flips 2,000 times over 2,000 items has 4 * 10^6 deltas;
+    its latest value is found in time that follows the changes."""
+    n = 2_000
+    lines = lines_df(["+CU1|n||1||1.00|AUTOMOBILE||1"]).unionAll(spark.range(n).selectExpr(
+        "concat('+LI10|1|1|', id, '|1.00|100.00|0.10|0.00|N|O|1995-06-01|', id + 2) AS value")
+    ).unionAll(spark.range(n).selectExpr(
+        f"concat(IF(id % 2 = 0, '+', '-'), 'OR10|1|O|1.00|1995-01-02|1-URGENT||0||', id + {n} + 2) AS value"))
+    got = ivm.latest(lines)
+    assert [(r.revenue, r.n) for r in got.collect()] == [(0.0, 0)]
+    assert made(got) < 10 * n
+
+
 def made(df) -> int:
     """Rows that come out of the joins and generators of an executed plan."""
     total, names = 0, ("Generate", "SortMergeJoin", "BroadcastHashJoin", "ShuffledHashJoin")

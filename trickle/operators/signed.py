@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from trickle.functions.measures import amount_sql, weighted_sql
 from trickle.operators.scan import running_sums
-from trickle.operators.sweep import meetings, side
+from trickle.operators.sweep import meetings, met, side
 from trickle.session import written
 
 J1_COLS = ["o_orderkey", "o_orderdate", "o_shippriority"]
@@ -140,9 +140,10 @@ def final_view(li: DataFrame, od: DataFrame, cu: DataFrame, keep_empty: bool = F
 
 def join2_deltas(li: DataFrame, j1: DataFrame, li_before: DataFrame | None = None,
                  j1_before: DataFrame | None = None, present: bool = False,
-                 stored: bool = False) -> DataFrame:
+                 stored: bool = False, factors: bool = False) -> DataFrame:
     """seq, l_orderkey, line, o_orderdate, o_shippriority, w, dv, df: what
-    join 2 emits, one row per (event, lineitem).
+    join 2 emits, one row per (event, lineitem); with ``factors`` also the
+    item's price and discount.
 
     A lineitem change meets the order's rows that are there at its time; a
     join-1 delta meets the lineitem rows that are live at its time. ``dv`` and
@@ -156,7 +157,8 @@ def join2_deltas(li: DataFrame, j1: DataFrame, li_before: DataFrame | None = Non
     orders = side(j1, "o_orderkey", J1_COLS, "w", keys.get("joined"), j1_before)
     exact, far = weighted_sql("w")
     return meetings(items, orders).withColumn("w", F.expr("CAST(w * net AS INT)")).selectExpr(
-        "seq", "l_orderkey", "line", "o_orderdate", "o_shippriority", "w", f"{exact} AS dv", f"{far} AS df")
+        "seq", "l_orderkey", "line", "o_orderdate", "o_shippriority", "w", f"{exact} AS dv", f"{far} AS df",
+        *(ITEM_COLS[2:] if factors else []))
 
 
 def changelog(deltas: DataFrame, chunks: int | None = None, before: DataFrame | None = None) -> DataFrame:
@@ -176,14 +178,25 @@ def changelog(deltas: DataFrame, chunks: int | None = None, before: DataFrame |
     )
 
 
-def latest(deltas: DataFrame) -> DataFrame:
+def latest(li: DataFrame, od: DataFrame, cu: DataFrame) -> DataFrame:
     """Last running value per group: every group ever emitted, empty ones
-    (n = 0) kept, as a consumer of the changelog sees it."""
-    sums = deltas.groupBy("l_orderkey", "o_orderdate", "o_shippriority").agg(
-        F.sum("dv").alias("v"), F.sum("df").alias("f"), F.sum("w").cast("bigint").alias("n"),
-    )
-    return sums.selectExpr(
-        "l_orderkey", "o_orderdate", "o_shippriority", f"{amount_sql('v', 'f')} AS revenue", "n")
+    (n = 0) kept, as a consumer of the changelog sees it.
+
+    The sums are those of ``final_view`` with its partial aggregation below
+    the joins. A group that is not empty at the end was emitted; of the empty
+    ones, those whose order and items were ever live together were. Only the
+    changes of their keys are swept, and join 2 is not made: ``sweep.met``
+    counts live items where the join would list them."""
+    groups = written(final_view(li, od, cu, keep_empty=True), "groups")
+    empty = groups.where("n = 0")
+    keys = empty.select("l_orderkey").distinct()
+    orders = od.join(keys, od.o_orderkey == keys.l_orderkey, "left_semi")
+    customers = cu.join(orders, cu.c_custkey == orders.o_custkey, "left_semi")
+    joined = written(join1_deltas(orders, customers), "join1-deltas")
+    items = li.join(keys, "l_orderkey", "left_semi")
+    emitted = met(side(items, "l_orderkey", ITEM_COLS, "sgn"), side(joined, "o_orderkey", J1_COLS, "w"))
+    same = emitted.selectExpr("o_orderkey AS l_orderkey", "o_orderdate", "o_shippriority")
+    return groups.where("n <> 0").unionAll(empty.join(same, same.columns, "left_semi").select(groups.columns))
 
 
 def cascade(deltas: DataFrame, cu: DataFrame) -> DataFrame:

@@ -90,20 +90,23 @@ def _ranked(cut: Chunks, a: Side, b: Side) -> DataFrame:
         *t.columns, F.expr("net + coalesce(_before, 0) AS net"), F.coalesce("low", "_next").alias("low"))
 
 
-def meetings(a: Side, b: Side, chunks: int | None = None) -> DataFrame:
-    """``seq``, ``w`` of a change, ``net`` of a row of the other side that is
-    live at its time, and the columns of both. Changes of a see b's change of
-    their own seq, changes of b not a's. The sides' row columns have different
-    names."""
-    # rows of a whose key b never has meet nothing
+def _both(a: Side, b: Side) -> DataFrame:
+    """The changes of both sides; rows of a whose key b never has meet nothing."""
     known = a.changes.join(b.changes.select("_key"), "_key", "left_semi")
     types = {f.name: f.dataType for s in (a, b) for f in s.changes.schema.fields}
     none = lambda s: [F.lit(None).cast(types[c]).alias(c) for c in s.row]
     head = ["_key", "seq", "emit", "w"]
-    both = known.select(*head, F.lit(1).alias("side"), *a.row, *none(b)).unionAll(
+    return known.select(*head, F.lit(1).alias("side"), *a.row, *none(b)).unionAll(
         b.changes.select(*head, F.lit(0), *none(a), *b.row)
     ).selectExpr("*", "emit * side AS _ea", "emit * (1 - side) AS _eb")
-    t = written(_ranked(ordered_chunks(both, ["_key"], ["seq", "side"], chunks), a, b), "ranks")
+
+
+def meetings(a: Side, b: Side, chunks: int | None = None) -> DataFrame:
+    """``seq``, ``w`` of a change, ``net`` of a row of the other side that is
+    live at its time, and the columns of both. Changes of a see b's change of
+    their own seq, changes of b not a's. The sides' row columns have different
+    names."""
+    t = written(_ranked(ordered_chunks(_both(a, b), ["_key"], ["seq", "side"], chunks), a, b), "ranks")
 
     cols = [*a.row, *b.row]
     lists = t.where("net <> 0 AND high > coalesce(low, 0)").select(
@@ -118,3 +121,25 @@ def meetings(a: Side, b: Side, chunks: int | None = None) -> DataFrame:
     mine = lambda s, of: [
         F.expr(f"IF(side = {of}, {c}, _live_{c}) AS {c}") for c in s.row]
     return live.join(events, ["_key", "side", "rank"]).select("seq", "w", "net", *mine(a, 1), *mine(b, 0))
+
+
+def met(a: Side, b: Side, chunks: int | None = None) -> DataFrame:
+    """The distinct rows of b (``_key`` and its columns) that some change ever
+    meets or that meet some change: what ``meetings`` has rows for, found
+    without the joins. Work follows the changes, not the meetings.
+
+    A row of b is in a meeting if a change of a falls into one of its
+    intervals (a range of ranks that is not empty), or if one of its own
+    changes comes while some row of a is live (a running count per key).
+    For sides whose weights add up (``same`` None)."""
+    if a.same or b.same:
+        raise ValueError("met() counts rows whose weights add up")
+    cut = ordered_chunks(_both(a, b), ["_key"], ["seq", "side"], chunks)
+    # a change moves its row into the live ones, out of them, or neither
+    t = written(_ranked(cut, a, b).select(
+        "_key", "seq", "emit", "side", "_chunk", "net", "high", "low", *b.row,
+        F.expr("side * (int(net <> 0) - int(net - w <> 0))").alias("_step")), "steps")
+    live = chunk_sums(Chunks(t, cut.open_keys), ["_key"], ["seq", "side"], {"_live": "_step"})
+    return live.where(
+        "side = 0 AND ((emit = 1 AND _live > 0) OR (net <> 0 AND high > coalesce(low, 0)))"
+    ).select("_key", *b.row).distinct()

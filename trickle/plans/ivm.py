@@ -66,4 +66,4 @@ def changelog(lines: DataFrame, spec: Q3Spec = Q3, seq_mode: str = SEQ_FIELD,
 def latest(lines: DataFrame, spec: Q3Spec = Q3, seq_mode: str = SEQ_FIELD,
            on_error: str = "fail") -> DataFrame:
     """Last running value of every group ever emitted (empty ones kept)."""
-    return signed.latest(deltas(lines, spec, seq_mode, on_error))
+    return signed.latest(*changes(lines, spec, on_error, seq_mode))

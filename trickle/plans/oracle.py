@@ -194,6 +194,25 @@ SELECT l_orderkey, o_orderdate, o_shippriority, CAST(SUM(dv) AS DOUBLE) AS reven
 FROM d GROUP BY 1, 2, 3"""
 
 
+def debug_lines(spec: Q3Spec = Q3) -> str:
+    order = "', orderDate=' || o_orderdate || ', shipPriority=' || o_shippriority"
+    factors = ("', extendedPrice=' || CAST(l_extendedprice AS DOUBLE)"
+               " || ', discount=' || CAST(l_discount AS DOUBLE)")
+    items = f"SELECT * FROM lc WHERE l_shipdate > DATE '{spec.date}'"
+    return _with(*_deltas(spec), _j1(spec)) + f"""
+SELECT seq, 'lineitem' AS kind, 'LineItem{{insertion=' || (sgn > 0) || ', orderKey=' || l_orderkey || {factors}
+  || ', shipDate=' || l_shipdate || ', lineNumber=' || line || '}}' AS line FROM ({items})
+UNION ALL SELECT seq, 'orders', 'Order{{insertion=' || (sgn > 0) || ', orderKey=' || o_orderkey
+  || ', custKey=' || o_custkey || {order} || '}}' FROM od WHERE o_orderdate < DATE '{spec.date}'
+UNION ALL SELECT seq, 'customer', 'Customer{{insertion=' || (sgn > 0) || ', custKey=' || c_custkey
+  || ', mktSegment=''' || c_mktsegment || '''}}' FROM cu WHERE c_mktsegment = '{spec.segment}'
+UNION ALL SELECT seq, 'join1', 'Order{{insertion=' || (SUM(s) > 0) || ', orderKey=' || o_orderkey
+  || {order} || '}}' FROM j1 GROUP BY seq, o_orderkey, o_orderdate, o_shippriority HAVING SUM(s) <> 0
+UNION ALL SELECT d.seq, 'join2', 'Joint_LineItem_Order{{insertion=' || (w > 0) || ', orderKey=' || l_orderkey
+  || {order} || {factors} || '}}'
+  FROM d JOIN (SELECT l_orderkey, line, l_extendedprice, l_discount FROM lc WHERE phase = 0) USING (l_orderkey, line)"""
+
+
 def render_result(spec: Q3Spec = Q3) -> str:
     return f"""
 SELECT 'Order{{orderKey=' || CAST(l_orderkey AS VARCHAR) || ', orderDate='
@@ -267,6 +286,7 @@ def all_oracles() -> dict[str, str]:
         "ivm_q3_latest_1998": ivm_q3_latest(Q3_1998),
         "render_result": render_result(),
         "sink_roundtrip": sink_roundtrip(),
+        "debug_lines": debug_lines(),
         "dq_phantom_delete": DQ_PHANTOM_DELETE,
         "dq_double_insert": DQ_DOUBLE_INSERT,
         "stream_q3": ivm_q3_final(),

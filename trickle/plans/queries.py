@@ -9,7 +9,7 @@ session) and read back with ``spark.read.text``, so the whole ingest path
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import partial
+from functools import partial, reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,7 +21,7 @@ from trickle.operators.route import FAR_COLS, Routed, decoded_changes, route
 from trickle.plans import ivm
 from trickle.operators.static_q3 import q3_static
 from trickle.plans.spec import Q3, Q3_1998, Q3Spec
-from trickle.session import scratch_path
+from trickle.session import scratch_path, written
 from trickle.sources import sink
 from trickle.sources.feed import materialize_feed
 
@@ -185,7 +185,7 @@ def ivm_q3_changelog(spark: SparkSession, sf_dir: str, spec: Q3Spec = Q3) -> Dat
 
 
 def ivm_q3_latest(spark: SparkSession, sf_dir: str, spec: Q3Spec = Q3) -> DataFrame:
-    return signed.latest(deltas(spark, sf_dir, spec))
+    return signed.latest(*filtered(spark, sf_dir, spec))
 
 
 def render_result(spark: SparkSession, sf_dir: str, spec: Q3Spec = Q3) -> DataFrame:
@@ -203,6 +203,16 @@ def sink_roundtrip(spark: SparkSession, sf_dir: str, spec: Q3Spec = Q3) -> DataF
     return sink.read_text_result(spark, path)
 
 
+def debug_lines(spark: SparkSession, sf_dir: str, spec: Q3Spec = Q3) -> DataFrame:
+    """A5: every record between the operators as the reference prints it: the
+    filtered changes of the three tables and the deltas of both joins."""
+    li, od, cu = filtered(spark, sf_dir, spec)
+    j1 = written(signed.join1_deltas(od, cu), "join1-deltas")
+    records = {"lineitem": li, "orders": od, "customer": cu, "join1": j1,
+               "join2": signed.join2_deltas(li, j1, stored=True, factors=True)}
+    return reduce(DataFrame.unionAll, [sink.record_line(df, kind) for kind, df in records.items()])
+
+
 def dq_phantom_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = routed(spark, sf_dir, variant="dirty", on_error="dead_letter", strict_op=True)
     return quality.phantom_deletes(r.lineitem, r.orders, r.customer)
@@ -263,6 +273,7 @@ def all_queries() -> dict[str, Query]:
         "ivm_q3_latest_1998": partial(ivm_q3_latest, spec=Q3_1998),
         "render_result": render_result,
         "sink_roundtrip": sink_roundtrip,
+        "debug_lines": debug_lines,
         "dq_phantom_delete": dq_phantom_delete,
         "dq_double_insert": dq_double_insert,
         "stream_q3": stream_q3,

@@ -53,3 +53,30 @@ def debug_line(df: DataFrame) -> DataFrame:
     """One JSON line per row of any change or delta DataFrame (the
     reference's debug printing of its row objects)."""
     return df.select(F.to_json(F.struct(*[F.col(c) for c in df.columns])).alias("value"))
+
+
+# The line each kind of record prints as in the reference.
+# ``insertion`` is the change's sign, dates are ISO, doubles as Java prints them.
+_ORDER_COLS = "', orderDate=', o_orderdate, ', shipPriority=', o_shippriority"
+_FACTORS = (
+    "', extendedPrice=', coalesce(l_price_far, CAST(l_extendedprice AS DOUBLE)), "
+    "', discount=', coalesce(l_discount_far, CAST(l_discount AS DOUBLE))"
+)
+RECORD_LINES = {
+    "lineitem": ("sgn", "LineItem", f"', orderKey=', l_orderkey, {_FACTORS}, "
+                 "', shipDate=', l_shipdate, ', lineNumber=', line"),
+    "orders": ("sgn", "Order", f"', orderKey=', o_orderkey, ', custKey=', o_custkey, {_ORDER_COLS}"),
+    "customer": ("sgn", "Customer", r"', custKey=', c_custkey, ', mktSegment=\'', c_mktsegment, '\''"),
+    "join1": ("w", "Order", f"', orderKey=', o_orderkey, {_ORDER_COLS}"),
+    "join2": ("w", "Joint_LineItem_Order", f"', orderKey=', l_orderkey, {_ORDER_COLS}, {_FACTORS}"),
+}
+
+
+def record_line(df: DataFrame, kind: str) -> DataFrame:
+    """``seq``, ``kind`` and ``line`` of change rows (``lineitem``, ``orders``,
+    ``customer``) or delta rows (``join1``; ``join2`` with its factors), as the
+    reference prints its row objects. A delta of weight w stands for |w| rows
+    and has as many lines. Strict casts have left no null in any field."""
+    sign, name, fields = RECORD_LINES[kind]
+    text = f"concat('{name}{{insertion=', CAST({sign} > 0 AS STRING), {fields}, '}}')"
+    return df.selectExpr("seq", f"'{kind}' AS kind", f"explode(array_repeat({text}, int(abs({sign})))) AS line")
