@@ -260,6 +260,17 @@ def test_substring_dedup(spark):
     assert left == Counter((d, n - lost) for d, n, lost, _ in want)
 
 
+def test_substring_dedup_when_row_hashes_clash(spark, monkeypatch):
+    """Rows of different documents whose hashes are equal stay apart."""
+    monkeypatch.setattr(recompression, "row_hash", lambda: F.lit(7).cast("long"))
+    docs = data.documents(spark).dropDuplicates(["doc_id"])
+    want = data.removed_words([(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()])
+    got = recompression.find_repeats(docs).collect()
+    assert Counter((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got) == Counter(want)
+    left = Counter((r.doc_id, len(data.WORD.findall(r.text or ""))) for r in recompression.drop_repeats(docs).collect())
+    assert left == Counter((d, n - lost) for d, n, lost, _ in want)
+
+
 @pytest.mark.parametrize("seed", range(10))
 def test_equal_windows_have_equal_anchors(seed):
     rnd = np.random.default_rng(seed)

@@ -25,10 +25,15 @@ Groupings of steps 1 and 2 aggregate before the exchange and join back through
 plain exchanges that adaptive execution splits, so neither a passage nor a
 text that very many documents share meets in one task.
 
+A row is known by its doc_id and ``rid``, a hash of id and text: only rows of
+one doc_id could be mistaken for each other, however many documents there are.
+
 Defined cases: null text has no words; texts shorter than a window lose
 nothing; a document with null doc_id neither loses words nor makes others lose
-them; repeated rows (same doc_id) do not remove each other; an empty table
-gives no rows; other columns are ignored.
+them; repeated rows (same doc_id) do not remove each other, and of equal texts
+the smallest doc_id keeps its words, so there are no ties; a very long text is
+parsed whole, by itself; an empty table gives no rows; other columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -38,7 +43,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trickle.llm.common import slices, stage
@@ -166,10 +171,15 @@ def words_of(texts: list[bytes | None]) -> tuple[list[list[bytes]], np.ndarray,
     return words, sym, np.repeat(np.arange(len(texts)), counts)
 
 
+KEY = ["doc_id", "rid"]
+
+
+def row_hash() -> Column:
+    return F.xxhash64("doc_id", "text")
+
+
 def keyed(docs: DataFrame) -> DataFrame:
-    return docs.select(
-        "doc_id", F.xxhash64("doc_id", "text").alias("rid"), F.col("text").cast("binary").alias("text")
-    )
+    return docs.select("doc_id", row_hash().alias("rid"), F.col("text").cast("binary").alias("text"))
 
 
 def parse(docs: DataFrame) -> DataFrame:
@@ -273,8 +283,8 @@ def covered(n: int, starts: np.ndarray, window: int = WINDOW) -> np.ndarray:
 
 
 def cut(texts: DataFrame) -> DataFrame:
-    """rid, n_removed and kept (the words left, joined by a space) of
-    ``texts`` (rid, packed, starts)."""
+    """rid, doc_id, n_removed and kept (the words left, joined by a space) of
+    ``texts`` (rid, doc_id, packed, starts)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b, raw in unpacked(batches):
@@ -286,11 +296,12 @@ def cut(texts: DataFrame) -> DataFrame:
                 lost.append(len(words) - len(left))
                 kept.append(b" ".join(left))
             yield pa.RecordBatch.from_arrays(
-                [b.column("rid"), pa.array(lost, pa.int64()), pa.array(kept, pa.binary())],
-                ["rid", "n_removed", "kept"],
+                [b.column("rid"), b.column("doc_id"), pa.array(lost, pa.int64()), pa.array(kept, pa.binary())],
+                ["rid", "doc_id", "n_removed", "kept"],
             )
 
-    return texts.mapInArrow(run, "rid long, n_removed long, kept binary")
+    kind = texts.schema["doc_id"].dataType.simpleString()
+    return texts.mapInArrow(run, f"rid long, doc_id {kind}, n_removed long, kept binary")
 
 
 def find_repeats(docs: DataFrame) -> DataFrame:
@@ -313,12 +324,12 @@ def find_repeats(docs: DataFrame) -> DataFrame:
         "shared-anchors",
     )
     wanted = stage(
-        anchors.select("rid", "phrase").join(shared, "phrase")
-        .groupBy("rid").agg(F.collect_set("phrase").alias("phrases"))
-        .join(heads.where("copy").select("rid"), "rid", "left_anti"),
+        anchors.join(shared, "phrase")
+        .groupBy(*KEY).agg(F.collect_set("phrase").alias("phrases"))
+        .join(heads.where("copy").select(*KEY), KEY, "left_anti"),
         "wanted",
     )
-    texts = stage(compressed(docs).join(wanted, "rid").dropDuplicates(["rid"]), "shared-texts")
+    texts = stage(compressed(docs).join(wanted, KEY).dropDuplicates(KEY), "shared-texts")
     windows = stage(windows_at(texts), "windows")
     repeats = stage(
         windows.groupBy("h1", "h2").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
@@ -327,17 +338,17 @@ def find_repeats(docs: DataFrame) -> DataFrame:
     )
     marks = stage(
         windows.join(repeats, ["h1", "h2"]).where("lo < doc_id")
-        .groupBy("rid").agg(F.sort_array(F.collect_set("start")).alias("starts")),
+        .groupBy(*KEY).agg(F.sort_array(F.collect_set("start")).alias("starts")),
         "marks",
     )
-    changed = stage(cut(texts.select("rid", "packed").join(marks, "rid")), "changed")
+    changed = stage(cut(texts.select(*KEY, "packed").join(marks, KEY)), "changed")
     nothing = F.lit(hashlib.sha256(b"").hexdigest())
     sha = (
         F.when(F.col("copy"), nothing)
         .when(F.col("n_removed").isNotNull(), F.sha2("kept", 256))
         .otherwise(F.lower(F.hex("sha")))
     )
-    return heads.join(changed, "rid", "left").select(
+    return heads.join(changed, KEY, "left").select(
         "doc_id", "rid", "n_words",
         F.when(F.col("copy"), F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"),
         sha.alias("kept_sha256"),
@@ -349,9 +360,9 @@ def drop_repeats(docs: DataFrame) -> DataFrame:
     """``docs`` with text replaced by the words left, joined by a space, where
     words were removed; all other columns as they are."""
     columns = docs.columns
-    found = find_repeats(docs).where("n_removed > 0").groupBy("rid").agg(F.first("kept").alias("_kept"))
+    found = find_repeats(docs).where("n_removed > 0").groupBy(*KEY).agg(F.first("kept").alias("_kept"))
     row = F.struct(*[F.col(f"`{c}`") for c in columns])
-    keyed_ = docs.select(row.alias("_row"), F.xxhash64("doc_id", "text").alias("rid"))
+    keyed_ = docs.select(row.alias("_row"), "doc_id", row_hash().alias("rid"))
     named = {c: F.col(f"_row.`{c}`") for c in columns}
     named["text"] = F.coalesce(F.col("_kept").cast("string"), named["text"])
-    return keyed_.join(found, "rid", "left").select(*[v.alias(c) for c, v in named.items()])
+    return keyed_.join(found, KEY, "left").select(*[v.alias(c) for c, v in named.items()])
