@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import os
 import sys
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -227,10 +228,88 @@ def test_kneser_ney_sums_to_one():
     codes, counts = np.unique(language.trigrams(chars, owner)[0], return_counts=True)
     model = language.estimate(["x"], codes, counts[:, None].astype(float))
     alphabet = np.unique(chars)
-    kinds = model.uni.values.sum()
+    unseen = language.alphabet_size() - len(alphabet)
     for a in alphabet:
         for b in alphabet:
             p = np.exp(model.log_probabilities((a << 42) | (b << 21) | alphabet))[:, 0]
-            weight = model.tri_weight.find(np.array([(a << 21) | b]), 1.0)[0, 0]
-            weight *= model.bi_weight.find(np.array([b]), 1.0)[0, 0]
-            assert abs(p.sum() + weight * (1 - kinds) - 1) < 1e-9
+            other = np.exp(model.log_probabilities(np.array([(a << 42) | (b << 21) | ord("z")])))[0, 0]
+            assert abs(p.sum() + unseen * other - 1) < 1e-9
+
+
+def test_languages_against_plain_python(spark):
+    """The whole query beside Kneser-Ney with dictionaries and fractions of
+    counts, on every row (awkward ones too)."""
+    docs = data.documents(spark)
+    rows = docs.select("doc_id", "text", "lang", language.held_out(F.col("doc_id"), 4, 2).alias("out")).collect()
+
+    def chars(text):
+        out = ["", ""]
+        for c in text.lower() + " ":
+            c = c if c.isalpha() else ""
+            if c or out[-1] or len(out) == 1:
+                out.append(c)
+        return out
+
+    def discount(counts):
+        one, two = (sum(c == n for c in counts.values()) for n in (1, 2))
+        return min(0.9, max(0.1, one / (one + 2 * two) if one else 0.5))
+
+    letters = sum(chr(c).isalpha() for c in range(0x110000)) + 1
+
+    class Plain:
+        """counts[n]: n-grams of n characters; those below the highest order
+        count the different characters seen before."""
+
+        def __init__(self, texts):
+            self.counts = {3: Counter(), 2: Counter(), 1: Counter()}
+            for t in texts:
+                c = chars(t)
+                self.counts[3].update(tuple(c[i : i + 3]) for i in range(len(c) - 2))
+            for n in (2, 1):
+                self.counts[n].update(g[1:] for g in self.counts[n + 1])
+            self.off = {n: discount(c) for n, c in self.counts.items()}
+            self.after = {n: {} for n in self.counts}
+            for n, counts in self.counts.items():
+                for g, c in counts.items():
+                    total, kinds = self.after[n].get(g[:-1], (0, 0))
+                    self.after[n][g[:-1]] = (total + c, kinds + 1)
+
+        def p(self, g):
+            n = len(g)
+            if n == 0:
+                return 1 / letters
+            total, kinds = self.after[n].get(g[:-1], (0, 0))
+            if not total:
+                return self.p(g[1:])
+            seen = self.counts[n].get(g, 0)
+            return (max(0, seen - self.off[n]) + self.off[n] * kinds * self.p(g[1:])) / total
+
+        def entropy(self, text):
+            c = chars(text)
+            return -sum(math.log(self.p(tuple(c[i : i + 3]))) for i in range(len(c) - 2)) / max(1, len(c) - 2)
+
+    train = {}
+    for r in rows:
+        if r.text is not None and r.lang is not None and not r.out:
+            train.setdefault(r.lang, []).append(r.text)
+    assert 1 < len(train) and max(map(len, train.values())) < language.PER_LANGUAGE
+    models = {lang: Plain(texts) for lang, texts in sorted(train.items())}
+    got = {(r.doc_id, r.text): r for r in language.identify(docs.select("doc_id", "text", "lang"))
+           .join(docs.select("doc_id", "text"), "doc_id").collect()}
+    tested = 0
+    for r in rows:
+        if r.doc_id is None:
+            continue
+        found = got[r.doc_id, r.text]
+        assert found.held_out == r.out
+        if not any(c.isalpha() for c in r.text or ""):
+            assert (found.lang_pred, found.score) == ("und", 0.0)
+            continue
+        h = {lang: m.entropy(r.text) for lang, m in models.items()}
+        best = min(h, key=h.get)
+        n = min(language.CONFIDENT, sum(c != "" for c in chars(r.text)) + 1)
+        score = 1 / sum(math.exp(-(x - h[best]) * n) for x in h.values())
+        assert found.lang_pred == best
+        assert found.score == pytest.approx(score / 2 if found.rejected else score, rel=1e-6)
+        tested += 1
+    assert tested > 100
