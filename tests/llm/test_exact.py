@@ -117,9 +117,14 @@ def brute_top_k(rows, every, k, scale=256):
     return out
 
 
-@pytest.mark.parametrize("subtree,page", [(65_536, 256), (64, 8)])
-def test_top_k(spark, monkeypatch, subtree, page):
+@pytest.mark.parametrize("subtree,page,chunk,levels", [(16_384, 1024, 4096, 8), (64, 8, 3, 8), (5, 8, 3, 1)])
+def test_top_k(spark, monkeypatch, subtree, page, chunk, levels):
+    """In one cell; in levels of cells (the 700 equal rows end in one, dealt
+    into parts); in one level, the rest dealt. Queries in chunks."""
     monkeypatch.setattr(mtree, "SUBTREE_ROWS", subtree)
+    monkeypatch.setattr(mtree, "PAGE", page)
+    monkeypatch.setattr(mtree, "QUERY_CHUNK", chunk)
+    monkeypatch.setattr(mtree, "LEVELS", levels)
     df = embeddings(spark)
     rows = [(r.vec_id, r.embedding) for r in df.collect()]
     got = mtree.top_k(df, every=50, k=5).collect()
@@ -133,7 +138,7 @@ def test_tree_prunes_and_is_exact():
     calls = []
     plain = space.scores
     space.scores = lambda r, q: calls.append(len(r)) or plain(r, q)
-    tree = mtree.Tree(space, np.arange(len(rows)), rows, space.lift(rows[:1])[0])
+    tree = mtree.Tree(space, np.arange(len(rows)), rows)
     for q in range(0, len(rows), 1601):
         got = sorted(tree.search(q, rows[q], 5, None), key=lambda x: (-x[0], x[1]))
         s = rows @ rows[q]

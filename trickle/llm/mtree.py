@@ -5,25 +5,34 @@ the largest squared norm, puts all candidates at one distance from the
 origin; then d(q, x)^2 = |q|^2 + M - 2 <q, x>, the nearest candidate has the
 highest score, and the Euclidean metric holds for a tree.
 
-The tree's top level is a bounded set of routing vectors (PIVOTS, from a
-bounded sample). Every row goes to its nearest routing vector; what one
-routing vector gathers is dealt into subtrees of at most SUBTREE_ROWS rows,
-each with its covering radius. Each subtree is one task's work: it is built
-there as an M-tree of paged nodes (routing vector, covering radius and distance
-to the parent of every entry), and the queries that may find something in it
-stream past. A query visits nodes best first, by the least distance any of a
-node's rows can have; an entry is passed over, with no distance computed, when
-|d(q, parent) - d(entry, parent)| exceeds its radius and the distance of the
-k-th best so far, and so is a row of a page, by its stored parent distance.
+The tree's upper part is grown on Spark, a level at a time: a cell of more
+than SUBTREE_ROWS rows gets routing vectors (up to CELL_FANOUT of its distinct
+rows, as many as it needs) and its rows go to the nearest one, slice by slice,
+so a cell's number of rows bounds no task. The number of cells grows with the
+rows; entries (routing vector, covering radius, distance to the parent) are
+a table. Cells of equal rows, and those still too large after LEVELS levels,
+are dealt by hash into parts. Queries go down the same levels by joins with the
+entries: an entry is passed over, with no distance computed, when
+|d(q, parent) - d(entry, parent)| exceeds its radius and what the query may
+still reach.
+
+A task takes one part of a cell and at most about QUERY_CHUNK of the queries
+that arrive there. It builds the part as an M-tree of paged nodes, and the
+queries stream past. A query visits nodes best first, by the least distance any
+of a node's rows can have; entries are passed over as above, with the distance
+of the k-th best so far, and so is a row of a page, by its stored parent
+distance.
 
 A query starts with the k-th best score among the sample, which every tree
 must beat. Pruning allows for rounding (SLACK); scores are exact integers.
 
 Defined cases: vectors that are null, empty or of another length than the
 most frequent one (of equally frequent ones, the longest), or hold null or
-non-finite components, and rows without vec_id, take no part; rows of one vec_id are one vector's repeats and are no candidates of
-each other; scores beyond the range of a long become its ends; an empty table
-gives no rows; other columns are ignored.
+non-finite components, and rows without vec_id, take no part; rows of one
+vec_id are one vector's repeats and are no candidates of each other, and query
+rows of one vec_id have one answer between them; equal scores go to the smaller
+vec_id; scores beyond the range of a long become its ends; an empty table gives
+no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -40,9 +49,11 @@ from pyspark.sql import functions as F
 from trickle.llm.common import stage
 
 SAMPLE = 4096
-PIVOTS = 64
-SUBTREE_ROWS = 65_536
-PAGE = 256
+CELL_FANOUT = 64
+LEVELS = 8
+SUBTREE_ROWS = 16_384
+QUERY_CHUNK = 4096
+PAGE = 2048
 FANOUT = 16
 SLACK = 1e-6
 LONG = 2**63 - 1
@@ -88,7 +99,7 @@ class Node:
     """Entries of a node. A leaf is a page of rows by distance to the routing
     vector; an inner node holds child nodes."""
 
-    __slots__ = ("center", "radius", "parent_distance", "children", "child_far", "child_radius", "rows", "far")
+    __slots__ = ("center", "radius", "parent_distance", "children", "child_far", "child_radius", "rows", "far", "start")
 
     def __init__(self, center: np.ndarray) -> None:
         self.center = center
@@ -97,6 +108,12 @@ class Node:
         self.children: list[Node] = []
         self.rows: np.ndarray | None = None
         self.far = self.child_far = self.child_radius = None
+        self.start = 0
+
+    def walk(self) -> Iterator[Node]:
+        yield self
+        for c in self.children:
+            yield from c.walk()
 
 
 def build(points: np.ndarray, members: np.ndarray, center: np.ndarray) -> Node:
@@ -112,7 +129,8 @@ def build(points: np.ndarray, members: np.ndarray, center: np.ndarray) -> Node:
     chosen = [int(np.argmax(far))]
     nearest = distances(points[members], points[members[chosen[0]]])
     owner = np.zeros(len(members), np.int64)
-    while len(chosen) < FANOUT and nearest.max() > 0:
+    fan = min(FANOUT, -(-2 * len(members) // PAGE))
+    while len(chosen) < fan and nearest.max() > 0:
         chosen.append(int(np.argmax(nearest)))
         d = distances(points[members], points[members[chosen[-1]]])
         closer = d < nearest
@@ -132,12 +150,18 @@ def build(points: np.ndarray, members: np.ndarray, center: np.ndarray) -> Node:
 
 
 class Tree:
-    def __init__(self, space: Space, ids: np.ndarray, rows: np.ndarray, center: np.ndarray) -> None:
+    def __init__(self, space: Space, ids: np.ndarray, rows: np.ndarray) -> None:
         order = np.argsort(ids, kind="stable")
         self.space, self.ids, self.rows = space, ids[order], rows[order]
-        self.points = space.lift(self.rows)
-        self.root = build(self.points, np.arange(len(ids)), center)
-        self.flat = {}
+        points = space.lift(self.rows)
+        self.root = build(points, np.arange(len(ids)), points.mean(axis=0))
+        # rows stand as their pages do, so that a page is a slice
+        pages = [n for n in self.root.walk() if n.rows is not None]
+        starts = np.cumsum([0, *(len(p.rows) for p in pages)])
+        order = np.concatenate([p.rows for p in pages])
+        self.ids, self.rows = self.ids[order], self.rows[order]
+        for page, start in zip(pages, starts.tolist()):
+            page.start = start
 
     def search(self, q_id: int, q: np.ndarray, k: int, floor) -> list[tuple[int, int]]:
         """Best (score, vec_id) of the tree's rows that reach ``floor``, at
@@ -166,12 +190,12 @@ class Tree:
             b = np.searchsorted(node.far, d + reach, "right")
             if a == b:
                 continue
-            at = node.rows[a:b]
-            score = space.scores(self.rows[at], q)
+            a, b = node.start + int(a), node.start + int(b)
+            score = space.scores(self.rows[a:b], q)
             least = best[0][0] if len(best) == k else floor
-            good = np.arange(len(at)) if least is None else np.flatnonzero(score >= least)
-            for g in good:
-                row_id = int(self.ids[at[g]])
+            good = np.arange(b - a) if least is None else np.flatnonzero(score >= least)
+            for g in good.tolist():
+                row_id = int(self.ids[a + g])
                 if row_id == q_id:
                     continue
                 entry = (int(score[g]), -row_id)
@@ -205,119 +229,221 @@ def _matrix(column: pa.ListArray, width: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, width)
 
 
+def _lifted(v: Column, largest: float) -> Column:
+    rest = F.lit(largest) - F.aggregate(v, F.lit(0.0), lambda a, c: a + c * c)
+    return F.concat(v, F.array(F.sqrt(F.greatest(F.lit(0.0), rest))))
+
+
+def _distance(a: Column, b: Column) -> Column:
+    return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, c: s + c))
+
+
+def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[tuple, pa.RecordBatch]]:
+    """Runs of equal ``keys`` within each batch."""
+    for b in batches:
+        if not b.num_rows:
+            continue
+        cols = [b.column(c).to_numpy() for c in keys]
+        turns = np.zeros(b.num_rows - 1, bool)
+        for c in cols:
+            turns |= c[1:] != c[:-1]
+        cuts = [0, *(np.flatnonzero(turns) + 1).tolist(), b.num_rows]
+        for a, z in zip(cuts, cuts[1:]):
+            yield tuple(c[a] for c in cols), b.slice(a, z - a)
+
+
+def _split(placed: DataFrame, level: int, space: Space, width: int) -> tuple[DataFrame, DataFrame] | None:
+    """One level of the tree's upper part: the rows of cells that are too large
+    (vec_id, v, row, node, far), each in the child whose routing vector is
+    nearest, and the children's entries (parent, node, center). None if no cell
+    can be split."""
+    cells = placed.groupBy("node").agg(F.count("*").alias("n"), F.max("far").alias("radius"))
+    large = cells.where((F.col("n") > SUBTREE_ROWS) & (F.col("radius") > 0))
+    # routing vectors: of some hundred distinct rows of the cell, the first by hash
+    drawn = (
+        placed.join(large.select("node", "n"), "node")
+        .where(F.pmod(F.xxhash64("vec_id", "v", F.lit(level)), F.col("n")) < 4 * CELL_FANOUT)
+        .select("node", "n", "v").distinct()
+    )
+    by_hash = Window.partitionBy("node").orderBy(F.xxhash64("v"), "v")
+    fan = F.least(F.lit(CELL_FANOUT), F.ceil(F.col("n") * 2 / F.lit(SUBTREE_ROWS)))
+    routing = drawn.withColumn("at", F.row_number().over(by_hash) - 1).where(F.col("at") < fan)
+    routing = stage(routing.withColumn("slices", F.ceil(F.col("n") / F.lit(SUBTREE_ROWS))), "routing")
+    split = routing.where("at = 1").select("node", "slices")
+    if split.isEmpty():
+        return None
+    # every slice of a cell's rows meets the cell's routing vectors
+    none = F.lit(None).cast("long")
+    centers = routing.join(split.select("node"), "node", "left_semi").select(
+        "node", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1)).alias("slice"),
+        "at", none.alias("vec_id"), "v", none.alias("row"),
+    )
+    rows = placed.join(split, "node").select(
+        "node", F.pmod(F.xxhash64("row"), "slices").alias("slice"), F.lit(CELL_FANOUT).alias("at"), "vec_id", "v", "row"
+    )
+
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, points = None, []
+        for key, b in _groups(batches, ["node", "slice"]):
+            if key != now:
+                now, points = key, []
+            at = b.column("at").to_numpy()
+            lifted = space.lift(_matrix(b.column("v"), width))
+            first = int(np.searchsorted(at, CELL_FANOUT))
+            points.extend(lifted[:first])
+            if first == len(at):
+                continue
+            d = np.stack([distances(lifted[first:], p) for p in points], axis=1)
+            own = d.argmin(axis=1)
+            child = int(key[0]) * CELL_FANOUT + 1 + own
+            yield pa.RecordBatch.from_arrays(
+                [*[b.column(c).slice(first) for c in ("vec_id", "v", "row")], pa.array(child), pa.array(d.min(axis=1))],
+                ["vec_id", "v", "row", "node", "far"],
+            )
+
+    met = centers.unionAll(rows).repartition("node", "slice").sortWithinPartitions("node", "slice", "at")
+    below = stage(met.mapInArrow(assign, "vec_id long, v array<double>, row long, node long, far double"), "placed")
+    entries = routing.join(split.select("node"), "node", "left_semi").select(
+        F.col("node").alias("parent"), (F.col("node") * CELL_FANOUT + 1 + F.col("at")).alias("node"),
+        _lifted(F.col("v"), space.largest).alias("center"),
+    )
+    return below, entries
+
+
 def top_k(table: DataFrame, every: int, k: int = 5, scale: int = 256) -> DataFrame:
     """(query_id, rank, vec_id, score): the k best of all other rows for each
     row whose vec_id is divisible by ``every``."""
     spark = table.sparkSession
     empty = "query_id long, rank int, vec_id long, score long"
-    vectors = stage(integer_vectors(table, scale), "vectors")
+    vectors = stage(integer_vectors(table, scale).withColumn("row", F.monotonically_increasing_id()), "vectors")
     lengths = vectors.groupBy(F.size("v").alias("size")).count()
     most = lengths.orderBy(F.desc("count"), F.desc("size")).first()
     if most is None:
         return spark.createDataFrame([], empty)
     width = most["size"]
     vectors = vectors.where(F.size("v") == width)
-    head = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).collect()
+    head = vectors.orderBy(F.xxhash64("vec_id"), "vec_id", "v").limit(SAMPLE).collect()
     norm = F.aggregate("v", F.lit(0.0), lambda a, c: a + c * c)
     space = Space(float(vectors.agg(F.max(norm)).first()[0]))
     sample_ids = np.array([r.vec_id for r in head], np.int64)
     sample = np.array([r.v for r in head], np.float64)
-    pivots = space.lift(sample[:PIVOTS])
-    shared = spark.sparkContext.broadcast((sample_ids, sample, pivots))
-
-    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pivots = shared.value[2]
+    shared = spark.sparkContext.broadcast((sample_ids, sample))
+    root = space.lift(sample[:1])[0]
+
+    # the upper part, a level at a time: cells, and the entries of their children
+    placed = vectors.select("*", F.lit(0).cast("long").alias("node"), F.lit(math.inf).alias("far"))
+    parents = spark.createDataFrame([(0, root.tolist())], "node long, center array<double>")
+    leaves, levels = [], []
+    for level in range(LEVELS):
+        below = _split(placed, level, space, width)
+        if below is None:
+            break
+        rows, entries = below
+        radii = rows.groupBy("node").agg(F.max("far").alias("radius"))
+        above = parents.select(F.col("node").alias("parent"), F.col("center").alias("_above"))
+        entries = stage(
+            entries.join(radii, "node").join(above, "parent")
+            .select("parent", "node", "center", "radius", _distance(F.col("center"), F.col("_above")).alias("far")),
+            "entries",
+        )
+        leaves.append(placed.join(entries.select(F.col("parent").alias("node")), "node", "left_anti"))
+        levels.append(entries)
+        placed, parents = rows, entries.select("node", "center")
+    leaves.append(placed)
+    below = leaves[0].select("node", "vec_id", "v", "row")
+    for more in leaves[1:]:
+        below = below.unionAll(more.select("node", "vec_id", "v", "row"))
+
+    def start(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Queries with the score and the distance that the sample assures."""
+        sample_ids, sample = shared.value
         for b in batches:
-            rows = space.lift(_matrix(b.column("v"), width))
-            d = np.stack([distances(rows, p) for p in pivots], axis=1)
-            cell = d.argmin(axis=1)
-            yield pa.RecordBatch.from_arrays(
-                [b.column("vec_id"), b.column("v"), pa.array(cell.astype(np.int32)), pa.array(d.min(axis=1))],
-                ["vec_id", "v", "cell", "far"],
-            )
-
-    placed = stage(vectors.mapInArrow(assign, "vec_id long, v array<double>, cell int, far double"), "placed")
-    cells = placed.groupBy("cell").agg(F.count("*").alias("n"), F.max("far").alias("radius")).collect()
-    parts = np.ones(len(pivots), np.int64)  # one row per routing vector, PIVOTS at most
-    radius = np.full(len(pivots), -1.0)
-    for c in cells:
-        parts[c.cell], radius[c.cell] = -(-c.n // SUBTREE_ROWS), c.radius
-    first_tree = np.cumsum(parts) - parts
-    deal = spark.createDataFrame(
-        [(i, int(first_tree[i]), int(parts[i])) for i in range(len(pivots))], "cell int, first int, parts int"
-    )
-    rows = placed.join(F.broadcast(deal), "cell").select(
-        (F.col("first") + F.pmod(F.xxhash64("vec_id", "v"), "parts")).cast("int").alias("tree"),
-        F.lit(0).cast("byte").alias("side"), "vec_id", "v", "cell",
-        F.lit(None).cast("string").alias("least"),
-    )
-
-    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Each query to every subtree that may hold one of its k best."""
-        sample_ids, sample, pivots = shared.value
-        for b in batches:
-            ids = b.column("vec_id").to_numpy()
-            q = _matrix(b.column("v"), width)
-            row, tree, cell, least = [], [], [], []
+            ids, q = b.column("vec_id").to_numpy(), _matrix(b.column("v"), width)
+            least, reach = [], []
             for i in range(len(ids)):
                 score = space.scores(sample, q[i])[sample_ids != ids[i]]
                 floor = np.sort(score)[-k] if len(score) >= k else None
-                reach = space.reach(q[i], floor)
-                d = distances(pivots, np.append(q[i], 0.0))
-                for c in np.flatnonzero((radius >= 0) & (d - radius <= reach)):
-                    for t in range(first_tree[c], first_tree[c] + parts[c]):
-                        row.append(i)
-                        tree.append(t)
-                        cell.append(c)
-                        least.append(None if floor is None else str(int(floor)))  # exact, of any size
-            take = pa.array(row, pa.int64())
+                least.append(None if floor is None else str(int(floor)))  # exact, of any size
+                reach.append(space.reach(q[i], floor))
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(tree, pa.int32()), pa.array(np.ones(len(row), np.int8)),
-                    b.column("vec_id").take(take), b.column("v").take(take),
-                    pa.array(cell, pa.int32()), pa.array(least, pa.string()),
+                    b.column("vec_id"), b.column("v"), pa.array(least, pa.string()), pa.array(reach, pa.float64()),
+                    pa.array(np.zeros(len(ids), np.int64)), pa.array(distances(space.query(q), root)),
                 ],
-                ["tree", "side", "vec_id", "v", "cell", "least"],
+                ["vec_id", "v", "least", "reach", "node", "d"],
+            )
+
+    def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Distances to children; those stay whose rows may be near enough."""
+        for b in batches:
+            q = space.query(_matrix(b.column("v"), width))
+            d = np.sqrt(((q - _matrix(b.column("center"), width + 1)) ** 2).sum(axis=1))
+            near = pa.array(d - b.column("radius").to_numpy() <= b.column("reach").to_numpy())
+            yield pa.RecordBatch.from_arrays(
+                [*[b.column(c).filter(near) for c in ("vec_id", "v", "least", "reach", "node")], pa.array(d).filter(near)],
+                ["vec_id", "v", "least", "reach", "node", "d"],
             )
 
-    schema = "tree int, side byte, vec_id long, v array<double>, cell int, least string"
-    queries = vectors.where(F.pmod("vec_id", F.lit(every)) == 0).mapInArrow(route, schema)
+    form = "vec_id long, v array<double>, least string, reach double, node long, d double"
+    queries = vectors.where(F.pmod("vec_id", F.lit(every)) == 0).select("vec_id", "v")
+    at = stage(queries.mapInArrow(start, form), "queries")
+    arrived = []
+    for entries in levels:
+        arrived.append(at.join(entries.select(F.col("parent").alias("node")), "node", "left_anti"))
+        e = entries.withColumnsRenamed({"node": "child", "far": "parent_far"})
+        # passed over by stored distances, without a new one
+        hopeful = at.join(e, at.node == e.parent).where(F.abs(F.col("d") - F.col("parent_far")) - F.col("radius") <= F.col("reach"))
+        at = stage(
+            hopeful.select("vec_id", "v", "least", "reach", F.col("child").alias("node"), "center", "radius")
+            .mapInArrow(visit, form), "queries",
+        )
+    arrived.append(at)
+    pairs = arrived[0].select("node", "vec_id", "v", "least")
+    for more in arrived[1:]:
+        pairs = pairs.unionAll(more.select("node", "vec_id", "v", "least"))
+
+    # a task takes one part of a cell's rows and one chunk of its queries
+    size = below.groupBy("node").agg(F.ceil(F.count("*") / F.lit(SUBTREE_ROWS)).alias("parts"))
+    load = pairs.groupBy("node").agg(F.ceil(F.count("*") / F.lit(QUERY_CHUNK)).alias("chunks"))
+    tasks = stage(size.join(load, "node"), "tasks")
+    zero = F.lit(0).cast("long")
+    rows = below.join(tasks, "node").select(
+        "node", F.pmod(F.xxhash64("row"), "parts").alias("part"),
+        F.explode(F.sequence(zero, F.col("chunks") - 1)).alias("chunk"),
+        F.lit(0).alias("side"), "vec_id", "v", F.lit(None).cast("string").alias("least"),
+    )
+    asked = pairs.join(tasks, "node").select(
+        "node", F.explode(F.sequence(zero, F.col("parts") - 1)).alias("part"),
+        F.pmod(F.xxhash64("vec_id", "v"), "chunks").alias("chunk"), F.lit(1).alias("side"), "vec_id", "v", "least",
+    )
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows of a subtree come first, then its queries."""
-        number, ids, rows, tree = None, [], [], None
-        pivots = shared.value[2]
-        for b in batches:
-            trees, side = b.column("tree").to_numpy(), b.column("side").to_numpy()
-            cell = b.column("cell").to_numpy()
+        now, ids, rows, tree = None, [], [], None
+        for (*key, side), b in _groups(batches, ["node", "part", "chunk", "side"]):
+            if key != now:
+                now, ids, rows, tree = key, [], [], None
             vec_id, v = b.column("vec_id").to_numpy(), _matrix(b.column("v"), width)
-            least = b.column("least").to_pylist()
-            cuts = np.flatnonzero((trees[1:] != trees[:-1]) | (side[1:] != side[:-1])) + 1
-            out: list[tuple[int, int, int]] = []
-            for a, z in zip([0, *cuts.tolist()], [*cuts.tolist(), len(trees)]):
-                if a == z:
-                    continue
-                if trees[a] != number:
-                    number, ids, rows, tree = trees[a], [], [], None
-                if side[a] == 0:
-                    ids.append(vec_id[a:z])
-                    rows.append(v[a:z])
+            if side == 0:
+                ids.append(vec_id)
+                rows.append(v)
+                continue
+            if tree is None:
+                if not ids:
                     continue
-                if tree is None:
-                    if not ids:
-                        continue
-                    tree = Tree(space, np.concatenate(ids), np.concatenate(rows), pivots[cell[a]])
-                    ids, rows = [True], []
-                for i in range(a, z):
-                    floor = None if least[i] is None else int(least[i])
-                    for score, found in tree.search(int(vec_id[i]), v[i], k, floor):
-                        out.append((int(vec_id[i]), found, max(-LONG - 1, min(LONG, score))))
+                tree = Tree(space, np.concatenate(ids), np.concatenate(rows))
+                ids, rows = [True], []
+            out: list[tuple[int, int, int]] = []
+            for i, least in enumerate(b.column("least").to_pylist()):
+                for score, found in tree.search(int(vec_id[i]), v[i], k, None if least is None else int(least)):
+                    out.append((int(vec_id[i]), found, max(-LONG - 1, min(LONG, score))))
             cols = list(zip(*out)) if out else [(), (), ()]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, pa.int64()) for c in cols], ["query_id", "vec_id", "score"]
             )
 
-    met = rows.unionAll(queries.select(rows.columns)).repartition("tree").sortWithinPartitions("tree", "side")
+    task = ["node", "part", "chunk"]
+    met = rows.unionAll(asked).repartition(*task).sortWithinPartitions(*task, "side")
     found = met.mapInArrow(search, "query_id long, vec_id long, score long")
     by = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return (
