@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import math
 import os
+import re
 import sys
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -125,6 +127,136 @@ def shared_line(n):
     return [(i, f"{line} own{'abcdefghij'[i % 10]} {i} {'vile' if i % 5 == 0 else 'kind'}", i) for i in range(n)]
 
 
+def crc(doc_id, modulus):
+    return zlib.crc32(str(doc_id).encode()) % modulus
+
+
+def plain_toxicity(docs, labels):
+    """(score, passages) of every id: the whole operator with dictionaries, by
+    definition of the segments. For texts none of which are near copies."""
+    words = {i: re.findall(r"[^\W\d_]+", t.lower()) for i, t in docs.items()}
+    train = sorted({(docs[i], labels[i]): i for i in docs if i in labels and crc(i, 3) != 1}.values())
+    count = {0: Counter(), 1: Counter()}
+    for i in train:
+        count[labels[i]].update(set(words[i]))
+    t, c = sum(count[1].values()), sum(count[0].values())
+    even = t / (t + c)
+    logit = lambda p: math.log(p / (1 - p))
+
+    def worth(a, b, prior):
+        share = (a + 5 * prior) / (a + b + 5)
+        odds = logit(share) - logit(even)
+        sure = odds - 3 * math.sqrt(1 / (a + 5 * even) + 1 / (b + 5 * (1 - even)))
+        return share, (sure if sure > 0 else min(odds, -0.1))
+
+    stems = {0: Counter(), 1: Counter()}
+    for y in (0, 1):
+        for w, n in count[y].items():
+            stems[y][w[:4]] += n
+    stem = {s: worth(stems[1][s], stems[0][s], even) for s in stems[0] | stems[1]}
+    word = {w: worth(count[1][w], count[0][w], stem[w[:4]][0])[1] for w in count[0] | count[1]}
+    scores = {i: [word.get(w, stem.get(w[:4], (0, -0.1))[1]) for w in words[i]] for i in docs}
+    found = {i: brute_segments(s) for i, s in scores.items()}
+
+    clean = [i for i in train if labels[i] == 0]
+    steps = [round(s * 64) / 64 for i in clean for s in scores[i]]
+    low, high = 0.05, 5.0
+    for _ in range(60):
+        mid = (low + high) / 2
+        low, high = (low, mid) if sum(math.exp(mid * s) for s in steps) > len(steps) else (mid, high)
+    rate = (low + high) / 2
+    best = [rate * max((s for s, _, _ in found[i]), default=0) - math.log(max(1, len(words[i]))) for i in clean]
+    log_k = float(np.median(best)) + math.log(math.log(2))
+
+    def passages(i):
+        base = log_k + math.log(max(1, len(words[i])))
+        return [(a, b - 1, rate * s - base) for s, a, b in found[i] if rate * s - base > 3]
+
+    evidence = {i: min(20.0, sum(v for _, _, v in passages(i))) for i in docs}
+    slope, constant = samples.fit_logistic([[evidence[i]] for i in train], [labels[i] for i in train])
+    return {i: (1 / (1 + math.exp(-max(0, slope) * evidence[i] - constant)), passages(i)) for i in docs}
+
+
+def test_toxicity_against_plain_python(spark):
+    rnd = np.random.default_rng(4)
+    stem = lambda n: "".join(rnd.choice(list("abcdefgh"), n))
+    calm, bad = [stem(6) for _ in range(80)], ["x" + stem(4) for _ in range(6)]
+    docs, labels = {}, {}
+    for i in range(240):
+        text = [str(w) for w in rnd.choice(calm, 36)]
+        toxic = int(i % 4 == 0)
+        if toxic:
+            at = int(rnd.integers(0, 20))
+            text[at : at + 6] = [str(w) for w in rnd.choice(bad, 6)]
+        if i % 5 == 0:
+            text[30] = bad[0]
+        docs[i], labels[i] = " ".join(text), toxic
+    docs |= {500: docs[0], 501: docs[0], 502: "", 503: "Unseen words, alone. 7"}  # equal texts count once
+    labels |= {500: 1, 501: 1}
+    want = plain_toxicity(docs, labels)
+    got = toxicity.score(
+        spark.createDataFrame(list(docs.items()), "doc_id long, text string"),
+        spark.createDataFrame(list(labels.items()), "doc_id long, toxic int"),
+    ).collect()
+    assert {r.doc_id for r in got} == set(docs)
+    for r in got:
+        score, passages = want[r.doc_id]
+        assert abs(r.score - score) < 1e-6 and r.held_out == (crc(r.doc_id, 3) == 1)
+        assert [(p.first, p.last) for p in r.passages] == [(a, b) for a, b, _ in passages]
+        assert np.allclose([p.significance for p in r.passages], [v for _, _, v in passages])
+    assert any(r.passages for r in got) and any(not r.passages for r in got)
+
+
+def plain_quality(docs, labels):
+    """Score of every id: trigram by trigram, all singular values, one cosine
+    at a time."""
+
+    def terms(text):
+        data, out = text.encode(), np.zeros(neighbours.TERMS)
+        for a, b, c in zip(data, data[1:], data[2:]):
+            out[((a * 0x9E3779B1 + b * 0x85EBCA6B + c * 0xC2B2AE35) % 2**32) >> 20] += 1 / (len(data) - 2)
+        style = neighbours._style(data, np.frombuffer(data, np.uint8))
+        return np.concatenate([np.sqrt(out), style]).astype(np.float16).astype(float)
+
+    x = {i: terms(t) for i, t in docs.items()}
+    train = [i for i in docs if i in labels and crc(i, 5) != 0]
+    center = np.mean([x[i] for i in train], axis=0)
+    axes = np.linalg.svd(np.array([x[i] for i in train]) - center, full_matrices=False)[2][: neighbours.DIMENSIONS]
+    place = {i: (v - center) @ axes.T for i, v in x.items()}
+    place = {i: v / max(1e-9, np.linalg.norm(v)) for i, v in place.items()}
+
+    def share(i, known):
+        cosine = {j: float(place[i] @ place[j]) for j in known}
+        last = sorted((round(c, 5) for c in cosine.values()), reverse=True)[: neighbours.NEIGHBOURS][-1]
+        weight = {j: max(1e-6, c) for j, c in cosine.items() if round(c, 5) >= last}
+        p = sum(w * labels[j] for j, w in weight.items()) / sum(weight.values())
+        return math.log((p + 0.02) / (1.02 - p))
+
+    left_out = [[share(i, [j for j in train if j != i])] for i in train]
+    slope, constant = samples.fit_logistic(left_out, [labels[i] for i in train])
+    return {i: 1 / (1 + math.exp(-max(0, slope) * share(i, train) - constant)) for i in docs}
+
+
+def test_quality_against_plain_python(spark):
+    docs, labels = tables(spark, data.SF001)
+    labels = labels.where("quality IS NOT NULL").orderBy(F.xxhash64("doc_id")).limit(70)
+    text = {r.doc_id: r.text or "" for r in docs.collect()}
+    want = plain_quality(text, {r.doc_id: r.quality for r in labels.collect()})
+    got = {r.doc_id: r.score for r in neighbours.score(docs, labels).collect()}
+    assert set(got) == set(want)
+    off = [abs(got[i] - want[i]) for i in want]
+    # single precision may tell a tie from a near tie where the plain version does not
+    assert np.mean(np.array(off) < 1e-3) > 0.98 and max(off) < 0.1
+
+
+def test_ties_of_the_last_neighbour_all_vote():
+    known = np.array([[1.0, 0.0]] * 20 + [[0.6, 0.8]] * 30)
+    y = np.array([1.0] * 20 + [0.0, 1.0] * 15)
+    for order in (np.arange(50), np.arange(50)[::-1]):
+        model = neighbours.Model(np.zeros(2), np.eye(2), known[order], y[order], 1.0, 0.0)
+        assert abs(model.votes(np.array([[1.0, 0.0]]))[0] - (20 + 15 * 0.6) / (20 + 30 * 0.6)) < 1e-9
+
+
 def test_texts_that_share_a_line_all_count(spark):
     from trickle.llm.samples import balanced_sample
 

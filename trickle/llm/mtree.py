@@ -315,7 +315,13 @@ def top_k(table: DataFrame, every: int, k: int = 5, scale: int = 256) -> DataFra
     row whose vec_id is divisible by ``every``."""
     spark = table.sparkSession
     empty = "query_id long, rank int, vec_id long, score long"
-    vectors = stage(integer_vectors(table, scale).withColumn("row", F.monotonically_increasing_id()), "vectors")
+    # all rows start in the root, at no known distance (written, so that joins on the node are by key)
+    vectors = stage(
+        integer_vectors(table, scale).select(
+            "*", F.monotonically_increasing_id().alias("row"),
+            F.lit(0).cast("long").alias("node"), F.lit(math.inf).alias("far"),
+        ), "vectors",
+    )
     lengths = vectors.groupBy(F.size("v").alias("size")).count()
     most = lengths.orderBy(F.desc("count"), F.desc("size")).first()
     if most is None:
@@ -331,7 +337,7 @@ def top_k(table: DataFrame, every: int, k: int = 5, scale: int = 256) -> DataFra
     root = space.lift(sample[:1])[0]
 
     # the upper part, a level at a time: cells, and the entries of their children
-    placed = vectors.select("*", F.lit(0).cast("long").alias("node"), F.lit(math.inf).alias("far"))
+    placed = vectors
     parents = spark.createDataFrame([(0, root.tolist())], "node long, center array<double>")
     leaves, levels = [], []
     for level in range(LEVELS):

@@ -6,7 +6,9 @@ length). Latent-semantic analysis of the labelled sample (centred, truncated
 singular values) gives DIMENSIONS directions. The labelled vectors, of unit
 length, are broadcast: SAMPLE rows by DIMENSIONS, whatever the corpus. For
 every document the cosines to all of them are computed exactly, block by
-block, and the NEIGHBOURS closest vote with their similarity as weight.
+block, and the NEIGHBOURS closest vote with their similarity as weight. All
+that are as close as the last of these (to five decimals) vote too, so that
+ties and the rounding of a block's products decide nothing.
 
 The share of votes becomes a probability by a logistic curve fitted on the
 sample, each sample text voted on by the others.
@@ -14,9 +16,12 @@ sample, each sample text voted on by the others.
 Learned from a bounded sample of labelled documents (SAMPLE, by hash of
 doc_id). Every document is scored, whole.
 
-Defined cases: null and empty texts are one vector (no trigrams); null and
-repeated ids are scored row by row; without labelled documents every score is
-0.5, with one label only it is that label; other columns are ignored.
+Defined cases: null and empty texts are one vector (no trigrams); very long
+texts are read whole, in pieces of an Arrow batch of some megabytes or one
+text; null and repeated ids are scored row by row, and an id of several labels
+is of the larger one; an empty table gives an empty result; without labelled
+documents every score is 0.5, with one label only it is that label; other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -65,7 +70,8 @@ def _style(text: bytes, data: np.ndarray) -> list[float]:
 
 
 def term_vectors(texts: list[bytes | None]) -> np.ndarray:
-    """One row per text: square roots of trigram shares, then style terms."""
+    """One row per text: square roots of trigram shares, then style terms, all
+    of half precision."""
     out = np.zeros((len(texts), TERMS + STYLES), np.float32)
     for i, text in enumerate(texts):
         data = np.frombuffer(text or b"", np.uint8)
@@ -74,7 +80,8 @@ def term_vectors(texts: list[bytes | None]) -> np.ndarray:
             code = (wide[:-2] * 0x9E3779B1 + wide[1:-1] * 0x85EBCA6B + wide[2:] * 0xC2B2AE35) >> np.uint32(20)
             out[i, :TERMS] = np.sqrt(np.bincount(code, minlength=TERMS) / len(code))
         out[i, TERMS:] = _style(text or b"", data)
-    return out
+    # as the sample's are kept, so that equal texts are at one place
+    return out.astype(np.float16).astype(np.float32)
 
 
 def unit(v: np.ndarray) -> np.ndarray:
@@ -99,9 +106,10 @@ class Model:
         if own is not None:
             cosine[np.arange(len(own)), own] = -2
         k = min(NEIGHBOURS, cosine.shape[1])
-        near = np.argpartition(-cosine, k - 1, axis=1)[:, :k]
-        weight = np.maximum(1e-6, np.take_along_axis(cosine, near, 1))
-        return (weight * self.labels[near]).sum(axis=1) / weight.sum(axis=1)
+        close = np.round(cosine, 5)
+        last = -np.partition(-close, k - 1, axis=1)[:, k - 1 : k]
+        weight = np.where(close >= last, np.maximum(np.float32(1e-6), cosine), np.float32(0))
+        return (weight @ self.labels) / weight.sum(axis=1)
 
     def scores(self, texts: list[bytes | None]) -> np.ndarray:
         if not len(self.labels):

@@ -18,8 +18,10 @@ Ranks come from per-task counters plus prefix sums over tasks, so a length
 shared by most rows is never gathered anywhere.
 
 Defined cases: null or empty text is the end token alone; a null id is
-carried; repeated rows are packed once each; an empty table gives no rows;
-other columns are ignored.
+carried; repeated rows are packed once each; very long texts are tokenised
+whole and cut into full pieces and a last one; pieces of one length are
+interchangeable, and stand as their tasks count them; an empty table gives no
+rows; other columns are ignored.
 """
 
 from __future__ import annotations

@@ -15,7 +15,7 @@ broadcast while Catalyst finds them small, else texts move once by doc_id.
 
 Defined cases: null and empty texts have no words and fail the base rules; a
 null doc_id is scored like any other; repeated rows are scored each; without
-labels or documents every log ratio is 0; very long texts are counted whole; a
+labels or documents every log ratio is 0, and an empty table gives no rows; very long texts are counted whole; a
 ratio at the threshold is kept; other columns are ignored.
 """
 

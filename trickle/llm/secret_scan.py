@@ -16,8 +16,10 @@ are found leftmost and without overlap, and matches that fail its length test
 are dropped afterwards. Their places follow from the lengths of the matches
 and of the text between them.
 
-Defined cases: null text is empty; rows with null or repeated ids are each
-searched; an empty table gives no rows; other columns are ignored.
+Defined cases: null text is empty; very long texts are searched whole; spans
+that start at one place stand in the order of the kinds, each kind being
+matched on its own; rows with null or repeated ids are each searched; an empty
+table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations

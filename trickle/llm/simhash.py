@@ -21,7 +21,8 @@ components is lost. Components are then found by contraction.
 Defined cases: null, empty and blank texts have fingerprint 0, linked like
 any other; a text with fewer words than a shingle is one shingle; a null
 doc_id takes part but never names a component that has another; repeated rows
-are equal fingerprints; an empty table gives no rows; other columns are
+are equal fingerprints; a bit set in just half of the shingles is 0; very long
+texts are read whole; an empty table gives no rows; other columns are
 ignored.
 """
 
