@@ -462,6 +462,16 @@ def test_keep_one(spark):
     assert simhash.keep_one(data.nothing(spark)).collect() == []
 
 
+def test_keep_one_of_rows_that_differ_elsewhere(spark):
+    """Which of the rows of one id and text stays does not depend on their order."""
+    rows = [(7, "a text of five words", lang, src) for lang in ("de", "en", None) for src in ("b", None, "")]
+    kept = set()
+    for some in (rows, rows[::-1], rows[4:] + rows[:4] * 2):
+        docs = spark.createDataFrame(some, "doc_id long, text string, lang string, source string").repartition(3)
+        kept.add(tuple(map(tuple, simhash.keep_one(docs).collect())))
+    assert len(kept) == 1 and len(next(iter(kept))) == 1
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(200)] + [(1000, 1000 + i) for i in range(1, 300)] + [(5000, 5000)]
     got = components.connected_components(spark.createDataFrame(edges, "u long, v long")).collect()
@@ -513,13 +523,33 @@ def test_mixing(spark):
 
 
 def test_drawn_words_are_the_words_taken(spark):
-    docs = data.documents(spark).where("doc_id <> 900008")
-    taken = {r.doc_id: (r.taken, r.size) for r in mixing.mix(docs).collect()}
+    docs = data.documents(spark)  # 900008 is a repeated row; one more has other columns
+    docs = docs.unionAll(docs.where("doc_id = 900008").limit(1).withColumn("lang", F.lit("de")))
+    taken, size = Counter(), {}
+    for r in mixing.mix(docs).collect():
+        taken[r.doc_id] += r.taken
+        size[r.doc_id] = r.size
     drawn = mixing.draw(docs)
     assert drawn.columns == docs.columns
     words = defaultdict(int)
     for r in drawn.collect():
         n = len(data.WORD.findall(r.text))
-        assert 0 < n <= taken[r.doc_id][1] and r.n_chars == len(r.text)
+        assert 0 < n <= size[r.doc_id] and r.n_chars == len(r.text)
         words[r.doc_id] += n
-    assert dict(words) == {d: t for d, (t, _) in taken.items() if t}
+    assert dict(words) == {d: t for d, t in taken.items() if t}
+    again = mixing.draw(docs.repartition(5))
+    assert Counter(map(tuple, again.collect())) == Counter(map(tuple, drawn.collect()))
+
+
+def test_words_left_over_among_identical_rows_are_drawn(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "a b c d", "s", x) for x in "xyz"] + [(None, "e f", "s", "x")],
+                                 "doc_id long, text string, source string, extra string")
+    parts = [(1, 7, 4), (1, 4, 4), (1, 0, 4), (None, 3, 2)]
+    mixed = spark.createDataFrame(parts, "doc_id long, taken long, size long").join(
+        docs.select("doc_id", F.xxhash64("doc_id", "text").alias("text_hash")).distinct().withColumnRenamed("doc_id", "d"),
+        F.expr("doc_id <=> d")).drop("d")
+    monkeypatch.setattr(mixing, "mix", lambda _: mixed)
+    got = Counter((r.doc_id, r.text) for r in mixing.draw(docs).collect())
+    # 11 words over three rows: three each, and two left over
+    assert got == {(1, "a b c"): 3, (1, "a b"): 1, (None, "e f"): 1, (None, "e"): 1}
+

@@ -196,19 +196,31 @@ def mix(docs: DataFrame) -> DataFrame:
 def draw(docs: DataFrame) -> DataFrame:
     """The mixed documents, with the columns of ``docs``: a document is
     repeated as often as the mix takes it whole, and once more cut to its
-    first words where the mix takes a part of it."""
+    first words where the mix takes a part of it. Of rows with one doc_id and
+    text every one takes an equal part of their words, and what is left over
+    goes to the one of the smallest hash."""
     columns = docs.columns
-    counts = mix(docs.select("doc_id", "text", "source")).where("taken > 0")
-    # identical rows share what the mix takes of them
-    counts = counts.groupBy(F.struct("doc_id", "text_hash").alias("_key")).agg(
-        F.floor(F.avg("taken")).cast("long").alias("_taken"), F.first("size").alias("_size")
+    counts = stage(
+        mix(docs.select("doc_id", "text", "source"))
+        .groupBy(F.struct("doc_id", "text_hash").alias("_key"))
+        .agg(F.sum("taken").alias("_sum"), F.count("*").alias("_rows"), F.max("size").alias("_size"))
+        .where("_sum > 0").selectExpr("_key", "_sum div _rows AS _each", "_sum % _rows AS _over", "_size"),
+        "drawn",
     )
     row = F.struct(*[F.col(f"`{c}`") for c in columns])
+    others = F.to_json(F.struct(*[F.col(f"`{c}`") for c in columns if c != "text"]))
     key = F.struct("doc_id", F.xxhash64("doc_id", "text").alias("text_hash"))
-    keyed = docs.select(row.alias("_row"), key.alias("_k2"))
+    keyed = docs.select(row.alias("_row"), key.alias("_k2"), F.xxhash64(others).alias("_order"))
+    same = F.col("_k2").eqNullSafe(F.col("_key"))
+    each = keyed.join(counts.where("_each > 0"), same).selectExpr("_row", "_each AS _taken", "_size")
+    over = (
+        keyed.join(counts.where("_over > 0"), same)
+        .groupBy("_key", "_over", "_size").agg(F.min_by("_row", "_order").alias("_row"))
+        .selectExpr("_row", "_over AS _taken", "_size")
+    )
     times = F.ceil(F.col("_taken") / F.col("_size"))
-    out = keyed.join(counts, F.col("_k2").eqNullSafe(F.col("_key"))).select(
-        "_row", "_taken", "_size", F.explode(F.sequence(F.lit(1), times)).alias("_n")
+    out = each.unionAll(over).select(
+        "_row", "_taken", "_size", F.explode(F.sequence(F.lit(1).cast("long"), times)).alias("_n")
     )
     left = F.least(F.col("_size"), F.col("_taken") - (F.col("_n") - 1) * F.col("_size")).cast("int")
     words = F.split(F.trim(F.col("_row.text"), F.lit(SPACE_CHARS)), r"[\x20\x09-\x0D]+")

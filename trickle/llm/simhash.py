@@ -83,23 +83,22 @@ def fingerprint_column(texts: list[bytes | None], shingle: int) -> np.ndarray:
     return out
 
 
-def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
-    """doc_id, text_hash (of id and text) and fp (signed 64-bit) per row."""
+def fingerprints(docs: DataFrame, shingle: int = 4, mark: Column | None = None) -> DataFrame:
+    """doc_id, mark (default: a hash of id and text) and fp (signed 64-bit) per row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for b in slices(whole, "text", 2 << 20):
                 fp = fingerprint_column(b.column("text").to_pylist(), shingle)
                 yield pa.RecordBatch.from_arrays(
-                    [b.column("doc_id"), b.column("text_hash"), pa.array(fp.view(np.int64))],
-                    ["doc_id", "text_hash", "fp"],
+                    [b.column("doc_id"), b.column("mark"), pa.array(fp.view(np.int64))],
+                    ["doc_id", "mark", "fp"],
                 )
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    source = docs.select(
-        "doc_id", F.xxhash64("doc_id", "text").alias("text_hash"), F.col("text").cast("binary").alias("text")
-    )
-    return source.mapInArrow(run, f"doc_id {kind}, text_hash long, fp long")
+    mark = F.xxhash64("doc_id", "text") if mark is None else mark
+    source = docs.select("doc_id", mark.alias("mark"), F.col("text").cast("binary").alias("text"))
+    kinds = {f.name: f.dataType.simpleString() for f in source.schema.fields}
+    return source.mapInArrow(run, f"doc_id {kinds['doc_id']}, mark {kinds['mark']}, fp long")
 
 
 # ---------------------------------------------------------------- partitions
@@ -334,10 +333,10 @@ def links(nodes: DataFrame, distance: int) -> DataFrame:
     return find_links(met, distance)
 
 
-def groups(docs: DataFrame, shingle: int = 4, distance: int = 4) -> DataFrame:
-    """doc_id, text_hash, fp, root (a fingerprint naming the component) and
+def groups(docs: DataFrame, shingle: int = 4, distance: int = 4, mark: Column | None = None) -> DataFrame:
+    """doc_id, mark, fp, root (a fingerprint naming the component) and
     component_id (its smallest doc_id) per row of ``docs``."""
-    rows = stage(fingerprints(docs, shingle), "fingerprints")
+    rows = stage(fingerprints(docs, shingle, mark), "fingerprints")
     nodes = stage(rows.groupBy("fp").agg(F.min("doc_id").alias("smallest")), "nodes")
     roots = connected_components(links(nodes.select("fp"), distance)) if distance else None
     named = nodes.withColumn("root", F.col("fp"))
@@ -362,20 +361,23 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, distance: int = 4) -> Dat
 
 def keep_one(docs: DataFrame, shingle: int = 4, distance: int = 4) -> DataFrame:
     """One document of every component, the one with the smallest doc_id
-    (then text hash; one of identical rows), with the columns of ``docs``."""
+    (then by a hash of all columns; one of identical rows), with the columns
+    of ``docs``. Rows are numbered and written, so that whole rows are
+    exchanged once, for those that stay."""
     columns = docs.columns
-    found = groups(docs.select("doc_id", "text"), shingle, distance)
-    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
-    best = stage(
-        found.groupBy("root").agg(F.min(order).alias("b"))
-        .select(F.struct(F.col("b.doc_id"), F.col("b.text_hash")).alias("_best")),
-        "kept-documents",
-    )
-    key = F.struct("doc_id", F.xxhash64("doc_id", "text").alias("text_hash"))
     row = F.struct(*[F.col(f"`{c}`") for c in columns])
-    kept = docs.select(row.alias("_row"), key.alias("_key")).join(
-        best, F.col("_key").eqNullSafe(F.col("_best")), "left_semi"
+    others = F.to_json(F.struct(*[F.col(f"`{c}`") for c in columns if c != "text"]))
+    numbered = stage(
+        docs.select(
+            row.alias("_row"), F.xxhash64("text", others).alias("_hash"), F.monotonically_increasing_id().alias("_number")
+        ), "numbered",
     )
-    return kept.groupBy("_key").agg(F.first("_row").alias("_row")).select(
-        *[F.col(f"_row.`{c}`").alias(c) for c in columns]
+    found = groups(
+        numbered.select("_row.doc_id", "_row.text", "_hash", "_number"), shingle, distance, F.struct("_hash", "_number")
+    )
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")
+    best = stage(
+        found.groupBy("root").agg(F.min(order).alias("b")).select(F.col("b.mark._number").alias("_number")),
+        "kept-documents",
     )
+    return numbered.join(best, "_number", "left_semi").select(*[F.col(f"_row.`{c}`").alias(c) for c in columns])
