@@ -368,6 +368,16 @@ def test_kneser_ney_sums_to_one():
             assert abs(p.sum() + unseen * other - 1) < 1e-9
 
 
+def test_language_learns_from_every_training_text(spark):
+    """Each of 4,000 texts of one language has a letter of its own: the model
+    knows the letters of all that may be learned from, and of no other."""
+    texts = [(i, f"ab {chr(0x4E00 + i)} ab", "zh") for i in range(4000)]
+    model = language.learn(spark.createDataFrame(texts, "doc_id long, text string, lang string"))
+    want = {0x4E00 + i for i in range(4000) if zlib.crc32(str(i).encode()) % 4 != 2}
+    assert len(want) > 2500
+    assert {c for c in model.uni.codes.tolist() if c >= 0x4E00} == want
+
+
 def test_languages_against_plain_python(spark):
     """The whole query beside Kneser-Ney with dictionaries and fractions of
     counts, on every row (awkward ones too)."""

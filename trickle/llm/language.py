@@ -15,8 +15,11 @@ when the cross-entropy is above what TAIL of that language's own training
 texts exceed: the text is rejected as unlike any learned language, though the
 closest is still named.
 
-Learned from a bounded sample: about PER_LANGUAGE documents of each language,
-by hash of doc_id. Every document is scored, whole.
+Learned from every document that may be learned from, whole: the trigrams are
+counted in the tasks and summed by a shuffle, and what reaches the driver is one
+number per different trigram and language (it grows like an alphabet's trigrams,
+not like the texts). Every document is scored once, whole; the limits come from
+the scores of all training texts.
 
 Defined cases: a null text, or one without a letter, is "und" with score 0;
 without learned languages every text is "und"; ties go to the first language
@@ -27,20 +30,23 @@ other columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trickle.llm.common import held_out, slices, stage
 
-PER_LANGUAGE = 2000
+PER_LANGUAGE = math.inf  # training documents of a language: all of them
 CONFIDENT = 50
 TAIL = 0.005
 UNKNOWN = "und"
+HELD = 1 << 21  # trigram counts a task holds before it passes them on
 # A text may differ this much more than its language's training texts did.
 MARGIN = 1.15
 
@@ -123,7 +129,6 @@ class Model:
     bi_weight: Order
     uni: Order
     uni_weight: np.ndarray  # weight of the even distribution
-    limits: np.ndarray  # cross-entropy beyond which a text is rejected
 
     def log_probabilities(self, code: np.ndarray) -> np.ndarray:
         """Per trigram and language."""
@@ -147,18 +152,16 @@ class Model:
         return -sums / n[:, None], np.bincount(owner, weights=chars != 0, minlength=len(texts))
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """Closest language, confidence in it, and the cross-entropies."""
         if not self.languages or not texts:
-            return [UNKNOWN] * len(texts), np.zeros(len(texts)), np.zeros(len(texts), bool)
+            return [UNKNOWN] * len(texts), np.zeros(len(texts)), np.zeros((len(texts), len(self.languages)))
         h, letters = self.entropies(texts)
         best = h.argmin(axis=1)
         lowest = h[np.arange(len(h)), best]
         weight = np.exp(-(h - lowest[:, None]) * np.minimum(CONFIDENT, letters + 1)[:, None])
-        confidence = 1 / weight.sum(axis=1)
-        rejected = lowest > self.limits[best]
         some = letters > 0
-        score = np.where(some, np.where(rejected, confidence / 2, confidence), 0.0)
         names = [self.languages[b] if s else UNKNOWN for b, s in zip(best, some)]
-        return names, score, rejected & some
+        return names, np.where(some, 1 / weight.sum(axis=1), 0.0), h
 
 
 def _discounted(codes: np.ndarray, counts: np.ndarray, shift: int) -> tuple[np.ndarray, Order]:
@@ -195,92 +198,109 @@ def estimate(languages: list[str], codes: np.ndarray, counts: np.ndarray) -> Mod
     uni_codes, uni_counts = _merged(bi_codes & LAST, bi_counts > 0)
     p1, w1 = _discounted(uni_codes, uni_counts, 21)  # one context: none
     whole = w1.values[0] if len(w1.codes) else np.ones(len(languages))
-    return Model(
-        languages, Order(codes, p3), w3, Order(bi_codes, p2), w2, Order(uni_codes, p1),
-        whole, np.full(len(languages), np.inf),
-    )
+    return Model(languages, Order(codes, p3), w3, Order(bi_codes, p2), w2, Order(uni_codes, p1), whole)
 
 
-def learn(docs: DataFrame) -> Model:
-    train = docs.select("doc_id", "text", "lang").where(
-        F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id"), 4, 2)
-    )
-    sizes = train.groupBy("lang").count().collect()  # one row per language
-    if not sizes:
-        empty = Order(np.empty(0, np.int64), np.empty((0, 0)))
-        return Model([], empty, empty, empty, empty, empty, np.empty(0), np.empty(0))
-    share = docs.sparkSession.createDataFrame(
-        [(r.lang, min(1.0, PER_LANGUAGE / r["count"])) for r in sizes], "_lang string, _share double"
-    )
-    point = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) / (1 << 30)
-    sample = stage(
-        train.join(F.broadcast(share), F.col("lang") == F.col("_lang")).where(point < F.col("_share"))
-        .select("text", "lang"),
-        "language-sample",
-    )
+def _summed(pieces: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Different codes of all pieces and the sums of their counts."""
+    codes, place = np.unique(np.concatenate([c for c, _ in pieces]), return_inverse=True)
+    return codes, np.bincount(place, np.concatenate([n for _, n in pieces]), len(codes)).astype(np.int64)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for b in slices(whole, "text", 4 << 20):
-                texts, langs = b.column("text").to_pylist(), np.array(b.column("lang").to_pylist(), object)
-                for lang in dict.fromkeys(langs):
-                    chars, owner = characters([t for t, x in zip(texts, langs) if x == lang])
-                    codes, n = np.unique(trigrams(chars, owner)[0], return_counts=True)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([lang] * len(codes), pa.string()), pa.array(codes), pa.array(n)],
-                        ["lang", "code", "n"],
-                    )
 
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """lang, code, n: the trigrams of a task's texts, added up as far as
+    HELD codes are at hand."""
+    held: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
+
+    def out() -> Iterator[pa.RecordBatch]:
+        for lang, pieces in held.items():
+            codes, n = _summed(pieces)
+            for at in range(0, len(codes), 1 << 16):
+                some = codes[at : at + (1 << 16)]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([lang] * len(some), pa.string()), pa.array(some), pa.array(n[at : at + (1 << 16)])],
+                    ["lang", "code", "n"],
+                )
+        held.clear()
+
+    size = 0
+    for whole in batches:
+        for b in slices(whole, "text", 4 << 20):
+            texts, langs = b.column("text").to_pylist(), np.array(b.column("lang").to_pylist(), object)
+            for lang in dict.fromkeys(langs):
+                chars, owner = characters([t for t, x in zip(texts, langs) if x == lang])
+                held.setdefault(lang, []).append(np.unique(trigrams(chars, owner)[0], return_counts=True))
+                size += len(held[lang][-1][0])
+            if size > HELD:
+                held.update({lang: [_summed(pieces)] for lang, pieces in held.items()})
+                size = sum(len(pieces[0][0]) for pieces in held.values())
+                if size > HELD // 2:
+                    yield from out()
+                    size = 0
+    yield from out()
+
+
+def training(docs: DataFrame) -> Column:
+    """Rows to learn from: not held out, with a text and a language."""
+    return docs["lang"].isNotNull() & docs["text"].isNotNull() & ~held_out(docs["doc_id"], 4, 2)
+
+
+def learn(docs: DataFrame) -> Model:
+    """The model of all training rows."""
+    train = docs.where(training(docs)).select("text", "lang")
+    languages = sorted(r.lang for r in train.select("lang").distinct().collect())
+    if not languages:
+        empty = Order(np.empty(0, np.int64), np.empty((0, 0)))
+        return Model([], empty, empty, empty, empty, empty, np.empty(0))
     rows = (
-        sample.mapInArrow(count, "lang string, code long, n long")
+        train.mapInArrow(_counted, "lang string, code long, n long")
         .groupBy("lang", "code").agg(F.sum("n").alias("n")).toArrow()
-    )  # different trigrams of the bounded sample
-    languages = sorted({r.lang for r in sizes})
+    )  # different trigrams of each language
     codes, place = np.unique(rows.column("code").to_numpy(), return_inverse=True)
     counts = np.zeros((len(codes), len(languages)))
-    number = {lang: i for i, lang in enumerate(languages)}
-    of = np.array([number[x] for x in rows.column("lang").to_pylist()], np.int64)
+    of = pc.index_in(rows.column("lang"), pa.array(languages, pa.string())).to_numpy()
     counts[place, of] = rows.column("n").to_numpy()
-    model = estimate(languages, codes, counts)
-
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for b in slices(whole, "text", 4 << 20):
-                h, _ = model.entropies(b.column("text").to_pylist())
-                at = [number[x] for x in b.column("lang").to_pylist()]
-                yield pa.RecordBatch.from_arrays(
-                    [b.column("lang"), pa.array(h[np.arange(len(at)), at])], ["lang", "h"]
-                )
-
-    tails = (
-        sample.mapInArrow(spread, "lang string, h double").groupBy("lang")
-        .agg(F.percentile_approx("h", 1 - TAIL).alias("h")).collect()
-    )
-    limits = np.full(len(languages), np.inf)
-    for r in tails:
-        limits[number[r.lang]] = MARGIN * r.h
-    return Model(*[getattr(model, f) for f in Model.__dataclass_fields__ if f != "limits"], limits)
+    return estimate(languages, codes, counts)
 
 
 def identify(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, lang_pred, score and rejected of every row."""
-    out = held_out(F.col("doc_id"), 4, 2)
     shared = docs.sparkSession.sparkContext.broadcast(learn(docs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
+        number = {lang: i for i, lang in enumerate(model.languages)}
         for whole in batches:
             for b in slices(whole, "text", 2 << 20):
-                names, score, rejected = model.predict(b.column("text").to_pylist())
+                names, confidence, h = model.predict(b.column("text").to_pylist())
+                at = [(i, number.get(x)) for i, x in enumerate(names)]
+                own = [(i, number.get(x)) for i, x in enumerate(b.column("learned").to_pylist())]
+                lowest, spread = ([None if k is None else h[i, k] for i, k in of] for of in (at, own))
                 yield pa.RecordBatch.from_arrays(
                     [
                         b.column("doc_id"), b.column("held_out"), pa.array(names, pa.string()),
-                        pa.array(score, pa.float64()), pa.array(rejected, pa.bool_()),
+                        pa.array(confidence, pa.float64()), pa.array(lowest, pa.float64()),
+                        b.column("learned"), pa.array(spread, pa.float64()),
                     ],
-                    ["doc_id", "held_out", "lang_pred", "score", "rejected"],
+                    ["doc_id", "held_out", "lang_pred", "score", "lowest", "learned", "spread"],
                 )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text", out.alias("held_out")).mapInArrow(
-        run, f"doc_id {kind}, held_out boolean, lang_pred string, score double, rejected boolean"
+    scored = stage(
+        docs.select(
+            "doc_id", "text", held_out(F.col("doc_id"), 4, 2).alias("held_out"),
+            F.when(training(docs), F.col("lang")).alias("learned"),
+        ).mapInArrow(
+            run, f"doc_id {kind}, held_out boolean, lang_pred string, score double, lowest double, "
+            "learned string, spread double"
+        ),
+        "language-scores",
+    )
+    # one row per language: the cross-entropy beyond which a text is rejected
+    limits = scored.where("learned IS NOT NULL").groupBy(F.col("learned").alias("_lang")).agg(
+        (MARGIN * F.percentile_approx("spread", 1 - TAIL)).alias("_limit"))
+    rejected = F.coalesce(F.col("lowest") > F.col("_limit"), F.lit(False))
+    return scored.join(F.broadcast(limits), F.col("lang_pred") == F.col("_lang"), "left").select(
+        "doc_id", "held_out", "lang_pred", F.when(rejected, F.col("score") / 2).otherwise(F.col("score")).alias("score"),
+        rejected.alias("rejected"),
     )
