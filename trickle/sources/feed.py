@@ -16,7 +16,7 @@ from __future__ import annotations
 import hashlib
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from trickle.functions.measures import money
@@ -31,7 +31,10 @@ HASH_MOD = 1_000_003
 SLOT = 1_000_000
 TABLE_OFFSET = {"CU": 1000, "OR": 2000, "LI": 3000}
 
-FEED_VERSION = "v3"
+FEED_VERSION = "v4"
+
+HOT_ROWS = 200_000  # rows of one order from which on several tasks number them
+PART_BYTES = 8 << 20  # of the base tables' files, for each partition of the feed
 
 
 def _phases(delete_cond: Column, reinsert_cond: Column) -> Column:
@@ -83,22 +86,39 @@ def orders_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def lineitem_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _dealt(li: DataFrame, parts: int | None) -> DataFrame:
+    return li.repartition(parts, "l_orderkey") if parts else li
+
+
+def lineitem_changes(spark: SparkSession, sf_dir: str, parts: int | None = None) -> DataFrame:
     """phase, sgn, seq, the lineitem row and ``line``.
 
     ``(l_orderkey, l_linenumber)`` is not unique in the fixture tables, but
     the reference keys lineitem state by line number within an order. ``line``
     numbers the rows of an order by all their columns; it is what the rendered
     record carries in the line-number position.
+
+    The rows are exchanged once, by order, into ``parts`` partitions (default:
+    the session's). Only orders of more than HOT_ROWS rows, if there are any,
+    are numbered by the scan, which spreads them over several tasks.
     """
-    li = tables.read_table(spark, sf_dir, "lineitem").withColumn("_one", F.lit(1))
+    li = tables.read_table(spark, sf_dir, "lineitem")
     order = [
         "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice",
         "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate",
     ]
-    # row_number within the order = running count in this total order (whole
-    # rows are unique); the scan spreads an order with very many rows.
-    numbered = running_sums(li, ["l_orderkey"], order, {"line": "_one"}).drop("_one")
+    # at most one key per HOT_ROWS rows
+    sizes = li.groupBy("l_orderkey").count().where((F.col("count") > HOT_ROWS) & F.col("l_orderkey").isNotNull())
+    hot = sizes.select("l_orderkey").collect()
+    by = Window.partitionBy("l_orderkey").orderBy(*order)
+    number = F.row_number().over(by).alias("line")
+    if not hot:
+        numbered = _dealt(li, parts).select("*", number)
+    else:
+        keys = F.broadcast(spark.createDataFrame(hot, li.select("l_orderkey").schema))
+        many = li.join(keys, "l_orderkey", "left_semi").withColumn("_one", F.lit(1))
+        numbered = _dealt(li.join(keys, "l_orderkey", "left_anti"), parts).select("*", number).unionByName(
+            running_sums(many, ["l_orderkey"], order, {"line": "_one"}).drop("_one"))
     k = F.col("l_orderkey")
     line = F.col("line")
     return (
@@ -160,18 +180,18 @@ def render_lineitem(lc: DataFrame, with_seq: bool = True) -> DataFrame:
     return lc.select(_line("LI", fields, with_seq).alias("value"), "seq")
 
 
-def feed_records(spark: SparkSession, sf_dir: str, with_seq: bool = True) -> DataFrame:
+def feed_records(spark: SparkSession, sf_dir: str, with_seq: bool = True, parts: int | None = None) -> DataFrame:
     """All change records of the feed: ``value`` (the line) and ``seq``."""
     return (
         render_customer(customer_changes(spark, sf_dir), with_seq)
         .unionByName(render_orders(orders_changes(spark, sf_dir), with_seq))
-        .unionByName(render_lineitem(lineitem_changes(spark, sf_dir), with_seq))
+        .unionByName(render_lineitem(lineitem_changes(spark, sf_dir, parts), with_seq))
     )
 
 
-def feed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All change records of the feed as one ``value`` column (mixed tables)."""
-    return feed_records(spark, sf_dir).select("value")
+def feed_lines(spark: SparkSession, sf_dir: str, parts: int | None = None) -> DataFrame:
+    """All change records of the feed as one ``value`` column."""
+    return feed_records(spark, sf_dir, parts=parts).select("value")
 
 
 # --------------------------------------------------------------------------
@@ -256,7 +276,8 @@ def _table_state(spark: SparkSession, sf_dir: str) -> str:
 
 
 def materialize_feed(spark: SparkSession, sf_dir: str, variant: str = "clean") -> str:
-    """Write the feed of ``sf_dir`` as change-log text files; return the folder.
+    """Write the feed of ``sf_dir`` as change-log text files (gzip, which Spark's
+    text readers read as they are); return the folder.
 
     ``variant`` is ``clean`` (the feed), ``dirty`` (feed plus anomaly
     records) or ``reference`` (the feed without seq fields, lines in feed
@@ -273,21 +294,23 @@ def materialize_feed(spark: SparkSession, sf_dir: str, variant: str = "clean") -
     path = f"{root}/feeds/{variant}-{digest}"
     marker = f"{path}.done"
     if not _exists(spark, marker):
-        # Files of even size, a multiple of the cores: the scan runs in full waves.
-        parts = 2 * spark.sparkContext.defaultParallelism
+        # Lineitem's files are of even size, a multiple of the cores; their number
+        # follows the tables, so that no task's share (or sort) grows with them.
+        parts = max(2 * spark.sparkContext.defaultParallelism, -(-int(state.split("|")[1]) // PART_BYTES))
         if variant == "reference":
             # The reference's own format: no seq field; the order of the feed
             # is the order of the lines (files in name order). A range sort on
             # seq writes part files in seq order.
-            lines = feed_records(spark, sf_dir, with_seq=False).repartitionByRange(parts, "seq")
-            lines.sortWithinPartitions("seq").select("value").write.mode("overwrite").text(path)
+            lines = feed_records(spark, sf_dir, False, parts).repartitionByRange(parts, "seq")
+            lines = lines.sortWithinPartitions("seq").select("value")
         else:
-            lines = feed_lines(spark, sf_dir)
+            # seq orders these: they are written where they are made
+            lines = feed_lines(spark, sf_dir, parts)
             if variant == "dirty":
                 lines = lines.unionByName(anomaly_lines(spark, sf_dir))
             elif variant != "clean":
                 raise ValueError(f"unknown feed variant {variant!r}")
-            lines.repartition(parts).write.mode("overwrite").text(path)
+        lines.write.mode("overwrite").option("compression", "gzip").text(path)
         spark.range(1).select(F.lit(path).alias("value")).write.mode("overwrite").text(marker)
     _MATERIALISED[key] = path
     return path
