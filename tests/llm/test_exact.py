@@ -553,3 +553,12 @@ def test_words_left_over_among_identical_rows_are_drawn(spark, monkeypatch):
     # 11 words over three rows: three each, and two left over
     assert got == {(1, "a b c"): 3, (1, "a b"): 1, (None, "e f"): 1, (None, "e"): 1}
 
+
+def test_good_documents_are_marked_alike_at_any_size(spark):
+    """Few labels are no reason for another join than that of many."""
+    labels = spark.createDataFrame([(1, 1), (2, 0), (2, 1), (None, 1)], "doc_id long, quality int")
+    docs = spark.createDataFrame([(1, "a"), (2, "b"), (2, "b"), (3, "c"), (None, "d")], "doc_id long, text string")
+    got = quality_rules.marked_good(docs, labels)
+    assert "SortMergeJoin" in got._jdf.queryExecution().executedPlan().toString()
+    rows = sorted((str(r.doc_id), r._good) for r in got.collect())
+    assert rows == [("1", 1), ("2", 1), ("2", 1), ("3", None), ("None", None)]

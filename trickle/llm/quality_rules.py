@@ -10,8 +10,9 @@ and a rerun decides every document alike.
 Native throughout: n-grams are counted with partial aggregation over
 2 * BUCKETS groups, and the table of log ratios (of that fixed size) becomes a
 literal of the scoring expression. Raw counts cover all documents, the target
-all documents labelled good. Their ids meet the documents in a plain join:
-broadcast while Catalyst finds them small, else texts move once by doc_id.
+all documents labelled good. Their ids meet the documents in a merge join: texts
+move once by doc_id, about as many bytes as the input at any size (a broadcast of
+the ids, taken while they are small, would grow with the labels).
 
 Defined cases: null and empty texts have no words and fail the base rules; a
 null doc_id is scored like any other; repeated rows are scored each; without
@@ -102,14 +103,18 @@ def hashed_words(text: Column) -> Column:
     return F.transform(word_array(text), lambda w: F.xxhash64(w))
 
 
+def marked_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc_id and text of every document, ``_good`` = 1 where labelled good."""
+    good = labels.where("quality = 1").select("doc_id").where("doc_id IS NOT NULL").distinct()
+    trusted = good.select(F.col("doc_id").alias("_id"), F.lit(1).alias("_good")).hint("merge")
+    return docs.select("doc_id", "text").join(trusted, F.col("doc_id") == F.col("_id"), "left")
+
+
 def log_ratios(docs: DataFrame, labels: DataFrame) -> list[int]:
     """log(target / raw) of each bucket, in millionths."""
-    good = labels.where("quality = 1").select("doc_id").where("doc_id IS NOT NULL").distinct()
-    trusted = good.select(F.col("doc_id").alias("_id"), F.lit(1).alias("_good"))
-    marked = docs.select("doc_id", "text").join(trusted, F.col("doc_id") == F.col("_id"), "left")
     grams = let(hashed_words(F.col("text")), lambda h: gram_buckets(h, pair_hashes(h, 1)))
     counts = (
-        marked.select("_good", F.explode(grams).alias("b"))
+        marked_good(docs, labels).select("_good", F.explode(grams).alias("b"))
         .groupBy("b")
         .agg(F.count("*").alias("raw"), F.count("_good").alias("target"))
         .collect()  # 2 * BUCKETS rows at most
