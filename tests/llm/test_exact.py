@@ -87,6 +87,24 @@ def test_packing_plan(seed):
         assert sum(3 * length > capacity for _, length in parts) <= 2
 
 
+def test_packing_places_pieces_without_their_ids(spark):
+    """Python gets a piece's length and rank to place it, not its ids."""
+    out = packing.pack(data.documents(spark), TOKENIZER, capacity=512, with_ids=True)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" not in plan
+    calls = [x for x in plan.splitlines() if "ArrowEvalPython" in x]
+    assert len(calls) == 1 and "(length#" in calls[0] and "ids#" not in calls[0].split("], [")[0]
+
+
+def test_word_ids_stay_within_their_cache():
+    words = packing.WordIds(TOKENIZER, 50)
+    for at in range(0, 400, 20):
+        some = " ".join(f"unit{i}" for i in range(at, at + 20))
+        want = np.array(words.tokenizer.encode(some, add_special_tokens=False).ids, "<u4").tobytes()
+        assert words.encode_all([some]) == [want]
+        assert len(words.known) <= 51
+
+
 def test_packing_of_nothing(spark):
     assert packing.pack(data.nothing(spark), TOKENIZER).collect() == []
 

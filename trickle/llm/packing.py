@@ -41,6 +41,10 @@ from trickle.llm.common import slices, stage
 
 # Distinct words whose ids a worker keeps; it starts afresh beyond that.
 WORD_CACHE = 600_000
+# Bytes of text whose ids a worker makes at once.
+SLICE = 4 << 20
+# Where the ids themselves go on, a worker holds them besides: less of both.
+WORD_CACHE_WITH_IDS, SLICE_WITH_IDS = 200_000, 1 << 20
 # Ranks within a length stay below this (plan lookups use length * RANKS + rank).
 RANKS = 1 << 42
 
@@ -170,10 +174,11 @@ class WordIds:
     at once and told apart by their places.
     """
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, cache: int) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.cache = cache
         self.known: dict[bytes, bytes] = {b"": b""}
 
     @staticmethod
@@ -206,7 +211,7 @@ class WordIds:
         known = self.known
         asked = set().union(*split)
         new = [u for u in asked if u not in known]
-        if len(known) + len(new) > WORD_CACHE:
+        if len(known) + len(new) > self.cache:
             # what these texts ask for stays: the frequent units among them
             kept = {u: known[u] for u in asked if u in known}
             known.clear()
@@ -216,15 +221,15 @@ class WordIds:
         return [b"".join([known[u] for u in units]) for units in split]
 
 
-_workers: dict[str, WordIds] = {}
+_workers: dict[tuple[str, int], WordIds] = {}
 
 
-def word_ids(path: str) -> WordIds:
+def word_ids(path: str, cache: int) -> WordIds:
     """The worker's own ``WordIds`` of a tokenizer, with what earlier tasks of
-    the worker learned (bounded by WORD_CACHE)."""
-    if path not in _workers:
-        _workers[path] = WordIds(path)
-    return _workers[path]
+    the worker learned (bounded by ``cache``)."""
+    if (path, cache) not in _workers:
+        _workers[path, cache] = WordIds(path, cache)
+    return _workers[path, cache]
 
 
 PIECES = (
@@ -239,13 +244,15 @@ def cut_pieces(
     """One row per piece, with its rank among the pieces of its length in
     its task (``part``, ``local_rank``)."""
 
+    cache, at_once = (WORD_CACHE_WITH_IDS, SLICE_WITH_IDS) if with_ids else (WORD_CACHE, SLICE)
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = word_ids(tokenizer_path)
+        words = word_ids(tokenizer_path, cache)
         end = np.array([end_id], "<u4").tobytes()
         part = TaskContext.get().partitionId()
         seen: dict[int, int] = {}
         for whole in batches:
-            for batch in slices(whole, "text", 4 << 20):
+            for batch in slices(whole, "text", at_once):
                 row: list[int] = []
                 out: list[tuple[int, int, int, int, int, int]] = []
                 ids: list[np.ndarray] = []
@@ -273,6 +280,7 @@ def cut_pieces(
                     cols.append(pa.ListArray.from_arrays(offsets, np.concatenate(ids)))
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(cols, names)
+        pa.default_memory_pool().release_unused()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = PIECES.format(id=kind, ids=", ids array<int>" if with_ids else "")
@@ -313,23 +321,17 @@ def pack(
 
     shared = docs.sparkSession.sparkContext.broadcast(table)
 
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    # only the two numbers go through Python: the ids stay in their rows
+    @F.arrow_udf("sequence_id long, offset long")
+    def place(lengths: pa.Array, ranks: pa.Array) -> pa.Array:
         key, first, bin0, per_bin, base = shared.value.T
-        for b in batches:
-            length, rank = b.column("length").to_numpy(), b.column("rank").to_numpy()
-            at = np.searchsorted(key, length * RANKS + rank, "right") - 1
-            nth = rank - first[at]
-            keep = [n for n in b.schema.names if n != "rank"]
-            yield pa.RecordBatch.from_arrays(
-                [b.column(n) for n in keep]
-                + [pa.array(bin0[at] + nth // per_bin[at]), pa.array(base[at] + nth % per_bin[at] * length)],
-                keep + ["sequence_id", "offset"],
-            )
+        length, rank = lengths.to_numpy(zero_copy_only=False), ranks.to_numpy(zero_copy_only=False)
+        at = np.searchsorted(key, length * RANKS + rank, "right") - 1
+        nth = rank - first[at]
+        found = [pa.array(bin0[at] + nth // per_bin[at]), pa.array(base[at] + nth % per_bin[at] * length)]
+        return pa.StructArray.from_arrays(found, ["sequence_id", "offset"])
 
     kept = ["doc_id", "piece", "start", "length", "ids_crc32", *(["ids"] if with_ids else [])]
-    ranked = pieces.join(offsets, ["length", "part"]).select(
-        *kept, (F.col("before") + F.col("local_rank")).alias("rank")
-    )
-    kinds = dict(pieces.dtypes)
-    schema = ", ".join(f"{c} {kinds[c]}" for c in kept) + ", sequence_id long, offset long"
-    return ranked.mapInArrow(place, schema)
+    rank = F.col("before") + F.col("local_rank")
+    ranked = pieces.join(offsets, ["length", "part"]).select(*kept, place("length", rank).alias("_at"))
+    return ranked.select(*kept, "_at.sequence_id", "_at.offset")
